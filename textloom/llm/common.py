@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def throwaway(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python process ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table: smaller where rows are wide, and read by column."""
+    path = throwaway(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
@@ -65,15 +88,29 @@ def ordinal_within(df: DataFrame, group: str, order: list[Column], extra: list[s
 
     Rows are range-partitioned on (group, order), numbered in each partition, and the counts of
     (partition, group) turn the numbers into ranks; the table of counts has at most
-    partitions + groups rows. ``extra`` are the other columns to keep. The frame should be narrow.
+    partitions + groups rows. ``extra`` are the other columns to keep.
     """
     n = partitions or max(1, shuffle_partitions(df.sparkSession))
     key = F.col(group).asc_nulls_last()
     ranged = df.select(group, *extra).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    numbered = cut(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    numbered = cut_table(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
     counts = numbered.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))).withColumnRenamed("_part", "_p").withColumnRenamed(group, "_g")
     starts = small(starts.select("_p", "_g", "_first", "_before"), starts.count())
     joined = numbered.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
     return joined.select(group, *extra, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("ordinal"))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, other: str, n: int, spread_by: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+    """A null-safe join of ``rows`` to ``values``, a table of ``n`` counted rows with one for each key.
+
+    A small table is broadcast; else each of its rows is repeated for every salt, and the rows of a
+    hot key are spread over the salts by a hash of ``spread_by``.
+    """
+    match = F.col(key).eqNullSafe(F.col(other))
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(values), match, how)
+    salted = values.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = rows.withColumn("_salt_l", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    return own.join(salted, match & (F.col("_salt_l") == F.col("_salt_r")), how).drop("_salt_l", "_salt_r")
