@@ -24,9 +24,48 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.mixing import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.decontaminate import find_overlaps, is_contaminated
+
+    found = find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.warc import read_warc, scratch_folder, write_warc
+
+    files = write_warc(table(spark, sf_dir, "pages"), scratch_folder(spark))
+    return read_warc(files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.secrets import BASE, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *map(of, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_token_counts": op3_token_counts}
+    return {
+        "op3_token_counts": op3_token_counts,
+        "op4_mixing": op4_mixing,
+        "op5_decontamination": op5_decontamination,
+        "op8_warc": op8_warc,
+        "op9_secrets": op9_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from textloom.llm.sql import ORACLES
+
+    return ORACLES
