@@ -38,6 +38,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.near_dup import near_duplicates
+
+    classes = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", kept.alias("is_representative"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.warc import read_warc, scratch_folder, write_warc
 
@@ -60,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_mixing": op4_mixing,
         "op5_decontamination": op5_decontamination,
+        "op7_near_dup": op7_near_dup,
         "op8_warc": op8_warc,
         "op9_secrets": op9_secrets,
     }
