@@ -45,8 +45,8 @@ class Powers:
 _POWERS = Powers()
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text's number and the hash of each word; words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII."""
+def words_in(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and begin and end of each word; words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII."""
     low = _LOWER[buf]
     inside = _IN_WORD[low]
     begins = inside.copy()
@@ -57,11 +57,24 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     edge = edge[(edge > 0) & (edge < len(buf))]
     begins[edge] = inside[edge]
     stops[edge - 1] = inside[edge - 1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    up, down = _POWERS.get(len(buf))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
-    hashes = mix((sums[stop] - sums[start]) * down[start])
-    return np.searchsorted(offsets, start, side="right") - 1, hashes
+    return low, np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+class Hasher:
+    """Hashes of any slices of ``low``, from sums over all of it."""
+
+    def __init__(self, low: np.ndarray) -> None:
+        up, self.down = _POWERS.get(len(low))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stop] - self.sums[start]) * self.down[start])
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text's number and the hash of each word."""
+    low, start, stop = words_in(buf, offsets)
+    return np.searchsorted(offsets, start, side="right") - 1, Hasher(low).of(start, stop)
 
 
 def shingle_counts(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
