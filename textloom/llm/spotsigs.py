@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, shuffle_partitions
 
 # Common words of English, German, French and Spanish that start a signature.
-ANCHORS = ("a", "an", "and", "are", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "das", "dem", "den", "der", "die", "ein", "eine", "ist", "mit", "und", "von", "zu", "au", "avec", "dans", "des", "du", "est", "et", "la", "le", "les", "par", "pour", "que", "qui", "sur", "un", "une", "con", "de", "del", "el", "en", "las", "los", "no", "por", "se", "su", "una", "y")
+ANCHORS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "als", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "für", "im", "ist", "mit", "nicht", "sich", "und", "von", "zu", "au", "avec", "dans", "des", "du", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une", "al", "con", "de", "del", "el", "en", "las", "los", "no", "para", "por", "se", "su", "una", "y")
 CHAIN = 2
 #: How many words after an anchor may be looked at for a chain.
 REACH = 6
+#: A text with fewer spot signatures than one for so many words is no running text with anchors.
+SPARSE = 10
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -47,14 +49,14 @@ def signatures_of(words: str, anchors: tuple[str, ...] = ANCHORS, chain: int = C
 def with_signatures(docs: DataFrame, text: Column, into: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
     """Adds ``into``, the sorted set of signatures of ``text``.
 
-    A text without spot signatures is given its pairs of neighbouring words instead, so that short
-    texts have fingerprints too; a text without words has the empty set.
+    A text with fewer of them than one for ``SPARSE`` words (lists, tables, very short texts) is
+    given its pairs of neighbouring words instead; a text without words has the empty set.
     """
     words, spots = f"_{into}_words", f"_{into}_spots"
     marked = docs.withColumn(words, words_of(text))
     spotted, plain = signatures_of(words, anchors, chain, reach)
     found = marked.withColumn(spots, spotted)
-    few = (F.size(spots) == 0) & (F.size(words) > 0)
+    few = F.size(spots) * SPARSE < F.size(words)
     return found.withColumn(into, F.sort_array(F.array_distinct(F.when(few, plain).otherwise(F.col(spots))))).drop(words, spots)
 
 
