@@ -21,8 +21,6 @@ ANCHORS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in",
 CHAIN = 2
 #: How many words after an anchor may be looked at for a chain.
 REACH = 6
-#: A text with fewer spot signatures than one for so many words is no running text with anchors.
-SPARSE = 10
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -30,34 +28,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def signatures_of(words: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> tuple[Column, Column]:
-    """Hashes of the spot signatures in the column ``words``, an array of words, and of its words in pairs.
+def signatures_of(words: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> Column:
+    """The sorted set of hashes of the spot signatures in the column ``words``, an array of words.
 
     A signature is an anchor and the first ``chain`` content words among the next ``reach`` words.
+    In stretches without anchors (lists, tables, very short texts), where none of the last
+    ``reach`` words is one, each word starts a chain itself, with no anchor and as many words as
+    there are. So only a text without content words has the empty set.
     """
     own = F.col(words)
-    places = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.element_at(own, i).isin(*anchors))
-    content = lambda i: F.filter(F.slice(own, i + 1, F.lit(reach)), lambda w: ~w.isin(*anchors))
-    spots = F.transform(places, lambda i: F.struct(F.element_at(own, i).alias("anchor"), F.slice(content(i), 1, chain).alias("words")))
-    whole = F.filter(spots, lambda s: F.size(s["words"]) == chain)
-    hashed = F.transform(whole, lambda s: F.xxhash64(s["anchor"], s["words"]))
-    plain = F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: F.xxhash64(F.slice(own, i, F.lit(2))))
-    none = F.array().cast("array<bigint>")
-    return tuple(F.when(F.size(own) == 0, none).otherwise(x) for x in (hashed, plain))
+    bare = lambda i: ~F.exists(F.slice(own, F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), lambda w: w.isin(*anchors))
+    places = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.element_at(own, i).isin(*anchors) | bare(i))
+    chained = lambda i, word: F.struct(F.when(word.isin(*anchors), word).otherwise("").alias("anchor"), F.slice(F.filter(F.slice(own, F.when(word.isin(*anchors), i + 1).otherwise(i), F.lit(reach)), lambda w: ~w.isin(*anchors)), 1, chain).alias("words"))
+    spots = F.filter(F.transform(places, lambda i: chained(i, F.element_at(own, i))), lambda s: (F.size(s["words"]) == chain) | (s["anchor"] == ""))
+    hashed = F.transform(spots, lambda s: F.xxhash64(s["anchor"], s["words"]))
+    return F.sort_array(F.array_distinct(F.when(F.size(own) == 0, F.array().cast("array<bigint>")).otherwise(hashed)))
 
 
 def with_signatures(docs: DataFrame, text: Column, into: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
-    """Adds ``into``, the sorted set of signatures of ``text``.
-
-    A text with fewer of them than one for ``SPARSE`` words (lists, tables, very short texts) is
-    given its pairs of neighbouring words instead; a text without words has the empty set.
-    """
-    words, spots = f"_{into}_words", f"_{into}_spots"
-    marked = docs.withColumn(words, words_of(text))
-    spotted, plain = signatures_of(words, anchors, chain, reach)
-    found = marked.withColumn(spots, spotted)
-    few = F.size(spots) * SPARSE < F.size(words)
-    return found.withColumn(into, F.sort_array(F.array_distinct(F.when(few, plain).otherwise(F.col(spots))))).drop(words, spots)
+    """Adds ``into``, the sorted set of signatures of ``text``."""
+    words = f"_{into}_words"
+    return docs.withColumn(words, words_of(text)).withColumn(into, signatures_of(words, anchors, chain, reach)).drop(words)
 
 
 def jaccard(a: str, b: str, least: float = 0.0) -> Column:
