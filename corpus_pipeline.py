@@ -1,8 +1,70 @@
-"""The corpus pipeline (its stages follow as the operators are built)."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm.common import cut_table
+from textloom.llm.decontaminate import find_overlaps, is_contaminated
+from textloom.llm.line_dedup import drop_boilerplate
+from textloom.llm.mixing import mix_sources
+from textloom.llm.near_dup import one_of_each
+from textloom.llm.toxicity import learn, score_toxicity
+
+#: Documents from this score on are rejected.
+TOXIC_FROM = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that score below ``TOXIC_FROM``; null texts are kept."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_toxicity(docs, learn(docs, labels))
+    return scored.filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops boilerplate lines of each source, and the documents that had nothing else."""
+    cleaned = drop_boilerplate(docs)
+    emptied = (F.col("n_dropped") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold passages of the benchmark."""
+    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~is_contaminated()).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often (``copies``) and how many words that makes."""
+    return mix_sources(docs).filter(F.col("copies") > 0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL cannot express the trained and the sampled stages; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written to the shared folder in between."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        docs = done if i == len(STAGES) - 1 else cut_table(done)
+    return docs
