@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from textloom.llm.shingles import Hasher, groups, words_in
 
 #: The sample to learn from: at most so many labelled documents of each class, the first by a hash of their key.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
+SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 1200
 PREFIXES = (4, 5, 6)
 #: Marks: the likelihood ratio statistic and the ratio of shares that a word or beginning needs.
 LEAST_G2, LEAST_ODDS = 25.0, 8.0
@@ -115,7 +115,9 @@ def marginals(evidence: np.ndarray, first: np.ndarray, count: np.ndarray, moves:
 
 def mark_keys(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
     """Which keys are marks, and in how many documents each key is. ids: tokens by their keys."""
-    pairs = np.unique(ids.astype(np.int64) * len(y) + np.repeat(doc, ids.shape[1]).reshape(ids.shape))
+    pairs = np.zeros(0, np.int64)
+    for column in ids.T:  # one at a time, for the memory
+        pairs = np.union1d(pairs, column.astype(np.int64) * len(y) + doc)
     key, toxic = pairs // len(y), y[pairs % len(y)] == 1
     n1, n0 = np.bincount(key[toxic], minlength=n_keys), np.bincount(key[~toxic], minlength=n_keys)
     t1, t0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
@@ -135,13 +137,14 @@ def train(texts: list[str], labels: list[int]) -> Field:
         parts.append((text + lo, keys))
     doc = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
     keys = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, 1 + len(PREFIXES)), np.uint64)
+    del parts
     every, ids = np.unique(keys, return_inverse=True)
-    ids = ids.reshape(keys.shape)
+    ids = ids.reshape(keys.shape).astype(np.int32)
     marks, df = mark_keys(ids, doc, y, len(every)) if len(doc) else (np.zeros(0, bool), np.zeros(0, np.int64))
     marks &= every != 0
     target = (marks[ids].any(axis=1) & (y[doc] == 1)).astype(float) if len(doc) else np.zeros(0)
     kept = (df >= 3) & (every != 0) | marks
-    number = np.where(kept, np.cumsum(kept) - 1, kept.sum())
+    number = np.where(kept, np.cumsum(kept) - 1, kept.sum()).astype(np.int32)
     feature = number[ids]
     n_features = int(kept.sum())
     # Sequences of at most SEGMENT tokens of one text.
