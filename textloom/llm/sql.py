@@ -1,3 +1,95 @@
-"""SQL for DuckDB with the results of those operators that it can express."""
+r"""SQL for DuckDB with the results of those operators that it can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import string
+
+from textloom.llm.url_filter import BLOCK_AT, DAMPING, LINK, ROUNDS, RULES
+
+BLANKS = r"[\x20\x09-\x0D]"
+
+MIXING = r"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+ sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM sized GROUP BY source),
+ weighed AS (SELECT source, source_size, source_size * 2E0 AS ceiling, CASE k WHEN 0 THEN 3E0 WHEN 1 THEN 1E0 ELSE 2E0 END AS w FROM sources),
+ totals AS (SELECT 1.5E0 * sum(source_size) AS goal, sum(w) AS all_w FROM weighed),
+ steps AS (SELECT *, ceiling / w AS ratio, coalesce(sum(ceiling) OVER before, 0) AS held, coalesce(sum(w) OVER before, 0) AS gone FROM weighed WINDOW before AS (ORDER BY ceiling / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ level AS (SELECT arg_min((goal - held) / (all_w - gone), ratio) AS level FROM steps, totals WHERE ratio >= (goal - held) / (all_w - gone)),
+ targets AS (SELECT source, source_size, CASE WHEN w * level > ceiling THEN ceiling ELSE w * level END AS target FROM weighed, level),
+ ranked AS (SELECT doc_id, size, s.source, t.source_size, target, CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0 END AS rate,
+  row_number() OVER (PARTITION BY s.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS r,
+  ('0x' || substr(md5(concat_ws('~', 'mix', s.source)), 1, 13))::BIGINT / 4503599627370496E0 AS u FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+ copied AS (SELECT *, CAST(floor(u + r * rate) - floor(u + (r - 1) * rate) AS INT) AS copies FROM ranked)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied"""
+
+
+def own_words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {own_words("text")} AS w FROM documents),
+ b AS (SELECT item_id, {own_words("text")} AS w FROM benchmark),
+ sized AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+ windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM sized)),
+ placed AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM sized))),
+ found AS (SELECT doc_id, item_id, i, n FROM placed JOIN windows USING (n, g)),
+ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+# Five hexadecimal digits are four digits in base 32.
+BASE32 = "array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT) + 1, 1)), '')"
+WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+TRIMMED = f"regexp_replace(l, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
+LINES = f"""WITH lines AS (SELECT doc_id, source, i, s[i] AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+ keyed AS (SELECT *, {TRIMMED} AS k FROM lines),
+ sites AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+ bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= 5 AND pages > n * 0.1E0),
+ marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.source = bad.source AND keyed.k = bad.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY doc_id"""
+
+
+def lowered(text: str) -> str:
+    return f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def host(url: str) -> str:
+    return lowered(f"regexp_extract(coalesce({url}, ''), '(?s)://([^/?#]*)', 1)")
+
+
+def url_filter() -> str:
+    """The rounds are spelled out, one common table expression each."""
+    rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in rules) + " END"
+    link = LINK.replace("'", "''")
+    rounds = ",\n ".join(
+        f"""s{k} AS (SELECT st.host, st.good * {1 - DAMPING!r} + coalesce(t, 0) * {DAMPING!r} AS trust, st.bad * {1 - DAMPING!r} + coalesce(d, 0) * {DAMPING!r} AS distrust FROM start st
+  LEFT JOIN (SELECT dst AS host, sum(ft * trust) AS t, sum(fd * distrust) AS d FROM flows JOIN s{k - 1} ON src = s{k - 1}.host GROUP BY dst) USING (host))"""
+        for k in range(1, ROUNDS + 1)
+    )
+    return f"""WITH placed AS (SELECT page_id, html, {host("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS rule_verdict FROM placed),
+ seeds AS (SELECT host, count(*) AS pages, count(*) FILTER (rule_verdict = 'allow') AS good, count(*) FILTER (rule_verdict = 'block') AS bad FROM ruled GROUP BY host),
+ links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS l FROM placed),
+ edges AS (SELECT src, CASE WHEN contains(l, '://') THEN {host("l")} WHEN starts_with(l, '//') THEN {host("'x:' || l")} ELSE src END AS dst, count(*) AS n FROM links GROUP BY ALL),
+ hosts AS (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+ start AS (SELECT host, coalesce(good, 0)::DOUBLE AS good, coalesce(bad, 0)::DOUBLE AS bad FROM hosts LEFT JOIN seeds USING (host)),
+ shared AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS t, n / sum(n) OVER (PARTITION BY dst) AS d FROM edges),
+ flows AS (SELECT src, dst, sum(t) AS ft, sum(d) AS fd FROM (SELECT src, dst, t, 0E0 AS d FROM shared UNION ALL SELECT dst, src, 0E0, d FROM shared
+  UNION ALL SELECT host, host, CASE WHEN host IN (SELECT src FROM edges) THEN 0E0 ELSE 1E0 END, CASE WHEN host IN (SELECT dst FROM edges) THEN 0E0 ELSE 1E0 END FROM hosts) GROUP BY ALL),
+ s0 AS (SELECT host, good AS trust, bad AS distrust FROM start),
+ {rounds},
+ blocked AS (SELECT host FROM seeds JOIN s{ROUNDS} USING (host) WHERE distrust > trust AND distrust >= pages * {BLOCK_AT!r})
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter(),
+    "op4_mixing": MIXING,
+    "op5_decontamination": DECONTAMINATION,
+    "op8_warc": WARC,
+    "op10_line_dedup": LINES,
+}
