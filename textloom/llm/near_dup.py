@@ -10,16 +10,15 @@
    probability. The lanes' random numbers are tables that a shingle's id points into.
 3. Banding. Texts that agree in all lanes of a band share a bucket. Equal texts are one node.
 4. Links. Each node is verified against its buckets' first nodes by the weighted Jaccard
-   similarity of the texts; links give components. In buckets with more than one component, the
-   nodes outside the first node's component are compared with all nodes of other components in
-   the bucket, first by lanes kept in four bits each, then verified. So no pair in a shared bucket
-   is left out unless it is in one component already, and a group of copies costs one link a copy.
+   similarity of the texts; links give components. Where buckets bring several components
+   together, the nodes outside the largest are compared with all nodes of the others, in blocks,
+   through an index of their shingles. So no pair in a shared bucket is left out unless it is in
+   one component already, and a group of copies costs one link a copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +39,10 @@ THETA = 1e-3
 IDF_POWER = 0.1
 LEAST_IDF = 0.5
 #: A block ends at so many documents or shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 4000, 8_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4000, 4_000_000
 CELLS = 1 << 16
-#: Of 80 lanes in four bits each, pairs of the least similarity agree in 65 on average, with a deviation of 3.5.
-LEAST_LANES = 51
+#: Texts on each side of a block that is compared.
+COMPARED = 500
 
 
 class Weights:
@@ -124,16 +123,19 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int, theta: float = TH
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[lo : lo + 100_000]), pa.array(np.full(len(part), n))], names)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A full block waits for the next one, so that a task's last few documents join it.
+        full: tuple[list[np.ndarray], int] = ([], 0)
         ids: list[np.ndarray] = []
         n = size = 0
         for batch in batches:
             for _, raw, offsets in groups(batch.column(0)):
-                if n >= 2 * BLOCK_DOCS or size >= BLOCK_SHINGLES:
-                    yield from block(ids, n)
-                    ids, n, size = [], 0, 0
                 ids.append(shingle_counts(raw, offsets)[1])
                 n, size = n + len(offsets) - 1, size + len(ids[-1])
-        yield from block(ids, n)
+                if n >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
+                    if full[1]:
+                        yield from block(*full)
+                    full, ids, n, size = (ids, n), [], 0, 0
+        yield from block(full[0] + ids, full[1] + n)
 
     # Small tasks are put together, so that half the share of a block is more than a document or two.
     texts = docs.select(text)
@@ -166,18 +168,16 @@ SIGNED = ArrayType(LongType())
 
 
 def signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
-    """``id``, ``digest``, ``bands`` (a hash for each band) and ``nibbles`` (four bits of each lane) of each document.
+    """``id``, ``digest`` and ``bands`` (a hash for each band) of each document.
 
     Texts without words have no bands.
     """
-    schema = StructType([StructField("id", docs.schema[key].dataType), StructField("digest", StringType()), StructField("bands", SIGNED), StructField("nibbles", SIGNED)])
+    schema = StructType([StructField("id", docs.schema[key].dataType), StructField("digest", StringType()), StructField("bands", SIGNED)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = lanes(), weights.value
-        longs = pa.list_(pa.int64())
         for batch in batches:
             bands = np.zeros((batch.num_rows, BANDS), np.int64)
-            nibbles = np.zeros((batch.num_rows, LANES // 16), np.int64)
             some = np.zeros(batch.num_rows, bool)
             for lo, raw, offsets in groups(batch.column(2)):
                 of, ids, tf = shingle_counts(raw, offsets)
@@ -190,11 +190,9 @@ def signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + drawn[:, k::ROWS])
                 at = lo + of[first]
                 bands[at] = h.view(np.int64)
-                bits = (mix(drawn) & np.uint64(15)).reshape(len(drawn), -1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
-                nibbles[at] = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
                 some[at] = True
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * m.shape[1])]), pa.int32()), pa.array(m[some].ravel())) for m in (bands, nibbles)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(x.cast(longs) for x in lists)], schema.names)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(bands[some].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], schema.names)
 
     return docs.select(F.col(key).alias("id"), digest_of(text).alias("digest"), text).mapInArrow(sign, schema)
 
@@ -207,6 +205,17 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / total) if total else 0.0
 
 
+def shingled(column: pa.Array, table: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingle ids and weights of each text."""
+    out = []
+    for _, raw, offsets in groups(column):
+        of, ids, tf = shingle_counts(raw, offsets)
+        w = table.of(ids, tf)
+        at = np.searchsorted(of, np.arange(len(offsets)))
+        out += [(ids[x:y], w[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """The pairs (a, b, similarity) of digests whose texts are at least ``threshold`` alike."""
     one = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
@@ -214,15 +223,6 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> D
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     schema = StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("similarity", DoubleType())])
 
-    def shingled(column: pa.Array, table: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for _, raw, offsets in groups(column):
-            of, ids, tf = shingle_counts(raw, offsets)
-            w = table.of(ids, tf)
-            at = np.searchsorted(of, np.arange(len(offsets)))
-            out += [(ids[x:y], w[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-        return out
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
         for batch in batches:
@@ -262,15 +262,59 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def same_lanes(a: str, b: str) -> Column:
-    """How many of the lanes, kept in four bits each, agree."""
-    ones = F.lit(0x1111111111111111)
-    total = F.lit(0)
-    for k in range(LANES // 16):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        differs = reduce(lambda y, s: y.bitwiseOR(F.shiftrightunsigned(x, s)), (1, 2, 3), x).bitwiseAND(ones)
-        total = total + (F.lit(16) - F.bit_count(differs))
-    return total
+PAIRS = StructType([StructField("a", StringType()), StructField("b", StringType())])
+
+
+def across(gathered: DataFrame, roots: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (a, b) between texts that share buckets but are not in one component yet.
+
+    ``gathered`` has the texts that buckets bring together, directly or over several buckets, as
+    (node, root). In each such gathering, the texts outside its largest component are held
+    against all texts of other components. Both sides come in blocks of bounded size; small
+    gatherings share a block. Within a pair of blocks an index of the shingles gives the exact
+    similarity of all pairs that share any, and only links leave the task.
+    """
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_component"))
+    placed = gathered.join(known, F.col("node") == F.col("_node"), "left").select(F.col("node").alias("digest"), F.col("root").alias("gathering"), F.coalesce("_component", "node").alias("component"))
+    sizes = placed.groupBy("gathering", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("gathering").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
+    main = cut(main.select(F.col("gathering").alias("_of"), "main", F.ceil(F.col("all") / COMPARED).cast("int").alias("m_blocks"), F.ceil((F.col("all") - F.col("most")) / COMPARED).cast("int").alias("q_blocks"), "all"))
+    # Small gatherings share bins of about a block's size; a large one has a bin of its own.
+    loose = main.agg(F.coalesce(F.sum(F.when(F.col("m_blocks") == 1, F.col("all"))), F.lit(0))).first()[0]
+    shared = F.pmod(F.xxhash64("_of"), F.lit(max(1, loose // COMPARED))).cast("string")
+    tagged = placed.join(main, F.col("gathering") == F.col("_of")).join(texts.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
+    block = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = tagged.select(F.when(F.col("m_blocks") > 1, F.col("_of")).otherwise(shared).alias("bin"), "gathering", "component", "main", "digest", "text", "m_blocks", "q_blocks")
+    one = sides.filter("component <> main").select("bin", block("q_blocks").alias("q"), every("m_blocks").alias("m"), "gathering", "component", "digest", "text")
+    two = sides.select("bin", every("q_blocks").alias("q"), block("m_blocks").alias("m"), "gathering", "component", "digest", "text")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs: list[tuple[str, str]] = []
+        if left.num_rows and right.num_rows:
+            table = weights.value
+            _, of_gathering = np.unique(np.array(left["gathering"].to_pylist() + right["gathering"].to_pylist()), return_inverse=True)
+            _, of_component = np.unique(np.array(left["component"].to_pylist() + right["component"].to_pylist()), return_inverse=True)
+            n = left.num_rows
+            queries, others = (shingled(t["text"].combine_chunks(), table) for t in (left, right))
+            ids, weight = (np.concatenate([o[k] for o in others]) for k in (0, 1))
+            row = np.repeat(np.arange(len(others)), [len(o[0]) for o in others])
+            order = np.argsort(ids, kind="stable")
+            ids, weight, row = ids[order], weight[order], row[order]
+            total = np.bincount(row, weight, minlength=len(others))
+            names, query_names = right["digest"].to_pylist(), left["digest"].to_pylist()
+            for k, (own, own_weight) in enumerate(queries):
+                lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+                found = hi - lo
+                at = np.repeat(lo - np.cumsum(found) + found, found) + np.arange(found.sum())
+                least = np.bincount(row[at], np.minimum(weight[at], np.repeat(own_weight, found)), minlength=len(others))
+                like = least / np.maximum(total + own_weight.sum() - least, 1e-12) >= threshold
+                like &= (of_gathering[n:] == of_gathering[k]) & (of_component[n:] != of_component[k])
+                pairs += [(query_names[k], names[j]) for j in np.flatnonzero(like).tolist()]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.string()), "b": pa.array([p[1] for p in pairs], pa.string())})
+
+    two = two.toDF(*two.columns)  # attributes of its own
+    return one.groupBy("bin", "q", "m").cogroup(two.groupBy("bin", "q", "m")).applyInArrow(compare, PAIRS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -286,7 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     frequent = frequent_shingles(docs, text, n_docs)
     weights = docs.sparkSession.sparkContext.broadcast(Weights(*frequent, n_docs))
     signed = cut_table(signatures(docs, key, text, weights))
-    nodes = cut_table(signed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("nibbles").alias("nibbles")))
+    nodes = cut_table(signed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
 
     bucketed = nodes.select("digest", "id", F.posexplode("bands").alias("band", "hash")).select("digest", "id", F.xxhash64("band", "hash").alias("bucket"))
     leaders = bucketed.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest"))["digest"].alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
@@ -301,21 +345,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     links = cut(verified(stars, texts, weights, threshold))
     roots = components(links)
-    rooted = members.join(roots, members["digest"] == roots["node"], "left").select("bucket", "digest", "leader", F.coalesce("root", "digest").alias("root"))
-    led = rooted.filter("digest = leader").select(F.col("bucket").alias("_bucket"), F.col("root").alias("_main"))
-    outside = rooted.join(led, F.col("bucket") == F.col("_bucket")).filter("root <> _main").select("bucket", "digest", "root", "leader")
-    outside = cut(outside)
-    if not outside.isEmpty():
-        lanes_of = nodes.select(F.col("digest").alias("_digest"), "nibbles")
-        sides = outside.join(lanes_of, F.col("digest") == F.col("_digest"))
-        one = sides.select(F.col("bucket").alias("_bucket"), F.col("digest").alias("a"), F.col("root").alias("root_a"), F.col("nibbles").alias("lanes_a"))
-        mixed = outside.select("bucket").distinct().withColumnRenamed("bucket", "_bucket")
-        others = rooted.join(mixed, F.col("bucket") == F.col("_bucket"), "left_semi").join(lanes_of, F.col("digest") == F.col("_digest")).select("bucket", "digest", "root", "nibbles")
-        crossed = one.join(others, (F.col("_bucket") == F.col("bucket")) & (F.col("root_a") != F.col("root")) & (same_lanes("lanes_a", "nibbles") >= LEAST_LANES))
-        more = crossed.select(F.greatest("a", "digest").alias("a"), F.least("a", "digest").alias("b")).distinct()
-        fresh = more.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        links = links.select("a", "b").union(cut(verified(cut(fresh), texts, weights, threshold)).select("a", "b"))
-        roots = components(links)
+    more = cut(across(components(stars), roots, texts, weights, threshold))
+    if not more.isEmpty():
+        roots = components(links.select("a", "b").union(more))
 
     classed = nodes.select("digest", "id").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("first"), F.count(F.lit(1)).alias("_texts"))
