@@ -89,8 +89,9 @@ def shingle_counts(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     first = np.cumsum(n) - n
     h = np.zeros(len(words), np.uint64)
     left = n[text] - (np.arange(len(words)) - first[text])  # words from here to the text's end
-    for k in range(size):
-        h[: len(h) - k or None] = h[: len(h) - k or None] * _NEXT + np.where(left[: len(h) - k or None] > k, words[k:], np.uint64(0)) if k < len(h) else h
+    ahead = np.concatenate([words, np.zeros(size, np.uint64)])
+    for k in range(size):  # words beyond the text's end count as 0, wherever the text stands
+        h = h * _NEXT + np.where(left > k, ahead[k : k + len(h)], np.uint64(0))
     valid = (left >= size) | ((n[text] < size) & (left == n[text]))
     key = (text[valid].astype(np.uint64) << np.uint64(48)) | (mix(h[valid]) >> np.uint64(16))
     key.sort()
