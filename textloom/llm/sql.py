@@ -66,7 +66,7 @@ def url_filter() -> str:
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in rules) + " END"
     link = LINK.replace("'", "''")
     rounds = ",\n ".join(
-        f"""s{k} AS (SELECT st.host, st.good * {1 - DAMPING!r} + coalesce(t, 0) * {DAMPING!r} AS trust, st.bad * {1 - DAMPING!r} + coalesce(d, 0) * {DAMPING!r} AS distrust FROM start st
+        f"""s{k} AS (SELECT st.host, st.good + coalesce(t, 0) * {DAMPING!r} AS trust, st.bad + coalesce(d, 0) * {DAMPING!r} AS distrust FROM start st
   LEFT JOIN (SELECT dst AS host, sum(ft * trust) AS t, sum(fd * distrust) AS d FROM flows JOIN s{k - 1} ON src = s{k - 1}.host GROUP BY dst) USING (host))"""
         for k in range(1, ROUNDS + 1)
     )
@@ -74,12 +74,11 @@ def url_filter() -> str:
  ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS rule_verdict FROM placed),
  seeds AS (SELECT host, count(*) AS pages, count(*) FILTER (rule_verdict = 'allow') AS good, count(*) FILTER (rule_verdict = 'block') AS bad FROM ruled GROUP BY host),
  links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS l FROM placed),
- edges AS (SELECT src, CASE WHEN contains(l, '://') THEN {host("l")} WHEN starts_with(l, '//') THEN {host("'x:' || l")} ELSE src END AS dst, count(*) AS n FROM links GROUP BY ALL),
+ edges AS (SELECT src, CASE WHEN contains(l, '://') THEN {host("l")} WHEN starts_with(l, '//') THEN {host("'x:' || l")} END AS dst, count(*) AS n FROM links GROUP BY ALL HAVING dst <> src),
  hosts AS (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges),
  start AS (SELECT host, coalesce(good, 0)::DOUBLE AS good, coalesce(bad, 0)::DOUBLE AS bad FROM hosts LEFT JOIN seeds USING (host)),
  shared AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS t, n / sum(n) OVER (PARTITION BY dst) AS d FROM edges),
- flows AS (SELECT src, dst, sum(t) AS ft, sum(d) AS fd FROM (SELECT src, dst, t, 0E0 AS d FROM shared UNION ALL SELECT dst, src, 0E0, d FROM shared
-  UNION ALL SELECT host, host, CASE WHEN host IN (SELECT src FROM edges) THEN 0E0 ELSE 1E0 END, CASE WHEN host IN (SELECT dst FROM edges) THEN 0E0 ELSE 1E0 END FROM hosts) GROUP BY ALL),
+ flows AS (SELECT src, dst, sum(t) AS ft, sum(d) AS fd FROM (SELECT src, dst, t, 0E0 AS d FROM shared UNION ALL SELECT dst, src, 0E0, d FROM shared) GROUP BY ALL),
  s0 AS (SELECT host, good AS trust, bad AS distrust FROM start),
  {rounds},
  blocked AS (SELECT host FROM seeds JOIN s{ROUNDS} USING (host) WHERE distrust > trust AND distrust >= pages * {BLOCK_AT!r})

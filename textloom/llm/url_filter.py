@@ -3,7 +3,8 @@
 Rules name a host and a path. Pages that no rule fits get a verdict from their host's scores:
 trust starts at pages that rules allow and follows the links between hosts; distrust starts at
 pages that rules block and follows them backwards, to those who link there. Both are personalised
-PageRank, kept in units of pages.
+PageRank in units of pages: a host's score is its own seed pages and the damped scores that reach
+it. Links within a host are no votes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from textloom.llm.common import cut, free_name, spread_join
 # Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, ROUNDS = 0.85, 10
-#: A host is blocked from so much distrust for each of its pages, if that is more than its trust.
+#: A host is blocked from so much distrust for each of its pages on, if that is more than its trust.
 BLOCK_AT = 0.5
 #: Lineage is cut after so many rounds.
 CUT_EVERY = 5
@@ -49,35 +50,33 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(src, dst, n) of the links between hosts; a link without a host stays on its own."""
+    """(src, dst, n) of the links from host to host; links without a host and to the own one are left out."""
     links = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1))
     target = lambda x: F.when(x.contains("://"), host_of(x)).when(x.startswith("//"), host_of(F.concat(F.lit("x:"), x)))
     found = pages.select(F.col(host).alias("src"), F.explode(F.transform(links, target)).alias("dst"))
-    return found.select("src", F.coalesce("dst", "src").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("dst") != F.col("src")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, good, bad).
 
-    In each round a host's trust goes to those it links to, by their share of its links, and its
-    distrust to those that link to it, by their share of the links to it. Hosts without such links
-    keep theirs. Hosts that are linked to only take part with no seed of their own.
+    In each round a host's trust goes, damped, to those it links to by their share of its links,
+    and its distrust to those that link to it by their share of the links to it; the host's own
+    seed is added anew. Hosts that are only linked to take part with no seed.
     """
     out = edges.groupBy(F.col("src").alias("_h")).agg(F.sum("n").alias("_out"))
     into = edges.groupBy(F.col("dst").alias("_i")).agg(F.sum("n").alias("_in"))
     shared = edges.join(out, F.col("src") == F.col("_h")).join(into, F.col("dst") == F.col("_i"))
     ahead = shared.select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("_out")).alias("t"), F.lit(0.0).alias("d"))
     back = shared.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("_in")).alias("d"))
+    flows = cut(ahead.union(back).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
-    start = hosts.join(seeds.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").select("host", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad")))
-    start = cut(start)
-    stay = start.select("host").join(out, F.col("host") == F.col("_h"), "left").join(into, F.col("host") == F.col("_i"), "left")
-    stay = stay.select(F.col("host").alias("from"), F.col("host").alias("to"), F.when(F.col("_out").isNull(), 1.0).otherwise(0.0).alias("t"), F.when(F.col("_in").isNull(), 1.0).otherwise(0.0).alias("d")).filter("t > 0 or d > 0")
-    flows = cut(ahead.union(back).union(stay).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
+    start = hosts.join(seeds.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    start = cut(start.select("host", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad"))))
     scores = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     for k in range(1, rounds + 1):
         sent = flows.join(scores, F.col("from") == F.col("host")).groupBy("to").agg(F.sum(F.col("t") * F.col("trust")).alias("_t"), F.sum(F.col("d") * F.col("distrust")).alias("_d"))
-        moved = lambda seed, flow: F.col(seed) * (1 - damping) + F.coalesce(flow, F.lit(0.0)) * damping
+        moved = lambda seed, flow: F.col(seed) + F.coalesce(flow, F.lit(0.0)) * damping
         scores = start.join(sent, F.col("host") == F.col("to"), "left").select("host", moved("good", "_t").alias("trust"), moved("bad", "_d").alias("distrust"))
         if k % CUT_EVERY == 0 and k < rounds:
             scores = cut(scores)
