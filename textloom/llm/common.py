@@ -1,59 +1,13 @@
-"""Helpers that several operators share: lineage cuts, row ordinals, bounded broadcasts."""
+"""Helpers that several operators share; ordinals and lineage cuts are the library's own."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import hashlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted and holds at most so many rows.
-BROADCAST_ROWS = 20_000
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests, notebooks) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns it without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def throwaway(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python process ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table: smaller where rows are wide, and read by column."""
-    path = throwaway(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from textloom.operators.ordering import BROADCAST_ROWS, cut, cut_table, ordinal_within, shuffle_partitions, throwaway
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended first
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["BROADCAST_ROWS", "cut", "cut_table", "free_name", "ordinal_within", "shuffle_partitions", "spread_join", "throwaway", "unit_interval"]
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -64,44 +18,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if ``rows``, its counted size, is within ``bound``; else as it is."""
-    return F.broadcast(df) if rows <= bound else df
-
-
 def unit_interval(*parts: Column | str) -> Column:
     """A number in [0, 1) from an md5 over ``parts``; the same on every engine that has md5."""
     text = F.concat_ws("~", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def unit_interval_py(*parts: object) -> float:
-    return int(hashlib.md5("~".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 16**13
-
-
-def ordinal_within(df: DataFrame, group: str, order: list[Column], extra: list[str], partitions: int | None = None) -> DataFrame:
-    """Adds ``ordinal``, the 1-based rank of each row in its group, without one task per group.
-
-    Rows are range-partitioned on (group, order), numbered in each partition, and the counts of
-    (partition, group) turn the numbers into ranks; the table of counts has at most
-    partitions + groups rows. ``extra`` are the other columns to keep.
-    """
-    n = partitions or max(1, shuffle_partitions(df.sparkSession))
-    key = F.col(group).asc_nulls_last()
-    ranged = df.select(group, *extra).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    numbered = cut_table(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
-    counts = numbered.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))).withColumnRenamed("_part", "_p").withColumnRenamed(group, "_g")
-    starts = small(starts.select("_p", "_g", "_first", "_before"), starts.count())
-    joined = numbered.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.select(group, *extra, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("ordinal"))
-
-
 def spread_join(rows: DataFrame, values: DataFrame, key: str, other: str, n: int, spread_by: Column, how: str = "inner", salts: int = 64) -> DataFrame:
     """A null-safe join of ``rows`` to ``values``, a table of ``n`` counted rows with one for each key.
 
