@@ -9,9 +9,9 @@ from textloom.functions.text import bleu_tokens
 
 
 def _ngrams(tokens: Column, n: int, side: str) -> Column:
-    """(n, gram, h, r) for each n-gram; h and r say which side it is from."""
+    """(n, gram, h, r) for each n-gram, by its 64-bit hash; h and r say which side it is from."""
     count = F.size(tokens) - (n - 1)
-    gram = lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram"), F.lit(int(side == "h")).alias("h"), F.lit(int(side == "r")).alias("r"))
+    gram = lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(tokens, i, F.lit(n))).alias("gram"), F.lit(int(side == "h")).alias("h"), F.lit(int(side == "r")).alias("r"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), gram)
     return F.slice(grams, F.lit(1), F.greatest(count, F.lit(0)))
 
