@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ordering import BROADCAST_ROWS, cut, cut_table, ordinal_within, shuffle_partitions, throwaway
 
-__all__ = ["BROADCAST_ROWS", "cut", "cut_table", "free_name", "ordinal_within", "shuffle_partitions", "spread_join", "throwaway", "unit_interval"]
+__all__ = ["BROADCAST_ROWS", "cut", "cut_table", "free_name", "ordinal_within", "shuffle_partitions", "spread_join", "throwaway", "tidy", "unit_interval"]
+
+
+def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``f``, a function over Arrow batches, giving free memory back to the system when a task ends.
+
+    Python workers live on between tasks, beside a JVM that needs the room.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

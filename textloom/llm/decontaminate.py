@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from textloom.llm.common import cut_table, free_name
+from textloom.llm.common import cut_table, free_name, tidy
 
 WINDOW = 13
 #: A block of items holds at most so many windows; its automaton is what is broadcast.
@@ -127,6 +127,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
+        @tidy
         def passes(batches: Iterator[pa.RecordBatch], shared=shared, tag=uuid.uuid4().hex, last=following is None) -> Iterator[pa.RecordBatch]:
             if tag not in _scanners:
                 _scanners.clear()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from textloom.llm.common import tidy
+
 # Kinds in their order, keywords, and expressions anchored at the keyword.
 KINDS = ("assign", "access", "hex", "github", "npm", "card")
 BASE = KINDS[:3]
@@ -130,6 +132,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", spans_as: str = "secrets")
     at = columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = keyword_automaton()
         for batch in batches:

@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from textloom.llm.common import tidy
+
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Modes of the pre-tokenizer; L, N and P are inside a piece of letters, numbers or other characters.
 START, IN_L, IN_N, IN_P, IN_S, QUOTE, QUOTE_X = range(7)
@@ -42,7 +44,7 @@ CHUNK = 1024
 SMALL = 32
 NEVER = 1 << 60
 #: The state table starts anew beyond so many states (1 KB each at most).
-MAX_STATES = 120_000
+MAX_STATES = 100_000
 #: After an apostrophe, these letters end a piece at once, or with the letter named.
 CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
 
@@ -436,6 +438,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", bytes
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     at = columns.index(text)
 
+    @tidy
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fsm = _transducer(spec.value)
         for batch in batches:

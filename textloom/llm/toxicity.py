@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from textloom.llm.common import tidy
 from textloom.llm.shingles import Hasher, groups, words_in
 
 #: The sample to learn from: at most so many labelled documents of each class, the first by a hash of their key.
@@ -28,7 +29,8 @@ LEAST_G2, LEAST_ODDS = 25.0, 8.0
 SEGMENT = 128
 ROUNDS, RATE, PENALTY = 40, 0.25, 1e-4
 FLAGGED = 0.5
-RUN_BYTES = 16 << 20
+#: Texts of about so many bytes run side by side.
+RUN_BYTES = 4 << 20
 _SLOTS = 1 << 20
 
 
@@ -237,6 +239,7 @@ def score_toxicity(docs: DataFrame, field: Field, text: str = "text", score_as:
     schema = StructType([*narrow.schema.fields, StructField(score_as, DoubleType()), StructField(spans_as, span)])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    @tidy
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
