@@ -22,7 +22,7 @@ from textloom.llm.common import tidy
 from textloom.llm.shingles import Hasher, groups, words_in
 
 #: The sample to learn from: at most so many labelled documents of each class, the first by a hash of their key.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 1200
+SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 900
 PREFIXES = (4, 5, 6)
 #: Marks: the likelihood ratio statistic and the ratio of shares that a word or beginning needs.
 LEAST_G2, LEAST_ODDS = 25.0, 8.0
