@@ -18,15 +18,16 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from textloom.llm.common import cut, cut_table
+from textloom.llm.common import cut, cut_table, tidy
 from textloom.llm.shingles import groups, mix, shingle_counts
 
 THRESHOLD = 0.8
@@ -122,6 +123,7 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int, theta: float = TH
             part = found[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[lo : lo + 100_000]), pa.array(np.full(len(part), n))], names)
 
+    @tidy
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A full block waits for the next one, so that a task's last few documents join it.
         full: tuple[list[np.ndarray], int] = ([], 0)
@@ -139,13 +141,14 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int, theta: float = TH
 
     # Small tasks are put together, so that half the share of a block is more than a document or two.
     texts = docs.select(text)
-    some = texts.coalesce(max(1, n_docs // BLOCK_DOCS)) if n_docs // BLOCK_DOCS < texts.rdd.getNumPartitions() else texts
+    some = texts.coalesce(max(1, n_docs // BLOCK_DOCS))  # never more than there are
     reports = some.mapInArrow(report, pairs).groupBy("id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     least = max(2.0, theta * n_docs)
     possible = reports.filter(F.col("n") + (n_docs - F.col("docs")) * F.lit(theta / 2) >= F.lit(least)).select("id")
     candidates = np.sort(possible.toPandas()["id"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         total = np.zeros(len(known) + 1, np.int64)
@@ -174,6 +177,7 @@ def signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
     """
     schema = StructType([StructField("id", docs.schema[key].dataType), StructField("digest", StringType()), StructField("bands", SIGNED)])
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = lanes(), weights.value
         for batch in batches:
@@ -223,6 +227,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> D
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     schema = StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("similarity", DoubleType())])
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
         for batch in batches:
@@ -238,15 +243,26 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> D
     return joined.mapInArrow(verify, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that are gone, and not only when memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node a has one b, and no b is an a as well."""
+    once = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return once and edges.select("b").join(edges.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``links`` (a, b); the root is the least node of the component.
 
-    Rounds of large-star and small-star over the links until they stay the same; each round's
-    links are cut from their lineage. Minima are summed up before the shuffle.
+    Rounds of large-star and small-star over the links until they are stars; each round's links
+    are cut from their lineage. Minima are formed before the shuffle.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
-    while True:
+    while not are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, both["a"] == least["u"]).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -254,10 +270,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, large["a"] == least["u"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         edges = cut(small.filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        del both, least, large, joined, small
+        release(edges.sparkSession)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -343,7 +357,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     found = keyed.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("_key").eqNullSafe(F.col("_id")))
     texts = cut_table(found.dropDuplicates(["digest", "_key"]).select("digest", "text"))
 
+    release(docs.sparkSession)
     links = cut(verified(stars, texts, weights, threshold))
+    release(docs.sparkSession)
     roots = components(links)
     more = cut(across(components(stars), roots, texts, weights, threshold))
     if not more.isEmpty():
