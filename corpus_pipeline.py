@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import cut_table
 from textloom.llm.decontaminate import find_overlaps, is_contaminated
-from textloom.llm.line_dedup import drop_boilerplate
+from textloom.llm.line_dedup import MEASURED_RATIO, drop_boilerplate
 from textloom.llm.mixing import mix_sources
 from textloom.llm.near_dup import one_of_each
 from textloom.llm.toxicity import learn, score_toxicity
@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops boilerplate lines of each source, and the documents that had nothing else."""
-    cleaned = drop_boilerplate(docs)
+    cleaned = drop_boilerplate(docs, ratio=MEASURED_RATIO)
     emptied = (F.col("n_dropped") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)

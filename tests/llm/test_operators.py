@@ -274,6 +274,16 @@ def test_line_dedup(spark, tricky):
     assert line_dedup.drop_boilerplate(tricky.limit(0)).count() == 0
 
 
+def test_line_dedup_measured(spark):
+    import corpus_pipeline
+
+    rows = [(i, "en", f"Footer line\nbody {i}" if i < 6 else f"Rare line\nbody {i}" if i < 9 else f"body {i}", "a", 20) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    # The footer is on 3 % of the source's pages, the rare line on three pages.
+    assert len(out) == 200 and out[2] == "body 2" and out[7] == "Rare line\nbody 7"
+
+
 # URL filter
 
 

@@ -90,6 +90,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_line_dedup_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.line_dedup import MEASURED_RATIO, drop_boilerplate
+
+    cleaned = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ratio=MEASURED_RATIO)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -102,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_secrets": op9_secrets,
         "op10_line_dedup": op10_line_dedup,
+        "op10_line_dedup_measured": op10_line_dedup_measured,
     }
 
 

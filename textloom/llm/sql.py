@@ -49,6 +49,12 @@ LINES = f"""WITH lines AS (SELECT doc_id, source, i, s[i] AS l FROM (SELECT doc_
  bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= 5 AND pages > n * 0.1E0),
  marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.source = bad.source AND keyed.k = bad.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY doc_id"""
+LINES_MEASURED = f"""WITH lines AS (SELECT doc_id, source, i, s[i] AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+ keyed AS (SELECT *, {TRIMMED} AS k FROM lines),
+ sites AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+ bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= 5 AND pages > n * 0.01E0),
+ marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.source = bad.source AND keyed.k = bad.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY doc_id"""
 
 
 def lowered(text: str) -> str:
@@ -91,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op8_warc": WARC,
     "op10_line_dedup": LINES,
+    "op10_line_dedup_measured": LINES_MEASURED,
 }
