@@ -204,3 +204,46 @@ def test_plugins(spark):
     assert got[1] == pytest.approx(1.0) and got[2] == 0.0
     wide = plugins.generate_candidates(df, "b", plugins.EchoGenerator(), 2)
     assert wide.first()["temperature_1"] == 0.2 and 0.6 <= wide.first()["temperature_2"] <= 0.9
+
+
+def greedy(rows):
+    """The matches (start, end, n_term, term) that are kept, by the order that the docstring gives."""
+    kept = []
+    for s, e, n, t in sorted(rows, key=lambda r: (r[0] - r[1], r[0], r[2], r[3])):
+        if all(a >= e or s >= b for a, b, *_ in kept):
+            kept.append((s, e, n, t))
+    return {(s, e, t) for s, e, _, t in kept}
+
+
+def test_overlaps_by_brute_force(spark):
+    rnd = random.Random(3)
+    rows = {(k, s := rnd.randrange(60), s + rnd.randint(1, 5), rnd.randint(1, 4), rnd.choice("abc")) for k in "xyz" for _ in range(50)}
+    out = keywords.resolve_overlaps(spark.createDataFrame([(k, s, e, t, n) for k, s, e, n, t in rows], "k string, start int, end int, term string, n_term int"), "k").collect()
+    for k in "xyz":
+        assert {(r["start"], r["end"], r["match"]) for r in out if r["k"] == k} == greedy([r[1:] for r in rows if r[0] == k])
+
+
+def test_queries_over_whole_documents(spark, tmp_path):
+    import __spark_entry__
+    rnd = random.Random(8)
+    words = ["kettle", "kettles", "garden", "gardens", "lantern", "river", "rivers", "window"]
+    texts = [" ".join(rnd.choice(words) for _ in range(12)) + ". " + " ".join(rnd.choice(words) for _ in range(6)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    every = __spark_entry__.queries()
+    for name in ("judge_prompt_documents", "generation_stub", "judge_stub", "keyword_extraction", "resolve_overlaps_documents", "candidate_spans_documents"):
+        assert {r["doc_id"] for r in every[name](spark, str(tmp_path)).select("doc_id").collect()} == set(range(20)), name
+    for name in ("pair_prompt_documents", "embed_stub"):
+        assert {r["doc_id"] for r in every[name](spark, str(tmp_path)).select("doc_id").collect()} == set(range(19)), name
+
+    terms = [r["word"] for r in vocabulary.filter_vocabulary(vocabulary.word_counts(docs, "text")).collect()]
+    assert terms
+    grams = lambda t: {(t[i : i + 3], sum(t[j : j + 3] == t[i : i + 3] for j in range(i + 1))) for i in range(len(t) - 2)}
+    found = {}
+    for r in keywords.candidate_spans(docs, "doc_id", "text").collect():
+        for t in terms:
+            a, b = grams(r["span"]), grams(t)
+            if len(a & b) / len(a | b) >= 0.8:
+                found.setdefault(r["doc_id"], []).append((r["start"], r["end"], len(b), t))
+    want = {i: ", ".join(dict.fromkeys(t for _, _, t in sorted(greedy(found.get(i, []))))) for i in range(20)}
+    assert {r["doc_id"]: r["keywords"] for r in every["keyword_extraction"](spark, str(tmp_path)).collect()} == want

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import normalize_text, ordered_distinct
-from textloom.operators.ordering import cut_table
+from textloom.operators.ordering import cut_table, shuffle_partitions
 from textloom.operators.vocabulary import STOPWORDS
 
 MAX_WINDOW, GRAM, THRESHOLD, MIN_TERM = 5, 3, 0.8, 3
@@ -58,12 +58,23 @@ def fuzzy_match(texts: DataFrame, text: str, index: DataFrame, threshold: float
     Candidates come from an equi-join on a few grams of each side, with the sizes bounded; what
     they share is then counted exactly.
     """
-    own = texts.select(F.col(text).alias("text")).filter(F.col("text") != "").distinct().withColumn("_own", char_grams(F.col("text"), size)).withColumn("n_text", F.size("_own"))
+    asked = texts.select(F.col(text).alias("text")).filter(F.col("text") != "").distinct()
+    if measure != "overlap":
+        # Texts too long for every term meet none; counting repeated grams takes the square of the length.
+        longest = F.broadcast(index.agg(F.max("n_term").alias("_longest")))
+        asked = asked.join(longest, F.length("text") - (size - 1) <= SIZES[measure](F.col("_longest"), threshold)[1] + 1e-9).drop("_longest")
+    own = asked.repartition(shuffle_partitions(texts.sparkSession), "text").withColumn("_own", char_grams(F.col("text"), size)).withColumn("n_text", F.size("_own"))
     left = own.select("text", "n_text", "_own", F.explode(_probes("_own", "n_text", measure, threshold)).alias("_probe"))
     right = index.select("term", "n_term", "grams", F.explode(_probes("grams", "n_term", measure, threshold)).alias("_met"))
+    fits = F.lit(True)
+    if measure != "overlap":  # whose sizes have no bound
+        # A term is met under each size that a partner may have, so hot grams join only within sizes.
+        least, most = SIZES[measure](F.col("n_term"), threshold)
+        right = right.withColumn("_size", F.explode(F.sequence(F.floor(least).cast("int"), F.ceil(most).cast("int"))))
+        fits = F.col("n_text") == F.col("_size")
     low, high = SIZES[measure](F.col("n_text"), threshold)
     band = (F.col("n_term") >= low - 1e-9) & (F.col("n_term") <= high + 1e-9)
-    met = left.join(right, (F.col("_probe") == F.col("_met")) & band)
+    met = left.join(right, (F.col("_probe") == F.col("_met")) & fits & band)
     scored = met.withColumn("similarity", MEASURES[measure](F.col("n_text"), F.col("n_term"), F.size(F.array_intersect("_own", "grams"))))
     return scored.filter(F.col("similarity") >= threshold - 1e-12).select("text", "term", "n_text", "n_term", "similarity").distinct()
 
@@ -94,14 +105,19 @@ def candidate_spans(docs: DataFrame, key: str, text: str, max_window: int = MAX_
 def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
     """(key, start, end, match): a greedy choice of matches that share no token.
 
-    Longer spans first, then earlier ones, then terms with fewer grams, then by term. The fold
-    runs over the matches of one text.
+    Longer spans first, then earlier ones, then terms with fewer grams, then by term. Matches
+    overlap only within a run that no token boundary free of matches divides, so the fold runs over
+    the matches of one run, not of a whole text.
     """
+    before = Window.partitionBy(key).orderBy("start", "end", "term", "n_term").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
+    upto = Window.partitionBy(key).orderBy("start", "end", "term", "n_term").rowsBetween(Window.unboundedPreceding, 0)
+    runs = matches.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(upto))
     ordered = F.array_sort(F.collect_list(F.struct((-(F.col("end") - F.col("start"))).alias("shorter"), "start", F.col("n_term").alias("n"), F.col("term").alias("match"), "end")))
     free = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
     none = F.array().cast("array<struct<shorter:int,start:int,n:int,match:string,end:int>>")
     chosen = F.aggregate(F.col("_all"), none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return matches.groupBy(key).agg(ordered.alias("_all")).select(key, F.inline(chosen)).select(key, "start", "end", "match")
+    return runs.groupBy(key, "_run").agg(ordered.alias("_all")).select(key, F.inline(chosen)).select(key, "start", "end", "match")
 
 
 def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: float = THRESHOLD, measure: str = "jaccard", max_window: int = MAX_WINDOW) -> DataFrame:

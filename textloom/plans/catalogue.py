@@ -15,6 +15,8 @@ from textloom.sources.writers import with_chunk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: What queries with SQL do over the benchmark, here over all documents, where the SQL is too slow.
+WHOLE: dict[str, Query] = {}
 
 INSTRUCTION = "### Instruction\nWrite a text with these keywords.\n### Keywords\n{keywords}{knowledge_base}\n### Output\n"
 PAIR = "A: {TEXT1}\nB: {TEXT2}"
@@ -26,6 +28,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def whole(f: Query) -> Query:
+    WHOLE[f.__name__] = f
+    return f
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,17 +117,34 @@ def instruction_build(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompts.instruction_prompt(INSTRUCTION, words).alias("instruction"))
 
 
+def _pair_prompts(docs, key):
+    left = docs.select(key, F.concat(F.col("text"), F.lit(" {TEXT2}")).alias("a"))
+    right = docs.select((F.col(key) - 1).alias("_i"), F.col("text").alias("b"))
+    return left.join(right, F.col(key) == F.col("_i")).select(key, prompts.pair_prompt(PAIR, F.col("a"), F.col("b")).alias("prompt"))
+
+
+def _judge_prompts(docs, key):
+    return docs.select(key, prompts.judge_prompt("Rate this.\n{INSTRUCTION}\n", F.col("text")).alias("prompt"))
+
+
 @query
 def pair_prompt(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark")
-    left = docs.select("item_id", F.concat(F.col("text"), F.lit(" {TEXT2}")).alias("a"))
-    right = docs.select((F.col("item_id") - 1).alias("_i"), F.col("text").alias("b"))
-    return left.join(right, F.col("item_id") == F.col("_i")).select("item_id", prompts.pair_prompt(PAIR, F.col("a"), F.col("b")).alias("prompt"))
+    return _pair_prompts(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@whole
+def pair_prompt_documents(spark, sf_dir):
+    return _pair_prompts(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query
 def judge_prompt(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", prompts.judge_prompt("Rate this.\n{INSTRUCTION}\n", F.col("text")).alias("prompt"))
+    return _judge_prompts(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@whole
+def judge_prompt_documents(spark, sf_dir):
+    return _judge_prompts(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query
@@ -408,21 +432,32 @@ def candidate_spans(spark, sf_dir):
     return keywords.candidate_spans(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-def _matches(spark, sf_dir):
-    """Spans of the benchmark that are words of its vocabulary, as matches."""
-    spans = keywords.candidate_spans(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return spans.filter(F.length("span") % 3 != 0).select("item_id", "start", "end", F.length("span").alias("n_term"), F.col("span").alias("term"))
+@whole
+def candidate_spans_documents(spark, sf_dir):
+    return keywords.candidate_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _matches(docs, key):
+    """Spans of the texts that are words of their vocabulary, as matches."""
+    spans = keywords.candidate_spans(docs, key, "text")
+    return spans.filter(F.length("span") % 3 != 0).select(key, "start", "end", F.length("span").alias("n_term"), F.col("span").alias("term"))
 
 
 @query
 def resolve_overlaps(spark, sf_dir):
-    return keywords.resolve_overlaps(_matches(spark, sf_dir), "item_id").select("item_id", "start", "end", "match")
+    return keywords.resolve_overlaps(_matches(table(spark, sf_dir, "benchmark"), "item_id"), "item_id").select("item_id", "start", "end", "match")
+
+
+@whole
+def resolve_overlaps_documents(spark, sf_dir):
+    return keywords.resolve_overlaps(_matches(table(spark, sf_dir, "documents"), "doc_id"), "doc_id").select("doc_id", "start", "end", "match")
 
 
 @query
 def keyword_extraction(spark, sf_dir):
-    counts = vocabulary.filter_vocabulary(vocabulary.word_counts(table(spark, sf_dir, "benchmark"), "text"))
-    return keywords.extract_keywords(table(spark, sf_dir, "benchmark"), "item_id", "text", counts, "word").select("item_id", "keywords")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = vocabulary.filter_vocabulary(vocabulary.word_counts(docs, "text"))
+    return keywords.extract_keywords(docs, "doc_id", "text", counts, "word").select("doc_id", "keywords")
 
 
 @query
@@ -497,17 +532,17 @@ def csv_chunk_ids(spark, sf_dir):
 
 @query
 def generation_stub(spark, sf_dir):
-    return plugins.generate_candidates(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", plugins.EchoGenerator()).drop("text")
+    return plugins.generate_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", plugins.EchoGenerator()).drop("text")
 
 
 @query
 def judge_stub(spark, sf_dir):
-    return plugins.add_judge_score(table(spark, sf_dir, "benchmark"), "text", plugins.HeuristicJudge(), "Rate this.\n{INSTRUCTION}").select("item_id", "educational_score")
+    return plugins.add_judge_score(table(spark, sf_dir, "documents"), "text", plugins.HeuristicJudge(), "Rate this.\n{INSTRUCTION}").select("doc_id", "educational_score")
 
 
 @query
 def embed_stub(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark")
-    nxt = docs.select((F.col("item_id") - 1).alias("_i"), F.col("text").alias("other"))
-    pairs = docs.join(nxt, F.col("item_id") == F.col("_i"))
-    return plugins.add_similarity(pairs, "text", "other", plugins.HashEmbedder(), plugins.WordTokenizer()).select("item_id", six(F.col("similarity_score")).alias("similarity"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    nxt = docs.select((F.col("doc_id") - 1).alias("_i"), F.col("text").alias("other"))
+    pairs = docs.join(nxt, F.col("doc_id") == F.col("_i"))
+    return plugins.add_similarity(pairs, "text", "other", plugins.HashEmbedder(), plugins.WordTokenizer()).select("doc_id", six(F.col("similarity_score")).alias("similarity"))
