@@ -235,6 +235,14 @@ def test_signatures(spark):
     assert out[1]["fingerprint"] == out[2]["fingerprint"] and out[3]["n_signatures"] == 0 and out[4]["n_signatures"] > 0
 
 
+def test_signatures_of_short_texts(spark):
+    texts = ["The cat", "A dog", "", "the", "The esingor.", "the cat!", None]
+    out = [r["fingerprint"] for r in spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(set(out[:5])) == 5 and out[5] == out[0] and out[6] == out[2]
+    pair = spotsigs.edited_neighbours(spark.createDataFrame([(1, "The cat"), (2, "A dog")], "doc_id long, text string")).collect()
+    assert [r["near_next"] for r in pair] == [0.0, 0.0]
+
+
 def test_spot_near_duplicates(spark):
     rnd = random.Random(4)
     base = " ".join(rnd.choice(["the", "a"]) + f" w{k} v{k}" for k in range(60))

@@ -34,7 +34,8 @@ def signatures_of(words: str, anchors: tuple[str, ...] = ANCHORS, chain: int = C
     A signature is an anchor and the first ``chain`` content words among the next ``reach`` words.
     In stretches without anchors (lists, tables, very short texts), where none of the last
     ``reach`` words is one, each word starts a chain itself, with no anchor and as many words as
-    there are. So only a text without content words has the empty set.
+    there are. Where that gives none though there are words, all content words (else all words)
+    are one signature. So only a text without words has the empty set.
     """
     own = F.col(words)
     bare = lambda i: ~F.exists(F.slice(own, F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), lambda w: w.isin(*anchors))
@@ -42,7 +43,11 @@ def signatures_of(words: str, anchors: tuple[str, ...] = ANCHORS, chain: int = C
     chained = lambda i, word: F.struct(F.when(word.isin(*anchors), word).otherwise("").alias("anchor"), F.slice(F.filter(F.slice(own, F.when(word.isin(*anchors), i + 1).otherwise(i), F.lit(reach)), lambda w: ~w.isin(*anchors)), 1, chain).alias("words"))
     spots = F.filter(F.transform(places, lambda i: chained(i, F.element_at(own, i))), lambda s: (F.size(s["words"]) == chain) | (s["anchor"] == ""))
     hashed = F.transform(spots, lambda s: F.xxhash64(s["anchor"], s["words"]))
-    return F.sort_array(F.array_distinct(F.when(F.size(own) == 0, F.array().cast("array<bigint>")).otherwise(hashed)))
+    content = F.filter(own, lambda w: ~w.isin(*anchors))
+    whole = F.array(F.xxhash64(F.lit("whole"), F.when(F.size(content) > 0, content).otherwise(own)))
+    # Bound by a fold, so the spots are made once.
+    some = F.aggregate(F.array(hashed), F.array().cast("array<bigint>"), lambda _, found: F.when(F.size(found) > 0, found).otherwise(whole))
+    return F.sort_array(F.array_distinct(F.when(F.size(own) == 0, F.array().cast("array<bigint>")).otherwise(some)))
 
 
 def with_signatures(docs: DataFrame, text: Column, into: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
