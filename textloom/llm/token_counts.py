@@ -15,8 +15,8 @@ they are first reached and kept in a dense table:
 Texts are cut into chunks of bytes. A chunk's state map is a head, the bytes up to its first
 synchronising point (an ASCII letter and a space, after which the state is always the same), and a
 tail that has one end state and count whatever came before. Tails run side by side in lockstep;
-the heads are then composed from left to right with the states that the chunks before them end in.
-Chunks without such a point pass their whole map on, one round of the scan for each in a row.
+the heads are then run from left to right, from the states that the chunks before them end in.
+Chunks without such a point are heads as a whole, and wait one round for each in a row.
 """
 
 from __future__ import annotations
