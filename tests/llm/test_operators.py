@@ -333,6 +333,14 @@ def test_links_and_blocked_hosts(spark):
     assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+def test_propagation_settles(spark):
+    chain = [(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(14)] + [("x", "y", 1), ("y", "x", 1)]
+    seeds = spark.createDataFrame([("h00", 100, 0), ("x", 0, 1)], "host string, good long, bad long")
+    got = {r["host"]: r for r in url_filter.propagate(spark.createDataFrame(chain, "src string, dst string, n long"), seeds).collect()}
+    assert got["h14"]["trust"] == pytest.approx(100 * 0.85**14, abs=1e-4)
+    assert got["y"]["distrust"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-4)
+
+
 # WARC
 
 

@@ -9,6 +9,7 @@ it. Links within a host are no votes.
 
 from __future__ import annotations
 
+import itertools
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,10 @@ from textloom.llm.common import cut, free_name, spread_join
 
 # Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: ``ROUNDS`` is what the SQL spells out; the operator goes on until scores settle.
 DAMPING, ROUNDS = 0.85, 10
+#: Scores have settled when none moves by more than this in a round, for each of its host's pages.
+TOLERANCE = 1e-6
 #: A host is blocked from so much distrust for each of its pages on, if that is more than its trust.
 BLOCK_AT = 0.5
 #: Lineage is cut after so many rounds.
@@ -57,12 +61,14 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return found.filter(F.col("dst") != F.col("src")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, good, bad).
 
     In each round a host's trust goes, damped, to those it links to by their share of its links,
     and its distrust to those that link to it by their share of the links to it; the host's own
-    seed is added anew. Hosts that are only linked to take part with no seed.
+    seed is added anew. Hosts that are only linked to take part with no seed. Without ``rounds``,
+    it goes on until no score moves by more than ``TOLERANCE`` for each of the host's ``pages``
+    (one where seeds don't have them); damping makes moves smaller by each round.
     """
     out = edges.groupBy(F.col("src").alias("_h")).agg(F.sum("n").alias("_out"))
     into = edges.groupBy(F.col("dst").alias("_i")).agg(F.sum("n").alias("_in"))
@@ -72,17 +78,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     flows = cut(ahead.union(back).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     start = hosts.join(seeds.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
-    start = cut(start.select("host", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad"))))
+    pages = F.coalesce("pages", F.lit(1)) if "pages" in seeds.columns else F.lit(1)
+    start = cut(start.select("host", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad")), F.greatest(pages, F.lit(1)).alias("_pages")))
     scores = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for k in range(1, rounds + 1):
+    moved = lambda seed, flow: F.col(seed) + F.coalesce(flow, F.lit(0.0)) * damping
+    for k in range(1, rounds + 1) if rounds is not None else itertools.count(1):
         sent = flows.join(scores, F.col("from") == F.col("host")).groupBy("to").agg(F.sum(F.col("t") * F.col("trust")).alias("_t"), F.sum(F.col("d") * F.col("distrust")).alias("_d"))
-        moved = lambda seed, flow: F.col(seed) + F.coalesce(flow, F.lit(0.0)) * damping
-        scores = start.join(sent, F.col("host") == F.col("to"), "left").select("host", moved("good", "_t").alias("trust"), moved("bad", "_d").alias("distrust"))
-        if k % CUT_EVERY == 0 and k < rounds:
+        before, scores = scores, start.join(sent, F.col("host") == F.col("to"), "left").select("host", moved("good", "_t").alias("trust"), moved("bad", "_d").alias("distrust"))
+        if k % CUT_EVERY == 0 and k != rounds:
             scores = cut(scores)
+            if rounds is None and settled(before, scores, start):
+                break
     return scores
 
 
+def settled(before: DataFrame, after: DataFrame, start: DataFrame) -> bool:
+    old = before.select(F.col("host").alias("_old"), F.col("trust").alias("_t"), F.col("distrust").alias("_d"))
+    both = after.join(old, F.col("host") == F.col("_old")).join(start.select(F.col("host").alias("_own"), "_pages"), F.col("host") == F.col("_own"))
+    move = F.greatest(F.abs(F.col("trust") - F.col("_t")), F.abs(F.col("distrust") - F.col("_d"))) / F.col("_pages")
+    return (both.agg(F.max(move)).first()[0] or 0.0) <= TOLERANCE
+
+
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, block_at: float = BLOCK_AT) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to each page.
 
@@ -99,7 +115,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     counted = placed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col(ruled)["verdict"] == "allow").alias("good"), F.count_if(F.col(ruled)["verdict"] == "block").alias("bad"))
     seeds = cut(counted)
     edges = cut(host_edges(placed, "host", html))
-    scores = propagate(edges, seeds.select("host", "good", "bad")).withColumnRenamed("host", "_scored")
+    scores = propagate(edges, seeds.select("host", "good", "bad", "pages")).withColumnRenamed("host", "_scored")
     # Only hosts with pages need a verdict, and of those only the blocked ones need a row.
     scored = seeds.join(scores, F.col("host") == F.col("_scored"))
     bad = cut(scored.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= F.col("pages") * F.lit(block_at))).select(F.col("host").alias("_blocked")))
