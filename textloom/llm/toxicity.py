@@ -6,6 +6,7 @@ with a mark are labelled toxic, all others not. The field has two states; its fe
 word and its first 4, 5 and 6 bytes, kept by hash. Scoring runs forward and backward over each
 whole text. The marginals give spans where toxic is likelier than not, and, through the largest
 one and the sum of the likely ones, the document's score by a logistic curve fitted to the sample.
+A text without such a span scores below ``UNFLAGGED``, whatever share of the sample is toxic.
 """
 
 from __future__ import annotations
@@ -18,17 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from textloom.llm.common import tidy
+from textloom.llm.common import cut, tidy
 from textloom.llm.shingles import Hasher, groups, words_in
 
 #: The sample to learn from: at most so many labelled documents of each class, the first by a hash of their key.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 900
+SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 1200
+#: and of these, in the same order, as many as have so many bytes of text together (one at least).
+SAMPLE_BYTES = 48 << 20
 PREFIXES = (4, 5, 6)
 #: Marks: the likelihood ratio statistic and the ratio of shares that a word or beginning needs.
+#: With few labels no key can reach the statistic; the field is then untrained and scores 0.
 LEAST_G2, LEAST_ODDS = 25.0, 8.0
+#: For training, texts are sequences of so many tokens; a gradient then has many of equal length.
 SEGMENT = 128
 ROUNDS, RATE, PENALTY = 40, 0.25, 1e-4
 FLAGGED = 0.5
+#: Texts without a flagged token score this times their place on the curve.
+UNFLAGGED = 0.25
 #: Texts of about so many bytes run side by side.
 RUN_BYTES = 4 << 20
 _SLOTS = 1 << 20
@@ -54,7 +61,7 @@ class Field:
         self.keys, self.weights, self.bias, self.moves = keys[order], weights[order], bias, moves
         self.used = np.zeros(_SLOTS, bool)
         self.used[(self.keys & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-        self.curve = np.zeros(3)
+        self.curve: np.ndarray | None = None  # untrained
 
     def evidence(self, keys: np.ndarray) -> np.ndarray:
         """Each token's score for toxic less that for not toxic."""
@@ -82,7 +89,11 @@ class Field:
         return np.stack([np.ones(n_texts), np.log(most / (1 - most)), np.log1p(likely)], axis=1)
 
     def scores(self, p: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(p, text, n_texts) @ self.curve, -30, 30)))
+        if self.curve is None:
+            return np.zeros(n_texts)
+        x = self.features(p, text, n_texts)
+        at = 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
+        return np.where(x[:, 2] > 0, at, UNFLAGGED * at)
 
 
 def marginals(evidence: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,13 +126,17 @@ def marginals(evidence: np.ndarray, first: np.ndarray, count: np.ndarray, moves:
     return odds / (1 + odds), ahead, behind
 
 
-def mark_keys(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are marks, and in how many documents each key is. ids: tokens by their keys."""
-    pairs = np.zeros(0, np.int64)
-    for column in ids.T:  # one at a time, for the memory
-        pairs = np.union1d(pairs, column.astype(np.int64) * len(y) + doc)
-    key, toxic = pairs // len(y), y[pairs % len(y)] == 1
-    n1, n0 = np.bincount(key[toxic], minlength=n_keys), np.bincount(key[~toxic], minlength=n_keys)
+def mark_keys(ids: np.ndarray, word: np.ndarray, doc: np.ndarray, y: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are marks, and in how many documents each key is.
+
+    ids: the keys of each word; word, doc: the distinct pairs of a word and a document.
+    """
+    n1, n0 = np.zeros(n_keys, np.int64), np.zeros(n_keys, np.int64)
+    for column in ids.T:  # words share beginnings, so pairs are made distinct once more
+        pairs = np.unique(column[word].astype(np.int64) * len(y) + doc)
+        key, toxic = pairs // len(y), y[pairs % len(y)] == 1
+        n1 += np.bincount(key[toxic], minlength=n_keys)
+        n0 += np.bincount(key[~toxic], minlength=n_keys)
     t1, t0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     share = t1 / (t1 + t0)
     n = np.maximum(n1 + n0, 1)
@@ -130,52 +145,71 @@ def mark_keys(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, n_keys: int) -> t
     return (g2 >= LEAST_G2) & (odds >= LEAST_ODDS), n1 + n0
 
 
+def gradient(evidence: np.ndarray, target: np.ndarray, first: np.ndarray, count: np.ndarray, inner: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log-likelihood: by each token's evidence, and by the moves ot, to and tt.
+
+    ``inner`` is 1 at tokens that have one before them in their sequence.
+    """
+    p, ahead, behind = marginals(evidence, first, count, moves)
+    held = np.exp(np.clip(evidence, -30, 30)) * behind
+    before = np.concatenate([[1.0], ahead[:-1]])
+    (oo, ot), (to, tt) = np.exp(moves)
+    mass = np.stack([ot * held, before * to, before * tt * held]) / (oo + ot * held + before * (to + tt * held))
+    was = np.concatenate([[0.0], target[:-1]])
+    seen = np.stack([(1 - was) * target, was * (1 - target), was * target])
+    return p - target, ((mass - seen) * inner).sum(axis=1)
+
+
 def train(texts: list[str], labels: list[int]) -> Field:
-    """The field fitted to whole texts and their labels."""
+    """The field fitted to whole texts and their labels; untrained if no key is a mark.
+
+    Keys are a function of the word, so tokens are kept as numbers of distinct words.
+    """
     y = np.asarray(labels, np.int64)
-    parts = []
+    parts, known = [], np.zeros((0, 1 + len(PREFIXES)), np.uint64)
     for lo, raw, offsets in groups(pa.array(texts, pa.string())):
         text, _, _, keys = token_keys(raw, offsets)
-        parts.append((text + lo, keys))
-    doc = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    keys = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, 1 + len(PREFIXES)), np.uint64)
+        parts.append(((text + lo).astype(np.int32), keys[:, 0].copy()))
+        known = np.concatenate([known, keys])
+        known = known[np.unique(known[:, 0], return_index=True)[1]]
+    none = Field(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)))
+    if not len(known):
+        return none
+    doc = np.concatenate([p[0] for p in parts])
+    word = np.concatenate([np.searchsorted(known[:, 0], p[1]).astype(np.int32) for p in parts])
     del parts
-    every, ids = np.unique(keys, return_inverse=True)
-    ids = ids.reshape(keys.shape).astype(np.int32)
-    marks, df = mark_keys(ids, doc, y, len(every)) if len(doc) else (np.zeros(0, bool), np.zeros(0, np.int64))
+    every, ids = np.unique(known, return_inverse=True)
+    ids = ids.reshape(known.shape)
+    pairs = np.unique(word.astype(np.int64) * len(y) + doc)
+    marks, df = mark_keys(ids, pairs // len(y), pairs % len(y), y, len(every))
+    del pairs
     marks &= every != 0
-    target = (marks[ids].any(axis=1) & (y[doc] == 1)).astype(float) if len(doc) else np.zeros(0)
+    target = (marks[ids].any(axis=1)[word] & (y[doc] == 1)).astype(float)
+    if not target.any():
+        return none
     kept = (df >= 3) & (every != 0) | marks
-    number = np.where(kept, np.cumsum(kept) - 1, kept.sum()).astype(np.int32)
-    feature = number[ids]
+    feature = np.where(kept, np.cumsum(kept) - 1, kept.sum())[ids]
     n_features = int(kept.sum())
     # Sequences of at most SEGMENT tokens of one text.
     place = np.arange(len(doc)) - np.searchsorted(doc, doc)
     first = np.flatnonzero(place % SEGMENT == 0)
     count = np.diff(np.append(first, len(doc)))
     inner = place % SEGMENT > 0
-    prior = np.clip(target.mean() if len(target) else 0.0, 1e-6, 0.5)
+    del place
+    prior = np.clip(target.mean(), 1e-6, 0.5)
     theta = np.zeros(n_features + 2 + 3)  # features, none, bias, three moves
     theta[n_features + 1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    size = max(1, len(first))
-    for step in range(1, ROUNDS + 1 if target.any() else 0):
+    for step in range(1, ROUNDS + 1):
         weights = theta[: n_features + 1]
         moves = np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]])
-        evidence = weights[feature].sum(axis=1) + theta[n_features + 1]
-        p, ahead, behind = marginals(evidence, first, count, moves)
+        evidence = weights[feature].sum(axis=1)[word] + theta[n_features + 1]
         slope = np.zeros_like(theta)
-        error = p - target
-        slope[: n_features + 1] = np.bincount(feature.ravel(), np.repeat(error, feature.shape[1]), minlength=n_features + 1)
+        error, slope[-3:] = gradient(evidence, target, first, count, inner, moves)
+        of_word = np.bincount(word, error, minlength=len(known))
+        slope[: n_features + 1] = np.bincount(feature.ravel(), np.repeat(of_word, feature.shape[1]), minlength=n_features + 1)
         slope[n_features + 1] = error.sum()
-        held = np.exp(np.clip(evidence, -30, 30)) * behind
-        before = np.concatenate([[1.0], ahead[:-1]])
-        (oo, ot), (to, tt) = np.exp(moves)
-        mass = np.stack([ot * held, before * to, before * tt * held]) / (oo + ot * held + before * (to + tt * held))
-        was = np.concatenate([[0.0], target[:-1]])
-        seen = np.stack([(1 - was) * target, was * (1 - target), was * target])
-        slope[-3:] = ((mass - seen) * inner).sum(axis=1)
-        slope = slope / size + PENALTY * theta
+        slope = slope / len(first) + PENALTY * theta
         slope[n_features] = 0.0
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -183,11 +217,9 @@ def train(texts: list[str], labels: list[int]) -> Field:
     weights = theta[:n_features]
     strong = np.abs(weights) > 1e-3
     field = Field(every[kept][strong], weights[strong], float(theta[n_features + 1]), moves)
-    if len(y):
-        evidence = field.evidence(keys)
-        start = np.searchsorted(doc, np.arange(len(y)))
-        p = field.marginals(evidence, start, np.diff(np.append(start, len(doc))))
-        field.curve = logistic(field.features(p, doc, len(y)), y)
+    start = np.searchsorted(doc, np.arange(len(y)))
+    p = field.marginals(field.evidence(known)[word], start, np.diff(np.append(start, len(doc))))
+    field.curve = logistic(field.features(p, doc, len(y)), y)
     return field
 
 
@@ -209,26 +241,36 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Field:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, most_bytes: int = SAMPLE_BYTES) -> Field:
     """Trains on at most ``toxic`` and ``clean`` labelled documents that are not held out.
 
-    The sample is the first of each class by md5 of the key, so its size is bounded whatever the
-    tables hold, and so is the model that is broadcast. A null label or key is no label.
+    The sample is the first of each class by md5 of the key, as far as ``most_bytes`` of text go,
+    so its size is bounded whatever the tables hold, and so is the model that is broadcast. A null
+    label or key is no label; a document with both labels is clean, and of several texts under one
+    key the least is taken. Without marks, as with few labels or none, the field is untrained.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).filter(F.col("_key").isNotNull() & F.col("_y").isNotNull() & ~held_out("_key"))
     order = [F.md5(F.col("_key").cast("string")), F.col("_key")]
     chosen = [known.filter(F.col("_y") == y).distinct().orderBy(*order).limit(n) for y, n in ((1, toxic), (0, clean))]
-    sample = F.broadcast(chosen[0].union(chosen[1]))
-    rows = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(sample, F.col("_doc") == F.col("_key")).select("_doc", "_text", "_y").toPandas()
-    rows = rows.sort_values(["_doc", "_y", "_text"], kind="stable").drop_duplicates("_doc")
-    return train(rows["_text"].tolist(), rows["_y"].tolist())
+    sample = cut(chosen[0].union(chosen[1]).groupBy("_key").agg(F.min("_y").alias("_y")))
+    rows = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_key"))
+    sized = rows.groupBy("_doc", "_y").agg(F.max(F.octet_length("_text")).alias("_n")).orderBy(F.md5(F.col("_doc").cast("string")), "_doc").collect()
+    held, within = 0, []
+    for r in sized:
+        held += r["_n"]
+        if held <= most_bytes or not within:
+            within.append(r["_doc"])
+    if len(within) < len(sized):
+        rows = rows.filter(F.col("_doc").isin(within))
+    found = rows.groupBy("_doc").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")).toPandas().sort_values("_doc", kind="stable")
+    return train(found["_text"].tolist(), found["_y"].tolist())
 
 
 def score_toxicity(docs: DataFrame, field: Field, text: str = "text", score_as: str = "score", spans_as: str = "spans") -> DataFrame:
     """Adds the score (0 to 1) and the toxic spans (code points) of each whole text.
 
     Null and empty texts, and texts without words, get the score of a text without any mark, and
-    no spans. Columns named like the new ones are replaced; other columns and repeated rows pass
+    no spans; an untrained field scores 0. A text without spans scores below ``UNFLAGGED``. Columns named like the new ones are replaced; other columns and repeated rows pass
     through. Rows are independent of each other.
     """
     columns = [c for c in docs.columns if c not in (score_as, spans_as)]
