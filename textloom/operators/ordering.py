@@ -18,11 +18,14 @@ BROADCAST_ROWS = 20_000
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, notebooks) gets a folder of its own.
+    Only a local session without that setting (tests, notebooks) gets a folder of its own; on a
+    cluster, executors would each write to a disk that no other sees, so there it is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="textloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -50,10 +53,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table: smaller where rows are wide, and read by column."""
+    """Like ``cut``, as a Parquet table: smaller where rows are wide, read by column, and ``discard`` can delete it."""
     path = throwaway(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``cut_table`` wrote for these frames, once nothing reads them any more."""
+    for table in tables:
+        if path := getattr(table, "cut_path", None):
+            _delete(table.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -65,30 +77,35 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def ordinal_within(df: DataFrame, group: str, order: list[Column], extra: list[str], partitions: int | None = None) -> DataFrame:
-    """Adds ``ordinal``, the 1-based rank of each row in its group, without one task per group.
+def ordinal_within(df: DataFrame, group: str, order: list[Column], extra: list[str], partitions: int | None = None, name: str = "ordinal") -> DataFrame:
+    """The group, the columns ``extra``, and ``name``: the 1-based rank of each row in its group, without one task per group.
 
     Rows are range-partitioned on (group, order), numbered in each partition, and the counts of
     (partition, group) turn the numbers into ranks; the table of counts has at most
-    partitions + groups rows. ``extra`` are the other columns to keep.
+    partitions + groups rows. The columns travel in a struct, so they may have any names; one
+    called ``name`` is replaced.
     """
     n = partitions or max(1, shuffle_partitions(df.sparkSession))
+    kept = [c for c in dict.fromkeys([group, *extra]) if c != name]
     key = F.col(group).asc_nulls_last()
-    ranged = df.select(group, *extra).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    numbered = cut_table(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
-    counts = numbered.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))).withColumnRenamed("_part", "_p").withColumnRenamed(group, "_g")
-    starts = small(starts.select("_p", "_g", "_first", "_before"), starts.count())
-    joined = numbered.join(starts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.select(group, *extra, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("ordinal"))
+    ranged = df.select(*dict.fromkeys([group, *extra])).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    packed = ranged.select(F.struct(*kept).alias("row"), F.col(group).alias("group"), F.monotonically_increasing_id().alias("at"))
+    numbered = cut_table(packed.withColumn("part", F.shiftright("at", 33)))
+    counts = numbered.groupBy("part", "group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    starts = small(starts.select(F.col("part").alias("_part"), F.col("group").alias("_group"), "first", "before"), starts.count())
+    joined = numbered.join(starts, (F.col("part") == F.col("_part")) & F.col("group").eqNullSafe(F.col("_group")))
+    return joined.select(*[F.col("row")[c].alias(c) for c in kept], (F.col("at") - F.col("first") + F.col("before") + 1).alias(name))
 
 
 def with_ordinal(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
-    """Adds the 1-based rank of each row in the order, which should be total."""
+    """Adds the 1-based rank of each row in the order, which should be total; a column called ``name`` is replaced."""
     one = "_everything"
-    ranked = ordinal_within(df.withColumn(one, F.lit(1)), one, list(order), df.columns)
-    return ranked.select(*df.columns, F.col("ordinal").alias(name))
+    while one in df.columns:
+        one = "_" + one
+    ranked = ordinal_within(df.withColumn(one, F.lit(1)), one, list(order), df.columns, name=name)
+    return ranked.select(*[c for c in df.columns if c != name], name)
 
 
 def hash_order(key: Column, seed: int) -> Column:
