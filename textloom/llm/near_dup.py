@@ -1,95 +1,106 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. Document frequencies. A shingle counts as frequent if at least a share ``theta`` of all
-   documents has it. Blocks of documents report shingles that half that share of the block has;
-   every frequent one is among those whose reports can still add up to it, whose number is bounded
-   by 2 / theta times the mean number of shingles of a document. A second pass counts these exactly
-   over all documents. All other shingles have the weight of the rarest frequent one.
+1. Document frequencies, over all documents, with one for each large group of copies: what a group
+   shares is frequent because of the group and says nothing about other texts. Such groups are the
+   buckets of plain min-hash bands with at least half a share ``theta`` of all documents, of which
+   there are at most 2 * PLAIN_BANDS / theta. A shingle is frequent if at least a share ``theta``
+   of what is counted has it. Blocks of documents report shingles that half that share of the block
+   has; every frequent one is among those whose reports can still add up to it, whose number is
+   bounded by 2 / theta times the mean number of shingles of a document. A second pass counts these
+   exactly. idf is ln(n / df) in units of ln(1 / theta); all rarer shingles have 1.
 2. Sampling. A shingle's weight is (1 + ln tf) * idf. Each lane of consistent weighted sampling
    draws one shingle of a text, and two texts draw alike with their weighted Jaccard similarity as
-   probability. The lanes' random numbers are tables that a shingle's id points into.
+   probability. A lane's random numbers are quantiles picked by a hash of shingle and lane.
 3. Banding. Texts that agree in all lanes of a band share a bucket. Equal texts are one node.
 4. Links. Each node is verified against its buckets' first nodes by the weighted Jaccard
-   similarity of the texts; links give components. Where buckets bring several components
-   together, the nodes outside the largest are compared with all nodes of the others, in blocks,
-   through an index of their shingles. So no pair in a shared bucket is left out unless it is in
-   one component already, and a group of copies costs one link a copy.
+   similarity of the texts; links give components. In buckets with several components left, the
+   nodes outside the bucket's largest are compared with all nodes of the others, in blocks, through
+   an index of their shingles; buckets with the same members are compared once. So no pair in a
+   shared bucket is left out unless it is in one component already, and a group of copies costs
+   one link a copy.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from textloom.llm.common import cut, cut_table, tidy
+from textloom.llm.common import cut, cut_table, discard, hub_bound, hub_join, sheltered, tidy, unsheltered
 from textloom.llm.shingles import groups, mix, shingle_counts
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 LANES = BANDS * ROWS
-#: Shingles in at least this share of documents have a weight below the others'.
-THETA = 1e-3
-#: The power that idf is raised to. Near copies share shingles that are frequent because of the
-#: copies themselves; a small power keeps a large group as alike as a small one.
-IDF_POWER = 0.1
-LEAST_IDF = 0.5
+#: Shingles in at least this share of documents weigh less than the others; the share is larger
+#: where documents are so long that more than ``MOST_FREQUENT`` shingles could have it.
+THETA, MOST_FREQUENT = 1e-3, 2_000_000
+#: Plain min-hash bands by which large groups of copies are known, from one permutation in bins.
+PLAIN_BANDS, PLAIN_ROWS = 8, 4
 #: A block ends at so many documents or shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 4000, 4_000_000
-CELLS = 1 << 16
 #: Texts on each side of a block that is compared.
 COMPARED = 500
+#: Bytes of text that are verified side by side.
+VERIFIED_BYTES = 4 << 20
 
 
 class Weights:
     """idf of the frequent shingles; 1 for all others."""
 
-    def __init__(self, ids: np.ndarray, df: np.ndarray, n_docs: int) -> None:
+    def __init__(self, ids: np.ndarray, df: np.ndarray, n_docs: int, theta: float = THETA) -> None:
         order = np.argsort(ids)
         self.ids = ids[order]
-        floor = max(2.0, THETA * n_docs)
-        span = np.log(max(n_docs / floor, 1 + 1e-9))
-        share = np.log(np.maximum(n_docs / np.maximum(df[order], 1), 1.0)) / span
-        self.idf = np.clip(np.minimum(share, 1.0) ** IDF_POWER, LEAST_IDF, 1.0)
+        span = np.log(max(n_docs / least_df(n_docs, theta), 1 + 1e-9))
+        self.idf = np.clip(np.log(np.maximum(n_docs / np.maximum(df[order], 1), 1.0)) / span, 0.0, 1.0)
 
     def of(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Weights of shingles; a thousandth at least, so a text of shingles that all have isn't empty."""
         weight = 1.0 + np.log(tf)
         if len(self.ids) and len(ids):
             at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            weight = np.where(self.ids[at] == ids, weight * self.idf[at], weight)
+            weight = np.where(self.ids[at] == ids, np.maximum(weight * self.idf[at], 1e-3), weight)
         return weight
 
 
+def least_df(n_docs: int, theta: float) -> float:
+    return max(2.0, theta * n_docs)
+
+
 class Lanes:
-    """The random tables of the lanes: r and c from Gamma(2, 1), b uniform, for each cell and lane."""
+    """The lanes' random numbers: r and c from Gamma(2, 1) and b uniform, from a hash of shingle and lane."""
 
     def __init__(self, seed: int = 42) -> None:
-        u = np.random.Generator(np.random.PCG64(seed)).random((5, CELLS, LANES), np.float32)
-        u = np.maximum(u, np.float32(1e-7))
-        self.r = -np.log(u[0] * u[1])
-        self.log_c = np.log(-np.log(u[2] * u[3]))
-        self.b = u[4]
-        self.plain = self.values(np.arange(CELLS), np.zeros(CELLS, np.float32))
-
-    def values(self, cells: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
-        """ln a of each cell (row) and lane; the least of a text's is its sample."""
-        r, b = self.r[cells], self.b[cells]
-        t = np.floor(log_weight[:, None].astype(np.float32) / r + b)
-        return self.log_c[cells] - r * (t - b + np.float32(1))
-
-    def samples(self, first: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The sampled values of texts whose shingles begin at ``first``."""
-        cells = (ids & (CELLS - 1)).astype(np.int64)
-        values = self.plain[cells]
+        u = (np.arange(1 << 16) + 0.5) / (1 << 16)
+        low, high = np.zeros_like(u), np.full_like(u, 40.0)
+        for _ in range(60):  # the quantiles, by halving
+            x = (low + high) / 2
+            below = 1 - (1 + x) * np.exp(-x) < u
+            low, high = np.where(below, x, low), np.where(below, high, x)
+        self.r, self.log_c = low.astype(np.float32), np.log(low).astype(np.float32)
+        self.seeds = np.random.Generator(np.random.PCG64(seed)).integers(1 << 63, size=LANES, dtype=np.uint64)
+
+    def values(self, ids: np.ndarray, weight: np.ndarray, lane: int) -> np.ndarray:
+        """ln a of each shingle; the least of a text's is its sample. Equal values are equal draws (shingle and t)."""
+        h = mix(ids.astype(np.uint64) ^ self.seeds[lane])
+        r, log_c = self.r[h & np.uint64(0xFFFF)], self.log_c[(h >> np.uint64(16)) & np.uint64(0xFFFF)]
+        b = (h >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
+        out = log_c - r * (np.float32(1) - b)
         other = np.flatnonzero(weight != 1.0)
         if len(other):
-            values[other] = self.values(cells[other], np.log(weight[other]))
-        return np.minimum.reduceat(values, first, axis=0)
+            out[other] -= r[other] * np.floor(np.log(weight[other]).astype(np.float32) / r[other] + b[other])
+        return out
+
+    def samples(self, first: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The sampled values of texts whose shingles begin at ``first``: a row for each text."""
+        out = np.empty((len(first), LANES), np.float32)
+        for lane in range(LANES):
+            out[:, lane] = np.minimum.reduceat(self.values(ids, weight, lane), first)
+        return out
 
 
 _lanes: list[Lanes] = []
@@ -101,18 +112,114 @@ def lanes() -> Lanes:
     return _lanes[0]
 
 
+def plain_bands(of: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
+    """Band hashes of each text's set of shingles by min-hash with one permutation; 0 for texts without words.
+
+    A shingle's last bits say its bin and the others its rank there; empty bins take the next
+    filled one's value, changed by the distance.
+    """
+    bins = PLAIN_BANDS * PLAIN_ROWS
+    place = (of * bins + ids % bins).astype(np.uint64) << np.uint64(43) | (ids // bins).astype(np.uint64)
+    place.sort()
+    cell = (place >> np.uint64(43)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    least = np.zeros(n_texts * bins, np.uint64)
+    least[cell[new]] = mix(place[new] & np.uint64((1 << 43) - 1)) | np.uint64(1)
+    least = least.reshape(n_texts, bins)
+    full = least.copy()
+    for step in range(1, bins):
+        empty = full == 0
+        if not empty.any():
+            break
+        moved = np.roll(least, -step, axis=1)
+        full = np.where(empty & (moved != 0), mix(moved + np.uint64(step)) | np.uint64(1), full)
+    h = np.full((n_texts, PLAIN_BANDS), np.arange(1, PLAIN_BANDS + 1), np.uint64)
+    for k in range(PLAIN_ROWS):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + full[:, k::PLAIN_ROWS])
+    return np.where((full != 0).any(axis=1)[:, None], h, np.uint64(0)).view(np.int64)
+
+
 def digest_of(text: str) -> Column:
     """What makes texts equal; null is the empty text."""
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
-def frequent_shingles(docs: DataFrame, text: str, n_docs: int, theta: float = THETA) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and document frequencies of all shingles that at least max(2, theta * n_docs) documents have.
+SIGNED = ArrayType(LongType())
 
-    The result is bounded by the mean number of shingles of a document divided by ``theta``.
+
+def name_of(key: str) -> Column:
+    return F.col(key).cast("string")
+
+
+class Copies:
+    """The large groups of copies, by their buckets, and the one document of each that counts."""
+
+    def __init__(self, rows: list[tuple[int, str | None, str]]) -> None:
+        self.buckets = np.array(sorted({h for h, *_ in rows}), np.int64)
+        self.leaders = {h: (name, digest) for h, name, digest in rows}
+
+    def counted(self, names: pa.Array, digests: pa.Array, bands: np.ndarray, lo: int, seen: set) -> np.ndarray:
+        """Which texts count; ``seen`` has the leaders that a task has counted."""
+        out = np.ones(len(bands), bool)
+        if not len(self.buckets):
+            return out
+        at = np.minimum(np.searchsorted(self.buckets, bands), len(self.buckets) - 1)
+        hot = self.buckets[at] == bands
+        for k in np.flatnonzero(hot.any(axis=1)).tolist():
+            own = names[lo + k].as_py(), digests[lo + k].as_py()
+            out[k] = own not in seen and all(self.leaders[h] == own for h in bands[k][hot[k]].tolist())
+            if out[k]:
+                seen.add(own)
+        return out
+
+
+def large_groups(docs: DataFrame, key: str, text: str) -> tuple[Copies, int, int, float]:
+    """The groups of copies, the number of documents and of their distinct shingles, and theta."""
+    schema = StructType([StructField("name", StringType()), StructField("digest", StringType()), StructField("n", LongType()), StructField("bands", SIGNED)])
+
+    @tidy
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, n = np.zeros((batch.num_rows, PLAIN_BANDS), np.int64), np.zeros(batch.num_rows, np.int64)
+            for lo, raw, offsets in groups(batch.column(2)):
+                of, ids, _ = shingle_counts(raw, offsets)
+                bands[lo : lo + len(offsets) - 1] = plain_bands(of, ids, len(offsets) - 1)
+                n[lo : lo + len(offsets) - 1] = np.bincount(of, minlength=len(offsets) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PLAIN_BANDS, pa.int32()), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), lists], schema.names)
+
+    sketched = cut_table(docs.select(name_of(key).alias("name"), digest_of(text).alias("digest"), text).mapInArrow(sketch, schema))
+    n_docs, size = sketched.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    theta = max(THETA, 2 * size / max(n_docs, 1) / MOST_FREQUENT)
+    buckets = sketched.select("name", "digest", F.explode("bands").alias("bucket")).filter("bucket <> 0").groupBy("bucket")
+    leader = F.min(F.struct(F.col("name").isNull().alias("null"), "name", "digest"))
+    hot = buckets.agg(F.count(F.lit(1)).alias("n"), leader.alias("first")).filter(F.col("n") >= F.lit(least_df(n_docs, theta / 2)))
+    found = [tuple(r) for r in hot.select("bucket", "first.name", "first.digest").collect()]
+    discard(sketched)
+    return Copies(found), n_docs, size, theta
+
+
+def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Ids and document frequencies of all frequent shingles, how many documents counted, and theta.
+
+    The result is bounded by ``MOST_FREQUENT`` in any case, and usually a few thousand.
     """
+    copies, n_docs, size, theta = large_groups(docs, key, text)
     pairs = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("docs", LongType())])
     names = ["id", "n", "docs"]
+    groups_of_copies = docs.sparkSession.sparkContext.broadcast(copies)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        """Distinct shingles of each of the texts that count, group by group, and how many texts these are."""
+        known, seen = groups_of_copies.value, set()
+        for batch in batches:
+            for lo, raw, offsets in groups(batch.column(2)):
+                of, ids, _ = shingle_counts(raw, offsets)
+                n = len(offsets) - 1
+                if len(known.buckets):
+                    kept = known.counted(batch.column(0), batch.column(1), plain_bands(of, ids, n), lo, seen)
+                    ids, n = ids[kept[of]], int(kept.sum())
+                yield ids, n
 
     def block(ids: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
@@ -128,23 +235,26 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int, theta: float = TH
         # A full block waits for the next one, so that a task's last few documents join it.
         full: tuple[list[np.ndarray], int] = ([], 0)
         ids: list[np.ndarray] = []
-        n = size = 0
-        for batch in batches:
-            for _, raw, offsets in groups(batch.column(0)):
-                ids.append(shingle_counts(raw, offsets)[1])
-                n, size = n + len(offsets) - 1, size + len(ids[-1])
-                if n >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
-                    if full[1]:
-                        yield from block(*full)
-                    full, ids, n, size = (ids, n), [], 0, 0
+        every = n = size = 0
+        for own, own_n in shingles(batches):
+            ids.append(own)
+            every, n, size = every + own_n, n + own_n, size + len(own)
+            if n >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
+                if full[1]:
+                    yield from block(*full)
+                full, ids, n, size = (ids, n), [], 0, 0
         yield from block(full[0] + ids, full[1] + n)
-
-    # Small tasks are put together, so that half the share of a block is more than a document or two.
-    texts = docs.select(text)
-    some = texts.coalesce(max(1, n_docs // BLOCK_DOCS))  # never more than there are
-    reports = some.mapInArrow(report, pairs).groupBy("id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    least = max(2.0, theta * n_docs)
-    possible = reports.filter(F.col("n") + (n_docs - F.col("docs")) * F.lit(theta / 2) >= F.lit(least)).select("id")
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([every]), pa.array([0])], names)
+
+    # Small tasks are put together, up to a block of documents or of shingles, so that half the
+    # share of a block is more than a document or two.
+    texts = docs.select(name_of(key).alias("name"), digest_of(text).alias("digest"), text)
+    some = texts.coalesce(max(1, n_docs // BLOCK_DOCS, size // BLOCK_SHINGLES))  # never more than there are
+    reports = cut(some.mapInArrow(report, pairs).groupBy("id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    # How many documents count; a leader may have been met in several tasks, if its row is repeated.
+    n_counted = reports.filter("id = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = least_df(n_counted, theta)
+    possible = reports.filter(F.col("id") >= 0).filter(F.col("n") + (F.lit(n_counted) - F.col("docs")) * F.lit(theta / 2) >= F.lit(least)).select("id")
     candidates = np.sort(possible.toPandas()["id"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
@@ -152,22 +262,17 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int, theta: float = TH
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         total = np.zeros(len(known) + 1, np.int64)
-        for batch in batches:
-            for _, raw, offsets in groups(batch.column(0)):
-                ids = shingle_counts(raw, offsets)[1]
-                at = np.searchsorted(known, ids)
-                at = at[known[np.minimum(at, len(known) - 1)] == ids] if len(known) else at[:0]
-                total += np.bincount(at, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(total[some]), pa.array(np.zeros(len(some), np.int64))], names)
+        for ids, _ in shingles(batches):
+            at = np.searchsorted(known, ids)
+            at = at[known[np.minimum(at, len(known) - 1)] == ids] if len(known) else at[:0]
+            total += np.bincount(at, minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(known[found]), pa.array(total[found]), pa.array(np.zeros(len(found), np.int64))], names)
 
     if not len(candidates):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    exact = some.mapInArrow(count, pairs).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least)).toPandas()
-    return exact["id"].to_numpy(np.int64), exact["n"].to_numpy(np.int64)
-
-
-SIGNED = ArrayType(LongType())
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), n_counted, theta
+    exact = texts.mapInArrow(count, pairs).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least)).toPandas()
+    return exact["id"].to_numpy(np.int64), exact["n"].to_numpy(np.int64), n_counted, theta
 
 
 def signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
@@ -221,57 +326,69 @@ def shingled(column: pa.Array, table: Weights) -> list[tuple[np.ndarray, np.ndar
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs (a, b, similarity) of digests whose texts are at least ``threshold`` alike."""
+    """The pairs (a, b, similarity) of digests whose texts are at least ``threshold`` alike.
+
+    A hot b, which many have as their leader, is dealt over as many tasks as its pairs need, each
+    with a copy of its text; by the bound of hot keys these are at most twice ``BROADCAST_ROWS``.
+    """
+    total = pairs.count()
+    bound = hub_bound(total)
+    parts = F.ceil(F.col("n") / bound).cast("int")
+    hot = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= bound).select(F.col("b").alias("_hot"), parts.alias("_parts")))
+    dealt = pairs.join(F.broadcast(hot), F.col("b") == F.col("_hot"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part"))
     one = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    two = texts.join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left").select(F.col("digest").alias("b"), copies.alias("part"), F.col("text").alias("text_b"))
+    joined = dealt.join(one, "a").join(two, ["b", "part"]).select("a", "b", "text_a", "text_b")
     schema = StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("similarity", DoubleType())])
 
     @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
-        for batch in batches:
-            # Rows of one b follow each other; each of its texts is shingled once.
-            b = batch.column(1).to_pylist()
-            new = [k for k in range(len(b)) if not k or b[k] != b[k - 1]]
-            place = np.cumsum([not k or b[k] != b[k - 1] for k in range(len(b))]) - 1
-            left, right = shingled(batch.column(2), table), shingled(batch.column(3).take(pa.array(new, pa.int64())), table)
-            like = np.array([weighted_jaccard(x, right[p]) for x, p in zip(left, place, strict=True)])
-            kept = pa.array(like >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(like[like >= threshold])], schema.names)
+        for whole in batches:
+            step = max(1, int(whole.num_rows * VERIFIED_BYTES / max(whole.nbytes, 1)))
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                # Rows of one b follow each other; each of its texts is shingled once.
+                b = batch.column(1).to_pylist()
+                new = [k for k in range(len(b)) if not k or b[k] != b[k - 1]]
+                place = np.cumsum([not k or b[k] != b[k - 1] for k in range(len(b))]) - 1
+                left, right = shingled(batch.column(2), table), shingled(batch.column(3).take(pa.array(new, pa.int64())), table)
+                like = np.array([weighted_jaccard(x, right[p]) for x, p in zip(left, place, strict=True)])
+                kept = pa.array(like >= threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(like[like >= threshold])], schema.names)
 
     return joined.mapInArrow(verify, schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of frames that are gone, and not only when memory runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def are_stars(edges: DataFrame) -> bool:
     """Whether each node a has one b, and no b is an a as well."""
     once = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    return once and edges.select("b").join(edges.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty()
+    return once and edges.select("b").distinct().join(edges.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``links`` (a, b); the root is the least node of the component.
 
     Rounds of large-star and small-star over the links until they are stars; each round's links
-    are cut from their lineage. Minima are formed before the shuffle.
+    are cut from their lineage. Minima are formed before the shuffle, and hubs get theirs by broadcast.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = cut_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+
+    def to_least(rows: DataFrame, read: list[DataFrame]) -> DataFrame:
+        """(a, b, m): each link with the least node linked to a, from a table added to ``read``."""
+        least = cut_table(rows.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")))
+        read.append(least)
+        return hub_join(rows, least, "a", "u", "_n", least.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+
     while not are_stars(edges):
+        read = [edges]
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        joined = large.join(least, large["a"] == least["u"])
+        large = cut_table(to_least(both, read).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct())
+        joined = to_least(large, read)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        edges = cut(small.filter("a <> b").distinct())
-        del both, least, large, joined, small
-        release(edges.sparkSession)
+        edges = cut_table(small.filter("a <> b").distinct())
+        discard(large, *read)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -279,27 +396,30 @@ def components(links: DataFrame) -> DataFrame:
 PAIRS = StructType([StructField("a", StringType()), StructField("b", StringType())])
 
 
-def across(gathered: DataFrame, roots: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """Links (a, b) between texts that share buckets but are not in one component yet.
+def across(members: DataFrame, roots: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (a, b) between texts that share a bucket of ``members`` (bucket, digest) but no component yet.
 
-    ``gathered`` has the texts that buckets bring together, directly or over several buckets, as
-    (node, root). In each such gathering, the texts outside its largest component are held
-    against all texts of other components. Both sides come in blocks of bounded size; small
-    gatherings share a block. Within a pair of blocks an index of the shingles gives the exact
-    similarity of all pairs that share any, and only links leave the task.
+    In each bucket with several components, the texts outside its largest one are held against
+    all texts of other components; of buckets with the same members one is taken. Both sides come
+    in blocks of bounded size; small buckets share a block. Within a pair of blocks an index of the
+    shingles gives the exact similarity of all pairs that share any, and only links leave the task.
     """
     known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_component"))
-    placed = gathered.join(known, F.col("node") == F.col("_node"), "left").select(F.col("node").alias("digest"), F.col("root").alias("gathering"), F.coalesce("_component", "node").alias("component"))
-    sizes = placed.groupBy("gathering", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("gathering").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
-    main = cut(main.select(F.col("gathering").alias("_of"), "main", F.ceil(F.col("all") / COMPARED).cast("int").alias("m_blocks"), F.ceil((F.col("all") - F.col("most")) / COMPARED).cast("int").alias("q_blocks"), "all"))
-    # Small gatherings share bins of about a block's size; a large one has a bin of its own.
-    loose = main.agg(F.coalesce(F.sum(F.when(F.col("m_blocks") == 1, F.col("all"))), F.lit(0))).first()[0]
+    placed = cut_table(members.join(known, F.col("digest") == F.col("_node"), "left").select("bucket", "digest", F.coalesce("_component", "digest").alias("component")))
+    mark = F.sum(F.pmod(F.xxhash64("digest"), F.lit(1 << 40)))
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), mark.alias("mark"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("mark").alias("mark")).filter("parts > 1")
+    mixed = mixed.groupBy("all", "mark").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("all", "x.*")
+    blocks = lambda n: F.ceil(n / COMPARED).cast("int")
+    main = cut_table(mixed.select(F.col("bucket").alias("_of"), "main", blocks(F.col("all")).alias("m_blocks"), blocks(F.col("all") - F.col("most")).alias("q_blocks"), "all"))
+    # Small buckets share bins of about a block's size; a large one has a bin of its own.
+    loose, total = main.agg(F.coalesce(F.sum(F.when(F.col("m_blocks") == 1, F.col("all"))), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
     shared = F.pmod(F.xxhash64("_of"), F.lit(max(1, loose // COMPARED))).cast("string")
-    tagged = placed.join(main, F.col("gathering") == F.col("_of")).join(texts.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
+    tagged = hub_join(placed, main, "bucket", "_of", "all", total)
+    tagged = tagged.join(texts.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
     block = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = tagged.select(F.when(F.col("m_blocks") > 1, F.col("_of")).otherwise(shared).alias("bin"), "gathering", "component", "main", "digest", "text", "m_blocks", "q_blocks")
+    sides = tagged.select(F.when(F.col("m_blocks") > 1, F.concat(F.lit("b"), F.col("_of").cast("string"))).otherwise(shared).alias("bin"), F.col("_of").cast("string").alias("gathering"), "component", "main", "digest", "text", "m_blocks", "q_blocks")
     one = sides.filter("component <> main").select("bin", block("q_blocks").alias("q"), every("m_blocks").alias("m"), "gathering", "component", "digest", "text")
     two = sides.select("bin", every("q_blocks").alias("q"), block("m_blocks").alias("m"), "gathering", "component", "digest", "text")
 
@@ -332,50 +452,64 @@ def across(gathered: DataFrame, roots: DataFrame, texts: DataFrame, weights, thr
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id``, ``digest``, ``class_id`` and ``class_digest`` of each document.
+    """``id``, ``digest``, ``class_id``, ``class_digest``, ``class_size`` and ``n_links`` of each document.
 
     A class holds all documents joined by links of at least ``threshold`` weighted Jaccard
-    similarity, equal texts included; its id is the least document id in it, and its digest that
-    of this document's text. Null texts are empty ones; texts without words are alike only if
-    equal. A text of fewer than five words is one shingle. Repeated rows and ids are kept; null
-    ids come after all others. Other columns don't matter.
+    similarity, equal texts included; its id is the least document id in it, its digest that of
+    this document's text, and its size the number of its documents. ``n_links`` is the number of
+    other texts that the text was found alike to; links within a class need not all be found, but
+    they connect it. Null texts are empty ones; texts without words are alike only if equal. A
+    text of fewer than five words is one shingle. Repeated rows and ids are kept; null ids come
+    after all others. Other columns don't matter, whatever their names.
     """
-    n_docs = docs.count()
-    frequent = frequent_shingles(docs, text, n_docs)
-    weights = docs.sparkSession.sparkContext.broadcast(Weights(*frequent, n_docs))
-    signed = cut_table(signatures(docs, key, text, weights))
-    nodes = cut_table(signed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ids, df, n_counted, theta = frequent_shingles(docs, "key", "text")
+    weights = docs.sparkSession.sparkContext.broadcast(Weights(ids, df, n_counted, theta))
+    signed = cut_table(signatures(docs, "key", "text", weights))
+    nodes = cut_table(signed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
 
     bucketed = nodes.select("digest", "id", F.posexplode("bands").alias("band", "hash")).select("digest", "id", F.xxhash64("band", "hash").alias("bucket"))
-    leaders = bucketed.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest"))["digest"].alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    members = cut_table(bucketed.join(leaders, "bucket").select("bucket", "digest", "leader"))
-    stars = cut(members.filter("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct())
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest"))
+    leaders = cut_table(bucketed.groupBy("bucket").agg(first["digest"].alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("bucket", "_bucket"))
+    total = leaders.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    members = cut_table(hub_join(bucketed, leaders, "bucket", "_bucket", "_n", total).select("bucket", "digest", "leader"))
+    stars = cut_table(members.filter("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct())
 
-    linked = stars.select("a").union(stars.select(F.col("b"))).distinct().withColumnRenamed("a", "_digest")
+    linked = members.select(F.col("digest").alias("_digest")).distinct()
     wanted = nodes.select("digest", "id").join(linked, F.col("digest") == F.col("_digest")).select(F.col("digest").alias("_digest"), F.col("id").alias("_id"))
-    keyed = docs.select(F.col(key).alias("_key"), digest_of(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = keyed.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("_key").eqNullSafe(F.col("_id")))
-    texts = cut_table(found.dropDuplicates(["digest", "_key"]).select("digest", "text"))
-
-    release(docs.sparkSession)
-    links = cut(verified(stars, texts, weights, threshold))
-    release(docs.sparkSession)
-    roots = components(links)
-    more = cut(across(components(stars), roots, texts, weights, threshold))
+    keyed = docs.select("key", digest_of("text").alias("digest"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = keyed.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("key").eqNullSafe(F.col("_id")))
+    texts = cut_table(found.dropDuplicates(["digest", "key"]).select("digest", "text"))
+
+    links = cut_table(verified(stars, texts, weights, threshold).select("a", "b"))
+    discard(stars, leaders)
+    roots = cut_table(components(links))
+    more = cut_table(across(members.select("bucket", "digest"), roots, texts, weights, threshold))
+    discard(texts, members)
     if not more.isEmpty():
-        roots = components(links.select("a", "b").union(more))
-
-    classed = nodes.select("digest", "id").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
-    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("first"), F.count(F.lit(1)).alias("_texts"))
-    several = first.filter("_texts > 1").select(F.col("root").alias("_root"), "first")
-    classes = cut(classed.join(several, F.col("root") == F.col("_root"), "left").select(F.col("digest").alias("_digest"), F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.digest", "digest").alias("class_digest")))
-    return signed.select("id", "digest").join(classes, F.col("digest") == F.col("_digest")).select("id", "digest", "class_id", "class_digest")
+        links = cut_table(links.union(more))
+        roots = cut_table(components(links))
+
+    least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    once = links.select(least, most).distinct()
+    ends = once.select(F.col("a").alias("_end")).union(once.select(F.col("b").alias("_end"))).groupBy("_end").agg(F.count(F.lit(1)).alias("_links"))
+    classed = nodes.select("digest", "id", "n").join(roots, F.col("digest") == F.col("node"), "left").join(ends, F.col("digest") == F.col("_end"), "left")
+    classed = cut_table(classed.select("digest", "id", "n", F.coalesce("root", "digest").alias("root"), F.coalesce("_links", F.lit(0)).alias("n_links")))
+    whole = cut_table(classed.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("_texts")).withColumnRenamed("root", "_root"))
+    placed = hub_join(classed, whole, "root", "_root", "_texts", whole.agg(F.coalesce(F.sum("_texts"), F.lit(0))).first()[0])
+    classes = cut_table(placed.select(F.col("digest").alias("_digest"), F.col("first.id").alias("class_id"), F.col("first.digest").alias("class_digest"), "class_size", "n_links", "n"))
+    discard(nodes, links, roots, classed, whole)
+    out = hub_join(signed.select("id", "digest"), classes, "digest", "_digest", "n", classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return out.select("id", "digest", "class_id", "class_digest", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class, the document with the least id."""
+    """The rows of ``docs`` without near duplicates: of each class, the document with the least id.
+
+    Of rows that repeat this document, one stays. All columns pass through, whatever their names.
+    """
     classes = near_duplicates(docs, key, text, threshold)
-    kept = classes.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("id").alias("_kept"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_of", digest_of(text))
-    found = marked.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_digest")))
-    return found.dropDuplicates([key, "_of"]).select(*docs.columns)
+    kept = classes.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    marked = sheltered(docs, key=F.col(key), digest=digest_of(text))
+    found = marked.join(kept, F.col("key").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    return found.dropDuplicates(["key", "digest"]).select(*unsheltered(docs.columns))
