@@ -43,6 +43,47 @@ def test_edges(fsm, library):
     assert counts(fsm, texts) == expected(library, texts)
 
 
+def long_texts():
+    rnd = random.Random(11)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9)))
+    return {
+        "english": " ".join(word("etaoinshrdlu") for _ in range(4000)),
+        "russian": " ".join(word("оеаинтсрвлкмдпу") for _ in range(4000)),
+        "greek": ", ".join(word("αβγδεζηθικ") for _ in range(2000)),
+        "arabic": " ".join(word("ابتثجحخد") for _ in range(2000)),
+        "chinese": "".join(word("的一是不了人我在有他") + "，。" * (rnd.random() < 0.2) for _ in range(3000)),
+        "letters": "".join(rnd.choice("abcdefghij") for _ in range(30_000)),
+        "same": "a" * 30_000,
+        "digits": "".join(rnd.choice("0123456789") for _ in range(20_000)),
+        "code": "".join(rnd.choice(["x=", "(a,b)", "'s", "''", "re", "'re", "\n", "\t\t", "12", "é'", "—"]) for _ in range(9000)),
+        "marks": "".join(rnd.choice("!?.,'") for _ in range(9000)),
+        "spaces": "".join(rnd.choice([" ", "\n", "\u3000", "\u00a0"]) for _ in range(9000)),
+    }
+
+
+def test_long_texts_in_many_scripts(fsm, library):
+    texts = list(long_texts().values())
+    assert counts(fsm, texts) == expected(library, texts)
+    for text in texts:
+        assert counts(fsm, [text]) == expected(library, [text])
+
+
+def test_few_states(library, monkeypatch):
+    from textloom.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "MAX_STATES", 500)
+    monkeypatch.setattr(token_counts, "MAX_ANSWERS", 2000)
+    fsm = Transducer(read_tokenizer(PATH))
+    texts = [t[:6000] for t in long_texts().values()]
+    assert counts(fsm, texts) == expected(library, texts)
+    assert len(fsm.states) < 20_000 and len(fsm.bpe.fits) <= 2000
+
+
+def test_many_special_strings(fsm, library):
+    texts = ["<|endoftext|>".join(["a b", "'s", "", " ", "é"] * 300), "x<|endoftext|>"]
+    assert counts(fsm, texts) == expected(library, texts)
+
+
 def test_reset_keeps_counts(fsm, library):
     texts = ["some text, again and again", "others"]
     fsm.reset()

@@ -12,11 +12,18 @@ they are first reached and kept in a dense table:
   entry starts with, and, at each boundary inside that suffix, the last token and the count
   relative to now. Texts with equal states have the same future, so the states are finite.
 
-Texts are cut into chunks of bytes. A chunk's state map is a head, the bytes up to its first
-synchronising point (an ASCII letter and a space, after which the state is always the same), and a
-tail that has one end state and count whatever came before. Tails run side by side in lockstep;
-the heads are then run from left to right, from the states that the chunks before them end in.
-Chunks without such a point are heads as a whole, and wait one round for each in a row.
+Texts are cut into chunks of bytes, and a chunk's state map says for an entry state the end state
+and the count. All maps that are asked for are run side by side in lockstep:
+
+* Where two characters of different classes meet, the first of which is no white space and no
+  apostrophe, the state after the second one is the same whatever came before (words, lines,
+  digits and marks of any script). From the first such point on, a chunk's map is constant.
+* A chunk without such a point (a run of one class) is mapped at the state that the bytes before
+  it lead to from a fresh start, which is nearly always the state that the whole text leads to.
+* A prefix scan then composes the maps pairwise, in blocks of 1, 2, 4 and more chunks. Where the
+  left block doesn't end in a state that the right one is mapped at, the right one's map is
+  extended by that state, chunk by chunk until it meets a path it has. As maps are exact, so are
+  the counts, however the states were guessed.
 """
 
 from __future__ import annotations
@@ -43,8 +50,15 @@ CHUNK = 1024
 #: Below trie nodes with at most so many tokens, states keep what can follow instead of the last token.
 SMALL = 32
 NEVER = 1 << 60
-#: The state table starts anew beyond so many states (1 KB each at most).
-MAX_STATES = 100_000
+#: A chunk without a synchronising point is mapped at the state that so many bytes before it lead to.
+LOOK_BACK = 64
+#: Beyond so many states (1 KB each) the table starts anew with those in use, also within a text.
+MAX_STATES = 60_000
+#: Answers kept about tokens that meet.
+MAX_ANSWERS = 300_000
+#: Table entries are the next state, shifted, and the change of the count, moved up by half the range.
+SHIFT = 10
+HALF = 1 << SHIFT - 1
 #: After an apostrophe, these letters end a piece at once, or with the letter named.
 CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
 
@@ -89,6 +103,8 @@ def read_tokenizer(path: str) -> dict:
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
         raise ValueError("special strings that take white space with them can't be compiled")
     of = byte_alphabet()
+    if max(map(len, spec["model"]["vocab"])) > HALF // 4:  # a step changes the count by no more than a few tokens' lengths
+        raise ValueError("tokens are too long")
     as_bytes = lambda s: bytes(of[c] for c in s)
     merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
     return {
@@ -163,6 +179,8 @@ class BytePairAutomaton:
             return -2 - last if last >= 0 else -1
         found = self.masks.get((last, node))
         if found is None:
+            if len(self.masks) >= MAX_ANSWERS:
+                self.masks.clear()
             if last < 0:
                 found = self.alone >> self.low[node] & ((1 << self.high[node] - self.low[node]) - 1)
             else:
@@ -236,6 +254,8 @@ class BytePairAutomaton:
                         break
                 if not found:
                     break
+            if len(self.fits) >= MAX_ANSWERS:
+                self.fits.clear()
             self.fits[a, b] = found
         return found
 
@@ -266,7 +286,26 @@ class Transducer:
         self.states: list[tuple] = []
         self.table = np.full((1024, 256), -1, np.int32)
         self.start = self.intern((START, 0, 0, b""))
-        self.synced = self.intern((IN_S, self.bpe.empty, 32, b""))
+
+    def compact(self, *used: np.ndarray) -> None:
+        """Starts anew with the states in ``used``, arrays of their numbers, which get the new ones."""
+        states, parts = self.states, self.bpe.states
+        self.reset()
+        for numbers in used:
+            every, back = np.unique(numbers, return_inverse=True)
+            new = np.empty(len(every), numbers.dtype)
+            for k, n in enumerate(every.tolist()):
+                if n < 0:
+                    new[k] = n
+                    continue
+                mode, bpe, last, part = states[n]
+                new[k] = self.intern((mode, self.bpe.intern(parts[bpe]) if bpe else 0, last, part))
+            numbers[:] = new[back].reshape(numbers.shape)
+
+    def after(self, mode_of: int, text: bytes) -> int:
+        """The state after a character that begins a piece; ``mode_of`` is its class."""
+        mode, bpe, last, _ = self.character(START, 0, 0, text, mode_of)
+        return self.intern((mode, bpe if mode not in (START, QUOTE_X) else 0, last, b""))
 
     def intern(self, state: tuple) -> int:
         found = self.ids.get(state)
@@ -328,27 +367,31 @@ class Transducer:
         return bytes([last]) if isinstance(last, int) else last
 
     def step(self, state: int, b: int) -> int:
-        """A table entry: the next state, shifted by 8, and the change of the count plus 128."""
+        """A table entry."""
         mode, bpe, last, part = self.states[state]
         text = part + bytes([b])
         need = 1 if text[0] < 0xC0 else 2 if text[0] < 0xE0 else 3 if text[0] < 0xF0 else 4
         if len(text) < need:
-            return self.intern((mode, bpe, last, text)) << 8 | 128
+            return self.intern((mode, bpe, last, text)) << SHIFT | HALF
         try:
             kind = int(self.classes[ord(text.decode())])
         except UnicodeDecodeError:
             kind = OTHER
         mode, bpe, last, gain = self.character(mode, bpe, last, text, kind)
-        assert -128 <= gain < 128
-        return self.intern((mode, bpe if mode not in (START, QUOTE_X) else 0, last, b"")) << 8 | (gain + 128)
+        return self.intern((mode, bpe if mode not in (START, QUOTE_X) else 0, last, b"")) << SHIFT | (gain + HALF)
+
+    def run(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: np.ndarray, *used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs the pieces of ``buf`` side by side; their end states and counts.
 
-    def run(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs the pieces of ``buf`` side by side; their end states and counts."""
+        ``used`` are arrays of other states that the caller goes on with.
+        """
         order = np.argsort(starts - ends, kind="stable")
         pos, length = starts[order], (ends - starts)[order]
         state, total = states[order].astype(np.int64), np.zeros(len(order), np.int64)
         live = len(order) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), side="right")
         for i, n in enumerate(live):
+            if len(self.states) > MAX_STATES:
+                self.compact(state, *used)
             at = state[:n] * 256 + buf[pos[:n] + i]
             got = self.table.ravel()[at]
             if (missing := got < 0).any():
@@ -356,62 +399,108 @@ class Transducer:
                     entry = self.step(int(k) >> 8, int(k) & 255)
                     self.table[int(k) >> 8, int(k) & 255] = entry
                 got = self.table.ravel()[at]
-            state[:n] = got >> 8
-            total[:n] += (got & 255) - 128
+            state[:n] = got >> SHIFT
+            total[:n] += (got & (1 << SHIFT) - 1) - HALF
         out_state, out_total = np.empty_like(state), np.empty_like(total)
         out_state[order], out_total[order] = state, total
         return out_state, out_total
 
+    def sync_points(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where classes change so that the state is known: the end of the second character, and its begin."""
+        lead = np.flatnonzero((buf & 0xC0) != 0x80).astype(np.int32)
+        point = buf[lead].astype(np.int32)
+        wide = point >= 0xC0
+        n_more = wide.astype(np.int8) + (point >= 0xE0) + (point >= 0xF0)
+        point[wide] &= 0x3F >> n_more[wide]
+        padded = np.append(buf, np.zeros(3, np.uint8))
+        for k in range(1, 4):
+            more = n_more >= k
+            point[more] = point[more] << 6 | (padded[lead[more] + k] & 0x3F)
+        kind = self.classes[np.minimum(point, 0x10FFFF)]
+        meets = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) & (buf[lead[:-1]] != 39)) + 1
+        return lead[meets] + n_more[meets] + 1, lead[meets]
+
     def count(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Token counts of the texts ``buf[offsets[i]:offsets[i + 1]]``."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
         owner, starts, ends, extra = self.segments(buf, offsets)
         counts = np.bincount(owner, extra, minlength=len(offsets) - 1).astype(np.int64)
-        # Chunks, in order; first[i]: the chunk begins a segment.
+        # Chunks, in order; nth: the place of a chunk in its segment.
         n_chunks = np.maximum(1, -(-(ends - starts) // CHUNK))
         seg = np.repeat(np.arange(len(starts)), n_chunks)
         nth = np.arange(len(seg)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
         lo = starts[seg] + nth * CHUNK
         hi = np.minimum(lo + CHUNK, ends[seg])
-        first = nth == 0
-        # Heads end after the chunk's first letter and space; without one, they are the whole chunk.
-        letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
-        sync = np.flatnonzero(letter[:-1] & (buf[1:] == 32)) + 2
-        k = np.searchsorted(sync, lo + 2)
-        cut = np.where(k < len(sync), sync[np.minimum(k, len(sync) - 1)] if len(sync) else hi + 1, hi + 1)
-        has_tail = ~first & (cut <= hi)
-        head_end = np.where(has_tail, cut, hi)
-        end_state, total = np.full(len(seg), -1, np.int64), np.zeros(len(seg), np.int64)
-        # The maps that do not depend on what came before: first chunks whole, tails of the others.
-        known = first | has_tail
-        at = np.where(first, lo, head_end)[known]
-        end_state[known], total[known] = self.run(buf, at, hi[known], np.where(first[known], self.start, self.synced))
-        # The scan: a head runs once the chunk before it has an end state.
-        waiting = np.flatnonzero(~first)
-        while len(waiting):
-            ready = waiting[end_state[waiting - 1] >= 0]
-            to, n = self.run(buf, lo[ready], head_end[ready], end_state[ready - 1])
-            total[ready] += n
-            end_state[ready] = np.where(has_tail[ready], end_state[ready], to)
-            done = np.zeros(len(seg), bool)
-            done[ready] = True
-            waiting = waiting[~done[waiting]]
+        later = nth > 0
+        # A chunk's head ends at its first synchronising point of which both characters are its own.
+        sync, second = self.sync_points(buf) if later.any() else (np.zeros(0, np.int64),) * 2
+        k = np.searchsorted(second, lo + 4)
+        at = sync[np.minimum(k, max(len(sync) - 1, 0))] if len(sync) else np.zeros(len(lo), np.int64)
+        has_tail = later & (k < len(sync)) & (at <= hi)
+        head_end = np.where(has_tail, at, hi)
+        begin = second[np.minimum(k, max(len(sync) - 1, 0))] if len(sync) else at
+        known: dict[bytes, int] = {}
+        entry = np.full(len(seg), self.start, np.int64)  # of heads
+        tail_entry = np.full(len(seg), -1, np.int64)
+        for c in np.flatnonzero(has_tail).tolist():
+            text = buf[begin[c] : at[c]].tobytes()
+            if text not in known:
+                known[text] = self.after(int(self.classes[ord(text.decode("utf-8", "replace")[0])]), text)
+            tail_entry[c] = known[text]
+        # Maps that don't depend on what came before: tails, and the first chunks.
+        end, total = np.full(len(seg), -1, np.int64), np.zeros(len(seg), np.int64)
+        tails = np.flatnonzero(has_tail)
+        fixed = np.concatenate([tails, np.flatnonzero(~later)])
+        first = np.where(later[fixed], tail_entry[fixed], self.start)
+        to, n = self.run(buf, np.where(later[fixed], head_end[fixed], lo[fixed]), hi[fixed], first, entry)
+        end[fixed], total[fixed] = to, n
+        # Entry states: what the chunk before ends in, where that is constant; else a guess.
+        rest = np.flatnonzero(later)
+        if len(rest):
+            guessed = rest[end[rest - 1] < 0]
+            entry[rest] = end[rest - 1]
+            if len(guessed):
+                back = lo[guessed] - LOOK_BACK
+                while (inside := (buf[back] & 0xC0) == 0x80).any():
+                    back = back + inside
+                entry[guessed] = self.run(buf, back, lo[guessed], np.full(len(guessed), self.start), end, entry)[0]
+            head = np.zeros(len(seg), np.int64)
+            to, n = self.run(buf, lo[rest], head_end[rest], entry[rest], end, entry)
+            head[rest] = n
+            end[rest] = np.where(has_tail[rest], end[rest], to)
+            # The scan, over pairs of blocks of ``width`` chunks.
+            width = 1
+            while width < n_chunks.max():
+                asked = np.flatnonzero(nth % (2 * width) == width)
+                while len(asked):
+                    asked = asked[entry[asked] != end[asked - 1]]
+                    entry[asked] = end[asked - 1]
+                    to, n = self.run(buf, lo[asked], head_end[asked], entry[asked], end, entry)
+                    head[asked] = n
+                    moved = ~has_tail[asked] & (end[asked] != to)
+                    end[asked] = np.where(has_tail[asked], end[asked], to)
+                    after = asked[moved] + 1
+                    after = after[after < len(seg)]
+                    asked = after[(nth[after] % (2 * width) != 0) & (nth[after] > 0)]
+                width *= 2
+            total += head
         return counts + np.bincount(owner[seg], total, minlength=len(offsets) - 1).astype(np.int64)
 
     def segments(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Texts, split at special strings: owner, start, end and the number of special tokens in front."""
-        owner, starts, ends = np.arange(len(offsets) - 1), offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
-        extra = np.zeros(len(owner), np.int64)
-        cuts = [m.span() for m in self.splitter.finditer(buf.tobytes())] if self.splitter else []
-        rows = [(o, a, b) for a, b in cuts if (o := int(np.searchsorted(offsets, a, side="right")) - 1) < len(owner) and b <= offsets[o + 1]]
-        for o, a, b in rows:
-            last = int(np.flatnonzero(owner == o)[-1])
-            owner, extra = np.append(owner, o), np.append(extra, 1)
-            starts, ends = np.append(starts, b), np.append(ends, ends[last])
-            ends[last] = a
-        order = np.lexsort((starts, owner))
-        return owner[order], starts[order], ends[order], extra[order]
+        n = len(offsets) - 1
+        found = [m.span() for m in self.splitter.finditer(buf.tobytes())] if self.splitter else []
+        cuts = np.array(found, np.int64).reshape(-1, 2)
+        of = np.searchsorted(offsets, cuts[:, 0], side="right") - 1
+        inside = (of < n) & (cuts[:, 1] <= offsets[np.minimum(of + 1, n)])
+        cuts, of = cuts[inside], of[inside]
+        owner = np.concatenate([np.arange(n), of])
+        starts = np.concatenate([offsets[:-1].astype(np.int64), cuts[:, 1]])
+        before = np.concatenate([np.full(n, -1), cuts[:, 0]])  # where the part in front ends
+        order = np.argsort(owner, kind="stable")  # cuts are in order within a text
+        owner, starts, before = owner[order], starts[order], before[order]
+        follows = np.append(owner[1:] == owner[:-1], False)
+        ends = np.where(follows, np.append(before[1:], 0), offsets[owner + 1])
+        return owner, starts, ends, (before >= 0).astype(np.int64)
 
 
 #: The transducer of this Python worker, by its tokenizer's digest; later tasks go on with its states.
@@ -425,7 +514,7 @@ def _transducer(spec: dict) -> Transducer:
     return _compiled[spec["digest"]]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", bytes_as: str = "n_bytes", tokens_as: str = "n_tokens", batch_bytes: int = 16 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", bytes_as: str = "n_bytes", tokens_as: str = "n_tokens", batch_bytes: int = 8 << 20) -> DataFrame:
     """Adds the UTF-8 length and the number of tokens of ``text`` to ``docs``.
 
     Counts equal those of the library for the file, without begin, end or added special tokens;
