@@ -42,9 +42,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def sheltered(df: DataFrame, **used: Column) -> DataFrame:
-    """``row``, a struct of all columns, and the expressions in ``used``; so no name in ``df`` meets one used inside."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[value.alias(name) for name, value in used.items()])
+def sheltered(df: DataFrame, without: tuple[str, ...] = (), **used: Column) -> DataFrame:
+    """``row``, a struct of all columns but those ``without``, and the expressions in ``used``; so no name in ``df`` meets one used inside."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return df.select(F.struct(*(kept or [F.lit(0).alias("none")])).alias("row"), *[value.alias(name) for name, value in used.items()])
 
 
 def unsheltered(columns: list[str], row: str = "row") -> list[Column]:

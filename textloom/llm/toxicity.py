@@ -172,7 +172,7 @@ def train(texts: list[str], labels: list[int]) -> Field:
         parts.append(((text + lo).astype(np.int32), keys[:, 0].copy()))
         known = np.concatenate([known, keys])
         known = known[np.unique(known[:, 0], return_index=True)[1]]
-    none = Field(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)))
+    none = Field(np.zeros(0, np.uint64), np.zeros(0), -30.0, np.zeros((2, 2)))
     if not len(known):
         return none
     doc = np.concatenate([p[0] for p in parts])

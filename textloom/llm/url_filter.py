@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, free_name, spread_join
+from textloom.llm.common import cut, sheltered, spread_join, unsheltered
 
 # Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -109,16 +109,15 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """
     new = ("host", "path", "rule", "verdict")
     columns = [c for c in pages.columns if c not in new]
-    ruled = free_name(pages, "_ruled")
-    placed = pages.select(*columns, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    placed = placed.withColumn(ruled, matching_rule(F.col("host"), F.col("path"), rules))
-    counted = placed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col(ruled)["verdict"] == "allow").alias("good"), F.count_if(F.col(ruled)["verdict"] == "block").alias("bad"))
+    placed = sheltered(pages.select(*dict.fromkeys([*columns, key, url, html])), tuple({key, url, html} - set(columns)), key=F.col(key), html=F.col(html), host=host_of(F.col(url)), path=path_of(F.col(url)))
+    placed = placed.withColumn("ruled", matching_rule(F.col("host"), F.col("path"), rules))
+    counted = placed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruled.verdict") == "allow").alias("good"), F.count_if(F.col("ruled.verdict") == "block").alias("bad"))
     seeds = cut(counted)
-    edges = cut(host_edges(placed, "host", html))
-    scores = propagate(edges, seeds.select("host", "good", "bad", "pages")).withColumnRenamed("host", "_scored")
+    edges = cut(host_edges(placed, "host", "html"))
+    scores = propagate(edges, seeds.select("host", "good", "bad", "pages")).withColumnRenamed("host", "scored")
     # Only hosts with pages need a verdict, and of those only the blocked ones need a row.
-    scored = seeds.join(scores, F.col("host") == F.col("_scored"))
-    bad = cut(scored.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= F.col("pages") * F.lit(block_at))).select(F.col("host").alias("_blocked")))
-    judged = spread_join(placed, bad, "host", "_blocked", bad.count(), F.col(key), "left")
-    verdict = F.coalesce(F.col(ruled)["verdict"], F.when(F.col("_blocked").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select(*columns, "host", "path", F.col(ruled)["rule"].alias("rule"), verdict.alias("verdict"))
+    scored = seeds.join(scores, F.col("host") == F.col("scored"))
+    bad = cut(scored.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= F.col("pages") * F.lit(block_at))).select(F.col("host").alias("blocked")))
+    judged = spread_join(placed.drop("html"), bad, "host", "blocked", bad.count(), F.col("key"), "left")
+    verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("blocked").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select(*unsheltered(columns), "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"))

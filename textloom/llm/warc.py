@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 import uuid
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from textloom.llm.common import cut, shuffle_partitions, throwaway
+from textloom.llm.common import cut, hub_bound, sheltered, shuffle_partitions, throwaway, unsheltered
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-#: Record ids are this and the page's id.
-RECORD_ID = "urn:page:"
+#: Record ids are this and the page's id as text, percent-encoded.
+RECORD_ID = "urn:page"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
@@ -34,18 +35,22 @@ SPLIT_BYTES = 64 << 20
 BLOCK = 1 << 20
 
 FILES = StructType([StructField("path", StringType()), StructField("n_records", LongType()), StructField("n_bytes", LongType())])
-RECORDS = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("record_type", StringType()), StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("refers_to", LongType()), StructField("payload", BinaryType()), StructField("path", StringType()), StructField("offset", LongType())])
+RECORDS = StructType([StructField("page_id", StringType()), StructField("url", StringType()), StructField("record_type", StringType()), StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("refers_to", StringType()), StructField("payload", BinaryType()), StructField("path", StringType()), StructField("offset", LongType())])
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id(page_id: object) -> str:
+    return f"<{RECORD_ID}{'' if page_id is None else ':' + urllib.parse.quote(str(page_id), safe='')}>"
+
+
+def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object) -> bytes:
     """One gzip member: a response, or a revisit if ``refers_to`` is given, which has no payload but its length."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{RECORD_ID}{'' if page_id is None else page_id}>"), ("WARC-Date", DATE)]
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<{RECORD_ID}{refers_to}>"), ("WARC-Profile", REVISIT_PROFILE)]
+        head += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", REVISIT_PROFILE)]
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     text = VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -62,9 +67,9 @@ def parse(text: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields.get("content-length", len(rest)))]
 
 
-def page_of(record_id: str | None) -> int | None:
-    m = re.fullmatch(rf"<{RECORD_ID}(-?\d+)>", record_id or "")
-    return int(m[1]) if m else None
+def page_of(record_id: str | None) -> str | None:
+    m = re.fullmatch(rf"<{RECORD_ID}:([^>]*)>", record_id or "")
+    return urllib.parse.unquote(m[1]) if m else None
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
@@ -73,14 +78,22 @@ def with_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", le
     Of pages with equal payloads of at least ``least`` bytes, that with the smallest key is kept
     whole and the others refer to it; rows that share that key are all kept whole, and null keys
     come after all others. Null payloads are empty ones. Counts per digest are summed before the
-    shuffle, and the join with them leaves a large group to adaptive skew handling.
+    shuffle. The few digests that can have many pages are joined by broadcast, and their rows are
+    spread by key in the join with the others. Columns named like the new ones are replaced.
     """
     digest = F.sha1(F.coalesce(F.col(html), F.lit("")).cast("binary"))
-    groups = pages.select(digest.alias("_digest"), F.col(key).alias("_key"), F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("_n"))
-    groups = groups.filter(F.col("_n") >= least).groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_digest", "_first")
-    joined = pages.withColumn("digest", digest).join(groups, F.col("digest") == F.col("_digest"), "left")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.withColumn("refers_to", refers).drop("_digest", "_first")
+    columns = [c for c in pages.columns if c not in ("digest", "refers_to")]
+    groups = pages.select(digest.alias("of"), F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("n")).filter(F.col("n") >= least)
+    groups = cut(groups.groupBy("of").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    bound = hub_bound(groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot = groups.filter(F.col("n") >= bound).select(F.col("of").alias("hot"), F.col("first").alias("hot_first"))
+    rest = groups.filter(F.col("n") < bound).select("of", "first")
+    packed = sheltered(pages.select(*columns), key=F.col(key), digest=digest)
+    joined = packed.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    probe = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("spread "), F.xxhash64("key").cast("string")))
+    joined = joined.withColumn("probe", probe).join(rest, F.col("probe") == F.col("of"), "left").withColumn("found", F.coalesce("hot_first", "first"))
+    refers = F.when(F.col("found").isNotNull() & ~F.col("key").eqNullSafe(F.col("found")), F.col("found"))
+    return joined.select(*unsheltered(columns), "digest", refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -88,9 +101,12 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
 
     Tasks write files of about ``file_bytes`` under names of their own and move them to their
     places when they are whole. The table comes from the attempts that succeeded and is kept in
-    the shared folder, so files of lost or repeated attempts are in no table.
+    the shared folder, so files of lost or repeated attempts are in no table. Keys of any type are
+    written as text; null keys, urls and payloads are allowed, and repeated rows are records of
+    their own. Other columns don't matter, whatever their names.
     """
-    rows = with_revisits(pages.select(key, url, html), key, html, least)
+    narrow = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = with_revisits(narrow, "key", "html", least).select(F.col("key").cast("string").alias("key"), "url", "html", "digest", F.col("refers_to").cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
@@ -119,7 +135,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "n_records", "n_bytes"])
 
-    return cut(rows.select(key, url, html, "digest", "refers_to").mapInArrow(write, FILES))
+    return cut(rows.mapInArrow(write, FILES))
 
 
 class Window:
@@ -188,19 +204,20 @@ def records_in(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int,
             window.more()
 
 
-def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
+def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True, key_type: str = "bigint") -> DataFrame:
     """The records of the archives in a table with ``path`` and ``n_bytes``, one row for each.
 
     Payloads are null in revisits, and in all rows without ``with_payload``; length and digest are
     those of the full payload: of a response they are computed from what was read, of a revisit
-    taken from its headers. Records of other types are passed over.
+    taken from its headers. Records of other types are passed over. ``key_type`` is the type of the
+    keys that were written; a key that isn't of that type is an error.
     """
     spark = files.sparkSession
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)).cast("long"), F.lit(split_bytes).cast("long")))
     ranges = files.filter("n_bytes > 0").select("path", starts.alias("start")).repartition(shuffle_partitions(spark), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
         rows: list[tuple] = []
         held = 0
 
@@ -231,7 +248,8 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
         if rows:
             yield batch_of()
 
-    return ranges.mapInArrow(read, RECORDS)
+    found = ranges.mapInArrow(read, RECORDS)
+    return found.withColumns({c: F.col(c).cast(key_type) for c in ("page_id", "refers_to")})
 
 
 def scratch_folder(spark: SparkSession) -> str:
