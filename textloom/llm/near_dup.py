@@ -41,8 +41,10 @@ LANES = BANDS * ROWS
 THETA, MOST_FREQUENT = 1e-3, 2_000_000
 #: Plain min-hash bands by which large groups of copies are known, from one permutation in bins.
 PLAIN_BANDS, PLAIN_ROWS = 8, 4
+#: A text is a copy of a group's leader if at least this share of their min-hash values agrees.
+PLAIN_ALIKE = 0.6
 #: A block ends at so many documents or shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 4000, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 8000, 4_000_000
 #: Texts on each side of a block that is compared.
 COMPARED = 500
 #: Bytes of text that are verified side by side.
@@ -82,24 +84,33 @@ class Lanes:
             below = 1 - (1 + x) * np.exp(-x) < u
             low, high = np.where(below, x, low), np.where(below, high, x)
         self.r, self.log_c = low.astype(np.float32), np.log(low).astype(np.float32)
-        self.seeds = np.random.Generator(np.random.PCG64(seed)).integers(1 << 63, size=LANES, dtype=np.uint64)
-
-    def values(self, ids: np.ndarray, weight: np.ndarray, lane: int) -> np.ndarray:
-        """ln a of each shingle; the least of a text's is its sample. Equal values are equal draws (shingle and t)."""
-        h = mix(ids.astype(np.uint64) ^ self.seeds[lane])
-        r, log_c = self.r[h & np.uint64(0xFFFF)], self.log_c[(h >> np.uint64(16)) & np.uint64(0xFFFF)]
-        b = (h >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
-        out = log_c - r * (np.float32(1) - b)
-        other = np.flatnonzero(weight != 1.0)
+        self.seeds = np.random.Generator(np.random.PCG64(seed)).integers(1 << 63, size=(LANES, 2), dtype=np.uint64) | np.uint64(1)
+
+    def values(self, mixed: np.ndarray, other: np.ndarray, log_weight: np.ndarray, lane: int) -> np.ndarray:
+        """ln a of each shingle, by its mixed id; the least of a text's is its sample. Equal values are equal draws (shingle and t).
+
+        ``other`` says which shingles have a weight that isn't 1, and ``log_weight`` theirs.
+        """
+        h = (mixed ^ self.seeds[lane, 0]) * self.seeds[lane, 1]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        parts, halves = h.view(np.uint16), h.view(np.uint32)
+        r = self.r.take(parts[2::4])
+        b = halves[::2] * np.float32(2.0**-32)
+        out = self.log_c.take(parts[3::4])
+        out -= r * (np.float32(1) - b.astype(np.float32))
         if len(other):
-            out[other] -= r[other] * np.floor(np.log(weight[other]).astype(np.float32) / r[other] + b[other])
+            out[other] -= r[other] * np.floor(log_weight / r[other] + b[other].astype(np.float32))
         return out
 
     def samples(self, first: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The sampled values of texts whose shingles begin at ``first``: a row for each text."""
         out = np.empty((len(first), LANES), np.float32)
+        mixed = mix(ids.astype(np.uint64))
+        other = np.flatnonzero(weight != 1.0)
+        log_weight = np.log(weight[other]).astype(np.float32)
         for lane in range(LANES):
-            out[:, lane] = np.minimum.reduceat(self.values(ids, weight, lane), first)
+            out[:, lane] = np.minimum.reduceat(self.values(mixed, other, log_weight, lane), first)
         return out
 
 
@@ -112,11 +123,16 @@ def lanes() -> Lanes:
     return _lanes[0]
 
 
-def plain_bands(of: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
-    """Band hashes of each text's set of shingles by min-hash with one permutation; 0 for texts without words.
+#: From which bin each bin borrows at each step: a random order for each bin.
+_BORROWED = np.stack([np.random.Generator(np.random.PCG64(b)).permutation([x for x in range(PLAIN_BANDS * PLAIN_ROWS) if x != b]) for b in range(PLAIN_BANDS * PLAIN_ROWS)], axis=1)
+_BORROWED = np.concatenate([np.arange(PLAIN_BANDS * PLAIN_ROWS)[None], _BORROWED])
+
+
+def plain_sketch(of: np.ndarray, ids: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Min-hash values of each text's set of shingles with one permutation, and hashes of their bands; 0 for texts without words.
 
-    A shingle's last bits say its bin and the others its rank there; empty bins take the next
-    filled one's value, changed by the distance.
+    A shingle's last bits say its bin and the others its rank there; empty bins take the value of
+    the first filled one in an order of their own.
     """
     bins = PLAIN_BANDS * PLAIN_ROWS
     place = (of * bins + ids % bins).astype(np.uint64) << np.uint64(43) | (ids // bins).astype(np.uint64)
@@ -131,12 +147,12 @@ def plain_bands(of: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
         empty = full == 0
         if not empty.any():
             break
-        moved = np.roll(least, -step, axis=1)
+        moved = least[:, _BORROWED[step]]
         full = np.where(empty & (moved != 0), mix(moved + np.uint64(step)) | np.uint64(1), full)
     h = np.full((n_texts, PLAIN_BANDS), np.arange(1, PLAIN_BANDS + 1), np.uint64)
     for k in range(PLAIN_ROWS):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + full[:, k::PLAIN_ROWS])
-    return np.where((full != 0).any(axis=1)[:, None], h, np.uint64(0)).view(np.int64)
+    return full.view(np.int64), np.where((full != 0).any(axis=1)[:, None], h, np.uint64(0)).view(np.int64)
 
 
 def digest_of(text: str) -> Column:
@@ -152,14 +168,15 @@ def name_of(key: str) -> Column:
 
 
 class Copies:
-    """The large groups of copies, by their buckets, and the one document of each that counts."""
+    """The large groups of copies: by bucket, the document of each that counts and its sketch."""
 
-    def __init__(self, rows: list[tuple[int, str | None, str]]) -> None:
-        self.buckets = np.array(sorted({h for h, *_ in rows}), np.int64)
-        self.leaders = {h: (name, digest) for h, name, digest in rows}
+    def __init__(self, rows: list[tuple[int, str | None, str, list[int]]]) -> None:
+        self.buckets = np.array(sorted(r[0] for r in rows), np.int64)
+        self.leaders = {h: (name, digest) for h, name, digest, _ in rows}
+        self.sketches = {h: np.array(sketch, np.int64) for h, *_, sketch in rows}
 
-    def counted(self, names: pa.Array, digests: pa.Array, bands: np.ndarray, lo: int, seen: set) -> np.ndarray:
-        """Which texts count; ``seen`` has the leaders that a task has counted."""
+    def counted(self, names: pa.Array, digests: pa.Array, sketch: np.ndarray, bands: np.ndarray, lo: int, seen: set) -> np.ndarray:
+        """Which texts count: those that are not like the leader of a bucket; ``seen`` has the leaders that a task has counted."""
         out = np.ones(len(bands), bool)
         if not len(self.buckets):
             return out
@@ -167,36 +184,45 @@ class Copies:
         hot = self.buckets[at] == bands
         for k in np.flatnonzero(hot.any(axis=1)).tolist():
             own = names[lo + k].as_py(), digests[lo + k].as_py()
-            out[k] = own not in seen and all(self.leaders[h] == own for h in bands[k][hot[k]].tolist())
-            if out[k]:
+            met = bands[k][hot[k]].tolist()
+            others = [h for h in met if self.leaders[h] != own]
+            if any((self.sketches[h] == sketch[k]).mean() >= PLAIN_ALIKE for h in others):
+                out[k] = False
+            elif len(others) < len(met):
+                out[k] = own not in seen
                 seen.add(own)
         return out
 
 
 def large_groups(docs: DataFrame, key: str, text: str) -> tuple[Copies, int, int, float]:
-    """The groups of copies, the number of documents and of their distinct shingles, and theta."""
-    schema = StructType([StructField("name", StringType()), StructField("digest", StringType()), StructField("n", LongType()), StructField("bands", SIGNED)])
+    """The groups of copies, about how many documents count, the sum of all documents' distinct shingles, and theta."""
+    schema = StructType([StructField("name", StringType()), StructField("digest", StringType()), StructField("n", LongType()), StructField("sketch", SIGNED), StructField("bands", SIGNED)])
 
     @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, n = np.zeros((batch.num_rows, PLAIN_BANDS), np.int64), np.zeros(batch.num_rows, np.int64)
+            m = batch.num_rows
+            values, bands, n = np.zeros((m, PLAIN_BANDS * PLAIN_ROWS), np.int64), np.zeros((m, PLAIN_BANDS), np.int64), np.zeros(m, np.int64)
             for lo, raw, offsets in groups(batch.column(2)):
                 of, ids, _ = shingle_counts(raw, offsets)
-                bands[lo : lo + len(offsets) - 1] = plain_bands(of, ids, len(offsets) - 1)
-                n[lo : lo + len(offsets) - 1] = np.bincount(of, minlength=len(offsets) - 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PLAIN_BANDS, pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), lists], schema.names)
+                hi = lo + len(offsets) - 1
+                values[lo:hi], bands[lo:hi] = plain_sketch(of, ids, hi - lo)
+                n[lo:hi] = np.bincount(of, minlength=hi - lo)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (values, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *lists], schema.names)
 
     sketched = cut_table(docs.select(name_of(key).alias("name"), digest_of(text).alias("digest"), text).mapInArrow(sketch, schema))
     n_docs, size = sketched.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     theta = max(THETA, 2 * size / max(n_docs, 1) / MOST_FREQUENT)
-    buckets = sketched.select("name", "digest", F.explode("bands").alias("bucket")).filter("bucket <> 0").groupBy("bucket")
-    leader = F.min(F.struct(F.col("name").isNull().alias("null"), "name", "digest"))
-    hot = buckets.agg(F.count(F.lit(1)).alias("n"), leader.alias("first")).filter(F.col("n") >= F.lit(least_df(n_docs, theta / 2)))
-    found = [tuple(r) for r in hot.select("bucket", "first.name", "first.digest").collect()]
+    buckets = sketched.select("name", "digest", F.explode("bands").alias("bucket")).filter("bucket <> 0")
+    hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.lit(least_df(n_docs, theta / 2)))
+    hot = cut(hot.select("bucket"))  # at most 2 * PLAIN_BANDS / theta
+    inside = sketched.select("name", "digest", "sketch", F.explode("bands").alias("bucket")).join(F.broadcast(hot), "bucket")
+    first = F.min(F.struct(F.col("name").isNull().alias("null"), "name", "digest", "sketch"))
+    found = [tuple(r) for r in inside.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.name", "first.digest", "first.sketch").collect()]
+    n_inside = inside.select("name", "digest").distinct().count() if found else 0
     discard(sketched)
-    return Copies(found), n_docs, size, theta
+    return Copies(found), n_docs - n_inside, size, theta
 
 
 def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, int, float]:
@@ -204,7 +230,7 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
 
     The result is bounded by ``MOST_FREQUENT`` in any case, and usually a few thousand.
     """
-    copies, n_docs, size, theta = large_groups(docs, key, text)
+    copies, n_single, size, theta = large_groups(docs, key, text)
     pairs = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("docs", LongType())])
     names = ["id", "n", "docs"]
     groups_of_copies = docs.sparkSession.sparkContext.broadcast(copies)
@@ -217,7 +243,7 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
                 of, ids, _ = shingle_counts(raw, offsets)
                 n = len(offsets) - 1
                 if len(known.buckets):
-                    kept = known.counted(batch.column(0), batch.column(1), plain_bands(of, ids, n), lo, seen)
+                    kept = known.counted(batch.column(0), batch.column(1), *plain_sketch(of, ids, n), lo, seen)
                     ids, n = ids[kept[of]], int(kept.sum())
                 yield ids, n
 
@@ -249,7 +275,7 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
     # Small tasks are put together, up to a block of documents or of shingles, so that half the
     # share of a block is more than a document or two.
     texts = docs.select(name_of(key).alias("name"), digest_of(text).alias("digest"), text)
-    some = texts.coalesce(max(1, n_docs // BLOCK_DOCS, size // BLOCK_SHINGLES))  # never more than there are
+    some = texts.coalesce(max(1, n_single // BLOCK_DOCS, size // BLOCK_SHINGLES))  # never more than there are
     reports = cut(some.mapInArrow(report, pairs).groupBy("id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     # How many documents count; a leader may have been met in several tasks, if its row is repeated.
     n_counted = reports.filter("id = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
