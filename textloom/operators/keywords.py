@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import normalize_text, ordered_distinct
-from textloom.operators.ordering import cut_table, shuffle_partitions
-from textloom.operators.vocabulary import STOPWORDS
+from textloom.operators.ordering import BROADCAST_ROWS, cut_table, hash_order, shuffle_partitions
+from textloom.operators.plugins import ClosedClassTagger, Tagger
 
 MAX_WINDOW, GRAM, THRESHOLD, MIN_TERM = 5, 3, 0.8, 3
 #: Measures of similarity, from the sizes of two feature sets and of what they share.
@@ -24,15 +26,21 @@ SIZES = {
     "cosine": lambda n, t: (n * t * t, n / (t * t)),
     "overlap": lambda n, t: (F.lit(0.0), F.lit(1e18)),
 }
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
-SENTENCE_END = r"(?<=[.!?])\s+|\n+"
+
+
+def bound(value: Column, f: Callable[[Column], Column], kind: str) -> Column:
+    """``f`` of ``value``, an array that is made only once however often ``f`` uses it; ``kind`` is the type of the result's items."""
+    return F.aggregate(F.array(value), F.array().cast(f"array<{kind}>"), lambda _, x: f(x))
 
 
 def char_grams(text: Column, size: int = GRAM) -> Column:
-    """Character grams; short texts are padded. Repeated grams are told apart by a number."""
+    """Hashes of character grams; short texts are padded. Repeated grams are told apart by a number.
+
+    In the sorted array a gram's number is its distance from the first one like it.
+    """
     padded = F.rpad(text, F.greatest(F.length(text), F.lit(size)), "\u0001")
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (size - 1)), lambda i: F.substring(padded, i, F.lit(size)))
-    return F.transform(grams, lambda g, i: F.struct(g.alias("gram"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).alias("nth")))
+    return bound(F.array_sort(grams), lambda xs: F.transform(xs, lambda g, i: F.xxhash64(g, i - F.array_position(xs, g).cast("int"))), "bigint")
 
 
 def term_index(terms: DataFrame, term: str, min_length: int = MIN_TERM, size: int = GRAM) -> DataFrame:
@@ -43,29 +51,42 @@ def term_index(terms: DataFrame, term: str, min_length: int = MIN_TERM, size: in
 
 
 def _probes(grams: str, n: str, measure: str, threshold: float) -> Column:
-    """The grams that a partner must share one of: the first few in the order of their hashes.
+    """The grams that a partner must share one of: the first few of an array in the common order.
 
     A partner shares at least as many grams as the least partner has; so it has one of the others.
     """
     needed = F.ceil(SIZES[measure](F.col(n), threshold)[0] - 1e-9).cast("int")
-    hashed = F.array_sort(F.transform(grams, lambda g: F.xxhash64(g["gram"], g["nth"])))
-    return F.slice(hashed, F.lit(1), F.least(F.col(n), F.col(n) - needed + 1))
+    return F.slice(F.col(grams), F.lit(1), F.least(F.col(n), F.col(n) - needed + 1))
+
+
+def _rarest_first(rows: DataFrame, name: str, grams: str, counts: DataFrame, few: bool) -> DataFrame:
+    """(name, grams): the grams in the order of how many terms have them, then by hash."""
+    each = rows.select(name, F.explode(grams).alias("g"))
+    each = each.join(F.broadcast(counts) if few else counts, F.col("g") == F.col("_gram"), "left")
+    return each.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_terms", F.lit(0)).alias("n"), "g"))).alias("x")).select(name, F.transform("x", lambda x: x["g"]).alias("grams"))
 
 
 def fuzzy_match(texts: DataFrame, text: str, index: DataFrame, threshold: float = THRESHOLD, measure: str = "jaccard", size: int = GRAM) -> DataFrame:
     """(text, term, n_text, n_term, similarity) of the distinct texts and terms that are alike enough.
 
-    Candidates come from an equi-join on a few grams of each side, with the sizes bounded; what
-    they share is then counted exactly.
+    Candidates come from an equi-join on the rarest grams of each side, within the sizes that a
+    partner may have; a pair is taken at the first gram that both look for, and what it shares is
+    counted exactly. Both sides' grams are written to the shared folder, as they are used twice.
     """
     asked = texts.select(F.col(text).alias("text")).filter(F.col("text") != "").distinct()
+    index = cut_table(index.select("term", "n_term", "grams"))
     if measure != "overlap":
-        # Texts too long for every term meet none; counting repeated grams takes the square of the length.
-        longest = F.broadcast(index.agg(F.max("n_term").alias("_longest")))
-        asked = asked.join(longest, F.length("text") - (size - 1) <= SIZES[measure](F.col("_longest"), threshold)[1] + 1e-9).drop("_longest")
-    own = asked.repartition(shuffle_partitions(texts.sparkSession), "text").withColumn("_own", char_grams(F.col("text"), size)).withColumn("n_text", F.size("_own"))
-    left = own.select("text", "n_text", "_own", F.explode(_probes("_own", "n_text", measure, threshold)).alias("_probe"))
-    right = index.select("term", "n_term", "grams", F.explode(_probes("grams", "n_term", measure, threshold)).alias("_met"))
+        # Texts too long or too short for every term meet none.
+        ends = F.broadcast(index.agg(F.max("n_term").alias("_longest"), F.min("n_term").alias("_shortest")))
+        n = F.greatest(F.length("text") - (size - 1), F.lit(1))
+        asked = asked.join(ends, (n <= SIZES[measure](F.col("_longest"), threshold)[1] + 1e-9) & (n >= SIZES[measure](F.col("_shortest"), threshold)[0] - 1e-9)).select("text")
+    own = cut_table(asked.repartition(shuffle_partitions(texts.sparkSession), "text").withColumn("grams", char_grams(F.col("text"), size)))
+    counts = cut_table(index.select(F.explode("grams").alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_terms")))
+    few = counts.count() <= BROADCAST_ROWS
+    left = _rarest_first(own, "text", "grams", counts, few).select("text", F.size("grams").alias("n_text"), F.col("grams").alias("_own"))
+    right = _rarest_first(index, "term", "grams", counts, few).select("term", F.size("grams").alias("n_term"), F.col("grams").alias("_theirs"))
+    left = left.withColumn("_look", _probes("_own", "n_text", measure, threshold)).withColumn("_probe", F.explode("_look"))
+    right = right.withColumn("_seek", _probes("_theirs", "n_term", measure, threshold)).withColumn("_met", F.explode("_seek"))
     fits = F.lit(True)
     if measure != "overlap":  # whose sizes have no bound
         # A term is met under each size that a partner may have, so hot grams join only within sizes.
@@ -74,32 +95,32 @@ def fuzzy_match(texts: DataFrame, text: str, index: DataFrame, threshold: float
         fits = F.col("n_text") == F.col("_size")
     low, high = SIZES[measure](F.col("n_text"), threshold)
     band = (F.col("n_term") >= low - 1e-9) & (F.col("n_term") <= high + 1e-9)
-    met = left.join(right, (F.col("_probe") == F.col("_met")) & fits & band)
-    scored = met.withColumn("similarity", MEASURES[measure](F.col("n_text"), F.col("n_term"), F.size(F.array_intersect("_own", "grams"))))
-    return scored.filter(F.col("similarity") >= threshold - 1e-12).select("text", "term", "n_text", "n_term", "similarity").distinct()
+    first = F.col("_probe") == F.element_at(F.array_intersect("_look", "_seek"), 1)
+    met = left.join(right, (F.col("_probe") == F.col("_met")) & fits & band & first)
+    scored = met.withColumn("similarity", MEASURES[measure](F.col("n_text"), F.col("n_term"), F.size(F.array_intersect("_own", "_theirs"))))
+    return scored.filter(F.col("similarity") >= threshold - 1e-12).select("text", "term", "n_text", "n_term", "similarity")
 
 
-def candidate_spans(docs: DataFrame, key: str, text: str, max_window: int = MAX_WINDOW, function_words: tuple[str, ...] = STOPWORDS) -> DataFrame:
+def candidate_spans(docs: DataFrame, key: str, text: str, max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
     """(key, start, end, span): runs of up to ``max_window`` tokens within a sentence that may be terms.
 
-    Tokens are runs of letters and digits, or single marks, counted through the text. A span
-    doesn't begin or end with a function word, begin with a mark, or be a single number. The
-    function words stand in for a tagger's closed classes.
+    Tokens come from the tagger and are counted through the text. A span doesn't begin or end with
+    a token of a closed class, begin with a mark, or be a single stop word or number. Keys are unique.
     """
-    sentences = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END), lambda s: F.trim(s) != "")
-    tokens = F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)))
-    # Where each sentence begins, in tokens.
-    sized = docs.select(F.col(key), tokens.alias("_s")).withColumn("_before", F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.aggregate(F.slice("_s", F.lit(1), i - 1), F.lit(0), lambda a, x: a + F.size(x))))
-    each = sized.filter(F.size("_s") > 0).select(key, F.inline(F.arrays_zip(F.col("_s").alias("t"), F.col("_before").alias("at"))))
-    n = F.size("t")
-    starts = each.filter(n > 0).select(key, "t", "at", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    spans = starts.select(key, "at", "t", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_window), n - F.col("i")))).alias("len"))
-    first, last = F.lower(F.col("t")[F.col("i")]), F.lower(F.col("t")[F.col("i") + F.col("len") - 1])
-    word = r"^[\p{L}\p{N}]+$"
-    number = (F.col("len") == 1) & first.rlike(r"^\p{N}+$")
-    valid = ~first.isin(*function_words) & ~last.isin(*function_words) & first.rlike(word) & ~number
-    start = F.col("at") + F.col("i")
-    return spans.filter(valid).select(key, start.cast("int").alias("start"), (start + F.col("len")).cast("int").alias("end"), F.array_join(F.slice("t", F.col("i") + 1, F.col("len")), " ").alias("span"))
+    tagger = tagger or ClosedClassTagger()
+    sentences = docs.select(F.col(key), F.posexplode(tagger.sentences(F.col(text))).alias("pos", "s"))
+    tokens = sentences.select(key, "pos", tagger.tokens(F.col("s")).alias("t")).withColumn("tags", tagger.tags(F.col("t"))).withColumn("n", F.size("t"))
+    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.withColumn("at", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("int")).filter("n > 0")
+
+    def of(i: Column, length: Column) -> Column:
+        first, last = F.col("tags")[i], F.col("tags")[i + length - 1]
+        alone = (length == 1) & (first["stop"] | first["number"])
+        valid = ~first["closed"] & ~last["closed"] & ~first["mark"] & ~alone
+        return F.when(valid, F.struct((F.col("at") + i).alias("start"), (F.col("at") + i + length).alias("end"), F.array_join(F.slice("t", i + 1, length), " ").alias("span")))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_window), F.col("n") - i)), lambda length: of(i, length))))
+    return placed.select(key, F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 
 def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
@@ -120,13 +141,13 @@ def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key, "_run").agg(ordered.alias("_all")).select(key, F.inline(chosen)).select(key, "start", "end", "match")
 
 
-def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: float = THRESHOLD, measure: str = "jaccard", max_window: int = MAX_WINDOW) -> DataFrame:
+def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: float = THRESHOLD, measure: str = "jaccard", max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with ``keywords``: the terms found, in text order without repeats, joined by a comma and a space.
 
     Only distinct normalised spans meet the index of terms. The spans are used twice, so they are
     written to the shared folder once.
     """
-    spans = cut_table(candidate_spans(docs, key, text, max_window).withColumn("_normal", normalize_text("span"))).filter("_normal <> ''")
+    spans = cut_table(candidate_spans(docs, key, text, max_window, tagger).withColumn("_normal", normalize_text("span"))).filter("_normal <> ''")
     found = fuzzy_match(spans, "_normal", term_index(terms, term), threshold, measure)
     matches = spans.join(found.select(F.col("text").alias("_text"), "term", "n_term"), F.col("_normal") == F.col("_text"))
     kept = resolve_overlaps(matches.select(key, "start", "end", "term", "n_term"), key)
@@ -139,3 +160,14 @@ def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, ter
 def terms_from_lines(spark: SparkSession, path: str) -> DataFrame:
     """(term): the stripped lines of a text file that aren't blank."""
     return spark.read.text(path).select(F.trim("value").alias("term")).filter("term <> ''")
+
+
+def keywords_if_absent(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, **options) -> DataFrame:
+    """``docs`` as they are if they have a column ``keywords``; else with keywords extracted."""
+    return docs if "keywords" in docs.columns else extract_keywords(docs, key, text, terms, term, **options)
+
+
+def given_or_extracted(docs: DataFrame, key: str, given: str, seed: int = 42, keywords: str = "keywords") -> DataFrame:
+    """``docs`` whose keywords are, for about half of the keys by hash, the given ones instead; null if none are given."""
+    half = F.substring(hash_order(F.col(key), seed), 1, 1) < "8"
+    return docs.withColumn(keywords, F.when(half, F.col(keywords)).otherwise(F.col(given)))

@@ -17,6 +17,7 @@ from textloom.functions.prompts import judge_prompt, pair_prompt
 from textloom.functions.scores import cosine, extract_score, windowed_similarity
 from textloom.functions.text import bleu_tokens
 from textloom.operators.chunks import token_windows, truncate_tokens
+from textloom.operators.vocabulary import STOPWORDS
 
 
 class Tokenizer(Protocol):
@@ -25,6 +26,18 @@ class Tokenizer(Protocol):
     def ids(self, text: Column) -> Column: ...
 
 
+class Tagger(Protocol):
+    """Sentences of a text, tokens of a sentence, and of each token whether it is of a closed class
+    (conjunctions, prepositions, articles), a stop word, a number or a mark: structs of closed,
+    stop, number and mark."""
+
+    def sentences(self, text: Column) -> Column: ...
+
+    def tokens(self, sentence: Column) -> Column: ...
+
+    def tags(self, tokens: Column) -> Column: ...
+
+
 class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
 
@@ -50,6 +63,23 @@ class WordTokenizer:
         return F.transform(self.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.size)).cast("int"))
 
 
+@dataclass(frozen=True)
+class ClosedClassTagger:
+    """Sentences end at marks or line breaks; a list of function words stands in for closed classes and stop words."""
+
+    function_words: tuple[str, ...] = STOPWORDS
+
+    def sentences(self, text: Column) -> Column:
+        return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
+
+    def tokens(self, sentence: Column) -> Column:
+        return F.regexp_extract_all(sentence, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
+
+    def tags(self, tokens: Column) -> Column:
+        closed = lambda t: F.lower(t).isin(*self.function_words)
+        return F.transform(tokens, lambda t: F.struct(closed(t).alias("closed"), closed(t).alias("stop"), t.rlike(r"^\p{N}+$").alias("number"), (~t.rlike(r"^[\p{L}\p{N}]")).alias("mark")))
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
     """Counts of words by hash, in ``size`` dimensions."""
