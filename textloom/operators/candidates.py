@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.scores import keyword_overlap, known, mean_of
 from textloom.functions.text import normalize_text
+from textloom.operators.ordering import ordinal_within
 
 #: Columns of the wide table, by what they are called in the long one.
 LONG = {"response": "response", "similarity_score": "similarity_score", "educational_score": "educational_score", "bleu_score": "bleu_score", "cumulative_score": "cumulative_score"}
@@ -70,10 +71,24 @@ def worst(candidates: DataFrame, n: int, sort: str = "avg") -> DataFrame:
 
 
 def score_statistics(wide: DataFrame, scores: tuple[str, ...] = ("similarity_score", "cumulative_score")) -> DataFrame:
-    """mean, max, min and median of each kind of score over all candidates; NaN is left out."""
+    """mean, max, min and median of each kind of score over all candidates; NaN is left out.
+
+    The median is exact, by ranks that are found without a task that sees all of a kind's scores.
+    """
     numbers = candidate_numbers(wide)
     values = F.array(*[F.struct(F.lit(s).alias("metric"), known(F.col(f"{s}_{i}")).alias("value")) for s in scores for i in numbers])
-    return wide.select(F.inline(values)).groupBy("metric").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.median("value").alias("median"))
+    long = wide.select(F.inline(values))
+    plain = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.count("value").alias("_n"))
+    ranked = ordinal_within(long.filter("value is not null"), "metric", [F.col("value")], ["value"], name="_rank")
+    sizes = F.broadcast(plain.select(F.col("metric").alias("_metric"), "_n"))  # a row for each kind
+    middle = ranked.join(sizes, F.col("metric") == F.col("_metric")).filter(F.col("_rank").isin(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1))
+    medians = middle.groupBy(F.col("metric").alias("_metric")).agg(F.avg("value").alias("median"))
+    return plain.join(medians, F.col("metric") == F.col("_metric"), "left").select("metric", "mean", "max", "min", "median")
+
+
+def below_score(candidates: DataFrame, most: float = 6.0, score: str = "educational_score") -> DataFrame:
+    """The candidates with a score below ``most``; those without a score go."""
+    return candidates.filter(known(F.col(score)) < most)
 
 
 def with_any(candidates: DataFrame, flag: str, group: str = "example_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import parse_literal_list, split_words
+from textloom.functions.text import normalize_text, parse_literal_list, split_words
 from textloom.operators.ordering import hash_order, with_ordinal
 
 
@@ -34,6 +34,13 @@ def encode_codes(df: DataFrame, key: str, codes: str, numbers: DataFrame) -> Dat
     return rows.select(key, F.array_join(F.transform("rows", lambda x: x["number"].cast("string")), " ").alias("numbers"))
 
 
+def originals_of(terms: DataFrame, term: str, ordinal: str) -> DataFrame:
+    """(normal, originals): a reverse dictionary, the terms that have one normal form, in the order of ``ordinal``."""
+    rows = terms.select(normalize_text(term).alias("normal"), F.struct(F.col(ordinal).alias("at"), F.col(term).alias("term")).alias("x")).distinct()
+    grouped = rows.groupBy("normal").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    return grouped.select("normal", F.array_distinct(F.transform("rows", lambda x: x["term"])).alias("originals"))
+
+
 def original_keywords(df: DataFrame, key: str, keywords: str, originals: DataFrame, normal: str, original: str, ordinal: str) -> DataFrame:
     """(key, originals): list literals of normalised keywords, each replaced by the first original with that form."""
     first = originals.groupBy(F.col(normal).alias("_normal")).agg(F.min_by(original, ordinal).alias("_original"))
@@ -50,18 +57,31 @@ def draw(seed: int, n: Column | int, *parts: Column | str) -> Column:
     return (value % (F.lit(n) if isinstance(n, int) else n) + 1).cast("int")
 
 
+#: Dictionaries of at most so many codes are ranked whole for each sample; of larger ones, codes are drawn by number.
+FEW_CODES = 64
+
+
 def random_code_sets(samples: DataFrame, sample: str, terms: DataFrame, max_codes: int, max_terms: int, seed: int) -> DataFrame:
     """(sample, codes, n_codes, keywords, n_kws): random codes for each sample, and terms of each.
 
     A sample draws its number of codes and, once for all of them, its number of terms; codes and
-    terms are the first in hash order, without repeats. ``terms`` is a dictionary of bounded size
-    (code, terms). Samples without terms are dropped.
+    terms are the first in hash order, without repeats. Each sample draws numbers of codes, more
+    than it needs, and takes the first different ones; they meet the dictionary in a join on the
+    number. A dictionary of few codes goes with every sample instead. Samples without terms are
+    dropped.
     """
     wanted = samples.select(F.col(sample).alias("sample"), draw(seed, max_codes, "n", F.col(sample)).alias("_codes"), draw(seed, max_terms, "k", F.col(sample)).alias("_terms"))
-    every = wanted.join(terms.select("code", "terms"))
-    order = Window.partitionBy("sample").orderBy(hash_order(F.concat_ws("~", F.col("sample").cast("string"), "code"), seed), "code")
-    chosen = every.withColumn("_rank", F.row_number().over(order)).filter("_rank <= _codes")
-    return _assemble(chosen, seed)
+    numbered = code_numbers(terms, "code").join(terms.select(F.col("code").alias("_code"), "terms"), F.col("code") == F.col("_code")).drop("_code")
+    n = numbered.count()
+    if n <= max(FEW_CODES, 2 * max_codes):
+        few = F.array(*[F.lit(r["code"]) for r in numbered.select("code").collect()]) if n else F.array().cast("array<string>")
+        hashed = F.array_sort(F.transform(few, lambda c: F.struct(F.md5(F.concat_ws("~", F.col("sample").cast("string"), c, F.lit(str(seed)))).alias("h"), c.alias("code"))))
+        chosen = wanted.select("sample", "_terms", F.posexplode(F.slice(hashed, F.lit(1), F.col("_codes"))).alias("_rank", "x")).select("sample", "_terms", "_rank", F.col("x.code").alias("code"))
+        return _assemble(chosen.join(terms.select("code", "terms"), "code"), seed)
+    draws = F.transform(F.sequence(F.lit(1), F.lit(4 * max_codes + 16)), lambda k: draw(seed, n, "code", F.col("sample"), k) - 1)
+    numbers = F.slice(F.array_distinct(draws), F.lit(1), F.col("_codes"))
+    drawn = wanted.withColumn("_numbers", numbers).select("sample", "_terms", F.posexplode("_numbers").alias("_rank", "_number"))
+    return _assemble(drawn.join(numbered, F.col("_number") == F.col("number")), seed)
 
 
 def associated_code_sets(samples: DataFrame, sample: str, principal: str, associated: str, terms: DataFrame, max_codes: int, max_terms: int, seed: int) -> DataFrame:

@@ -20,6 +20,11 @@ def label_counts(df: DataFrame, key: str, codes: str) -> DataFrame:
     return each.groupBy("label").agg(F.count(F.lit(1)).alias("n"), first["k"].alias("first_key"), first["pos"].alias("first_pos"))
 
 
+def distinct_labels(df: DataFrame, codes: str) -> DataFrame:
+    """(label): the labels that are there."""
+    return df.select(F.explode(label_array(codes)).alias("label")).distinct()
+
+
 def top_labels(counts: DataFrame, n_keep: int = 50, percentage: float | None = None) -> DataFrame:
     """The most frequent labels, ties by first occurrence: ``percentage`` of all (rounded down) if given, else ``n_keep``."""
     n = int(counts.count() * percentage / 100) if percentage else n_keep
