@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.bleu import sentence_bleu
 from textloom.operators.candidates import add_cumulative, add_keyword_overlap, candidate_numbers, score_statistics, unpivot_candidates, zip_positional
 from textloom.operators.plugins import EchoGenerator, Embedder, Generator, HashEmbedder, HeuristicJudge, Judge, Tokenizer, WordTokenizer, add_judge_score, add_similarity, generate_candidates
 from textloom.operators.preferences import binary_set, preference_pairs, supervised_set
-from textloom.sources.readers import read_table
-from textloom.sources.writers import write_table
+from textloom.functions.prompts import instruction_prompt
+from textloom.operators.keywords import given_or_extracted, keywords_if_absent
+from textloom.operators.labels import keep_labels, label_counts, top_labels
+from textloom.operators.metrics import all_metrics
+from textloom.sources.readers import read_folder, read_table
+from textloom.sources.writers import write_by_file, write_counted, write_table
 
 JUDGE_TEMPLATE = "Rate this text from 0 to 1.\n{INSTRUCTION}"
 
@@ -55,18 +60,49 @@ def supervised_run(spark: SparkSession, seed_path: str, out: str, models: Models
     models = models or Models()
     seed = read_table(spark, seed_path, "row")
     seed = seed if n_prompts < 0 else seed.filter(F.col("row") < n_prompts)
-    paths = {name: f"{out}/{name}" for name in ("generated", "scored", "statistics", "sft", "kto", "dpo")}
-    write_table(generate_candidates(seed.select("row", "instruction"), "instruction", models.generator, n_candidates), paths["generated"])
-    write_table(score_candidates(seed, read_table(spark, paths["generated"]), models), paths["scored"])
+    paths = {name: f"{out}/{name}" for name in ("generated", "scored", "statistics", "sft", "kto", "dpo", "counts")}
+    rows = {"generated": write_counted(generate_candidates(seed.select("row", "instruction"), "instruction", models.generator, n_candidates), paths["generated"])}
+    rows["scored"] = write_counted(score_candidates(seed, read_table(spark, paths["generated"]), models), paths["scored"])
     wide = read_table(spark, paths["scored"])
     write_table(score_statistics(wide), paths["statistics"])
     candidates = unpivot_candidates(wide)
-    write_table(supervised_set(candidates, top_n, sort), paths["sft"])
-    write_table(binary_set(candidates, top_n, sort), paths["kto"])
-    write_table(preference_pairs(candidates, top_n, sort), paths["dpo"])
+    rows["sft"] = write_counted(supervised_set(candidates, top_n, sort), paths["sft"])
+    rows["kto"] = write_counted(binary_set(candidates, top_n, sort), paths["kto"])
+    rows["dpo"] = write_counted(preference_pairs(candidates, top_n, sort), paths["dpo"])
+    write_table(spark.createDataFrame(list(rows.items()), "stage string, n bigint"), paths["counts"])
     return paths
 
 
+def preprocessing_run(spark: SparkSession, folder: str, out: str, template: str, terms: DataFrame, term: str, random_extraction: bool = False, **options) -> DataFrame:
+    """Turns a folder of reports into a supervised seed, an output folder for each input file; what was written.
+
+    Keywords are extracted unless the files have them, with ``random_extraction`` for about half of
+    the rows, the others taking those in ``definitions``. The prompt goes into ``instruction``, and
+    ``text`` becomes ``response``.
+    """
+    reports = read_folder(spark, folder, "_row")
+    keyed = reports.withColumn("_row", F.concat_ws("~", "file", "_row"))
+    text = "text" if "text" in reports.columns else "response"
+    done = keywords_if_absent(keyed, "_row", text, terms, term, **options)
+    if random_extraction:
+        done = given_or_extracted(done, "_row", "definitions")
+    done = done.withColumn("instruction", instruction_prompt(template, F.coalesce("keywords", F.lit("")))).withColumnRenamed("text", "response").drop("_row")
+    write_by_file(done, out)
+    return spark.read.parquet(out)
+
+
+def evaluate(train: DataFrame, sets: dict[str, DataFrame], key: str, text: str, codes: str, logit: Callable[[str, str], Column], n_keep: int = 50, percentage: float | None = None, max_labels: int = 10) -> DataFrame:
+    """A row of metrics for each named set: the labels kept are scanned from ``train``, then all sets are scored together.
+
+    ``logit`` takes the names of the text's and the label's column and gives the model's score.
+    """
+    kept = [r["label"] for r in top_labels(label_counts(train, key, codes), n_keep, percentage).select("label").collect()]
+    each = F.explode(F.array(*[F.lit(x) for x in kept])).alias("label")
+    parts = [keep_labels(df, codes, kept, max_labels, text).select(F.lit(name).alias("dataset"), F.col(key).alias("sample"), F.col(text).alias("text"), "labels", each) for name, df in sets.items()]
+    long = reduce(DataFrame.unionByName, parts)
+    return all_metrics(long.select("dataset", "sample", "label", F.array_contains("labels", F.col("label")).cast("int").alias("y"), logit("text", "label").alias("logit")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

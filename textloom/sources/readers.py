@@ -6,33 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import base_name, newline_to_space, normalize_text, split_words
+from textloom.operators.ordering import with_ordinal
 
 
 def read_table(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
-    """A Parquet table; ``ordinal`` names a column for the row's place, which one file defines."""
+    """A Parquet table; ``ordinal`` names a column for the row's place from 0 on, over several files in the order of their paths."""
     df = spark.read.parquet(path)
-    return df.select("*", F.col("_metadata.row_index").alias(ordinal)) if ordinal else df
+    if not ordinal:
+        return df
+    if len(df.inputFiles()) <= 1:
+        return df.select("*", F.col("_metadata.row_index").alias(ordinal))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    ranked = with_ordinal(placed, F.col("_path"), F.col("_index"), name=ordinal)
+    return ranked.select(*df.columns, (F.col(ordinal) - 1).alias(ordinal))
 
 
 def read_pair(spark: SparkSession, private: str, public: str, ordinal: str = "row") -> tuple[DataFrame, DataFrame]:
     return read_table(spark, private, ordinal), read_table(spark, public, ordinal)
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All Parquet files of a folder, with ``file``, the name of each row's file without extension."""
+def read_folder(spark: SparkSession, folder: str, row: str | None = None) -> DataFrame:
+    """All Parquet files of a folder, with ``file``, the name of each row's file without extension, and its place there as ``row``."""
     df = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
-    return df.withColumn("file", base_name(F.col("_metadata.file_name")))
+    own = [F.col("_metadata.row_index").alias(row)] if row else []
+    return df.select("*", *own, base_name(F.col("_metadata.file_name")).alias("file"))
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], separator: str = ",") -> DataFrame:
-    """A CSV table with a header, quoted line breaks allowed, all strings; a missing column is an error."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', sep=separator, inferSchema=False)
+def read_csv(spark: SparkSession, path: str, columns: list[str], separator: str = ",", line_breaks: bool = True) -> DataFrame:
+    """A CSV table with a header, all strings; a missing column is an error.
+
+    With ``line_breaks``, quoted fields may have them, and each file is one task; without, large
+    files are split.
+    """
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', sep=separator, inferSchema=False)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
     return df.select(*columns)
 
 
+def sample_lines(spark: SparkSession, path: str, n: int, columns: list[str], separator: str = ",", seed: int = 42) -> DataFrame:
+    """``n`` random rows of a CSV file without line breaks in fields, or all if there are fewer; the same for the same files."""
+    df = read_csv(spark, path, columns, separator, line_breaks=False)
+    return df.withColumn("_at", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).orderBy("_at").limit(n).drop("_at")
+
+
 def read_code_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, ["dictionary_keys", "code"])
 
@@ -57,3 +75,14 @@ def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     """(word, n) from a Parquet table or JSON lines."""
     df = spark.read.schema("word string, n bigint").json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
     return df.select("word", F.col("n").cast("bigint").alias("n"))
+
+
+def read_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """(term, definition) from a Parquet table or JSON lines; blank terms are left out."""
+    df = spark.read.schema("term string, definition string").json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    return df.select("term", "definition").filter(F.trim("term") != "")
+
+
+def read_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The words of a text file, one a line, for wherever function words are an argument."""
+    return tuple(sorted({r[0] for r in spark.read.text(path).select(F.lower(F.trim("value"))).filter("trim(value) <> ''").collect()}))
