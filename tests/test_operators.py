@@ -231,11 +231,16 @@ def test_queries_over_whole_documents(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     every = __spark_entry__.queries()
-    for name in ("judge_prompt_documents", "generation_stub", "judge_stub", "keyword_extraction", "resolve_overlaps_documents", "candidate_spans_documents"):
+    for name in ("judge_prompt", "generation_stub", "judge_stub", "keyword_extraction", "resolve_overlaps", "candidate_spans"):
         assert {r["doc_id"] for r in every[name](spark, str(tmp_path)).select("doc_id").collect()} == set(range(20)), name
-    for name in ("pair_prompt_documents", "embed_stub"):
+    for name in ("pair_prompt", "embed_stub"):
         assert {r["doc_id"] for r in every[name](spark, str(tmp_path)).select("doc_id").collect()} == set(range(19)), name
 
+    spans = [(r["doc_id"], r["start"], r["end"], len(r["span"]), r["span"]) for r in keywords.candidate_spans(docs, "doc_id", "text").collect()]
+    chosen = every["resolve_overlaps"](spark, str(tmp_path)).collect()
+    for i in range(20):
+        assert {(r["start"], r["end"], r["match"]) for r in chosen if r["doc_id"] == i} == greedy([x[1:] for x in spans if x[0] == i])
+
     terms = [r["word"] for r in vocabulary.filter_vocabulary(vocabulary.word_counts(docs, "text")).collect()]
     assert terms
     grams = lambda t: {(t[i : i + 3], sum(t[j : j + 3] == t[i : i + 3] for j in range(i + 1))) for i in range(len(t) - 2)}
@@ -247,3 +252,95 @@ def test_queries_over_whole_documents(spark, tmp_path):
                 found.setdefault(r["doc_id"], []).append((r["start"], r["end"], len(b), t))
     want = {i: ", ".join(dict.fromkeys(t for _, _, t in sorted(greedy(found.get(i, []))))) for i in range(20)}
     assert {r["doc_id"]: r["keywords"] for r in every["keyword_extraction"](spark, str(tmp_path)).collect()} == want
+
+
+def test_bleu_of_odd_rows(spark):
+    rows = [(1, None, "a b"), (2, "a b", None), (3, "", ""), (4, "a " * 50_000, "a " * 40_000), (5, "x y z", "x y z"), (5, "x y z", "q")]
+    got = bleu.sentence_bleu(spark.createDataFrame(rows, "k long, h string, r string"), "k", "h", "r").collect()
+    want = [plain_bleu(*[(t or "").split() for t in r[1:]]) for r in rows]
+    assert sorted((r["k"], r["bleu_score"]) for r in got) == [(k, pytest.approx(w)) for k, w in sorted((r[0], w) for r, w in zip(rows, want, strict=True))]
+
+
+def test_grams_number_repeats(spark):
+    texts = ["aaaaaa", "abcabcabc", "a", "", "xyz"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keywords.char_grams(F.col("t")).alias("g")).collect()
+    for r in rows:
+        t = r["t"].ljust(3, "\u0001")
+        assert len(r["g"]) == len(set(r["g"])) == max(1, len(t) - 2)
+    both = {r["t"]: set(r["g"]) for r in rows}
+    assert len(both["aaaaaa"]) == 4 and not both["xyz"] & both["aaaaaa"]
+
+
+def test_codes_drawn_by_number(spark):
+    terms = spark.createDataFrame([(f"c{i:03}", [f"t{i}", f"u{i}"]) for i in range(500)], "code string, terms array<string>")
+    rows = codes.random_code_sets(spark.range(400).withColumnRenamed("id", "s"), "s", terms, 3, 2, 1).collect()
+    assert len(rows) == 400 and all(len(set(r["codes"].split())) == r["n_codes"] <= 3 for r in rows)
+    assert len({c for r in rows for c in r["codes"].split()}) > 300
+
+
+def test_median_by_ranks(spark):
+    rnd = random.Random(2)
+    for n in (1, 2, 7, 100):
+        values = [rnd.choice([0.25, rnd.random()]) for _ in range(n)]
+        wide = spark.createDataFrame([(i, "r", v, v / 2) for i, v in enumerate(values)], "example_id long, response_1 string, similarity_score_1 double, cumulative_score_1 double")
+        got = {r["metric"]: r["median"] for r in candidates.score_statistics(wide).collect()}
+        ordered_values = sorted(values)
+        assert got["similarity_score"] == pytest.approx((ordered_values[(n - 1) // 2] + ordered_values[n // 2]) / 2)
+
+
+def test_ordinals_with_clashing_names(spark):
+    names = ["ordinal", "at", "part", "row", "group", "_at", "_part", "_first", "_everything", "first", "before", "n"]
+    df = spark.range(50).select("id", *[F.lit(f"mine {c}").alias(c) for c in names])
+    out = ordering.with_ordinal(df, F.col("id").desc()).collect()
+    assert sorted((r["ordinal"], r["id"]) for r in out) == [(50 - i, i) for i in range(49, -1, -1)]
+    assert all(r[c] == f"mine {c}" for r in out for c in names if c != "ordinal")
+
+
+def test_tables_are_discarded(spark):
+    import os
+
+    table = ordering.cut_table(spark.range(5))
+    path = table.cut_path.removeprefix("file:")
+    assert os.path.isdir(path) and table.count() == 5
+    ordering.discard(table, spark.range(1))
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://x:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ordering.checkpoint_dir(Session())
+
+
+def test_given_or_extracted(spark):
+    df = spark.range(200).select("id", F.lit("own").alias("keywords"), F.lit("given").alias("definitions"))
+    got = [r["keywords"] for r in keywords.given_or_extracted(df, "id", "definitions").collect()]
+    assert 60 < got.count("own") < 140 and got.count("own") + got.count("given") == 200
+
+
+def test_a_tagger_of_ones_own(spark):
+    class Upper(plugins.ClosedClassTagger):
+        def tags(self, tokens):
+            return F.transform(tokens, lambda t: F.struct((t != F.upper(t)).alias("closed"), F.lit(False).alias("stop"), F.lit(False).alias("number"), F.lit(False).alias("mark")))
+
+    docs = spark.createDataFrame([(1, "the BIG cat SAT"), (2, None)], "k long, text string")
+    assert {r["span"] for r in keywords.candidate_spans(docs, "k", "text", tagger=Upper()).collect()} == {"BIG", "SAT", "BIG cat SAT"}
+
+
+def test_scores_below(spark):
+    df = spark.createDataFrame([(1, 5.9), (2, 6.0), (3, None), (4, float("nan"))], "k long, educational_score double")
+    assert [r["k"] for r in candidates.below_score(df).collect()] == [1]
+
+
+def test_originals(spark):
+    terms = spark.createDataFrame([("Été", 2), ("ete", 1), ("Autre", 3), ("Été", 2)], "t string, at long")
+    assert {r["normal"]: r["originals"] for r in codes.originals_of(terms, "t", "at").collect()} == {"ete": ["ete", "Été"], "autre": ["Autre"]}
+    notes = spark.createDataFrame([("A001 b2",), (None,), ("a00x",)], "codes string")
+    assert {r["label"] for r in labels.distinct_labels(notes, "codes").collect()} == {"a00", "b2"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,11 @@ from textloom.sources.writers import with_chunk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: What queries with SQL do over the benchmark, here over all documents, where the SQL is too slow.
-WHOLE: dict[str, Query] = {}
 
 INSTRUCTION = "### Instruction\nWrite a text with these keywords.\n### Keywords\n{keywords}{knowledge_base}\n### Output\n"
 PAIR = "A: {TEXT1}\nB: {TEXT2}"
-TOP = 100
+JUDGE = "Rate this.\n{INSTRUCTION}\n"
+TOP, TRAINED, TRUNCATED = preferences.TOP_N, 900, 512
 
 
 def query(f: Query) -> Query:
@@ -28,11 +28,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def whole(f: Query) -> Query:
-    WHOLE[f.__name__] = f
-    return f
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -117,34 +112,17 @@ def instruction_build(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompts.instruction_prompt(INSTRUCTION, words).alias("instruction"))
 
 
-def _pair_prompts(docs, key):
-    left = docs.select(key, F.concat(F.col("text"), F.lit(" {TEXT2}")).alias("a"))
-    right = docs.select((F.col(key) - 1).alias("_i"), F.col("text").alias("b"))
-    return left.join(right, F.col(key) == F.col("_i")).select(key, prompts.pair_prompt(PAIR, F.col("a"), F.col("b")).alias("prompt"))
-
-
-def _judge_prompts(docs, key):
-    return docs.select(key, prompts.judge_prompt("Rate this.\n{INSTRUCTION}\n", F.col("text")).alias("prompt"))
-
-
 @query
 def pair_prompt(spark, sf_dir):
-    return _pair_prompts(table(spark, sf_dir, "benchmark"), "item_id")
-
-
-@whole
-def pair_prompt_documents(spark, sf_dir):
-    return _pair_prompts(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    left = docs.select("doc_id", F.concat(F.col("text"), F.lit(" {TEXT2}")).alias("a"))
+    right = docs.select((F.col("doc_id") - 1).alias("_i"), F.col("text").alias("b"))
+    return left.join(right, F.col("doc_id") == F.col("_i")).select("doc_id", prompts.pair_prompt(PAIR, F.col("a"), F.col("b")).alias("prompt"))
 
 
 @query
 def judge_prompt(spark, sf_dir):
-    return _judge_prompts(table(spark, sf_dir, "benchmark"), "item_id")
-
-
-@whole
-def judge_prompt_documents(spark, sf_dir):
-    return _judge_prompts(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.judge_prompt(JUDGE, F.col("text")).alias("prompt"))
 
 
 @query
@@ -170,6 +148,12 @@ def heading_order_check(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.in_section_order(html, ("<title>", "<nav>", "<article>")).alias("in_order"), text.in_section_order(html, ("<article>", "<title>")).alias("reversed"))
 
 
+@query
+def given_or_extracted(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(text.letter_words("text")), 1, 3), ", ").alias("keywords"), F.col("source").alias("definitions"))
+    return keywords.given_or_extracted(docs, "doc_id", "definitions").select("doc_id", "keywords")
+
+
 # Codes ------------------------------------------------------------------------------------------
 
 
@@ -219,6 +203,22 @@ def assoc_codes(spark, sf_dir):
     return codes.associated_code_sets(own, "order_id", "diagnostic", "others", terms, 3, 2, 42)
 
 
+@query
+def reverse_dictionary(spark, sf_dir):
+    """The originals of each normal form; names are there as they are, in capitals and with a dash."""
+    part = table(spark, sf_dir, "part")
+    forms = F.explode(F.array("p_name", F.upper("p_name"), F.replace("p_name", F.lit(" "), F.lit("-")))).alias("term")
+    found = codes.originals_of(part.select("p_partkey", forms).groupBy("term").agg(F.min("p_partkey").alias("at")), "term", "at")
+    return found.select("normal", F.array_join("originals", "|").alias("originals"))
+
+
+@query
+def random_codes_by_number(spark, sf_dir):
+    """Codes drawn by number from a dictionary that is too large to rank whole: all orders' keys."""
+    terms = table(spark, sf_dir, "orders").select(F.format_string("o%d", "o_orderkey").alias("code"), F.array("o_orderpriority", "o_orderstatus").alias("terms"))
+    return codes.random_code_sets(spark.range(0, 1000).withColumnRenamed("id", "sample"), "sample", terms, 3, 2, 42)
+
+
 # Candidates -------------------------------------------------------------------------------------
 
 
@@ -279,10 +279,25 @@ def dpo_pairs(spark, sf_dir):
 
 @query
 def dpo_trainer_input(spark, sf_dir):
-    rows = preferences.trainer_input(preferences.preference_pairs(candidates_long(spark, sf_dir), TOP), n=50)
+    rows = preferences.trainer_input(preferences.preference_pairs(candidates_long(spark, sf_dir), TOP), n=TRAINED)
     return rows.select("rank", "prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), "split")
 
 
+@query
+def below_score(spark, sf_dir):
+    scored = candidates_long(spark, sf_dir).withColumn("educational_score", F.col("educational_score") * 10)
+    return cand.below_score(scored, 6.0).select("example_id", "candidate_id", six(F.col("educational_score")).alias("educational_score"))
+
+
+@query
+def stage_counts(spark, sf_dir):
+    """The rows at each step from documents to preference pairs, in one row for each step."""
+    long = candidates_long(spark, sf_dir)
+    steps = {"documents": table(spark, sf_dir, "documents"), "candidates": long, "sft": preferences.supervised_set(long, TOP), "kto": preferences.binary_set(long, TOP), "dpo": preferences.preference_pairs(long, TOP)}
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in steps.items()]
+    return reduce(DataFrame.union, counted)
+
+
 @query
 def semi_any_medical(spark, sf_dir):
     flags = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), (F.col("toxic") == 1).alias("medical"))
@@ -301,7 +316,7 @@ def keyword_overlap(spark, sf_dir):
 
 @query
 def bleu_score(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 100_000_000).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     nxt = docs.select((F.col("doc_id") - 1).alias("_d"), F.col("text").alias("other"))
     pairs = docs.join(nxt, F.col("doc_id") == F.col("_d")).select(F.concat(F.lit("n"), "doc_id").alias("pair"), "text", "other")
     own = docs.select(F.concat(F.lit("s"), "doc_id").alias("pair"), F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 7 != 6), " ").alias("text"), F.col("text").alias("other"))
@@ -333,6 +348,11 @@ def label_counts(spark, sf_dir):
     return labels.label_counts(coded_orders(spark, sf_dir, "p_type"), "order_id", "codes")
 
 
+@query
+def distinct_labels(spark, sf_dir):
+    return labels.distinct_labels(coded_orders(spark, sf_dir, "p_type"), "codes")
+
+
 @query
 def label_topk(spark, sf_dir):
     return labels.top_labels(labels.label_counts(coded_orders(spark, sf_dir, "p_type"), "order_id", "codes"), 4).select("label", "n")
@@ -415,42 +435,28 @@ def vocab_filtered(spark, sf_dir):
     return vocabulary.filter_vocabulary(vocabulary.word_counts(table(spark, sf_dir, "documents"), "text"))
 
 
-def part_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_name").distinct()
-
-
 @query
 def fuzzy_match(spark, sf_dir):
-    names = part_names(spark, sf_dir)
-    asked = names.select(F.concat("p_name", F.lit("s")).alias("t")).union(names.select(F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 100))))
-    found = keywords.fuzzy_match(asked, "t", keywords.term_index(names, "p_name"))
+    """Part names and words of the benchmark, each with a letter more and a letter less, against the documents' vocabulary and the part names."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("t"))
+    words = lambda name: table(spark, sf_dir, name).select(F.explode(text.letter_words("text")).alias("t"))
+    terms, said = words("documents").union(names).distinct(), words("benchmark").union(names).distinct()
+    asked = said.select(F.concat("t", F.lit("s")).alias("t")).union(said.select(F.expr("concat(substring(t, 1, 2), substring(t, 4))")))
+    found = keywords.fuzzy_match(asked, "t", keywords.term_index(terms, "t"))
     return found.select("text", "term", six(F.col("similarity")).alias("similarity"))
 
 
 @query
 def candidate_spans(spark, sf_dir):
-    return keywords.candidate_spans(table(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
-@whole
-def candidate_spans_documents(spark, sf_dir):
     return keywords.candidate_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _matches(docs, key):
-    """Spans of the texts that are words of their vocabulary, as matches."""
-    spans = keywords.candidate_spans(docs, key, "text")
-    return spans.filter(F.length("span") % 3 != 0).select(key, "start", "end", F.length("span").alias("n_term"), F.col("span").alias("term"))
-
-
 @query
 def resolve_overlaps(spark, sf_dir):
-    return keywords.resolve_overlaps(_matches(table(spark, sf_dir, "benchmark"), "item_id"), "item_id").select("item_id", "start", "end", "match")
-
-
-@whole
-def resolve_overlaps_documents(spark, sf_dir):
-    return keywords.resolve_overlaps(_matches(table(spark, sf_dir, "documents"), "doc_id"), "doc_id").select("doc_id", "start", "end", "match")
+    """All spans of all documents as matches."""
+    spans = keywords.candidate_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    matches = spans.select("doc_id", "start", "end", F.length("span").alias("n_term"), F.col("span").alias("term"))
+    return keywords.resolve_overlaps(matches, "doc_id").select("doc_id", "start", "end", "match")
 
 
 @query
@@ -512,7 +518,7 @@ def token_chunks_overlapping(spark, sf_dir):
 @query
 def token_truncate(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", chunks.truncate_tokens(F.col("text"), words, 128).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.truncate_tokens(F.col("text"), words, TRUNCATED).alias("text"))
 
 
 @query
@@ -537,7 +543,7 @@ def generation_stub(spark, sf_dir):
 
 @query
 def judge_stub(spark, sf_dir):
-    return plugins.add_judge_score(table(spark, sf_dir, "documents"), "text", plugins.HeuristicJudge(), "Rate this.\n{INSTRUCTION}").select("doc_id", "educational_score")
+    return plugins.add_judge_score(table(spark, sf_dir, "documents"), "text", plugins.HeuristicJudge(), JUDGE).select("doc_id", "educational_score")
 
 
 @query

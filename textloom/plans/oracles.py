@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from textloom.operators.plugins import decoding_parameters
 from textloom.operators.vocabulary import STOPWORDS
-from textloom.plans.catalogue import INSTRUCTION, LABELS, PAIR, TOP
+from textloom.plans.catalogue import INSTRUCTION, JUDGE, LABELS, PAIR, TOP, TRAINED, TRUNCATED
 
 
 def quoted(text: str) -> str:
@@ -38,9 +39,10 @@ def words(column: str) -> str:
     return f"regexp_extract_all(lower({column}), '\\p{{L}}+')"
 
 
-def firsts(column: str) -> str:
-    """The distinct items of a list in the order of their first occurrence."""
-    return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)"
+def firsts(source: str, key: str, words: str) -> str:
+    """Tables w (key and list) and f (key and ``firsts``, the distinct items in the order of their first occurrence)."""
+    return f"""w AS (SELECT {key}, {words} AS w FROM {source}), each AS (SELECT {key}, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ once AS (SELECT {key}, x, min(i) AS i FROM each GROUP BY {key}, x), f AS (SELECT {key}, list(x ORDER BY i) AS firsts FROM once GROUP BY {key})"""
 
 
 def confusion(*keys: str) -> str:
@@ -87,27 +89,24 @@ def grams(source: str) -> str:
   (SELECT t, unnest(generate_series(1, greatest(length(t), 3) - 2)) AS i, substr(rpad(t, greatest(length(t), 3)::INT, chr(1)), i, 3) AS gram FROM {source})"""
 
 
-FUZZY = f"""WITH names AS (SELECT DISTINCT p_name FROM part), asked AS (SELECT DISTINCT t FROM (SELECT p_name || 's' AS t FROM names UNION ALL SELECT substr(p_name, 1, 2) || substr(p_name, 4, 100) FROM names) WHERE t <> ''),
- terms AS (SELECT DISTINCT {normal("p_name")} AS t FROM names), a AS ({grams("asked")}), b AS ({grams("(SELECT t FROM terms WHERE length(t) >= 3)")})
-SELECT a.t AS text, b.t AS term, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE, 6) AS similarity FROM a JOIN b USING (gram, nth) GROUP BY a.t, b.t
+FUZZY = f"""WITH said AS (SELECT unnest({words("text")}) AS t FROM benchmark UNION SELECT p_name FROM part), known AS (SELECT unnest({words("text")}) AS t FROM documents UNION SELECT p_name FROM part),
+ asked AS (SELECT DISTINCT t FROM (SELECT t || 's' AS t FROM said UNION ALL SELECT substr(t, 1, 2) || substr(t, 4) FROM said) WHERE t <> ''),
+ terms AS (SELECT DISTINCT {normal("t")} AS t FROM known), a AS ({grams("asked")}), b AS ({grams("(SELECT t FROM terms WHERE length(t) >= 3)")}),
+ counts AS (SELECT gram, nth, count(*) AS df FROM b GROUP BY ALL),
+ la AS (SELECT t, gram, nth, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), gram, nth) AS r FROM a LEFT JOIN counts USING (gram, nth)) WHERE r <= n - ceil(0.8 * n - 1E-9) + 1),
+ lb AS (SELECT t, gram, nth, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY df, gram, nth) AS r FROM b JOIN counts USING (gram, nth)) WHERE r <= n - ceil(0.8 * n - 1E-9) + 1),
+ pairs AS (SELECT DISTINCT la.t AS text, lb.t AS term FROM la JOIN lb USING (gram, nth) WHERE lb.n >= 0.8 * la.n - 1E-9 AND lb.n <= la.n / 0.8 + 1E-9)
+SELECT text, term, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE, 6) AS similarity FROM pairs JOIN a ON a.t = text JOIN b ON b.t = term AND a.gram = b.gram AND a.nth = b.nth GROUP BY text, term
 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= 0.8 - 1E-12"""
 
-SPANS = f"""sentences AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '') AS s FROM benchmark),
- tokens AS (SELECT item_id, k, regexp_extract_all(s[k], '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]') AS t FROM (SELECT item_id, s, unnest(generate_series(1, len(s))) AS k FROM sentences)),
- placed AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM tokens),
+SPANS = f"""sentences AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '') AS s FROM documents),
+ tokens AS (SELECT doc_id, k, regexp_extract_all(s[k], '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]') AS t FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS k FROM sentences)),
+ placed AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM tokens),
  starts AS (SELECT *, unnest(generate_series(1, len(t))) AS i FROM placed),
  runs AS (SELECT *, unnest(generate_series(1, least(5, len(t) - i + 1))) AS l FROM starts),
- spans AS (SELECT item_id, CAST(place + i - 1 AS INT) AS start, CAST(place + i - 1 + l AS INT) AS "end", array_to_string(t[i:i + l - 1], ' ') AS span FROM runs
+ spans AS (SELECT doc_id, CAST(place + i - 1 AS INT) AS start, CAST(place + i - 1 + l AS INT) AS "end", array_to_string(t[i:i + l - 1], ' ') AS span FROM runs
   WHERE lower(t[i]) NOT IN ({STOPS}) AND lower(t[i + l - 1]) NOT IN ({STOPS}) AND regexp_full_match(t[i], '[\\p{{L}}\\p{{N}}]+') AND NOT (l = 1 AND regexp_full_match(t[i], '\\p{{N}}+')))"""
 
-GREEDY = f"""WITH RECURSIVE {SPANS}, matches AS (SELECT item_id, start, "end", length(span) AS n, span AS match FROM spans WHERE length(span) % 3 <> 0),
- numbered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY "end" - start DESC, start, n, match) AS k FROM matches),
- listed AS (SELECT item_id, list({{'s': start, 'e': "end", 'm': match}} ORDER BY k) AS all_ FROM numbered GROUP BY item_id),
- walk AS (SELECT item_id, all_, 0 AS k, []::STRUCT(s INT, e INT, m VARCHAR)[] AS kept FROM listed
-  UNION ALL SELECT item_id, all_, k + 1, CASE WHEN len(list_filter(kept, lambda x: x.s < all_[k + 1].e AND all_[k + 1].s < x.e)) > 0 THEN kept ELSE list_append(kept, all_[k + 1]) END FROM walk WHERE k < len(all_))
-SELECT item_id, u.s AS start, u.e AS "end", u.m AS match FROM (SELECT item_id, unnest(kept) AS u FROM walk WHERE k = len(all_))"""
-
-
 def drawn(n: str, *parts: str) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('~', {', '.join(parts)}, '42')), 1, 8))::BIGINT % ({n}) + 1 AS INT)"
 
@@ -118,6 +117,13 @@ RANDOM = f"""WITH {TERMS}, wanted AS (SELECT range AS sample, {drawn("3", "'n'",
  ranked AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY md5(concat_ws('~', concat_ws('~', sample, code), '42')), code) AS r FROM wanted, terms),
  picked AS (SELECT sample, r, code, {PICKED} AS p FROM ranked WHERE r <= c)
 SELECT sample, string_agg(code, ' ' ORDER BY r) AS codes, CAST(count(*) AS INT) AS n_codes, array_to_string(flatten(list(p ORDER BY r)), ', ') AS keywords, CAST(len(flatten(list(p ORDER BY r))) AS INT) AS n_kws FROM picked GROUP BY sample"""
+BY_NUMBER = f"""WITH terms AS (SELECT 'o' || o_orderkey AS code, [o_orderpriority, o_orderstatus] AS terms, row_number() OVER (ORDER BY 'o' || o_orderkey) - 1 AS number FROM orders),
+ wanted AS (SELECT range AS sample, {drawn("3", "'n'", "range")} AS c, {drawn("2", "'k'", "range")} AS k FROM range(1000)),
+ draws AS (SELECT sample, c, k, j, {drawn("(SELECT count(*) FROM terms)", "'code'", "sample", "j")} - 1 AS number FROM wanted, (SELECT unnest(generate_series(1, 28)) AS j)),
+ firsts AS (SELECT sample, c, k, number, min(j) AS j FROM draws GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY j) AS r FROM firsts),
+ picked AS (SELECT sample, r, code, {PICKED} AS p FROM ranked JOIN terms USING (number) WHERE r <= c)
+SELECT sample, string_agg(code, ' ' ORDER BY r) AS codes, CAST(count(*) AS INT) AS n_codes, array_to_string(flatten(list(p ORDER BY r)), ', ') AS keywords, CAST(len(flatten(list(p ORDER BY r))) AS INT) AS n_kws FROM picked GROUP BY sample"""
 ASSOCIATED = f"""WITH {TERMS}, {coded("p_brand")}, own AS (SELECT order_id AS sample, string_split(codes, ' ')[1] AS principal, string_split(codes, ' ')[2:] AS others FROM coded),
  sized AS (SELECT *, CASE WHEN len(others) = 0 THEN 0 ELSE {drawn("least(3, greatest(len(others), 1))", "'n'", "sample")} END AS c, {drawn("2", "'k'", "sample")} AS k FROM own),
  each AS (SELECT sample, c, k, i - 1 AS pos, others[i] AS code FROM (SELECT *, unnest(generate_series(1, len(others))) AS i FROM sized)),
@@ -142,14 +148,21 @@ SELECT doc_id, chunk, {joined("padded")} AS input_ids, {joined(f"list_transform(
 SPLIT = "CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('~', {0}, '42')), {0}) <= ceil(0.1 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split"
 GOOD = "'ok {\"score\": ' || quality || '.' || doc_id % 10 || ',' || chr(10) || '}'"
 
+GENERATED = "SELECT doc_id, " + ", ".join(f"text || ' [{i}]' AS response_{i}, " + ", ".join(f"{v!r} AS {k}_{i}" if isinstance(v, int) else f"{v!r}::DOUBLE AS {k}_{i}" for k, v in decoding_parameters(i).items()) for i in range(1, 5)) + " FROM documents"
+JUDGED = f"""WITH t AS (SELECT doc_id, {TOKENS.format("p")} AS w FROM (SELECT doc_id, replace({quoted(JUDGE)}, '{{INSTRUCTION}}', text) AS p FROM documents) t)
+SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE CAST(printf('%.3f', len(list_distinct(w)) / len(w)::DOUBLE) AS DOUBLE) END AS educational_score FROM t"""
+
 ORACLES: dict[str, str] = {
+    "generation_stub": GENERATED,
+    "judge_stub": JUDGED,
     "normalize_text": f"SELECT doc_id, {normal('text')} AS normalized FROM documents",
     "remove_symbols": "SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', '', 'g') AS plain FROM documents",
     "code_prefix": "SELECT p_partkey, lower(substr(p_brand, 1, 3)) AS prefix, 'a-' || p_type AS slug FROM part",
     "split_marker": "SELECT doc_id, CASE WHEN contains(text, '###') THEN regexp_replace(string_split(text, '###')[1], '^\\s+|\\s+$', '', 'g') ELSE text END AS head FROM documents",
-    "instruction_build": f"SELECT doc_id, replace(replace({quoted(INSTRUCTION)}, '{{keywords}}', array_to_string({firsts(words('text'))}[1:5], ', ')), '{{knowledge_base}}', '') AS instruction FROM documents",
-    "pair_prompt": f"SELECT a.item_id, replace(replace({quoted(PAIR)}, '{{TEXT1}}', a.text || ' {{TEXT2}}'), '{{TEXT2}}', b.text) AS prompt FROM benchmark a JOIN benchmark b ON b.item_id - 1 = a.item_id",
-    "judge_prompt": "SELECT item_id, replace('Rate this.' || chr(10) || '{INSTRUCTION}' || chr(10), '{INSTRUCTION}', text) AS prompt FROM benchmark",
+    "instruction_build": f"WITH {firsts('documents', 'doc_id', words('text'))} SELECT doc_id, replace(replace({quoted(INSTRUCTION)}, '{{keywords}}', array_to_string(coalesce(firsts, [])[1:5], ', ')), '{{knowledge_base}}', '') AS instruction FROM w LEFT JOIN f USING (doc_id)",
+    "given_or_extracted": f"WITH {firsts('documents', 'doc_id', words('text'))} SELECT doc_id, CASE WHEN substr(md5(concat_ws('~', doc_id, '42')), 1, 1) < '8' THEN array_to_string(coalesce(firsts, [])[1:3], ', ') ELSE source END AS keywords FROM documents LEFT JOIN f USING (doc_id)",
+    "pair_prompt": f"SELECT a.doc_id, replace(replace({quoted(PAIR)}, '{{TEXT1}}', a.text || ' {{TEXT2}}'), '{{TEXT2}}', b.text) AS prompt FROM documents a JOIN documents b ON b.doc_id - 1 = a.doc_id",
+    "judge_prompt": f"SELECT doc_id, replace({quoted(JUDGE)}, '{{INSTRUCTION}}', text) AS prompt FROM documents",
     "sft_text_concat": "SELECT u.conv_id, u.turn, u.text || a.text AS text FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn WHERE u.role = 'user' AND a.role = 'assistant'",
     "judge_score_parse": f"""SELECT doc_id, coalesce(try_cast(regexp_extract(CASE doc_id % 7 WHEN 0 THEN '{{"score": 2}}' WHEN 1 THEN 'score: 0.5' WHEN 2 THEN '{{"score": 0.5, "why": "x"}}' WHEN 3 THEN '{{ "score" : 1 }}' ELSE {GOOD} END,
   '\\{{\\s*"score"\\s*:\\s*([01](?:\\.\\d+)?)\\s*,?\\s*\\}}', 1) AS DOUBLE), 0) AS score FROM labels""",
@@ -159,7 +172,9 @@ ORACLES: dict[str, str] = {
     "code_to_terms": f"WITH {DICTIONARY} SELECT code, string_agg(term, ', ' ORDER BY place) AS terms FROM dictionary GROUP BY code",
     "code_lookup": f"WITH {DICTIONARY}, {coded('p_brand')}, t AS (SELECT code, count(*) AS n FROM dictionary GROUP BY code) SELECT order_id, count(*) AS n_codes, CAST(sum(n) AS BIGINT) AS n_terms FROM (SELECT order_id, unnest(string_split(codes, ' ')) AS code FROM coded) JOIN t USING (code) GROUP BY order_id",
     "code_int_map": f"WITH {coded('p_brand')}, m AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS k FROM (SELECT DISTINCT p_brand AS code FROM part)), e AS (SELECT order_id, unnest(generate_series(1, len(string_split(codes, ' ')))) AS i, string_split(codes, ' ') AS c FROM coded) SELECT order_id, string_agg(k::VARCHAR, ' ' ORDER BY i) AS numbers FROM e JOIN m ON c[i] = code GROUP BY order_id",
+    "reverse_dictionary": f"WITH forms AS (SELECT unnest([p_name, upper(p_name), replace(p_name, ' ', '-')]) AS term, p_partkey FROM part), firsts AS (SELECT term, min(p_partkey) AS place FROM forms GROUP BY term) SELECT {normal('term')} AS normal, string_agg(term, '|' ORDER BY place, term) AS originals FROM firsts GROUP BY 1",
     "random_codes": RANDOM,
+    "random_codes_by_number": BY_NUMBER,
     "assoc_codes": ASSOCIATED,
     "positional_zip": "SELECT a.doc_id // 2 AS row, a.doc_id, b.doc_id AS public_doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0",
     "unpivot_candidates": f"WITH {CANDIDATES} SELECT example_id, candidate_id, first_value(instruction) OVER (PARTITION BY example_id ORDER BY candidate_id) AS instruction, md5(response) AS response, round(similarity_score, 6) AS similarity_score, round(educational_score, 6) AS educational_score, round(bleu_score, 6) AS bleu_score, round(cumulative_score, 6) AS cumulative_score FROM candidates",
@@ -170,13 +185,16 @@ ORACLES: dict[str, str] = {
     "eval_top": f"WITH {CANDIDATES} SELECT example_id, candidate_id, round(similarity_score, 6) AS similarity_score FROM candidates ORDER BY similarity_score DESC, example_id, candidate_id LIMIT {TOP}",
     "kto_pairs": f"WITH {RANKED}, both_ AS (SELECT *, true AS label FROM ranked WHERE r <= {TOP} UNION ALL SELECT *, false FROM ranked WHERE r > (SELECT count(*) FROM ranked) - {TOP}) SELECT instruction, label, md5(response) AS response, md5(response) AS completion, instruction AS prompt FROM both_",
     "dpo_pairs": f"WITH {PAIRS} SELECT rank, instruction, md5(chosen) AS chosen, md5(rejected) AS rejected, round(c1, 6) AS chosen_similarity_score, round(c2, 6) AS chosen_educational_score, round(c3, 6) AS chosen_bleu_score, round(c4, 6) AS chosen_cumulative_score, round(w1, 6) AS rejected_similarity_score, round(w2, 6) AS rejected_educational_score, round(w3, 6) AS rejected_bleu_score, round(w4, 6) AS rejected_cumulative_score FROM pairs",
-    "dpo_trainer_input": f"WITH {PAIRS} SELECT rank, instruction AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, {SPLIT.format('rank')} FROM pairs WHERE rank <= 50",
+    "dpo_trainer_input": f"WITH {PAIRS} SELECT rank, instruction AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, {SPLIT.format('rank')} FROM pairs WHERE rank <= {TRAINED}",
+    "below_score": f"WITH {CANDIDATES} SELECT example_id, candidate_id, round(educational_score * 10, 6) AS educational_score FROM candidates WHERE educational_score * 10 < 6",
+    "stage_counts": f"WITH {PAIRS}, n AS (SELECT count(*) AS n FROM candidates) SELECT 'documents' AS stage, n FROM n UNION ALL SELECT 'candidates', n FROM n UNION ALL SELECT 'sft', least(n, {TOP}) FROM n UNION ALL SELECT 'kto', 2 * least(n, {TOP}) FROM n UNION ALL SELECT 'dpo', (SELECT count(*) FROM pairs) FROM n",
     "semi_any_medical": f"WITH {CANDIDATES}, f AS (SELECT c.*, coalesce(toxic = 1, false) AS medical FROM candidates c LEFT JOIN labels l USING (doc_id)) SELECT example_id, candidate_id, medical FROM f WHERE example_id IN (SELECT example_id FROM f WHERE medical)",
-    "keyword_overlap": f"WITH k AS (SELECT doc_id, {normal('text')} AS n, string_split(array_to_string({firsts(words('text'))}[2:7], ', '), ', ') AS keys FROM documents) SELECT doc_id, round(len(list_filter(keys, lambda x: contains(n, x))) / len(keys)::DOUBLE, 6) AS overlap FROM k",
+    "keyword_overlap": f"WITH {firsts('documents', 'doc_id', words('text'))}, k AS (SELECT doc_id, {normal('text')} AS n, string_split(array_to_string(coalesce(firsts, [])[2:7], ', '), ', ') AS keys FROM documents LEFT JOIN f USING (doc_id)) SELECT doc_id, round(len(list_filter(keys, lambda x: contains(n, x))) / len(keys)::DOUBLE, 6) AS overlap FROM k",
     "bleu_score": BLEU,
     "cosine_similarity": "SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id - 1 = a.vec_id",
     "window_min_similarity": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label), c AS (SELECT v.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS c FROM embeddings v JOIN f USING (label)) SELECT label, round((arg_max(c, vec_id) + min(c)) / 2, 6) AS similarity FROM c GROUP BY label",
     "label_counts": f"WITH {TYPES}, e AS (SELECT order_id, labels[i] AS label, i - 1 AS pos FROM (SELECT *, unnest(generate_series(1, len(labels))) AS i FROM labelled)) SELECT label, count(*) AS n, min(order_id) AS first_key, CAST(arg_min(pos, (order_id, pos)) AS INT) AS first_pos FROM e GROUP BY label",
+    "distinct_labels": f"WITH {TYPES} SELECT DISTINCT unnest(labels) AS label FROM labelled",
     "label_topk": f"WITH {TYPES} SELECT label, count(*) AS n FROM (SELECT order_id, unnest(labels) AS label FROM labelled) GROUP BY label ORDER BY n DESC, min(order_id) LIMIT 4",
     "label_top_pct": f"WITH {TYPES} SELECT label, count(*) AS n FROM (SELECT order_id, unnest(labels) AS label FROM labelled) GROUP BY label ORDER BY n DESC, min(order_id) LIMIT 3",
     "multilabel_samples": f"WITH {TYPES} SELECT order_id, array_to_string(list_filter(labels, lambda x: x IN ('eco', 'med', 'pro'))[1:3], ' ') AS labels FROM labelled WHERE len(list_filter(labels, lambda x: x IN ('eco', 'med', 'pro'))) > 0",
@@ -193,8 +211,7 @@ ORACLES: dict[str, str] = {
     "vocab_filtered": f"WITH {COUNTS}, {BAND} SELECT word, n FROM counts, band WHERE n BETWEEN low AND high AND length(word) > 2 AND word NOT IN ({STOPS})",
     "fuzzy_match": FUZZY,
     "candidate_spans": f"WITH {SPANS} SELECT * FROM spans",
-    "resolve_overlaps": GREEDY,
-    "ordered_dedup": f"WITH {coded('p_brand')}, l AS (SELECT order_id, string_split(codes, ' ') AS c FROM coded) SELECT order_id, array_to_string({firsts('c')}, ', ') AS keywords FROM l",
+    "ordered_dedup": f"WITH {coded('p_brand')}, {firsts('coded', 'order_id', "string_split(codes, ' ')")} SELECT order_id, array_to_string(firsts, ', ') AS keywords FROM f",
     "train_test_split": f"SELECT doc_id, {SPLIT.format('doc_id')} FROM documents",
     "sample_rows": "SELECT doc_id, source FROM documents ORDER BY md5(concat_ws('~', doc_id, '42')), doc_id LIMIT 100",
     "shuffle_rows": "SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('~', doc_id, '42')), doc_id) AS position FROM documents",
@@ -202,7 +219,7 @@ ORACLES: dict[str, str] = {
     "dataset_size_all": "SELECT doc_id, n_chars FROM documents",
     "token_chunks": chunked(64, 64),
     "token_chunks_overlapping": chunked(64, 48),
-    "token_truncate": "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > 128 THEN array_to_string(w[1:128], ' ') ELSE text END AS text FROM t",
+    "token_truncate": "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > " + str(TRUNCATED) + " THEN array_to_string(w[1:" + str(TRUNCATED) + "], ' ') ELSE text END AS text FROM t",
     "sliding_windows": "WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), s AS (SELECT *, unnest(generate_series(0, greatest(len(w) - 128, 0), 64)) AS s FROM t) SELECT doc_id, CAST(s // 64 AS INT) AS \"window\", array_to_string(w[s + 1:s + 128], ' ') AS tokens FROM s",
     "csv_chunk_ids": "SELECT event_id, CAST(event_id // 1000 AS INT) AS chunk FROM events",
 }
