@@ -1,10 +1,10 @@
 """Document fingerprints from spot signatures, with DataFrame functions only.
 
-A spot signature is a common word (an anchor) and the next content words after it, so it follows
-the running text and not what is around it. A document's fingerprint is the set of its
-signatures. Sets are compared by Jaccard similarity; sets of too different sizes cannot be alike,
-and sets that are alike share a signature among the first few in any common order, which prunes
-the search for near duplicates within a partition by set length.
+A spot signature is a common word (an anchor) and the content words after it, so it follows the
+running text and not what is around it. A document's fingerprint is the set of its signatures.
+Sets are partitioned by their length and compared by Jaccard similarity: sets of too different
+sizes cannot be alike, and sets that are alike share a signature among the first few in any common
+order, which prunes the search for near duplicates.
 """
 
 from __future__ import annotations
@@ -14,54 +14,78 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, shuffle_partitions
+from textloom.llm.common import cut, cut_table, discard, shuffle_partitions
 
 # Common words of English, German, French and Spanish that start a signature.
 ANCHORS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "als", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "für", "im", "ist", "mit", "nicht", "sich", "und", "von", "zu", "au", "avec", "dans", "des", "du", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une", "al", "con", "de", "del", "el", "en", "las", "los", "no", "para", "por", "se", "su", "una", "y")
+#: A chain has so many content words, or fewer where the next anchor follows.
 CHAIN = 2
-#: How many words after an anchor may be looked at for a chain.
+#: Runs of more content words than this also have a chain of their own at each word.
 REACH = 6
+#: Likeness below this counts as none, so sets of too different lengths need no comparison.
+LEAST_LIKE = 0.05
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Stands in front of each anchor while chains are looked for.
+MARK = "\u0001"
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def signatures_of(words: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> Column:
-    """The sorted set of hashes of the spot signatures in the column ``words``, an array of words.
+def marked_words(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """The words between spaces, with a mark in front of anchors."""
+    return F.array_join(F.transform(words_of(text), lambda w: F.when(w.isin(*anchors), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
 
-    A signature is an anchor and the first ``chain`` content words among the next ``reach`` words.
-    In stretches without anchors (lists, tables, very short texts), where none of the last
-    ``reach`` words is one, each word starts a chain itself, with no anchor and as many words as
-    there are. Where that gives none though there are words, all content words (else all words)
-    are one signature. So only a text without words has the empty set.
+
+def signatures_of(marked: str, chain: int = CHAIN, reach: int = REACH) -> Column:
+    """The sorted set of hashes of the spot signatures in the column ``marked``, as ``marked_words`` gives it.
+
+    A signature is an anchor and the content words that follow it, up to ``chain`` and up to the
+    next anchor; of several anchors in a row the last one counts. In runs of more than ``reach``
+    content words (lists, tables, other languages) each word starts a chain itself. Where that
+    gives none, all words are one signature. So only a text without words has the empty set.
     """
-    own = F.col(words)
-    bare = lambda i: ~F.exists(F.slice(own, F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), lambda w: w.isin(*anchors))
-    places = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.element_at(own, i).isin(*anchors) | bare(i))
-    chained = lambda i, word: F.struct(F.when(word.isin(*anchors), word).otherwise("").alias("anchor"), F.slice(F.filter(F.slice(own, F.when(word.isin(*anchors), i + 1).otherwise(i), F.lit(reach)), lambda w: ~w.isin(*anchors)), 1, chain).alias("words"))
-    spots = F.filter(F.transform(places, lambda i: chained(i, F.element_at(own, i))), lambda s: (F.size(s["words"]) == chain) | (s["anchor"] == ""))
-    hashed = F.transform(spots, lambda s: F.xxhash64(s["anchor"], s["words"]))
-    content = F.filter(own, lambda w: ~w.isin(*anchors))
-    whole = F.array(F.xxhash64(F.lit("whole"), F.when(F.size(content) > 0, content).otherwise(own)))
-    # Bound by a fold, so the spots are made once.
-    some = F.aggregate(F.array(hashed), F.array().cast("array<bigint>"), lambda _, found: F.when(F.size(found) > 0, found).otherwise(whole))
-    return F.sort_array(F.array_distinct(F.when(F.size(own) == 0, F.array().cast("array<bigint>")).otherwise(some)))
+    own = F.col(marked)
+    word = rf"[^ {MARK}]+"
+    spots = F.regexp_extract_all(own, F.lit(rf"{MARK}{word}(?: {word}){{1,{chain}}}"), F.lit(0))
+    runs = F.filter(F.split(own, rf" ?{MARK}[^ ]+ ?"), lambda r: r.rlike(rf"^(?:[^ ]+ ){{{reach}}}"))
+    chains = F.flatten(F.transform(runs, lambda r: in_run(F.split(r, " "), chain)))
+    hashed = F.transform(F.concat(spots, chains), lambda s: F.xxhash64(s))
+    some = F.aggregate(F.array(hashed), F.array().cast("array<bigint>"), lambda _, found: F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(F.lit("whole"), own))))
+    return F.sort_array(F.array_distinct(F.when(own == "", F.array().cast("array<bigint>")).otherwise(some)))
+
+
+def in_run(words: Column, chain: int) -> Column:
+    """Each ``chain`` neighbours in an array of words, joined."""
+    return F.aggregate(F.array(words), F.array().cast("array<string>"), lambda _, w: F.transform(F.sequence(F.lit(1), F.size(w) - (chain - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(chain)), " ")))
 
 
 def with_signatures(docs: DataFrame, text: Column, into: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
     """Adds ``into``, the sorted set of signatures of ``text``."""
     words = f"_{into}_words"
-    return docs.withColumn(words, words_of(text)).withColumn(into, signatures_of(words, anchors, chain, reach)).drop(words)
+    return docs.withColumn(words, marked_words(text, anchors)).withColumn(into, signatures_of(words, chain, reach)).drop(words)
+
+
+def length_partition(signatures: str, least: float) -> Column:
+    """Sets that are at least ``least`` alike are in the same partition or in neighbouring ones; -1 for empty sets."""
+    return F.when(F.size(signatures) == 0, -1).otherwise(F.floor(F.log(F.size(signatures)) / F.lit(math.log(1 / least)))).cast("int")
 
 
-def jaccard(a: str, b: str, least: float = 0.0) -> Column:
-    """Jaccard similarity of two sets; 1 for two empty ones, 0 where sizes alone keep it below ``least``."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def jaccard(a: str, b: str, least: float = LEAST_LIKE) -> Column:
+    """Jaccard similarity of two sorted sets, or 0 where it is below ``least``; 1 for two empty ones.
+
+    Sets are compared only if their length partitions are neighbours, their sizes allow it, and
+    they share one of the first signatures that sets so alike must share.
+    """
+    n_a, n_b = F.size(a), F.size(b)
+    small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    near = F.abs(length_partition(a, least) - length_partition(b, least)) <= 1
+    first = lambda c, n: F.slice(F.col(c), F.lit(1), n - F.ceil(n * F.lit(least)).cast("int") + 1)
+    meets = F.arrays_overlap(first(a, n_a), first(b, n_b))
     shared = F.size(F.array_intersect(a, b))
-    exact = shared / (F.size(a) + F.size(b) - shared)
-    return F.when(large == 0, 1.0).when((small == 0) | (small < large * F.lit(least)), 0.0).otherwise(exact)
+    exact = shared / (n_a + n_b - shared)
+    return F.when(large == 0, 1.0).when((small == 0) | ~near | (small < large * F.lit(least)), 0.0).when(~meets, 0.0).when(exact < least, 0.0).otherwise(exact)
 
 
 def fingerprint(signatures: str) -> Column:
@@ -79,27 +103,29 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """Fingerprints of each text and of its edited text, and their likeness to it and to the next text.
 
     The next document is that with the next smaller key (after the last one, the first; null keys
-    come last, repeated keys go by their text). The edited text has its last third (rounded down,
-    in code points) replaced by as many code points from the next text's begin, or all it has.
-    A single document is its own next one. Null texts are empty; two empty sets are alike.
-
-    Rows are dealt into ranges of the key, so no task sees all; keys should be about unique. What
-    follows a range's last row comes from a table with the first row of each range.
+    come last, repeated keys go by a hash of their text). The edited text has its last third
+    (rounded down, in code points) replaced by as many code points from the next text's begin, or
+    all it has. A single document is its own next one. Null texts are empty; two empty sets are
+    alike. Keys are of any type that has an order; other columns don't matter.
+
+    Rows are dealt into ranges of (key, hash of the text), so no task sees all, whatever keys
+    repeat or are missing; only equal rows stay together. What follows a range's last row comes
+    from a table with the first row of each range.
     """
     spark = docs.sparkSession
-    n = n_parts or 2 * shuffle_partitions(spark)
+    n = n_parts or shuffle_partitions(spark)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shares = [k / n for k in range(1, n)]
-    bounds = rows.agg(F.percentile_approx("key", shares, 10_000).alias("b")).first()["b"] if shares else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    # Range 0 has the largest keys; null keys are in a last range of their own.
-    above = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("key").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(above, lambda b: b >= F.col("key"))))
-    dealt = rows.withColumn("part", part).repartition(shuffle_partitions(spark), "part")
+    place = F.struct(F.col("key").isNotNull().alias("there"), F.col("key").alias("key"), F.md5("text").alias("digest"))
+    placed = rows.withColumn("place", place)
+    # The greatest place of each of n ranges, as Spark's own range partitioning finds them.
+    ends = placed.select("place").repartitionByRange(n, F.col("place").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max("place").alias("top")).collect()
+    tops = sorted((r["top"] for r in ends), key=lambda t: (t["there"], t["key"] if t["there"] else 0, t["digest"]), reverse=True)
+    kind = placed.schema["place"].dataType
+    tops = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(t, kind.fields, strict=True))) for t in tops]
+    dealt = placed.withColumn("part", place_among(F.col("place"), tops)).repartition(shuffle_partitions(spark), "part")
     signed = with_signatures(dealt.withColumn("n_chars", F.length("text").cast("long")), F.col("text"), "signatures")
-    order = [F.col("key").desc_nulls_last(), F.col("text")]
-    led = signed.withColumn("next", F.lead(F.struct("text", "signatures")).over(Window.partitionBy("part").orderBy(*order)))
-    firsts = with_signatures(first_of_next(rows.withColumn("part", part)), F.col("_text"), "_signatures")
+    led = signed.withColumn("next", F.lead(F.struct("text", "signatures")).over(Window.partitionBy("part").orderBy(F.col("place").desc())))
+    firsts = with_signatures(first_of_next(placed.withColumn("part", place_among(F.col("place"), tops))), F.col("_text"), "_signatures")
     after = led.join(firsts, F.col("part") == F.col("_part"))
     merged = after.select("key", "text", "n_chars", "signatures", F.coalesce("next.text", "_text").alias("following"), F.coalesce("next.signatures", "_signatures").alias("next_signatures"))
     third = "cast(n_chars div 3 as int)"
@@ -111,10 +137,19 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
+def place_among(place: Column, tops: list[Column]) -> Column:
+    """How many of ``tops``, in falling order, are at least ``place``; 0 to 1 above the last. Found in two steps of about the root of their number."""
+    if not tops:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(tops)))
+    coarse = F.size(F.filter(F.array(*tops[::step]), lambda t: t >= place))
+    near = F.slice(F.array(*tops), F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(near, lambda t: t >= place)))
+
+
 def first_of_next(rows: DataFrame) -> DataFrame:
     """For each range that has rows, the text after its last row: the first of the next range, in a circle."""
-    first = F.min(F.struct((-F.col("key")).alias("down"), "text"))
-    ends = cut(rows.groupBy("part").agg(first["text"].alias("text")))
+    ends = cut(rows.groupBy("part").agg(F.max_by("text", "place").alias("text")))
     circle = Window.orderBy("part")
     every = circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return ends.select(F.col("part").alias("_part"), F.coalesce(F.lead("text").over(circle), F.first("text").over(every)).alias("_text"))
