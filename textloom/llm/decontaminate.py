@@ -1,9 +1,10 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the normalised test items.
 
 Items and documents are cut into words. Each word of the items is one symbol; each window of an
-item's consecutive words is one pattern over symbols; all patterns share one automaton. A document
-becomes a string of symbols (one stands for all other words), which is scanned once; places in it
-are words, and so map to offsets in the original text.
+item's consecutive words is one pattern over symbols; all patterns share one automaton. Documents
+become a string of symbols (one stands for all other words and for the ends of texts), which is
+scanned once; places in it are words, and so map to offsets in the original text. Words are looked
+up by 64-bit hashes for many texts at once.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from textloom.llm.common import cut_table, free_name, tidy
+from textloom.llm.common import cut_table, discard, free_name, tidy
+from textloom.llm.shingles import Hasher, groups, words_in
 
 WINDOW = 13
 #: A block of items holds at most so many windows; its automaton is what is broadcast.
@@ -59,37 +62,57 @@ class Scanner:
     """The automaton of a block of items."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], size: int) -> None:
-        self.symbols: dict[bytes, str] = {}
+        symbols: dict[bytes, str] = {}
         for _, words in items:
             for w in words:
-                if w not in self.symbols:
-                    at = len(self.symbols) + 1
-                    self.symbols[w] = chr(at if at < 0xD800 else at + 0x800)
+                if w not in symbols:
+                    at = len(symbols) + 1
+                    symbols[w] = chr(at if at < 0xD800 else at + 0x800)
         owners: dict[str, list[int]] = {}
         for k, (_, words) in enumerate(items):
             for window in set(windows_of(words, size)):
-                owners.setdefault("".join(self.symbols[w] for w in window), []).append(k)
+                owners.setdefault("".join(symbols[w] for w in window), []).append(k)
         self.items = [i for i, _ in items]
         self.automaton = ahocorasick.Automaton()
         for pattern, own in owners.items():
             self.automaton.add_word(pattern, (len(pattern), own))
         self.automaton.make_automaton()
         self.empty = not owners
-
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, object]]:
-        """(first word, last word, item) of each maximal run of an item's windows."""
-        if self.empty or not words:
-            return []
-        get = self.symbols.get
-        runs: dict[int, list[list[int]]] = {}
-        for end, (n, own) in self.automaton.iter("".join([get(w, UNKNOWN) for w in words])):
+        # Symbols by the hashes of their words.
+        every = list(symbols)
+        ends = np.cumsum([0] + [len(w) for w in every])
+        raw = np.frombuffer(b"".join(every), np.uint8)
+        hashes = Hasher(raw).of(ends[:-1], ends[1:]) if every else np.zeros(0, np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.codes = hashes[order], np.array([ord(c) for c in symbols.values()], "<u4")[order]
+
+    def scan(self, text: np.ndarray, hashes: np.ndarray) -> dict[int, list[tuple[int, int, object]]]:
+        """By the text's number: (first word, last word, item) of each maximal run of an item's windows.
+
+        ``text`` and ``hashes`` are those of each word, in order; places count the words of all texts.
+        """
+        if self.empty or not len(hashes):
+            return {}
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.where(self.hashes[at] == hashes, self.codes[at], ord(UNKNOWN)).astype("<u4")
+        # A mark between texts: the n-th word stands at n plus its text's number.
+        string = np.full(len(found) + int(text[-1]) + 1, ord(UNKNOWN), "<u4")
+        string[np.arange(len(found)) + text] = found
+        places = np.arange(len(text)) + text
+        out: dict[int, list[tuple[list[int], int]]] = {}
+        last: dict[tuple[int, int], list[int]] = {}
+        for end, (n, own) in self.automaton.iter(string.tobytes().decode("utf-32-le")):
+            final = int(np.searchsorted(places, end))
+            first = final - n + 1
+            t = int(text[first])
             for k in own:
-                seen = runs.setdefault(k, [])
-                if seen and end - n < seen[-1][1]:  # overlaps the run before
-                    seen[-1][1] = end
+                held = last.get((t, k))
+                if held and first <= held[1]:  # overlaps the run before
+                    held[1] = final
                 else:
-                    seen.append([end - n + 1, end])
-        return [(a, b, self.items[k]) for k, found in runs.items() for a, b in found]
+                    last[t, k] = held = [first, final]
+                    out.setdefault(t, []).append((held, k))
+        return {t: [(a, b, self.items[k]) for (a, b), k in found] for t, found in out.items()}
 
 
 #: The automaton of this Python worker, by the block's tag.
@@ -134,13 +157,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 _scanners[tag] = Scanner(shared.value, size)
             scanner = _scanners[tag]
             for batch in batches:
-                before = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else [[]] * batch.num_rows
-                rows = []
-                for value, held in zip(batch.column(at).cast(pa.binary()), before, strict=True):
-                    raw = value.as_py() or b""
-                    words = words_of(raw)
-                    hits = [(h["first"], h["last"], h["item"]) for h in held] + [(a, b, "" if i is None else str(i)) for a, b, i in scanner.scan(words)]
-                    rows.append(summary(raw, len(words), hits) if last else [dict(zip(("first", "last", "item"), h, strict=True)) for h in hits])
+                before = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else None
+                rows: list = []
+                for lo, raw, offsets in groups(batch.column(at)):
+                    low, start, stop = words_in(raw, offsets)
+                    text_no = np.searchsorted(offsets, start, side="right") - 1
+                    found = scanner.scan(text_no, Hasher(low).of(start, stop))
+                    first = np.searchsorted(text_no, np.arange(len(offsets)))
+                    for t in range(len(offsets) - 1):
+                        hits = [(h["first"], h["last"], h["item"]) for h in before[lo + t]] if before else []
+                        x, y = int(first[t]), int(first[t + 1])
+                        hits += [(a - x, b - x, "" if i is None else str(i)) for a, b, i in found.get(t, ())]
+                        if last:
+                            rows.append(summary(raw[offsets[t] :], start[x:y] - offsets[t], stop[x:y] - offsets[t], hits))
+                        else:
+                            rows.append([dict(zip(("first", "last", "item"), h, strict=True)) for h in hits])
                 own = list(batch.columns[: len(columns)])
                 if last:
                     kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -151,31 +182,31 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         if following is None:
             current = current.mapInArrow(passes, final)
         else:
-            current = cut_table(current.mapInArrow(passes, StructType([*narrow.schema.fields, StructField(hits_as, ArrayType(HIT))])))
+            done, current = current, cut_table(current.mapInArrow(passes, StructType([*narrow.schema.fields, StructField(hits_as, ArrayType(HIT))])))
+            discard(done)
         block = following
     return current
 
 
-def summary(raw: bytes, n_words: int, hits: list[tuple[int, int, str]]) -> tuple[int, int, list[str], list[dict]]:
-    """n_words, n_hit, items and spans of one text."""
+def summary(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, hits: list[tuple[int, int, str]]) -> tuple[int, int, list[str], list[dict]]:
+    """n_words, n_hit, items and spans of the text that begins at ``raw``, with the places of its words."""
     if not hits:
-        return n_words, 0, [], []
+        return len(start), 0, [], []
     runs: list[list[int]] = []
     for a, b, _ in sorted(hits, key=lambda h: h[:2]):
         if runs and a <= runs[-1][1] + 1:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    places = [m.span() for m in WORD.finditer(raw.lower())]
     spans, known, chars = [], 0, 0
     for a, b in runs:
         ends = []
-        for byte in (places[a][0], places[b][1]):
-            chars += len(raw[known:byte].decode("utf-8", "replace"))
+        for byte in (int(start[a]), int(stop[b])):
+            chars += int(((raw[known:byte] & 0xC0) != 0x80).sum())
             known = byte
             ends.append(chars)
         spans.append({"start": ends[0], "end": ends[1]})
-    return n_words, sum(b - a + 1 for a, b in runs), sorted({i for *_, i in hits}), spans
+    return len(start), sum(b - a + 1 for a, b in runs), sorted({i for *_, i in hits}), spans
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
