@@ -1,4 +1,4 @@
-"""Line deduplication by site-relative frequency.
+"""Line deduplication by site-relative frequency, with DataFrame functions only.
 
 For each site, the pages that contain a line are counted and divided by all pages of the site;
 lines above a boilerplate ratio are dropped from the site's pages. Only hashes of lines are
@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, free_name, spread_join
+from textloom.llm.common import cut, sheltered, spread_join, unsheltered
 
-#: Lines on more than this share of a site's pages are boilerplate.
-RATIO = 0.1
-#: The share for corpora, set from measured frequencies: running text that is only there in copies
-#: (lines of over 50 words) stands on 0.72 % of a source's pages at most on ``check_s``.
-MEASURED_RATIO = 0.01
-#: Lines on fewer pages than this are kept whatever their share.
+#: Lines on more than this share of a site's pages are boilerplate. Set from measured frequencies:
+#: running text that is only there in copies (lines of over 50 words) stands on 0.72 % of a
+#: source's pages at most on ``check_s``.
+RATIO = 0.01
+#: and on at least so many pages, or on half of them and two where a site has fewer than twice as many.
 LEAST_PAGES = 5
+#: A site's boilerplate lines are kept in so many lists by hash, of which a line is looked for in one.
+SLOTS = 64
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -27,10 +29,7 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Lines are alike if they agree without the white space around them."""
-    return F.xxhash64(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-
-
-BLANK = r"[\x20\x09-\x0D]*"
+    return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
 
 
 def boilerplate_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -38,12 +37,14 @@ def boilerplate_lines(pages: DataFrame, site: str, text: str, ratio: float = RAT
 
     A site has at most lines-per-page / ratio of them. Blank lines are none.
     """
-    filled = F.filter(lines_of(F.col(text)), lambda x: ~x.rlike(f"^{BLANK}$"))
-    keys = F.array_distinct(F.transform(filled, line_key))
-    counted = pages.select(F.col(site).alias("site"), F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-    totals = pages.groupBy(F.col(site).alias("_site")).agg(F.count(F.lit(1)).alias("site_pages"))
+    own = pages.select(F.col(site).alias("site"), F.col(text).alias("text"))
+    filled = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    keys = F.array_distinct(F.transform(filled, lambda x: F.xxhash64(x)))
+    counted = own.select("site", F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).filter("pages >= 2")
+    totals = own.groupBy(F.col("site").alias("_site")).agg(F.count(F.lit(1)).alias("site_pages"))
     joined = counted.join(totals, F.col("site").eqNullSafe(F.col("_site"))).drop("_site")
-    return joined.filter(F.col("pages") > F.col("site_pages") * F.lit(ratio))
+    least = F.least(F.lit(least_pages), F.greatest(F.lit(2), F.ceil(F.col("site_pages") / 2)))
+    return joined.filter((F.col("pages") > F.col("site_pages") * F.lit(ratio)) & (F.col("pages") >= least))
 
 
 def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", key: str = "doc_id", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -52,19 +53,24 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     Lines end at line feeds and are compared without the white space around them; those that stay
     are joined as they were. A null site is a site of its own. Null texts stay null with no lines;
     a text of boilerplate only becomes empty. A page that repeats a line counts once for it;
-    repeated rows are pages of their own. Columns named like the new ones are replaced.
+    repeated rows are pages of their own. Columns named like the new ones are replaced; all others
+    pass through, whatever their names.
     """
     columns = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     found = boilerplate_lines(pages, site, text, ratio, least_pages)
-    lists = cut(found.groupBy("site").agg(F.collect_list("line").alias("lines")))
-    n = lists.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    own, bad = free_name(pages, "_site"), free_name(pages, "_bad")
-    marked = spread_join(pages.select(*columns), lists.select(F.col("site").alias(own), F.col("lines").alias(bad)), site, own, n, F.col(key), "left")
-    stays = lambda x: x.rlike(f"^{BLANK}$") | ~F.array_contains(F.col(bad), line_key(x))
-    kept = F.when(F.col(bad).isNull(), lines_of(F.col(text))).otherwise(F.filter(lines_of(F.col(text)), stays))
-    kept_as = free_name(pages, "_kept")
-    done = marked.withColumn(kept_as, kept)
-    cleaned = F.when(F.col(text).isNotNull(), F.array_join(kept_as, "\n")).alias(text)
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col(text)))).cast("long")
-    dropped = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col(text))) - F.size(kept_as)).cast("long")
-    return done.select(*[cleaned if c == text else F.col(c) for c in columns], n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+    slots = found.groupBy("site", F.pmod("line", F.lit(SLOTS)).alias("slot")).agg(F.collect_list("line").alias("lines"))
+    # SLOTS lists a site, empty ones too, so a slot's list is found by its place.
+    entries = slots.groupBy("site").agg(F.collect_list(F.struct("slot", "lines")).alias("entries"), F.sum(F.size("lines")).alias("n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.flatten(F.transform(F.filter("entries", lambda e: e["slot"] == k), lambda e: e["lines"])))
+    lists = cut(entries.select(F.col("site").alias("bad_site"), dense.alias("bad"), "n"))
+    n = lists.agg(F.coalesce(F.sum(F.greatest(F.col("n"), F.lit(SLOTS))), F.lit(0))).first()[0]
+    packed = sheltered(pages.select(*columns), (text,), site=F.col(site), text=F.col(text), key=F.col(key))
+    marked = spread_join(packed, lists.drop("n"), "site", "bad_site", n, F.col("key"), "left")
+    keyed = F.transform(lines_of(F.col("text")), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    stays = F.filter(keyed, lambda x: ~F.array_contains(F.element_at(F.col("bad"), (F.pmod(x["key"], F.lit(SLOTS)) + 1).cast("int")), x["key"]))
+    kept = F.when(F.col("bad").isNull(), lines_of(F.col("text"))).otherwise(F.transform(stays, lambda x: x["line"]))
+    done = marked.withColumn("kept", kept)
+    cleaned = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias(text)
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text")))).cast("long")
+    dropped = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text"))) - F.size("kept")).cast("long")
+    return done.select(*[cleaned if c == text else unsheltered([c])[0] for c in columns], n_lines.alias("n_lines"), dropped.alias("n_dropped"))

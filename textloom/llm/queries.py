@@ -63,7 +63,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     classes = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
-    return classes.select(F.col("id").alias("doc_id"), "class_id", kept.alias("is_representative"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", kept.alias("is_representative"), "class_size", "n_links")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +90,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-def op10_line_dedup_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.llm.line_dedup import MEASURED_RATIO, drop_boilerplate
-
-    cleaned = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ratio=MEASURED_RATIO)
-    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
-
-
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -109,7 +102,6 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_secrets": op9_secrets,
         "op10_line_dedup": op10_line_dedup,
-        "op10_line_dedup_measured": op10_line_dedup_measured,
     }
 
 
