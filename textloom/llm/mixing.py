@@ -3,7 +3,8 @@
 Within a source, documents are put in an order, their expected copies are summed up along it, one
 random offset is added, and a document is emitted once for each integer that the sum crosses at
 it. As the order is by size, the words taken from a source differ from its target by about one
-document's size at most.
+document's size at most. So that this is no large one, the few largest have whole numbers as their
+expected copies, and the others' are set to make up the target.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, free_name, ordinal_within, spread_join, unit_interval
+from textloom.llm.common import cut, cut_table, free_name, ordinal_within, sheltered, spread_join, unit_interval, unsheltered
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
+#: So many of a source's largest documents have whole numbers of expected copies.
+LARGEST = 16
 
 
 def n_words(text: Column | str) -> Column:
@@ -52,19 +55,33 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", te
     than ``ceil(most)`` times. Null and empty texts have size 0 and may be taken, which adds no
     words. Documents of equal size are ordered by a hash of the key, then the key; rows that agree
     in all of this are alike, whichever is taken. Reruns agree. ``keep`` names the columns to
-    return beside the new ones (all by default); columns named like new ones are replaced.
+    return beside the new ones (all by default); columns named like new ones are replaced, all others
+    pass through, whatever their names.
     """
     new = ("size", "source_size", "target", "copies", "taken")
     columns = [c for c in (keep or docs.columns) if c not in new]
-    hashed = free_name(docs, "_hash")
-    sized = docs.withColumn("size", n_words(text)).withColumn(hashed, F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    extra = [c for c in dict.fromkeys([*columns, key, "size", hashed]) if c != source]
-    ranked = ordinal_within(sized, source, [F.col("size"), F.col(hashed), F.col(key)], extra)
-    sizes = cut(ranked.groupBy(source).agg(F.sum("size").alias("source_size")))
-    targets = source_targets(sizes, source, weights, share, most).withColumnRenamed(source, "_source")
-    joined = spread_join(ranked, targets, source, "_source", sizes.count(), F.col("ordinal"))
+    sized = sheltered(docs.select(*dict.fromkeys([*columns, source, key, text])), tuple({source, key, text} - set(columns)), source=F.col(source), key=F.col(key), hash=F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), size=n_words(text))
+    if text not in columns:  # narrow rows are written, so that words are counted once
+        sized = cut_table(sized)
+    ranked = ordinal_within(sized, "source", [F.col("size"), F.col("hash"), F.col("key")], ["row", "key", "size", "hash"])
+    sizes = cut(ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    n_sources = sizes.count()
+    targets = source_targets(sizes, "source", weights, share, most).withColumnRenamed("source", "of_source")
+    counted = targets.join(sizes.select(F.col("source").alias("counted"), "n"), F.col("of_source").eqNullSafe(F.col("counted"))).drop("counted")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = unit_interval(seed, F.col(source))
-    crossed = lambda k: F.floor(offset + (F.col("ordinal") - k) * rate)
-    copies = (crossed(0) - crossed(1)).cast("int")
-    return joined.withColumn("copies", copies).select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    counted = cut(counted.withColumn("rate", rate))
+    # The largest: the place from the top, in steps of the rate, from a half on.
+    joined = spread_join(ranked, counted, "source", "of_source", n_sources, F.col("ordinal"))
+    top = F.col("n") - F.col("ordinal") + 1
+    step = lambda k: F.floor(F.lit(0.5) + (top - k) * F.col("rate"))
+    whole = (step(0) - step(1)).cast("int")
+    largest = joined.filter(top <= LARGEST).groupBy("source").agg(F.sum(whole * F.col("size")).alias("held"), F.sum("size").alias("held_size"))
+    largest = cut(largest).withColumnRenamed("source", "held_source")
+    left = F.col("source_size") - F.col("held_size")
+    rest = F.when(left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("held")) / left))).otherwise(0.0)
+    rates = cut(counted.join(largest, F.col("of_source").eqNullSafe(F.col("held_source"))).select("of_source", "source_size", "target", "n", "rate", rest.alias("rest")))
+    joined = spread_join(ranked, rates, "source", "of_source", n_sources, F.col("ordinal"))
+    offset = unit_interval(seed, F.col("source"))
+    crossed = lambda k: F.floor(offset + (F.col("ordinal") - k) * F.col("rest"))
+    copies = F.when(top <= LARGEST, whole).otherwise((crossed(0) - crossed(1)).cast("int"))
+    return joined.withColumn("copies", copies).select(*unsheltered(columns), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -16,9 +16,12 @@ MIXING = r"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(c
  level AS (SELECT arg_min((goal - held) / (all_w - gone), ratio) AS level FROM steps, totals WHERE ratio >= (goal - held) / (all_w - gone)),
  targets AS (SELECT source, source_size, CASE WHEN w * level > ceiling THEN ceiling ELSE w * level END AS target FROM weighed, level),
  ranked AS (SELECT doc_id, size, s.source, t.source_size, target, CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY s.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS r,
+  row_number() OVER (PARTITION BY s.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS r, count(*) OVER (PARTITION BY s.source) AS n,
   ('0x' || substr(md5(concat_ws('~', 'mix', s.source)), 1, 13))::BIGINT / 4503599627370496E0 AS u FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
- copied AS (SELECT *, CAST(floor(u + r * rate) - floor(u + (r - 1) * rate) AS INT) AS copies FROM ranked)
+ stepped AS (SELECT *, n - r < 16 AS large, CAST(floor(0.5E0 + (n - r + 1) * rate) - floor(0.5E0 + (n - r) * rate) AS INT) AS whole FROM ranked),
+ held AS (SELECT source, sum(whole * size) AS held, sum(size) AS held_size FROM stepped WHERE large GROUP BY source),
+ rated AS (SELECT s.*, CASE WHEN source_size > held_size THEN greatest(0, least(2E0, (target - held) / (source_size - held_size))) ELSE 0 END AS rest FROM stepped s JOIN held h ON s.source IS NOT DISTINCT FROM h.source),
+ copied AS (SELECT *, CASE WHEN large THEN whole ELSE CAST(floor(u + r * rest) - floor(u + (r - 1) * rest) AS INT) END AS copies FROM rated)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied"""
 
 
@@ -46,16 +49,9 @@ TRIMMED = f"regexp_replace(l, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
 LINES = f"""WITH lines AS (SELECT doc_id, source, i, s[i] AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
  keyed AS (SELECT *, {TRIMMED} AS k FROM lines),
  sites AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
- bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= 5 AND pages > n * 0.1E0),
+ bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= least(5, greatest(2, ceil(n / 2))) AND pages > n * 0.01E0),
  marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.source = bad.source AND keyed.k = bad.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY doc_id"""
-LINES_MEASURED = f"""WITH lines AS (SELECT doc_id, source, i, s[i] AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
- keyed AS (SELECT *, {TRIMMED} AS k FROM lines),
- sites AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
- bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= 5 AND pages > n * 0.01E0),
- marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.source = bad.source AND keyed.k = bad.k)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY doc_id"""
-
 
 def lowered(text: str) -> str:
     return f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -97,5 +93,4 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op8_warc": WARC,
     "op10_line_dedup": LINES,
-    "op10_line_dedup_measured": LINES_MEASURED,
 }
