@@ -173,11 +173,14 @@ def test_near_duplicates(spark, monkeypatch):
     rows += [(200 + i, " ".join(f"q{rnd.randrange(10**6)}" for _ in range(30))) for i in range(10)]
     rows += [(300, rows[0][1]), (301, "two words"), (302, "two words"), (303, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    n = len(rows)
-    weights = near_dup.Weights(*near_dup.frequent_shingles(df, "text", n), n)
+    weights = near_dup.Weights(*near_dup.frequent_shingles(df, "doc_id", "text"))
     want = plain_classes(rows, weights)
-    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(df).collect()}
-    assert [got[i] for i, _ in rows] == want
+    out = {r["id"]: r for r in near_dup.near_duplicates(df).collect()}
+    assert [out[i]["class_id"] for i, _ in rows] == want
+    sizes = Counter(want)
+    assert all(out[i]["class_size"] == sizes[out[i]["class_id"]] for i, _ in rows)
+    texts = {c: {t for (_, t), w in zip(rows, want, strict=True) if w == c} for c in sizes}
+    assert all((out[i]["n_links"] > 0) == (len(texts[out[i]["class_id"]]) > 1) for i, _ in rows)
     kept = near_dup.one_of_each(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
@@ -196,8 +199,60 @@ def test_short_texts_hash_alike_anywhere():
 def test_frequencies_are_exact(spark):
     rows = [(i, "common words that all of these have " + " ".join(f"v{i}x{k}" for k in range(6))) for i in range(40)] + [(99, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    ids, counts = near_dup.frequent_shingles(df, "text", len(rows))
-    assert sorted(counts) == [40, 40, 40] and len(set(ids)) == 3
+    ids, counts, n, theta = near_dup.frequent_shingles(df, "doc_id", "text")
+    assert sorted(counts) == [40, 40, 40] and len(set(ids)) == 3 and n == 41 and theta == near_dup.THETA
+
+
+def test_a_group_of_copies_counts_once(spark):
+    rnd = random.Random(9)
+    base = [f"c{rnd.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"e{i}"] + base[k + 1 :])) for i, k in enumerate(rnd.randrange(300) for _ in range(50))]
+    rows += [(100 + i, rows[0][1]) for i in range(20)]
+    rows += [(200 + i, "the one line that all have " + " ".join(f"z{i}y{k}" for k in range(60))) for i in range(30)]
+    ids, counts, n, _ = near_dup.frequent_shingles(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    # The 70 documents of the group count as about one, so only the line that others share is frequent.
+    assert n <= 34 and sorted(counts)[-2:] == [30, 30] and all(c <= 4 for c in sorted(counts)[:-2])
+
+
+def test_draws_agree_as_often_as_texts_are_alike():
+    rnd = np.random.default_rng(3)
+    lanes = near_dup.lanes()
+    ids = np.sort(rnd.choice(1 << 48, 3000, replace=False))
+    wa, wb = rnd.choice([0.3, 1.0, 1.7, 2.4], 3000), rnd.choice([0.3, 1.0, 1.7], 3000)
+    own, other = np.arange(3000) < 2600, np.arange(3000) >= 300
+    a, b = (ids[own], wa[own]), (ids[other], wb[other])
+    like = near_dup.weighted_jaccard(a, b)
+    same = (lanes.samples(np.array([0]), *a) == lanes.samples(np.array([0]), *b)).mean()
+    assert abs(same - like) < 4 * (like * (1 - like) / near_dup.LANES) ** 0.5
+
+
+def test_long_unrelated_texts_share_no_draw():
+    rnd = np.random.default_rng(4)
+    one, two = (np.sort(rnd.choice(1 << 48, 300_000, replace=False)) for _ in range(2))
+    a, b = (near_dup.lanes().samples(np.array([0]), x, np.ones(len(x))) for x in (one, two))
+    assert (a == b).sum() <= 1
+
+
+def test_hubs_and_components(spark, monkeypatch):
+    from textloom.llm import common
+
+    monkeypatch.setattr(common, "HUB_ROWS", 5)
+    rnd = random.Random(8)
+    edges = [("m00", f"x{i:03}") for i in range(60)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
+    edges += [(f"r{rnd.randrange(80)}", f"r{rnd.randrange(80)}") for _ in range(60)]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["node"]: r["root"] for r in near_dup.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: root(x) for x in linked}
 
 
 def test_near_duplicates_odd_rows(spark, tricky):
@@ -211,22 +266,66 @@ def test_near_duplicates_odd_rows(spark, tricky):
 # Spot signatures
 
 
+def plain_signatures(text):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    own, k, run = set(), 0, []
+    for w in [*words, None]:
+        if w is None or w in spotsigs.ANCHORS:
+            if len(run) > spotsigs.REACH:
+                own |= {("run", *run[i : i + 2]) for i in range(len(run) - 1)}
+            run = []
+        else:
+            run.append(w)
+    for k, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            chain = []
+            for x in words[k + 1 : k + 3]:
+                if x in spotsigs.ANCHORS:
+                    break
+                chain.append(x)
+            if chain:
+                own.add(("spot", w, *chain))
+    return own or ({("whole", *words)} if words else set())
+
+
+def plain_jaccard(a, b):
+    like = len(a & b) / len(a | b) if a | b else 1.0
+    return like if like >= spotsigs.LEAST_LIKE else 0.0
+
+
+def check_neighbours(rows, out, keys):
+    down = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0), reverse=True)
+    prints = {}
+    for k, (i, t) in enumerate(down):
+        following, third = down[(k + 1) % len(down)][1] or "", len(t or "") // 3
+        edited = (t or "")[: len(t or "") - third] + following[:third]
+        own, r = plain_signatures(t), out[keys(i)]
+        assert r["n_chars"] == len(t or "") and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_next"] == pytest.approx(plain_jaccard(own, plain_signatures(following))), (i, t, following)
+        assert r["near_edited"] == pytest.approx(plain_jaccard(own, plain_signatures(edited)))
+        for found, shown in ((own, r["fingerprint"]), (plain_signatures(edited), r["edited_fingerprint"])):
+            assert prints.setdefault(frozenset(found), shown) == shown
+    assert len(set(prints.values())) == len(prints)
+
+
 def test_edited_neighbours(spark, tricky):
     rnd = random.Random(1)
-    rows = [(i * 3, " ".join(rnd.choice(["the", "of", "katze", "hund", "baum", f"n{rnd.randrange(500)}"]) for _ in range(rnd.randint(0, 80)))) for i in range(120)]
+    rows = [(i * 3, " ".join(rnd.choice(["the", "of", "Katze", "hund,", "baum", f"n{rnd.randrange(500)}", "\n1 | 2 | 3 | 4 | 5 | x"]) for _ in range(rnd.randint(0, 80)))) for i in range(120)]
+    rows += [(1000, None), (1001, ""), (1002, "the of and"), (1003, "The cat"), (None, "no key at all"), (1004, "long words " * 30_000)]
     out = {r["doc_id"]: r for r in spotsigs.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), n_parts=7).collect()}
-    down = sorted(rows, reverse=True)
-    for k, (i, t) in enumerate(down):
-        following = down[(k + 1) % len(down)][1]
-        third = len(t) // 3
-        assert out[i]["n_chars"] == len(t)
-        assert out[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - third] + following[:third]).encode()).hexdigest()
-        assert 0 <= out[i]["near_next"] <= 1
+    check_neighbours(rows, out, lambda i: i)
+    named = [(None if i is None else f"k{i:05}", t) for i, t in rows]
+    out = {r["doc_id"]: r for r in spotsigs.edited_neighbours(spark.createDataFrame(named, "doc_id string, text string"), n_parts=5).collect()}
+    down = sorted(named, key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    numbers = {n: -k for k, (n, _) in enumerate(down)}
+    check_neighbours([(numbers[n], t) for n, t in named], {numbers[n]: r for n, r in out.items()}, lambda i: i)
     odd = spotsigs.edited_neighbours(tricky).collect()
     assert len(odd) == len(TRICKY)
     assert spotsigs.edited_neighbours(tricky.limit(0)).count() == 0
     alone = spotsigs.edited_neighbours(spark.createDataFrame([(1, "the cat sat")], "doc_id long, text string")).first()
     assert alone["near_next"] == 1.0
+    repeated = spark.createDataFrame([(None, f"text {i}") for i in range(30)] + [(5, f"other {i}") for i in range(30)], "doc_id long, text string")
+    assert spotsigs.edited_neighbours(repeated, n_parts=6).count() == 60
 
 
 def test_signatures(spark):
@@ -272,24 +371,41 @@ def test_spot_near_duplicates(spark):
 # Line dedup
 
 
+def plain_lines(rows):
+    """Texts without boilerplate, by the place of the row."""
+    pages = {}
+    for _, t, site, *_ in rows:
+        pages.setdefault(site, []).append({x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")} - {""})
+    bad = {}
+    for site, own in pages.items():
+        n = Counter(x for p in own for x in p)
+        bad[site] = {x for x, k in n.items() if k > 0.01 * len(own) and k >= min(5, max(2, -(-len(own) // 2)))}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r") not in bad[site]) for _, t, site, *_ in rows]
+
+
 def test_line_dedup(spark, tricky):
-    rows = [(i, f"Header \nbody {i}\n\n  Footer", "a", 0) for i in range(20)] + [(100 + i, "Header\nother" if i < 3 else f"x {i}", "b", 0) for i in range(40)] + [(200 + i, "null site line\n" + str(i), None, 0) for i in range(6)]
+    rnd = random.Random(12)
+    rows = [(i, "\n".join([rnd.choice(["Header ", "  Footer", "", f"rare {rnd.randrange(99)}", f"body {i}", "\t"]) for _ in range(rnd.randint(0, 8))]), rnd.choice(["a", "a", "a", "b", None]), 0) for i in range(700)]
+    rows += [(1000 + i, "only line\nx" if i < 2 else f"x {i}", "small", 0) for i in range(4)] + [(2000 + i, "Header\nsame", "tiny", 0) for i in range(2)]
+    rows += [(3000, None, "a", 0), (3001, "long line " * 20_000 + "\nHeader", "a", 0)]
     out = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out[3]["text"] == "body 3\n" and (out[3]["n_lines"], out[3]["n_dropped"]) == (4, 2)
-    assert out[100]["text"] == "Header\nother" and out[203]["text"] == "3"
+    for (i, t, *_), want in zip(rows, plain_lines(rows), strict=True):
+        assert out[i]["text"] == want
+        n = 0 if t is None else len(t.split("\n"))
+        assert out[i]["n_lines"] == n
     odd = line_dedup.drop_boilerplate(tricky).collect()
-    assert sorted((r["text"] or "") for r in odd) == sorted((t or "") for _, t, *_ in TRICKY)
+    assert sorted((r["text"] or "") for r in odd) == sorted(t or "" for t in plain_lines(TRICKY))
     assert line_dedup.drop_boilerplate(tricky.limit(0)).count() == 0
 
 
-def test_line_dedup_measured(spark):
+def test_line_dedup_stage_keeps_groups_of_copies(spark):
     import corpus_pipeline
 
-    rows = [(i, "en", f"Footer line\nbody {i}" if i < 6 else f"Rare line\nbody {i}" if i < 9 else f"body {i}", "a", 20) for i in range(200)]
+    rows = [(i, "en", "one long passage\nthat all copies have", "a", 37) for i in range(20)] + [(100 + i, "en", f"Footer\nbody {i}" if i < 6 else f"body {i}", "a", 9) for i in range(180)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long")
-    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
-    # The footer is on 3 % of the source's pages, the rare line on three pages.
-    assert len(out) == 200 and out[2] == "body 2" and out[7] == "Rare line\nbody 7"
+    out = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert len(out) == 200 and out[3]["text"] == rows[3][2] and out[102]["text"] == "body 2" and out[102]["n_chars"] == 6
+    assert sum(r["doc_id"] < 100 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == 1
 
 
 # URL filter
@@ -341,6 +457,77 @@ def test_propagation_settles(spark):
     assert got["y"]["distrust"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-4)
 
 
+def test_a_graph_of_hosts(spark):
+    rnd = random.Random(21)
+    n, edges = 2000, Counter()
+    for i in range(n):
+        for _ in range(rnd.randint(0, 5)):
+            j = rnd.randrange(10) if rnd.random() < 0.4 else rnd.randrange(n)  # ten hubs
+            if i != j:
+                edges[i, j] += rnd.randint(1, 3)
+    seeds = {i: (rnd.randrange(5), 0) if rnd.random() < 0.5 else (0, rnd.randrange(5)) for i in range(0, n, 17)}
+    frame = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in edges.items()], "src string, dst string, n long")
+    start = spark.createDataFrame([(f"h{i}", *s) for i, s in seeds.items()], "host string, good long, bad long")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(frame, start).collect()}
+    a, b, k = (np.array(x) for x in zip(*((*e, c) for e, c in edges.items()), strict=True))
+    out, into = np.bincount(a, k, n), np.bincount(b, k, n)
+    good, bad = (np.array([seeds.get(i, (0, 0))[j] for i in range(n)], float) for j in (0, 1))
+    t, d = good, bad
+    for _ in range(300):
+        t, d = good + 0.85 * np.bincount(b, t[a] * k / out[a], n), bad + 0.85 * np.bincount(a, d[b] * k / into[b], n)
+    for i in range(n):
+        if f"h{i}" in got:
+            assert got[f"h{i}"] == (pytest.approx(t[i], abs=1e-3), pytest.approx(d[i], abs=1e-3))
+    assert {f"h{i}" for i in (*a, *b, *seeds)} == set(got)
+
+
+def test_verdicts_follow_the_graph(spark):
+    bad = [(i, f"http://bad{i}.example.com/de/x", "") for i in range(4)]
+    farm = [(10 + i, f"http://farm{i}.info/", "".join(f"<a href='http://bad{k}.example.com/'>" for k in range(4))) for i in range(3)]
+    trusted = [(20 + i, "http://good.org/fr/", "<a href='http://friend.info/'>") for i in range(3)] + [(30, "http://friend.info/", "<a href='http://bad0.example.com/'>")]
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(bad + farm + trusted, "page_id long, url string, html string")).collect()}
+    assert [out[10 + i] for i in range(3)] == ["block"] * 3 and out[30] == "allow"
+
+
+# Clashing names and key types
+
+
+CLASHING = ["ordinal", "_source", "_first", "_at", "_part", "at", "part", "row", "key", "group", "hash", "_blocked", "blocked", "ruled", "html", "_digest", "digest", "_kept", "_of", "_id", "id", "site", "bad", "kept", "bad_site", "_salt_l", "_salt_r", "before", "after", "others", "place", "next", "bands", "class_id", "text_a", "hot", "of", "probe", "found", "url", "_hits", "none", "n"]
+
+
+@pytest.mark.parametrize("operator", ["mix", "urls", "one", "lines", "overlaps", "toxicity", "tokens", "secrets", "warc", "spots"])
+def test_clashing_names(spark, tmp_path, operator):
+    base = spark.createDataFrame([(i, f"some text of five words {i % 3} and more\nline", "s", "http://x.info/") for i in range(6)] + [(None, None, None, None)], "doc_id long, text string, source string, address string")
+    names = [c for c in CLASHING if c not in ("hot",) or operator != "nothing"]
+    df = base.select("*", *[F.lit(f"mine {c}").alias(c) for c in names])
+    none = spark.createDataFrame([], "doc_id long, toxic int, item_id long, text string")
+    done = {
+        "mix": lambda: mixing.mix_sources(df),
+        "urls": lambda: url_filter.judge_urls(df, "doc_id", "address", "text"),
+        "one": lambda: near_dup.one_of_each(df),
+        "lines": lambda: line_dedup.drop_boilerplate(df),
+        "overlaps": lambda: decontaminate.find_overlaps(df, none),
+        "toxicity": lambda: toxicity.toxicity(df, none),
+        "tokens": lambda: pytest.importorskip("textloom.llm.token_counts").count_tokens(df, pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")),
+        "secrets": lambda: secrets.scan_secrets(df),
+        "warc": lambda: warc.read_warc(warc.write_warc(df, f"file://{tmp_path}/w", "doc_id", "address", "text")),
+        "spots": lambda: spotsigs.edited_neighbours(df),
+    }[operator]()
+    rows = done.collect()
+    assert len(rows) == (4 if operator == "one" else 7)
+    if operator not in ("warc", "spots"):
+        assert all(r[c] == f"mine {c}" for r in rows for c in names)
+
+
+def test_keys_of_other_types(spark, tmp_path):
+    pages = spark.createDataFrame([("a:b>1", "u", "same"), ("é 2", "u", "same"), (None, None, None)], "page_id string, url string, html string")
+    out = {r["page_id"]: r for r in warc.read_warc(warc.write_warc(pages, f"file://{tmp_path}/w"), key_type="string").collect()}
+    assert set(out) == {"a:b>1", "é 2", None} and out["é 2"]["refers_to"] == "a:b>1" and out["a:b>1"]["record_type"] == "response"
+    docs = spark.createDataFrame([("x", "one two three four five six", "s"), ("y", "one two three four five six", "s"), (None, "z", "s")], "doc_id string, text string, source string")
+    assert sorted(r["doc_id"] or "" for r in near_dup.one_of_each(docs).collect()) == ["", "x"]
+    assert mixing.mix_sources(docs).count() == 3 and line_dedup.drop_boilerplate(docs).count() == 3
+
+
 # WARC
 
 
@@ -409,6 +596,47 @@ def test_held_out_accuracy(spark):
     assert spans and all("scumbag" in s.lower() or "vileword" in s for s in spans)
 
 
+def test_training_gradient():
+    rnd = np.random.default_rng(5)
+    first, count = np.array([0, 4, 5]), np.array([4, 1, 3])
+    inner = np.array([0, 1, 1, 1, 0, 0, 1, 1], bool)
+    target = np.array([0, 1, 1, 0, 1, 0, 0, 1], float)
+    evidence, theta = rnd.normal(size=8), rnd.normal(size=3)
+    moves = lambda t: np.array([[0.0, t[0]], [t[1], t[2]]])
+
+    def loss(evidence, theta):
+        m, total = moves(theta), 0.0
+        for f, n in zip(first, count, strict=True):
+            score = lambda y: sum(e * a for e, a in zip(evidence[f : f + n], y, strict=True)) + sum(m[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+            every = [[(code >> k) & 1 for k in range(n)] for code in range(1 << n)]
+            total += np.log(sum(np.exp(score(y)) for y in every)) - score(target[f : f + n].astype(int).tolist())
+        return total
+
+    by_token, by_move = toxicity.gradient(evidence, target, first, count, inner, moves(theta))
+    step = 1e-6
+    for k in range(8):
+        d = np.eye(8)[k] * step
+        assert by_token[k] == pytest.approx((loss(evidence + d, theta) - loss(evidence - d, theta)) / (2 * step), abs=1e-5)
+    for k in range(3):
+        d = np.eye(3)[k] * step
+        assert by_move[k] == pytest.approx((loss(evidence, theta + d) - loss(evidence, theta - d)) / (2 * step), abs=1e-5)
+
+
+@pytest.mark.parametrize("n", [0, 1, 6])
+def test_few_labels_keep_documents(spark, n):
+    rows = [(i, f"plain words number {i}") for i in range(4 * n)] + [(1000, None), (1001, ""), (1002, "scum scum scum")]
+    labels = spark.createDataFrame([(i, int(i < 2 * n)) for i in range(4 * n)], "doc_id long, toxic int")
+    out = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(out) == len(rows) and all(r["score"] < 0.3 and not r["spans"] for r in out)
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, f"text number {i} " + ("scum" if i % 2 else "fine") * 3) for i in range(300)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert toxicity.learn(df, labels, most_bytes=1).curve is None
+    assert toxicity.learn(df, labels, most_bytes=4000).curve is not None
+
+
 def test_toxicity_odd_rows(spark, tricky):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     scores = [r["score"] for r in toxicity.toxicity(tricky, none).collect()]
