@@ -37,11 +37,12 @@ def _col(c: Column | str) -> Column:
 
 
 def remove_accents(c: Column | str) -> Column:
-    """Letters without their accents; what has no ASCII form is dropped (so are œ and ß)."""
-    folded = F.translate(_col(c), _ONE, _TO)
+    """Letters without their accents; what has no ASCII form is dropped (so are œ and ß). ASCII texts stay as they are."""
+    text = _col(c)
+    folded = F.translate(text, _ONE, _TO)
     for char, plain in _MORE.items():
         folded = F.replace(folded, F.lit(char), F.lit(plain))
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(text)
 
 
 def remove_symbols(c: Column | str) -> Column:
