@@ -142,6 +142,19 @@ def judge_score_parse(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", scores.extract_score(answer).alias("score"))
 
 
+@query
+def preferred_output(spark, sf_dir):
+    """Judges' answers made from the labels: a, b, a tie, or neither."""
+    n = F.col("doc_id") % 4
+    answer = F.when(n == 0, "I prefer Output (a).").when(n == 1, "Output (b) is better").when(n == 2, "Tie between them").otherwise("output (c)")
+    return table(spark, sf_dir, "labels").select("doc_id", prompts.preferred_output(answer).alias("preferred"))
+
+
+@query
+def newline_to_space(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.newline_to_space("text").alias("line"))
+
+
 @query
 def heading_order_check(spark, sf_dir):
     html = F.col("html")
@@ -283,6 +296,14 @@ def dpo_trainer_input(spark, sf_dir):
     return rows.select("rank", "prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), "split")
 
 
+@query
+def best_by_sort(spark, sf_dir):
+    """The 50 best candidates in each of the named orders."""
+    long = candidates_long(spark, sf_dir).withColumn("educational_score", F.floor(F.col("educational_score") * 8) / 8).withColumn("similarity_score", F.floor(F.col("similarity_score") * 8) / 8)
+    tops = [cand.best(long, 50, sort).select(F.lit(sort).alias("sort"), "example_id", "candidate_id") for sort in cand.SORTS]
+    return reduce(DataFrame.union, tops)
+
+
 @query
 def below_score(spark, sf_dir):
     scored = candidates_long(spark, sf_dir).withColumn("educational_score", F.col("educational_score") * 10)
@@ -552,3 +573,11 @@ def embed_stub(spark, sf_dir):
     nxt = docs.select((F.col("doc_id") - 1).alias("_i"), F.col("text").alias("other"))
     pairs = docs.join(nxt, F.col("doc_id") == F.col("_i"))
     return plugins.add_similarity(pairs, "text", "other", plugins.HashEmbedder(), plugins.WordTokenizer()).select("doc_id", six(F.col("similarity_score")).alias("similarity"))
+
+
+@query
+def pair_judge_stub(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    nxt = docs.select((F.col("doc_id") - 1).alias("_i"), F.col("text").alias("other"))
+    pairs = docs.join(nxt, F.col("doc_id") == F.col("_i"))
+    return plugins.add_pair_score(pairs, "text", "other", plugins.HeuristicJudge(), PAIR).select("doc_id", "similarity_score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textloom.operators.candidates import SORTS
 from textloom.operators.plugins import decoding_parameters
 from textloom.operators.vocabulary import STOPWORDS
 from textloom.plans.catalogue import INSTRUCTION, JUDGE, LABELS, PAIR, TOP, TRAINED, TRUNCATED
@@ -152,7 +153,16 @@ GENERATED = "SELECT doc_id, " + ", ".join(f"text || ' [{i}]' AS response_{i}, "
 JUDGED = f"""WITH t AS (SELECT doc_id, {TOKENS.format("p")} AS w FROM (SELECT doc_id, replace({quoted(JUDGE)}, '{{INSTRUCTION}}', text) AS p FROM documents) t)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE CAST(printf('%.3f', len(list_distinct(w)) / len(w)::DOUBLE) AS DOUBLE) END AS educational_score FROM t"""
 
+PAIR_JUDGED = f"""WITH t AS (SELECT doc_id, {TOKENS.format("p")} AS w FROM (SELECT a.doc_id, replace(replace({quoted(PAIR)}, '{{TEXT1}}', a.text), '{{TEXT2}}', b.text) AS p FROM documents a JOIN documents b ON b.doc_id - 1 = a.doc_id) t)
+SELECT doc_id, CAST(printf('%.3f', len(list_distinct(w)) / len(w)::DOUBLE) AS DOUBLE) AS similarity_score FROM t"""
+EIGHTHS = "eighths AS (SELECT * REPLACE (floor(educational_score * 8) / 8 AS educational_score, floor(similarity_score * 8) / 8 AS similarity_score) FROM candidates)"
+BEST_BY_SORT = f"WITH {CANDIDATES}, {EIGHTHS} " + " UNION ALL ".join(f"(SELECT '{name}' AS sort, example_id, candidate_id FROM eighths ORDER BY {', '.join(f'{c} DESC' for c in columns)}, example_id, candidate_id LIMIT 50)" for name, columns in SORTS.items())
+
 ORACLES: dict[str, str] = {
+    "pair_judge_stub": PAIR_JUDGED,
+    "best_by_sort": BEST_BY_SORT,
+    "preferred_output": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'tie' END AS preferred FROM labels",
+    "newline_to_space": "SELECT doc_id, replace(text, chr(10), ' ') AS line FROM documents",
     "generation_stub": GENERATED,
     "judge_stub": JUDGED,
     "normalize_text": f"SELECT doc_id, {normal('text')} AS normalized FROM documents",
