@@ -630,6 +630,19 @@ def test_few_labels_keep_documents(spark, n):
     assert len(out) == len(rows) and all(r["score"] < 0.3 and not r["spans"] for r in out)
 
 
+def test_training_in_blocks(monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["kip", "lam", "nor", "sef", "tud"]) + str(rnd.randrange(30)) for _ in range(rnd.choice([1, 40, 300]))) for _ in range(120)]
+    texts = [t + " vile" if i % 3 == 0 else t for i, t in enumerate(texts)]
+    labels = [int(i % 3 == 0) for i in range(120)]
+    whole = toxicity.train(texts, labels)
+    for n in (1, 128, 500):
+        monkeypatch.setattr(toxicity, "BLOCK_TOKENS", n)
+        part = toxicity.train(texts, labels)
+        assert part.keys.tolist() == whole.keys.tolist()
+        assert part.weights == pytest.approx(whole.weights, abs=1e-6) and part.curve == pytest.approx(whole.curve, abs=1e-5)
+
+
 def test_sample_is_bounded(spark):
     rows = [(i, f"text number {i} " + ("scum" if i % 2 else "fine") * 3) for i in range(300)]
     df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.ordering import BROADCAST_ROWS, cut, cut_table, discard, ordinal_within, shuffle_partitions, throwaway
 
-__all__ = ["BROADCAST_ROWS", "cut", "cut_table", "discard", "free_name", "hub_bound", "hub_join", "ordinal_within", "sheltered", "shuffle_partitions", "spread_join", "throwaway", "tidy", "unit_interval", "unsheltered"]
+__all__ = ["BROADCAST_ROWS", "cut", "cut_table", "discard", "free_name", "give_back", "hub_bound", "hub_join", "ordinal_within", "sheltered", "shuffle_partitions", "spread_join", "throwaway", "tidy", "unit_interval", "unsheltered"]
 
 
 def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
@@ -27,13 +27,18 @@ def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[p
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

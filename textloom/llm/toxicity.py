@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from textloom.llm.common import cut, tidy
+from textloom.llm.common import cut, give_back, tidy
 from textloom.llm.shingles import Hasher, groups, words_in
 
 #: The sample to learn from: at most so many labelled documents of each class, the first by a hash of their key.
@@ -31,7 +31,8 @@ PREFIXES = (4, 5, 6)
 #: With few labels no key can reach the statistic; the field is then untrained and scores 0.
 LEAST_G2, LEAST_ODDS = 25.0, 8.0
 #: For training, texts are sequences of so many tokens; a gradient then has many of equal length.
-SEGMENT = 128
+#: It is summed up over blocks of so many tokens, for the driver's memory.
+SEGMENT, BLOCK_TOKENS = 128, 1 << 17
 ROUNDS, RATE, PENALTY = 40, 0.25, 1e-4
 FLAGGED = 0.5
 #: Texts without a flagged token score this times their place on the curve.
@@ -196,6 +197,8 @@ def train(texts: list[str], labels: list[int]) -> Field:
     count = np.diff(np.append(first, len(doc)))
     inner = place % SEGMENT > 0
     del place
+    ends = np.append(first, len(doc))
+    cuts = np.unique(np.append(ends[np.searchsorted(first, np.arange(0, len(doc), BLOCK_TOKENS))], len(doc)))
     prior = np.clip(target.mean(), 1e-6, 0.5)
     theta = np.zeros(n_features + 2 + 3)  # features, none, bias, three moves
     theta[n_features + 1] = np.log(prior / (1 - prior))
@@ -203,12 +206,16 @@ def train(texts: list[str], labels: list[int]) -> Field:
     for step in range(1, ROUNDS + 1):
         weights = theta[: n_features + 1]
         moves = np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]])
-        evidence = weights[feature].sum(axis=1)[word] + theta[n_features + 1]
-        slope = np.zeros_like(theta)
-        error, slope[-3:] = gradient(evidence, target, first, count, inner, moves)
-        of_word = np.bincount(word, error, minlength=len(known))
+        by_word = weights[feature].sum(axis=1) + theta[n_features + 1]
+        slope, of_word = np.zeros_like(theta), np.zeros(len(known))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = slice(lo, hi)
+            some = slice(*np.searchsorted(first, (lo, hi)))
+            error, by_move = gradient(by_word[word[own]], target[own], first[some] - lo, count[some], inner[own], moves)
+            of_word += np.bincount(word[own], error, minlength=len(known))
+            slope[-3:] += by_move
         slope[: n_features + 1] = np.bincount(feature.ravel(), np.repeat(of_word, feature.shape[1]), minlength=n_features + 1)
-        slope[n_features + 1] = error.sum()
+        slope[n_features + 1] = of_word.sum()
         slope = slope / len(first) + PENALTY * theta
         slope[n_features] = 0.0
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
@@ -217,12 +224,24 @@ def train(texts: list[str], labels: list[int]) -> Field:
     weights = theta[:n_features]
     strong = np.abs(weights) > 1e-3
     field = Field(every[kept][strong], weights[strong], float(theta[n_features + 1]), moves)
-    start = np.searchsorted(doc, np.arange(len(y)))
-    p = field.marginals(field.evidence(known)[word], start, np.diff(np.append(start, len(doc))))
-    field.curve = logistic(field.features(p, doc, len(y)), y)
+    field.curve = logistic(whole_features(field, field.evidence(known), word, doc, len(y)), y)
     return field
 
 
+def whole_features(field: Field, by_word: np.ndarray, word: np.ndarray, doc: np.ndarray, n_texts: int) -> np.ndarray:
+    """The features of whole texts, some texts at a time."""
+    start = np.append(np.searchsorted(doc, np.arange(n_texts)), len(doc))
+    parts, lo = [], 0
+    while lo < n_texts:
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + BLOCK_TOKENS, side="right")) - 1)
+        hi = min(hi, n_texts)
+        own = slice(start[lo], start[hi])
+        p = field.marginals(by_word[word[own]], start[lo:hi] - start[lo], np.diff(start[lo : hi + 1]))
+        parts.append(field.features(p, doc[own] - lo, hi - lo))
+        lo = hi
+    return np.concatenate(parts)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
     """A logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
@@ -262,8 +281,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             within.append(r["_doc"])
     if len(within) < len(sized):
         rows = rows.filter(F.col("_doc").isin(within))
-    found = rows.groupBy("_doc").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")).toPandas().sort_values("_doc", kind="stable")
-    return train(found["_text"].tolist(), found["_y"].tolist())
+    found = sorted((r["_doc"], r["_y"], r["_text"]) for r in rows.groupBy("_doc").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")).collect())
+    field = train([r[2] for r in found], [r[1] for r in found])
+    del found
+    give_back()
+    return field
 
 
 def score_toxicity(docs: DataFrame, field: Field, text: str = "text", score_as: str = "score", spans_as: str = "spans") -> DataFrame:
