@@ -33,7 +33,7 @@ LEAST_G2, LEAST_ODDS = 25.0, 8.0
 #: For training, texts are sequences of so many tokens; a gradient then has many of equal length.
 #: It is summed up over blocks of so many tokens, for the driver's memory.
 SEGMENT, BLOCK_TOKENS = 128, 1 << 17
-ROUNDS, RATE, PENALTY = 40, 0.25, 1e-4
+ROUNDS, RATE, PENALTY = 80, 0.1, 1e-3
 FLAGGED = 0.5
 #: Texts without a flagged token score this times their place on the curve.
 UNFLAGGED = 0.25
