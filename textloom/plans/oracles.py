@@ -169,45 +169,75 @@ ORACLES: dict[str, str] = {
     "remove_symbols": "SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', '', 'g') AS plain FROM documents",
     "code_prefix": "SELECT p_partkey, lower(substr(p_brand, 1, 3)) AS prefix, 'a-' || p_type AS slug FROM part",
     "split_marker": "SELECT doc_id, CASE WHEN contains(text, '###') THEN regexp_replace(string_split(text, '###')[1], '^\\s+|\\s+$', '', 'g') ELSE text END AS head FROM documents",
-    "instruction_build": f"WITH {firsts('documents', 'doc_id', words('text'))} SELECT doc_id, replace(replace({quoted(INSTRUCTION)}, '{{keywords}}', array_to_string(coalesce(firsts, [])[1:5], ', ')), '{{knowledge_base}}', '') AS instruction FROM w LEFT JOIN f USING (doc_id)",
-    "given_or_extracted": f"WITH {firsts('documents', 'doc_id', words('text'))} SELECT doc_id, CASE WHEN substr(md5(concat_ws('~', doc_id, '42')), 1, 1) < '8' THEN array_to_string(coalesce(firsts, [])[1:3], ', ') ELSE source END AS keywords FROM documents LEFT JOIN f USING (doc_id)",
-    "pair_prompt": f"SELECT a.doc_id, replace(replace({quoted(PAIR)}, '{{TEXT1}}', a.text || ' {{TEXT2}}'), '{{TEXT2}}', b.text) AS prompt FROM documents a JOIN documents b ON b.doc_id - 1 = a.doc_id",
+    "instruction_build": f"""WITH {firsts('documents', 'doc_id', words('text'))} SELECT doc_id, replace(replace({quoted(INSTRUCTION)}, '{{keywords}}', array_to_string(coalesce(firsts, [])[1:5], ', ')), '{{knowledge_base}}', '') AS instruction
+  FROM w LEFT JOIN f USING (doc_id)""",
+    "given_or_extracted": f"""WITH {firsts('documents', 'doc_id', words('text'))} SELECT doc_id, CASE WHEN substr(md5(concat_ws('~', doc_id, '42')), 1, 1) < '8' THEN array_to_string(coalesce(firsts, [])[1:3], ', ') ELSE source END AS keywords
+  FROM documents LEFT JOIN f USING (doc_id)""",
+    "pair_prompt": f"""SELECT a.doc_id, replace(replace({quoted(PAIR)}, '{{TEXT1}}', a.text || ' {{TEXT2}}'), '{{TEXT2}}', b.text) AS prompt FROM documents a
+  JOIN documents b ON b.doc_id - 1 = a.doc_id""",
     "judge_prompt": f"SELECT doc_id, replace({quoted(JUDGE)}, '{{INSTRUCTION}}', text) AS prompt FROM documents",
-    "sft_text_concat": "SELECT u.conv_id, u.turn, u.text || a.text AS text FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn WHERE u.role = 'user' AND a.role = 'assistant'",
+    "sft_text_concat": """SELECT u.conv_id, u.turn, u.text || a.text AS text FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn
+  WHERE u.role = 'user' AND a.role = 'assistant'""",
     "judge_score_parse": f"""SELECT doc_id, coalesce(try_cast(regexp_extract(CASE doc_id % 7 WHEN 0 THEN '{{"score": 2}}' WHEN 1 THEN 'score: 0.5' WHEN 2 THEN '{{"score": 0.5, "why": "x"}}' WHEN 3 THEN '{{ "score" : 1 }}' ELSE {GOOD} END,
   '\\{{\\s*"score"\\s*:\\s*([01](?:\\.\\d+)?)\\s*,?\\s*\\}}', 1) AS DOUBLE), 0) AS score FROM labels""",
-    "heading_order_check": "SELECT page_id, regexp_matches(html, '(?s)<title>.*?<nav>.*?<article>') AS in_order, regexp_matches(html, '(?s)<article>.*?<title>') AS reversed FROM pages",
+    "heading_order_check": """SELECT page_id, regexp_matches(html, '(?s)<title>.*?<nav>.*?<article>') AS in_order, regexp_matches(html, '(?s)<article>.*?<title>') AS reversed
+  FROM pages""",
     "literal_list_parse": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1, 2) THEN '' ELSE p_name || '|' || p_type END AS items FROM part",
-    "invert_norm_keywords": f"WITH f AS (SELECT {normal('p_name')} AS n, arg_min(upper(p_name), p_partkey) AS o FROM part GROUP BY 1) SELECT p_partkey, o || ', ' || o AS originals FROM part JOIN f ON {normal('p_name')} = n",
+    "invert_norm_keywords": f"""WITH f AS (SELECT {normal('p_name')} AS n, arg_min(upper(p_name), p_partkey) AS o FROM part GROUP BY 1) SELECT p_partkey, o || ', ' || o AS originals
+  FROM part JOIN f ON {normal('p_name')} = n""",
     "code_to_terms": f"WITH {DICTIONARY} SELECT code, string_agg(term, ', ' ORDER BY place) AS terms FROM dictionary GROUP BY code",
-    "code_lookup": f"WITH {DICTIONARY}, {coded('p_brand')}, t AS (SELECT code, count(*) AS n FROM dictionary GROUP BY code) SELECT order_id, count(*) AS n_codes, CAST(sum(n) AS BIGINT) AS n_terms FROM (SELECT order_id, unnest(string_split(codes, ' ')) AS code FROM coded) JOIN t USING (code) GROUP BY order_id",
-    "code_int_map": f"WITH {coded('p_brand')}, m AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS k FROM (SELECT DISTINCT p_brand AS code FROM part)), e AS (SELECT order_id, unnest(generate_series(1, len(string_split(codes, ' ')))) AS i, string_split(codes, ' ') AS c FROM coded) SELECT order_id, string_agg(k::VARCHAR, ' ' ORDER BY i) AS numbers FROM e JOIN m ON c[i] = code GROUP BY order_id",
-    "reverse_dictionary": f"WITH forms AS (SELECT unnest([p_name, upper(p_name), replace(p_name, ' ', '-')]) AS term, p_partkey FROM part), firsts AS (SELECT term, min(p_partkey) AS place FROM forms GROUP BY term) SELECT {normal('term')} AS normal, string_agg(term, '|' ORDER BY place, term) AS originals FROM firsts GROUP BY 1",
+    "code_lookup": f"""WITH {DICTIONARY}, {coded('p_brand')}, t AS (SELECT code, count(*) AS n FROM dictionary
+  GROUP BY code) SELECT order_id, count(*) AS n_codes, CAST(sum(n) AS BIGINT) AS n_terms FROM (SELECT order_id, unnest(string_split(codes, ' ')) AS code
+  FROM coded) JOIN t USING (code) GROUP BY order_id""",
+    "code_int_map": f"""WITH {coded('p_brand')}, m AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS k FROM (SELECT DISTINCT p_brand AS code
+  FROM part)), e AS (SELECT order_id, unnest(generate_series(1, len(string_split(codes, ' ')))) AS i, string_split(codes, ' ') AS c
+  FROM coded) SELECT order_id, string_agg(k::VARCHAR, ' ' ORDER BY i) AS numbers FROM e JOIN m ON c[i] = code GROUP BY order_id""",
+    "reverse_dictionary": f"""WITH forms AS (SELECT unnest([p_name, upper(p_name), replace(p_name, ' ', '-')]) AS term, p_partkey
+  FROM part), firsts AS (SELECT term, min(p_partkey) AS place FROM forms GROUP BY term) SELECT {normal('term')} AS normal, string_agg(term, '|'
+  ORDER BY place, term) AS originals FROM firsts GROUP BY 1""",
     "random_codes": RANDOM,
     "random_codes_by_number": BY_NUMBER,
     "assoc_codes": ASSOCIATED,
     "positional_zip": "SELECT a.doc_id // 2 AS row, a.doc_id, b.doc_id AS public_doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0",
-    "unpivot_candidates": f"WITH {CANDIDATES} SELECT example_id, candidate_id, first_value(instruction) OVER (PARTITION BY example_id ORDER BY candidate_id) AS instruction, md5(response) AS response, round(similarity_score, 6) AS similarity_score, round(educational_score, 6) AS educational_score, round(bleu_score, 6) AS bleu_score, round(cumulative_score, 6) AS cumulative_score FROM candidates",
-    "cumulative_score": f"WITH {CANDIDATES} SELECT example_id, {', '.join(f'round(max(CASE WHEN candidate_id = {i} THEN cumulative_score END), 6) AS cumulative_score_{i}' for i in range(1, 5))} FROM candidates GROUP BY example_id",
+    "unpivot_candidates": f"""WITH {CANDIDATES} SELECT example_id, candidate_id, first_value(instruction) OVER (PARTITION BY example_id
+  ORDER BY candidate_id) AS instruction, md5(response) AS response, round(similarity_score, 6) AS similarity_score, round(educational_score, 6) AS educational_score, round(bleu_score, 6) AS bleu_score, round(cumulative_score, 6) AS cumulative_score
+  FROM candidates""",
+    "cumulative_score": f"""WITH {CANDIDATES} SELECT example_id, {', '.join(f'round(max(CASE WHEN candidate_id = {i} THEN cumulative_score END), 6) AS cumulative_score_{i}' for i in range(1, 5))}
+  FROM candidates GROUP BY example_id""",
     "score_stats": f"WITH {CANDIDATES} " + " UNION ALL ".join(f"SELECT '{s}' AS metric, round(avg({s}), 6) AS mean, round(max({s}), 6) AS max, round(min({s}), 6) AS min, round(median({s}), 6) AS median FROM candidates" for s in ("similarity_score", "cumulative_score")),
     "sorted_candidates": f"WITH {RANKED} SELECT r AS rank, example_id, candidate_id, round(cumulative_score, 6) AS cumulative_score FROM ranked",
     "sft_top": f"WITH {RANKED} SELECT example_id, candidate_id, instruction, md5(response) AS response FROM ranked WHERE r <= {TOP}",
-    "eval_top": f"WITH {CANDIDATES} SELECT example_id, candidate_id, round(similarity_score, 6) AS similarity_score FROM candidates ORDER BY similarity_score DESC, example_id, candidate_id LIMIT {TOP}",
-    "kto_pairs": f"WITH {RANKED}, both_ AS (SELECT *, true AS label FROM ranked WHERE r <= {TOP} UNION ALL SELECT *, false FROM ranked WHERE r > (SELECT count(*) FROM ranked) - {TOP}) SELECT instruction, label, md5(response) AS response, md5(response) AS completion, instruction AS prompt FROM both_",
-    "dpo_pairs": f"WITH {PAIRS} SELECT rank, instruction, md5(chosen) AS chosen, md5(rejected) AS rejected, round(c1, 6) AS chosen_similarity_score, round(c2, 6) AS chosen_educational_score, round(c3, 6) AS chosen_bleu_score, round(c4, 6) AS chosen_cumulative_score, round(w1, 6) AS rejected_similarity_score, round(w2, 6) AS rejected_educational_score, round(w3, 6) AS rejected_bleu_score, round(w4, 6) AS rejected_cumulative_score FROM pairs",
-    "dpo_trainer_input": f"WITH {PAIRS} SELECT rank, instruction AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, {SPLIT.format('rank')} FROM pairs WHERE rank <= {TRAINED}",
+    "eval_top": f"""WITH {CANDIDATES} SELECT example_id, candidate_id, round(similarity_score, 6) AS similarity_score FROM candidates
+  ORDER BY similarity_score DESC, example_id, candidate_id LIMIT {TOP}""",
+    "kto_pairs": f"""WITH {RANKED}, both_ AS (SELECT *, true AS label FROM ranked WHERE r <= {TOP} UNION ALL SELECT *, false FROM ranked WHERE r > (SELECT count(*)
+  FROM ranked) - {TOP}) SELECT instruction, label, md5(response) AS response, md5(response) AS completion, instruction AS prompt FROM both_""",
+    "dpo_pairs": f"""WITH {PAIRS} SELECT rank, instruction, md5(chosen) AS chosen, md5(rejected) AS rejected, round(c1, 6) AS chosen_similarity_score, round(c2, 6) AS chosen_educational_score, round(c3, 6) AS chosen_bleu_score, round(c4, 6) AS chosen_cumulative_score, round(w1, 6) AS rejected_similarity_score, round(w2, 6) AS rejected_educational_score, round(w3, 6) AS rejected_bleu_score, round(w4, 6) AS rejected_cumulative_score
+  FROM pairs""",
+    "dpo_trainer_input": f"""WITH {PAIRS} SELECT rank, instruction AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, {SPLIT.format('rank')} FROM pairs
+  WHERE rank <= {TRAINED}""",
     "below_score": f"WITH {CANDIDATES} SELECT example_id, candidate_id, round(educational_score * 10, 6) AS educational_score FROM candidates WHERE educational_score * 10 < 6",
-    "stage_counts": f"WITH {PAIRS}, n AS (SELECT count(*) AS n FROM candidates) SELECT 'documents' AS stage, n FROM n UNION ALL SELECT 'candidates', n FROM n UNION ALL SELECT 'sft', least(n, {TOP}) FROM n UNION ALL SELECT 'kto', 2 * least(n, {TOP}) FROM n UNION ALL SELECT 'dpo', (SELECT count(*) FROM pairs) FROM n",
-    "semi_any_medical": f"WITH {CANDIDATES}, f AS (SELECT c.*, coalesce(toxic = 1, false) AS medical FROM candidates c LEFT JOIN labels l USING (doc_id)) SELECT example_id, candidate_id, medical FROM f WHERE example_id IN (SELECT example_id FROM f WHERE medical)",
-    "keyword_overlap": f"WITH {firsts('documents', 'doc_id', words('text'))}, k AS (SELECT doc_id, {normal('text')} AS n, string_split(array_to_string(coalesce(firsts, [])[2:7], ', '), ', ') AS keys FROM documents LEFT JOIN f USING (doc_id)) SELECT doc_id, round(len(list_filter(keys, lambda x: contains(n, x))) / len(keys)::DOUBLE, 6) AS overlap FROM k",
+    "stage_counts": f"""WITH {PAIRS}, n AS (SELECT count(*) AS n FROM candidates) SELECT 'documents' AS stage, n FROM n UNION ALL SELECT 'candidates', n FROM n
+  UNION ALL SELECT 'sft', least(n, {TOP}) FROM n UNION ALL SELECT 'kto', 2 * least(n, {TOP}) FROM n UNION ALL SELECT 'dpo', (SELECT count(*) FROM pairs)
+  FROM n""",
+    "semi_any_medical": f"""WITH {CANDIDATES}, f AS (SELECT c.*, coalesce(toxic = 1, false) AS medical FROM candidates c LEFT
+  JOIN labels l USING (doc_id)) SELECT example_id, candidate_id, medical FROM f WHERE example_id IN (SELECT example_id FROM f WHERE medical)""",
+    "keyword_overlap": f"""WITH {firsts('documents', 'doc_id', words('text'))}, k AS (SELECT doc_id, {normal('text')} AS n, string_split(array_to_string(coalesce(firsts, [])[2:7], ', '), ', ') AS keys
+  FROM documents LEFT JOIN f USING (doc_id)) SELECT doc_id, round(len(list_filter(keys, lambda x: contains(n, x))) / len(keys)::DOUBLE, 6) AS overlap
+  FROM k""",
     "bleu_score": BLEU,
-    "cosine_similarity": "SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id - 1 = a.vec_id",
-    "window_min_similarity": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label), c AS (SELECT v.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS c FROM embeddings v JOIN f USING (label)) SELECT label, round((arg_max(c, vec_id) + min(c)) / 2, 6) AS similarity FROM c GROUP BY label",
-    "label_counts": f"WITH {TYPES}, e AS (SELECT order_id, labels[i] AS label, i - 1 AS pos FROM (SELECT *, unnest(generate_series(1, len(labels))) AS i FROM labelled)) SELECT label, count(*) AS n, min(order_id) AS first_key, CAST(arg_min(pos, (order_id, pos)) AS INT) AS first_pos FROM e GROUP BY label",
+    "cosine_similarity": """SELECT a.vec_id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cosine FROM embeddings a
+  JOIN embeddings b ON b.vec_id - 1 = a.vec_id""",
+    "window_min_similarity": """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings
+  GROUP BY label), c AS (SELECT v.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS c FROM embeddings v
+  JOIN f USING (label)) SELECT label, round((arg_max(c, vec_id) + min(c)) / 2, 6) AS similarity FROM c GROUP BY label""",
+    "label_counts": f"""WITH {TYPES}, e AS (SELECT order_id, labels[i] AS label, i - 1 AS pos FROM (SELECT *, unnest(generate_series(1, len(labels))) AS i
+  FROM labelled)) SELECT label, count(*) AS n, min(order_id) AS first_key, CAST(arg_min(pos, (order_id, pos)) AS INT) AS first_pos FROM e GROUP BY label""",
     "distinct_labels": f"WITH {TYPES} SELECT DISTINCT unnest(labels) AS label FROM labelled",
     "label_topk": f"WITH {TYPES} SELECT label, count(*) AS n FROM (SELECT order_id, unnest(labels) AS label FROM labelled) GROUP BY label ORDER BY n DESC, min(order_id) LIMIT 4",
-    "label_top_pct": f"WITH {TYPES} SELECT label, count(*) AS n FROM (SELECT order_id, unnest(labels) AS label FROM labelled) GROUP BY label ORDER BY n DESC, min(order_id) LIMIT 3",
-    "multilabel_samples": f"WITH {TYPES} SELECT order_id, array_to_string(list_filter(labels, lambda x: x IN ('eco', 'med', 'pro'))[1:3], ' ') AS labels FROM labelled WHERE len(list_filter(labels, lambda x: x IN ('eco', 'med', 'pro'))) > 0",
+    "label_top_pct": f"""WITH {TYPES} SELECT label, count(*) AS n FROM (SELECT order_id, unnest(labels) AS label FROM labelled) GROUP BY label
+  ORDER BY n DESC, min(order_id) LIMIT 3""",
+    "multilabel_samples": f"""WITH {TYPES} SELECT order_id, array_to_string(list_filter(labels, lambda x: x IN ('eco', 'med', 'pro'))[1:3], ' ') AS labels FROM labelled
+  WHERE len(list_filter(labels, lambda x: x IN ('eco', 'med', 'pro'))) > 0""",
     "multi_hot": f"WITH {TYPES} SELECT order_id, {' || '.join(f'CAST(list_contains(labels, {quoted(x)}) AS INT)::VARCHAR' for x in LABELS)} AS hot FROM labelled",
     "pos_weights": f"WITH {LOGITS} SELECT label, CAST(sum(y) AS BIGINT) AS pos, round((count(*) - sum(y)) / greatest(sum(y), 1)::DOUBLE, 6) AS weight FROM logits GROUP BY label",
     "metrics_hamming": f"WITH {LOGITS} {HAMMING}",
@@ -215,7 +245,8 @@ ORACLES: dict[str, str] = {
     "metrics_macro": f"WITH {LOGITS} {MACRO}",
     "metrics_micro": f"WITH {LOGITS} {MICRO}",
     "metrics_f1_at_k": f"WITH {LOGITS} {AT_K}",
-    "metrics_by_dataset": f"WITH {LOGITS} SELECT * FROM ({HAMMING}) JOIN ({JACCARD}) USING (dataset) JOIN ({MACRO}) USING (dataset) JOIN ({MICRO}) USING (dataset) JOIN ({AT_K}) USING (dataset)",
+    "metrics_by_dataset": f"""WITH {LOGITS} SELECT * FROM ({HAMMING}) JOIN ({JACCARD}) USING (dataset) JOIN ({MACRO}) USING (dataset) JOIN ({MICRO}) USING (dataset)
+  JOIN ({AT_K}) USING (dataset)""",
     "vocab_counts": f"WITH {COUNTS} SELECT * FROM counts",
     "vocab_percentile_band": f"WITH {COUNTS}, {BAND} SELECT round(low, 6) AS low, round(high, 6) AS high FROM band",
     "vocab_filtered": f"WITH {COUNTS}, {BAND} SELECT word, n FROM counts, band WHERE n BETWEEN low AND high AND length(word) > 2 AND word NOT IN ({STOPS})",
@@ -230,6 +261,8 @@ ORACLES: dict[str, str] = {
     "token_chunks": chunked(64, 64),
     "token_chunks_overlapping": chunked(64, 48),
     "token_truncate": "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > " + str(TRUNCATED) + " THEN array_to_string(w[1:" + str(TRUNCATED) + "], ' ') ELSE text END AS text FROM t",
-    "sliding_windows": "WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), s AS (SELECT *, unnest(generate_series(0, greatest(len(w) - 128, 0), 64)) AS s FROM t) SELECT doc_id, CAST(s // 64 AS INT) AS \"window\", array_to_string(w[s + 1:s + 128], ' ') AS tokens FROM s",
+    "sliding_windows": """WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w
+  FROM documents), s AS (SELECT *, unnest(generate_series(0, greatest(len(w) - 128, 0), 64)) AS s
+  FROM t) SELECT doc_id, CAST(s // 64 AS INT) AS "window", array_to_string(w[s + 1:s + 128], ' ') AS tokens FROM s""",
     "csv_chunk_ids": "SELECT event_id, CAST(event_id // 1000 AS INT) AS chunk FROM events",
 }
