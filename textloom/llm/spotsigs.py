@@ -165,6 +165,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     they meet at such a signature. There, all are compared with the first; those that are not
     linked to it are compared with all others. So two texts that are alike are linked, if not
     directly then through the first, and a group of copies costs one comparison a copy.
+
+    Null and empty texts and texts without words have no signatures and are in no pair. Repeated
+    rows, ids and texts share a fingerprint; null ids, and columns of any name, don't matter.
     """
     sets = cut(fingerprints(docs, key, text).filter("n_signatures > 0").groupBy("fingerprint").agg(F.any_value("signatures").alias("signatures")))
     spread = sets.select("fingerprint", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
