@@ -90,6 +90,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.lexical import search_documents
+
+    found = search_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op13_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.bit_sliced import top_products
+
+    found = top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -102,6 +122,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_secrets": op9_secrets,
         "op10_line_dedup": op10_line_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_bit_sliced": op13_bit_sliced,
     }
 
 

@@ -86,6 +86,43 @@ def url_filter() -> str:
  blocked AS (SELECT host FROM seeds JOIN s{ROUNDS} USING (host) WHERE distrust > trust AND distrust >= pages * {BLOCK_AT!r})
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled"""
 
+def terms(text: str) -> str:
+    return rf"regexp_extract_all({lowered(f"coalesce({text}, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+LEXICAL = f"""WITH tokens AS (SELECT doc_id, unnest({terms("text")}) AS term FROM documents),
+ postings AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+ lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id),
+ totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+ asked AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({terms("text")}) AS term FROM benchmark) GROUP BY ALL),
+ weights AS (SELECT term, CAST(floor(1000 * ln((2E0 * big_n + 2) / (2E0 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+ scored AS (SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+#: Orders are made by joining letters; each document goes at the first filter of an order that it fails.
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+ f AS (SELECT doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(first < doc_id, false) AS e FROM w),
+ l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+ m AS (SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM f LEFT JOIN l USING (doc_id)),
+ letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ steps AS (SELECT o, CAST(s AS INT) AS step, o[s] AS own, o[1:s - 1] AS before FROM orders, generate_series(1, 5) g(s)),
+ counted AS (SELECT part, o, step, own,
+  count(*) FILTER (translate(fails, before || own, '') = fails) AS kept,
+  count(*) FILTER (contains(fails, own) AND translate(fails, before, '') = fails) AS removed,
+  count(*) FILTER (contains(fails, own) AND translate(fails, before, '') <> fails) AS redundant,
+  count(*) FILTER (fails = own) AS unique_fails,
+  coalesce(sum(good) FILTER (contains(fails, own) AND translate(fails, before, '') = fails), 0) AS good_lost,
+  coalesce(sum(bad) FILTER (contains(fails, own) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM m, steps GROUP BY ALL)
+SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted"""
+
+PRODUCTS = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter(),
@@ -93,4 +130,7 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op8_warc": WARC,
     "op10_line_dedup": LINES,
+    "op11_lexical_search": LEXICAL,
+    "op12_filter_audit": AUDIT,
+    "op13_bit_sliced": PRODUCTS,
 }
