@@ -66,13 +66,15 @@ def survivors(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     A document passes a subset if its mask is within the complement; so counts are summed up over
     subsets, one bit at a time, and read from the end.
     """
-    size = 1 << len(filters)
-    placed = lambda kind: F.array(*[F.coalesce(F.sum(F.when(F.col("mask") == m, F.col(kind))), F.lit(0)) for m in range(size)])
-    sums = cut_table(counts.groupBy("part").agg(*[placed(k).alias(k) for k in KINDS]))
+    last = F.lit((1 << len(filters)) - 1)
+    at = F.map_from_entries(F.collect_list(F.struct("mask", F.struct(*KINDS))))
+    by_mask = counts.groupBy("part").agg(at.alias("at"))
+    placed = lambda kind: F.transform(F.sequence(F.lit(0), last), lambda m: F.coalesce(F.col("at")[m][kind], F.lit(0).cast("long")))
+    sums = by_mask.select("part", *[placed(k).alias(k) for k in KINDS])
     for b in range(len(filters)):
         below = lambda xs, bit=1 << b: F.transform(xs, lambda x, i: x + F.when(i.bitwiseAND(F.lit(bit)) != 0, F.get(xs, i - bit)).otherwise(F.lit(0)))
         sums = sums.withColumns({k: below(F.col(k)) for k in KINDS})
-    return cut_table(sums.withColumns({k: F.reverse(k) for k in KINDS}))
+    return sums.withColumns({k: F.reverse(k) for k in KINDS})
 
 
 def order_steps(passed: DataFrame, filters: str = FILTERS) -> DataFrame:
@@ -83,28 +85,29 @@ def order_steps(passed: DataFrame, filters: str = FILTERS) -> DataFrame:
     shapley is what the filter removes, summed over all orders.
     """
     full = (1 << len(filters)) - 1
+    n = len(filters)
+    shares = F.array(*[F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n)])
+    lost_to = lambda bit: lambda s: F.when(s.bitwiseAND(bit) == 0, (F.get("n", s) - F.get("n", s.bitwiseOR(bit))) * F.get(shares, F.bit_count(s))).otherwise(0)
+    over_all = F.transform(F.array(*[F.lit(1 << i) for i in range(n)]), lambda bit: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(full)), lost_to(bit)), F.lit(0).cast("long"), lambda a, x: a + x))
     orders = F.explode(F.array(*[F.lit("".join(p)) for p in permutations(filters)]))
-    steps = passed.select("part", *KINDS, orders.alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(len(filters)))).alias("step"))
-    place = lambda f: F.instr("filter_order", f)
-    within = lambda near: sum((F.when(near(place(f)), 1 << i).otherwise(0) for i, f in enumerate(filters)), F.lit(0))
-    steps = steps.withColumn("own", within(lambda p: p == F.col("step"))).withColumn("before", within(lambda p: p < F.col("step")))
-    at = lambda kind, subset: F.get(kind, subset.cast("int") if isinstance(subset, Column) else F.lit(subset))
-    lost = lambda kind: at(kind, F.col("before")) - at(kind, F.col("before") + F.col("own"))
-    orders_of = lambda k: factorial(k) * factorial(len(filters) - 1 - k)
-    shares = {1 << i: sum(((at("n", s) - at("n", s | 1 << i)) * orders_of(s.bit_count()) for s in range(full + 1) if not s >> i & 1), F.lit(0)) for i in range(len(filters))}
-    shapley = F.create_map(*[x for bit, share in shares.items() for x in (F.lit(bit), share.cast("long"))])
-    steps = steps.withColumn("removed", lost("n"))
-    return steps.select(
+    steps = passed.withColumn("shapley", over_all).select("*", orders.alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("step"))
+    letter = F.substring("filter_order", F.col("step"), F.lit(1))
+    bit_of = F.create_map(*[F.lit(x) for i, f in enumerate(filters) for x in (f, 1 << i)])
+    earlier = F.filter(F.split(F.col("filter_order"), ""), lambda f: F.instr("filter_order", f) < F.col("step"))
+    before = F.aggregate(F.transform(earlier, lambda f: bit_of[f]), F.lit(0), lambda a, x: a + x)
+    steps = steps.withColumns({"own": bit_of[letter], "before": before, "place": F.instr(F.lit(filters), letter) - 1})
+    lost = lambda kind: F.get(kind, F.col("before")) - F.get(kind, F.col("before") + F.col("own"))
+    return steps.withColumn("removed", lost("n")).select(
         "part",
         "filter_order",
         "step",
-        at("n", F.col("before") + F.col("own")).alias("kept"),
+        F.get("n", F.col("before") + F.col("own")).alias("kept"),
         "removed",
-        (at("n", 0) - at("n", F.col("own")) - F.col("removed")).alias("redundant"),
-        (at("n", F.lit(full) - F.col("own")) - at("n", full)).alias("unique_fails"),
+        (F.get("n", F.lit(0)) - F.get("n", "own") - F.col("removed")).alias("redundant"),
+        (F.get("n", F.lit(full) - F.col("own")) - F.get("n", F.lit(full))).alias("unique_fails"),
         lost("good").alias("good_lost"),
         lost("toxic").alias("toxic_lost"),
-        shapley[F.col("own")].alias("shapley"),
+        F.get("shapley", "place").alias("shapley"),
     )
 
 
