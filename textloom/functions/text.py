@@ -15,34 +15,43 @@ SECTIONS = ("Motif d'hospitalisation", "Condition principal d'admission", "Anté
 
 
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility decomposition has one ASCII character, what that is, and those Latin ones with more."""
+    """Characters whose compatibility decomposition has one ASCII character, what that is, and those with more."""
     one, to, more = [], [], {}
-    for point in range(0x80, 0x10000):
+    for point in range(0x80, 0x110000):
         if 0xD800 <= point < 0xE000:
             continue
         plain = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             one.append(chr(point))
             to.append(plain)
-        elif plain and (point < 0x250 or 0xFB00 <= point < 0xFB07):
+        elif plain:
             more[chr(point)] = plain
     return "".join(one), "".join(to), more
 
 
 _ONE, _TO, _MORE = _folding()
+_LONGER = "".join(_MORE)
+#: All of ``_LONGER`` and others, in few ranges: what most texts don't have.
+_PERHAPS_LONGER = "[\u00bc-\u00be\u0132\u0133\u01c4-\u01f3\u2025-\U0010ffff]"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _spelled_out(text: Column) -> Column:
+    """Texts with characters that stand for several ASCII ones (…, ™, ½, ㎏) have those instead; others stay as they are."""
+    has = text.rlike(_PERHAPS_LONGER) & (F.length(F.translate(text, _LONGER, "")) < F.length(text))
+    plain = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{p}" for c, p in _MORE.items())), F.lit("\u0001"), F.lit("\u0002"))  # folded to a constant
+    parts = F.split(text, f"(?<=[{_LONGER}])|(?=[{_LONGER}])")
+    return F.when(has, F.array_join(F.transform(parts, lambda x: F.coalesce(F.when(F.length(x) == 1, plain[x]), x)), "")).otherwise(text)
+
+
 def remove_accents(c: Column | str) -> Column:
-    """Letters without their accents; what has no ASCII form is dropped (so are œ and ß). ASCII texts stay as they are."""
+    """The ASCII characters of a text's compatibility decomposition: letters without accents, "kg" for ㎏; what has none is dropped (so are œ and ß). ASCII texts stay as they are."""
     text = _col(c)
-    folded = F.translate(text, _ONE, _TO)
-    for char, plain in _MORE.items():
-        folded = F.replace(folded, F.lit(char), F.lit(plain))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(text)
+    folded = F.regexp_replace(F.translate(_spelled_out(text), _ONE, _TO), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
 def remove_symbols(c: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import normalize_text, ordered_distinct
 from textloom.operators.ordering import BROADCAST_ROWS, cut_table, hash_order, shuffle_partitions
+from textloom.operators.overlaps import resolve_overlaps
 from textloom.operators.plugins import ClosedClassTagger, Tagger
 
 MAX_WINDOW, GRAM, THRESHOLD, MIN_TERM = 5, 3, 0.8, 3
@@ -123,24 +124,6 @@ def candidate_spans(docs: DataFrame, key: str, text: str, max_window: int = MAX_
     return placed.select(key, F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 
-def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
-    """(key, start, end, match): a greedy choice of matches that share no token.
-
-    Longer spans first, then earlier ones, then terms with fewer grams, then by term. Matches
-    overlap only within a run that no token boundary free of matches divides, so the fold runs over
-    the matches of one run, not of a whole text.
-    """
-    before = Window.partitionBy(key).orderBy("start", "end", "term", "n_term").rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
-    upto = Window.partitionBy(key).orderBy("start", "end", "term", "n_term").rowsBetween(Window.unboundedPreceding, 0)
-    runs = matches.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(upto))
-    ordered = F.array_sort(F.collect_list(F.struct((-(F.col("end") - F.col("start"))).alias("shorter"), "start", F.col("n_term").alias("n"), F.col("term").alias("match"), "end")))
-    free = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-    none = F.array().cast("array<struct<shorter:int,start:int,n:int,match:string,end:int>>")
-    chosen = F.aggregate(F.col("_all"), none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return runs.groupBy(key, "_run").agg(ordered.alias("_all")).select(key, F.inline(chosen)).select(key, "start", "end", "match")
-
-
 def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: float = THRESHOLD, measure: str = "jaccard", max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with ``keywords``: the terms found, in text order without repeats, joined by a comma and a space.
 

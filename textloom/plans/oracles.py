@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from textloom.operators.candidates import SORTS
 from textloom.operators.plugins import decoding_parameters
 from textloom.operators.vocabulary import STOPWORDS
@@ -29,11 +32,27 @@ LOGITS = f"""{TYPES}, logits AS (SELECT CASE WHEN order_id % 3 = 0 THEN 'second'
   ((order_id * 31 + i * 17) % 201 - 100) / 25E0 + i / 1E3 AS logit FROM labelled, (VALUES {LABEL_ROWS}) t(i, label)),
   predicted AS (SELECT *, 1 / (1 + exp(-logit)) AS prob, CAST(1 / (1 + exp(-logit)) > 0.5 AS INT) AS p FROM logits)"""
 DICTIONARY = "dictionary AS (SELECT p_brand AS code, p_name AS term, min(p_partkey) AS place FROM part GROUP BY ALL)"
-FOLDED = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace({0}, '–', ' '), '—', ' '), '−', ' '), '-', ' ')), '[^\\x20-\\x7E]', '', 'g'), '[0-9]+', '', 'g'), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+', ' ', 'g'))"
+def _spelled() -> tuple[str, str, str]:
+    """From the character database: what has one ASCII character, which that is, and a nest of replacements for what has more."""
+    one, to, nest = "", "", "{}"
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one, to = one + c, to + plain
+        elif plain:
+            nest = f"replace({nest}, '{c}', '{plain}')"
+    return one, to, nest
+
+
+ONE, TO, NEST = _spelled()
 
 
 def normal(column: str) -> str:
-    return f"trim({FOLDED.format(column)})"
+    spaced = f"translate({column}, '–—−-', '    ')"
+    longer = "".join(re.findall(r"'([^\x00-\x7F])'", NEST))
+    spelled = f"CASE WHEN regexp_matches({spaced}, '[{longer}]') THEN {NEST.replace('{}', spaced)} ELSE {spaced} END"
+    plain = f"regexp_replace(translate({spelled}, '{ONE}', {quoted(TO)}), '[^\\x20-\\x2F\\x3A-\\x7E]', '', 'g')"
+    return f"trim(regexp_replace(lower(regexp_replace({plain}, '[!-/:-@\\[-`{{-~]', ' ', 'g')), ' +', ' ', 'g'))"
 
 
 def words(column: str) -> str:
