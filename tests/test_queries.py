@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
 
 def test_every_query_is_known():
     assert set(oracles.ORACLES) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(oracles.ORACLES) == {"keyword_extraction", "embed_stub", "resolve_overlaps"}
+    assert set(catalogue.QUERIES) - set(oracles.ORACLES) == {"embed_stub"}
 
 
 def test_entry():

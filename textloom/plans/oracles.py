@@ -51,7 +51,8 @@ def normal(column: str) -> str:
     spaced = f"translate({column}, '–—−-', '    ')"
     longer = "".join(re.findall(r"'([^\x00-\x7F])'", NEST))
     spelled = f"CASE WHEN regexp_matches({spaced}, '[{longer}]') THEN {NEST.replace('{}', spaced)} ELSE {spaced} END"
-    plain = f"regexp_replace(translate({spelled}, '{ONE}', {quoted(TO)}), '[^\\x20-\\x2F\\x3A-\\x7E]', '', 'g')"
+    folded = f"CASE WHEN regexp_matches({spaced}, '[^\\x00-\\x7FÀ-ÿ]') THEN translate({spelled}, '{ONE}', {quoted(TO)}) ELSE strip_accents({spaced}) END"  # the letters of Latin-1 have one letter each
+    plain = f"regexp_replace({folded}, '[^\\x20-\\x2F\\x3A-\\x7E]', '', 'g')"
     return f"trim(regexp_replace(lower(regexp_replace({plain}, '[!-/:-@\\[-`{{-~]', ' ', 'g')), ' +', ' ', 'g'))"
 
 
@@ -109,15 +110,20 @@ def grams(source: str) -> str:
   (SELECT t, unnest(generate_series(1, greatest(length(t), 3) - 2)) AS i, substr(rpad(t, greatest(length(t), 3)::INT, chr(1)), i, 3) AS gram FROM {source})"""
 
 
+def pairs(asked: str, terms: str) -> str:
+    """Tables a and b, the grams of two tables of t, and alike: (text, term, n_term, similarity) of at least 0.8 by their shared rarest grams."""
+    return f"""a AS ({grams(asked)}), b AS ({grams(f"(SELECT t FROM {terms} WHERE length(t) >= 3)")}),
+ counts_of AS (SELECT gram, nth, count(*) AS df FROM b GROUP BY ALL),
+ lb AS (SELECT t, gram, nth, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY df, gram, nth) AS r FROM b JOIN counts_of USING (gram, nth)) WHERE r <= n - ceil(0.8 * n - 1E-9) + 1),
+ met AS (SELECT DISTINCT a.t AS text, lb.t AS term FROM a JOIN lb USING (gram, nth) WHERE lb.n >= 0.8 * a.n - 1E-9 AND lb.n <= a.n / 0.8 + 1E-9),
+ alike AS (SELECT text, term, any_value(b.n) AS n_term, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS similarity FROM met JOIN a ON a.t = text JOIN b ON b.t = term AND a.gram = b.gram AND a.nth = b.nth GROUP BY text, term
+  HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= 0.8 - 1E-12)"""
+
+
 FUZZY = f"""WITH said AS (SELECT unnest({words("text")}) AS t FROM benchmark UNION SELECT p_name FROM part), known AS (SELECT unnest({words("text")}) AS t FROM documents UNION SELECT p_name FROM part),
  asked AS (SELECT DISTINCT t FROM (SELECT t || 's' AS t FROM said UNION ALL SELECT substr(t, 1, 2) || substr(t, 4) FROM said) WHERE t <> ''),
- terms AS (SELECT DISTINCT {normal("t")} AS t FROM known), a AS ({grams("asked")}), b AS ({grams("(SELECT t FROM terms WHERE length(t) >= 3)")}),
- counts AS (SELECT gram, nth, count(*) AS df FROM b GROUP BY ALL),
- la AS (SELECT t, gram, nth, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), gram, nth) AS r FROM a LEFT JOIN counts USING (gram, nth)) WHERE r <= n - ceil(0.8 * n - 1E-9) + 1),
- lb AS (SELECT t, gram, nth, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY df, gram, nth) AS r FROM b JOIN counts USING (gram, nth)) WHERE r <= n - ceil(0.8 * n - 1E-9) + 1),
- pairs AS (SELECT DISTINCT la.t AS text, lb.t AS term FROM la JOIN lb USING (gram, nth) WHERE lb.n >= 0.8 * la.n - 1E-9 AND lb.n <= la.n / 0.8 + 1E-9)
-SELECT text, term, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE, 6) AS similarity FROM pairs JOIN a ON a.t = text JOIN b ON b.t = term AND a.gram = b.gram AND a.nth = b.nth GROUP BY text, term
-HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= 0.8 - 1E-12"""
+ terms AS (SELECT DISTINCT {normal("t")} AS t FROM known), {pairs("asked", "terms")}
+SELECT text, term, round(similarity, 6) AS similarity FROM alike"""
 
 SPANS = f"""sentences AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '') AS s FROM documents),
  tokens AS (SELECT doc_id, k, regexp_extract_all(s[k], '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]') AS t FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS k FROM sentences)),
@@ -127,6 +133,33 @@ SPANS = f"""sentences AS (SELECT doc_id, list_filter(string_split_regex(regexp_r
  spans AS (SELECT doc_id, CAST(place + i - 1 AS INT) AS start, CAST(place + i - 1 + l AS INT) AS "end", array_to_string(t[i:i + l - 1], ' ') AS span FROM runs
   WHERE lower(t[i]) NOT IN ({STOPS}) AND lower(t[i + l - 1]) NOT IN ({STOPS}) AND regexp_full_match(t[i], '[\\p{{L}}\\p{{N}}]+') AND NOT (l = 1 AND regexp_full_match(t[i], '\\p{{N}}+')))"""
 
+
+
+def chosen(best: str, longest: int = 5) -> str:
+    """Tables up to taken: of ``best`` (doc_id, start, end, match), with each pair of ends once, the greedy choice, one length after the other.
+
+    Of one length, a fold along the text takes each span that begins at or after the end of the last.
+    """
+    tables = []
+    for n in range(longest, 0, -1):
+        every = f"SELECT doc_id, start FROM {best} WHERE \"end\" - start = {n}"
+        above = [f"SELECT doc_id, start + o AS token FROM taken{m}, generate_series(0, {m - 1}) g(o)" for m in range(n + 1, longest + 1)]
+        held = f" EXCEPT SELECT doc_id, token - o AS start FROM ({' UNION ALL '.join(above)}), generate_series(0, {n - 1}) g(o)" if above else ""
+        fold = f"list_reduce(list([start] ORDER BY start), lambda kept, x: CASE WHEN x[1] >= kept[len(kept)] + {n} THEN list_concat(kept, x) ELSE kept END)"
+        tables += [f"free{n} AS ({every}{held})", f"taken{n} AS (SELECT doc_id, unnest({fold}) AS start FROM free{n} GROUP BY doc_id)"]
+    ends = " UNION ALL ".join(f"SELECT doc_id, start, start + {n} AS \"end\" FROM taken{n}" for n in range(1, longest + 1))
+    return ", ".join(tables) + f", taken AS (SELECT doc_id, CAST(start AS INT) AS start, CAST(\"end\" AS INT) AS \"end\", match FROM ({ends}) JOIN {best} USING (doc_id, start, \"end\"))"
+
+
+OVERLAPS = f"""WITH {SPANS}, best AS (SELECT doc_id, start, "end", span AS match FROM spans), {chosen("best")} SELECT * FROM taken"""
+KEYWORDS = f"""WITH {COUNTS}, {BAND}, words_kept AS (SELECT word FROM counts, band WHERE n BETWEEN low AND high AND length(word) > 2 AND word NOT IN ({STOPS})), {SPANS},
+ normals AS (SELECT doc_id, start, "end", {normal("span")} AS t FROM spans), terms AS (SELECT DISTINCT {normal("word")} AS t FROM words_kept),
+ asked AS (SELECT DISTINCT t FROM normals WHERE t <> '' AND length(t) <= (SELECT 2 + 1.25 * max(greatest(1, length(t) - 2)) FROM terms)), {pairs("asked", "terms")},
+ best AS (SELECT doc_id, start, "end", arg_min(term, {{'n': n_term, 'term': term}}) AS match FROM normals JOIN alike ON t = text GROUP BY doc_id, start, "end"), {chosen("best")},
+ once AS (SELECT doc_id, match, min(start) AS start FROM taken GROUP BY doc_id, match), lists AS (SELECT doc_id, string_agg(match, ', ' ORDER BY start) AS keywords FROM once GROUP BY doc_id)
+SELECT doc_id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN lists USING (doc_id)"""
+
+
 def drawn(n: str, *parts: str) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('~', {', '.join(parts)}, '42')), 1, 8))::BIGINT % ({n}) + 1 AS INT)"
 
@@ -271,6 +304,8 @@ ORACLES: dict[str, str] = {
     "vocab_filtered": f"WITH {COUNTS}, {BAND} SELECT word, n FROM counts, band WHERE n BETWEEN low AND high AND length(word) > 2 AND word NOT IN ({STOPS})",
     "fuzzy_match": FUZZY,
     "candidate_spans": f"WITH {SPANS} SELECT * FROM spans",
+    "resolve_overlaps": OVERLAPS,
+    "keyword_extraction": KEYWORDS,
     "ordered_dedup": f"WITH {coded('p_brand')}, {firsts('coded', 'order_id', "string_split(codes, ' ')")} SELECT order_id, array_to_string(firsts, ', ') AS keywords FROM f",
     "train_test_split": f"SELECT doc_id, {SPLIT.format('doc_id')} FROM documents",
     "sample_rows": "SELECT doc_id, source FROM documents ORDER BY md5(concat_ws('~', doc_id, '42')), doc_id LIMIT 100",
