@@ -63,14 +63,25 @@ def collapse_spaces(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 
 
-def normalize_text(c: Column | str) -> Column:
-    """Dashes become spaces, accents go, control characters and digits are deleted, punctuation becomes spaces; lower case, single spaces."""
-    text = _col(c)
+def _normal_characters(text: Column, kept: str = "") -> Column:
+    """What ``normalize_text`` makes of each character, spaces not yet collapsed; the characters ``kept`` stay."""
     for dash in DASHES:
         text = F.replace(text, F.lit(dash), F.lit(" "))
-    text = F.regexp_replace(remove_accents(text), r"[^\x20-\x7E]", "")
-    text = F.regexp_replace(F.regexp_replace(text, "[0-9]+", ""), PUNCTUATION, " ")
-    return collapse_spaces(F.lower(text))
+    text = F.regexp_replace(remove_accents(text), rf"[^\x20-\x7E{kept}]", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(text, "[0-9]+", ""), PUNCTUATION, " "))
+
+
+def normalize_text(c: Column | str) -> Column:
+    """Dashes become spaces, accents go, control characters and digits are deleted, punctuation becomes spaces; lower case, single spaces."""
+    return collapse_spaces(_normal_characters(_col(c)))
+
+
+def normalize_tokens(c: Column | str) -> Column:
+    """The normalised tokens of an array, as one text that is normalised once; tokens without letters are empty."""
+    mark = "\u0001"
+    tokens = F.transform(_col(c), lambda t: F.replace(t, F.lit(mark), F.lit("")))
+    text = F.regexp_replace(_normal_characters(F.array_join(tokens, mark, ""), mark), r"\s+", " ")
+    return F.split(F.trim(F.regexp_replace(text, f" ?{mark} ?", mark)), mark)
 
 
 def newline_to_space(c: Column | str) -> Column:

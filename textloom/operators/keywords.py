@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import normalize_text, ordered_distinct
-from textloom.operators.ordering import BROADCAST_ROWS, cut_table, hash_order, shuffle_partitions
+from textloom.functions.text import normalize_text, normalize_tokens, ordered_distinct
+from textloom.operators.ordering import cut_table, hash_order, shuffle_partitions, small
 from textloom.operators.overlaps import resolve_overlaps
 from textloom.operators.plugins import ClosedClassTagger, Tagger
 
 MAX_WINDOW, GRAM, THRESHOLD, MIN_TERM = 5, 3, 0.8, 3
+#: Terms' grams are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 #: Measures of similarity, from the sizes of two feature sets and of what they share.
 MEASURES = {
     "jaccard": lambda a, b, c: c / (a + b - c),
@@ -45,94 +50,179 @@ def char_grams(text: Column, size: int = GRAM) -> Column:
 
 
 def term_index(terms: DataFrame, term: str, min_length: int = MIN_TERM, size: int = GRAM) -> DataFrame:
-    """(term, n_term, grams): the distinct normalised terms with their grams, for ``fuzzy_match`` or to be written."""
+    """(term, n_term, grams): the distinct normalised terms with their grams, for ``build_index``."""
     normal = terms.select(normalize_text(term).alias("term")).filter(F.length("term") >= min_length).distinct()
     grams = normal.withColumn("grams", char_grams(F.col("term"), size))
     return grams.select("term", F.size("grams").alias("n_term"), "grams")
 
 
-def _probes(grams: str, n: str, measure: str, threshold: float) -> Column:
-    """The grams that a partner must share one of: the first few of an array in the common order.
+@dataclass(frozen=True)
+class TermIndex:
+    """What texts are matched with: ``counts`` (gram, n), in how many terms each gram is, and
+    ``probes`` (gram, size, term, n_term, at), the rarest grams of each term with their places in its
+    order from rare to frequent, under each size that a partner may have, which serve ``measure``
+    from ``threshold`` on."""
 
-    A partner shares at least as many grams as the least partner has; so it has one of the others.
+    probes: DataFrame
+    counts: DataFrame
+    measure: str
+    threshold: float
+
+
+def _first_grams(rows: DataFrame, name: str, n: str, grams: Column, counts: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """(name, n, at, gram): of each row's grams the rarest, so many that a partner must have one of them.
+
+    A partner shares at least as many grams as the least partner has; so it has one of the others and one more.
     """
+    each = rows.select(name, n, F.explode(grams).alias("_g")).join(counts, F.col("_g") == F.col("gram"), "left")
+    ordered = each.groupBy(name, n).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_g"))).alias("x"))
     needed = F.ceil(SIZES[measure](F.col(n), threshold)[0] - 1e-9).cast("int")
-    return F.slice(F.col(grams), F.lit(1), F.least(F.col(n), F.col(n) - needed + 1))
+    first = F.slice(F.transform("x", lambda x: x["_g"]), F.lit(1), F.least(F.col(n), F.col(n) - needed + 1))
+    return ordered.select(name, n, F.posexplode(first).alias("at", "gram"))
 
 
-def _rarest_first(rows: DataFrame, name: str, grams: str, counts: DataFrame, few: bool) -> DataFrame:
-    """(name, grams): the grams in the order of how many terms have them, then by hash."""
-    each = rows.select(name, F.explode(grams).alias("g"))
-    each = each.join(F.broadcast(counts) if few else counts, F.col("g") == F.col("_gram"), "left")
-    return each.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_terms", F.lit(0)).alias("n"), "g"))).alias("x")).select(name, F.transform("x", lambda x: x["g"]).alias("grams"))
+def build_index(index: DataFrame, threshold: float = THRESHOLD, measure: str = "jaccard") -> TermIndex:
+    """The index of what ``term_index`` returns, as tables in the shared folder."""
+    index = cut_table(index.select("term", "n_term", "grams"))
+    counts = cut_table(index.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    probes = _first_grams(index, "term", "n_term", F.col("grams"), counts, threshold, measure)
+    least, most = SIZES[measure](F.col("n_term"), threshold)
+    sizes = F.array(F.lit(-1)) if measure == "overlap" else F.sequence(F.ceil(least - 1e-9).cast("int"), F.floor(most + 1e-9).cast("int"))  # whose sizes have no bound
+    probes = cut_table(probes.select("gram", F.explode(sizes).alias("size"), "term", "n_term", "at"))
+    return TermIndex(probes, counts, measure, threshold)
 
 
-def fuzzy_match(texts: DataFrame, text: str, index: DataFrame, threshold: float = THRESHOLD, measure: str = "jaccard", size: int = GRAM) -> DataFrame:
-    """(text, term, n_text, n_term, similarity) of the distinct texts and terms that are alike enough.
+PROBES, COUNTS = "gram BIGINT, size INT, term STRING, n_term INT, at INT", "gram BIGINT, n BIGINT"
 
-    Candidates come from an equi-join on the rarest grams of each side, within the sizes that a
-    partner may have; a pair is taken at the first gram that both look for, and what it shares is
-    counted exactly. Both sides' grams are written to the shared folder, as they are used twice.
+
+def write_term_index(index: DataFrame, path: str, threshold: float = THRESHOLD, measure: str = "jaccard", buckets: int | None = None) -> TermIndex:
+    """Stores ``build_index`` at ``path``, its tables bucketed and sorted by gram, and returns it opened.
+
+    Later matches read it bucket by bucket and shuffle only their texts. It serves its measure at
+    ``threshold`` and any higher one.
     """
-    asked = texts.select(F.col(text).alias("text")).filter(F.col("text") != "").distinct()
-    index = cut_table(index.select("term", "n_term", "grams"))
-    if measure != "overlap":
-        # Texts too long or too short for every term meet none.
-        ends = F.broadcast(index.agg(F.max("n_term").alias("_longest"), F.min("n_term").alias("_shortest")))
-        n = F.greatest(F.length("text") - (size - 1), F.lit(1))
-        asked = asked.join(ends, (n <= SIZES[measure](F.col("_longest"), threshold)[1] + 1e-9) & (n >= SIZES[measure](F.col("_shortest"), threshold)[0] - 1e-9)).select("text")
-    own = cut_table(asked.repartition(shuffle_partitions(texts.sparkSession), "text").withColumn("grams", char_grams(F.col("text"), size)))
-    counts = cut_table(index.select(F.explode("grams").alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_terms")))
-    few = counts.count() <= BROADCAST_ROWS
-    left = _rarest_first(own, "text", "grams", counts, few).select("text", F.size("grams").alias("n_text"), F.col("grams").alias("_own"))
-    right = _rarest_first(index, "term", "grams", counts, few).select("term", F.size("grams").alias("n_term"), F.col("grams").alias("_theirs"))
-    left = left.withColumn("_look", _probes("_own", "n_text", measure, threshold)).withColumn("_probe", F.explode("_look"))
-    right = right.withColumn("_seek", _probes("_theirs", "n_term", measure, threshold)).withColumn("_met", F.explode("_seek"))
-    fits = F.lit(True)
-    if measure != "overlap":  # whose sizes have no bound
-        # A term is met under each size that a partner may have, so hot grams join only within sizes.
-        least, most = SIZES[measure](F.col("n_term"), threshold)
-        right = right.withColumn("_size", F.explode(F.sequence(F.floor(least).cast("int"), F.ceil(most).cast("int"))))
-        fits = F.col("n_text") == F.col("_size")
-    low, high = SIZES[measure](F.col("n_text"), threshold)
-    band = (F.col("n_term") >= low - 1e-9) & (F.col("n_term") <= high + 1e-9)
-    first = F.col("_probe") == F.element_at(F.array_intersect("_look", "_seek"), 1)
-    met = left.join(right, (F.col("_probe") == F.col("_met")) & fits & band & first)
-    scored = met.withColumn("similarity", MEASURES[measure](F.col("n_text"), F.col("n_term"), F.size(F.array_intersect("_own", "_theirs"))))
-    return scored.filter(F.col("similarity") >= threshold - 1e-12).select("text", "term", "n_text", "n_term", "similarity")
+    spark = index.sparkSession
+    n = buckets or shuffle_partitions(spark)
+    built = build_index(index, threshold, measure)
+    for kind, rows, by in (("probes", built.probes, ("gram", "size")), ("counts", built.counts, ("gram",))):
+        name = f"textloom_index_{uuid.uuid4().hex}"
+        rows.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", f"{path}/{kind}").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark.createDataFrame([(n, measure, float(threshold))], "buckets int, measure string, threshold double").coalesce(1).write.parquet(f"{path}/about")
+    return open_term_index(spark, path)
 
 
-def candidate_spans(docs: DataFrame, key: str, text: str, max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
-    """(key, start, end, span): runs of up to ``max_window`` tokens within a sentence that may be terms.
+def open_term_index(spark: SparkSession, path: str) -> TermIndex:
+    """The index that ``write_term_index`` stored, with its buckets, in any session."""
+    about = spark.read.parquet(f"{path}/about").first()
+    place = path.replace("'", "\\'")
 
-    Tokens come from the tagger and are counted through the text. A span doesn't begin or end with
-    a token of a closed class, begin with a mark, or be a single stop word or number. Keys are unique.
+    def opened(kind: str, columns: str, by: str) -> DataFrame:
+        name = f"textloom_index_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {about['buckets']} BUCKETS LOCATION '{place}/{kind}'")
+        return spark.table(name)
+
+    return TermIndex(opened("probes", PROBES, "gram, size"), opened("counts", COUNTS, "gram"), about["measure"], about["threshold"])
+
+
+def _bounds(index: TermIndex) -> tuple[int, int, int]:
+    """Least and greatest number of grams of a term, and about how many bytes the probes have in memory."""
+    low, high, n, size = index.probes.agg(F.min("n_term"), F.max("n_term"), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return low or 0, high or 0, size + 64 * n
+
+
+def fuzzy_match(texts: DataFrame, text: str, index: DataFrame | TermIndex, threshold: float = THRESHOLD, measure: str = "jaccard", size: int = GRAM) -> DataFrame:
+    """(text, term, n_text, n_term, similarity) of the distinct texts and terms that are alike enough.
+
+    ``index`` is one that was stored or built, or what ``term_index`` returns. Candidates come from
+    an equi-join on the rarest grams of each side and the text's size, where the grams from there on
+    could still be enough; rows carry no more than a gram and its place.
+    The grams of the distinct candidates are then compared exactly, from the strings. The index's
+    side is broadcast if it was measured to be at most ``BROADCAST_BYTES``.
     """
-    tagger = tagger or ClosedClassTagger()
+    if not isinstance(index, TermIndex):
+        index = build_index(index, threshold, measure)
+    if index.measure != measure or threshold < index.threshold - 1e-12:
+        raise ValueError(f"the index serves {index.measure} from {index.threshold} on")
+    low, high, n_bytes = _bounds(index)
+    asked = texts.select(F.col(text).alias("text")).filter(F.col("text") != "")
+    asked = asked.withColumn("n_text", F.greatest(F.length("text") - (size - 1), F.lit(1)))
+    n, few = shuffle_partitions(texts.sparkSession), n_bytes <= BROADCAST_BYTES  # a set number, as rows are small and the work on each isn't
+    asked = asked.filter(fits(F.col("n_text"), low, high, threshold, measure)).repartition(n, "text").distinct()
+    counts = small(index.counts, index.counts.count())
+    left = _first_grams(asked, "text", "n_text", char_grams(F.col("text"), size), counts, threshold, measure).withColumnsRenamed({"gram": "_gram", "at": "_at"})
+    right = F.broadcast(index.probes) if few else index.probes
+    same = (F.col("_gram") == F.col("gram")) & ((F.lit(-1) if measure == "overlap" else F.col("n_text")) == F.col("size"))
+    left_over = F.least(F.col("n_text") - F.col("_at"), F.col("n_term") - F.col("at"))
+    enough = MEASURES[measure](F.col("n_text"), F.col("n_term"), left_over) >= threshold - 1e-9
+    met = left.join(right, same & enough).select("text", "term", "n_text", "n_term")
+    met = (met if few else met.repartition(n, "text", "term")).distinct()
+    shared = F.size(F.array_intersect(char_grams(F.col("text"), size), char_grams(F.col("term"), size)))
+    scored = met.withColumn("similarity", MEASURES[measure](F.col("n_text"), F.col("n_term"), shared))
+    return scored.filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def fits(n: Column, low: int, high: int, threshold: float = THRESHOLD, measure: str = "jaccard") -> Column:
+    """Whether a text of ``n`` grams may be alike to any term of ``low`` to ``high`` grams; those of unbounded measures may."""
+    if measure == "overlap":
+        return F.lit(high > 0)
+    return (n >= SIZES[measure](F.lit(low), threshold)[0] - 1e-9) & (n <= SIZES[measure](F.lit(high), threshold)[1] + 1e-9)
+
+
+def _placed_tokens(docs: DataFrame, key: str, text: str, tagger: Tagger) -> DataFrame:
+    """(key, t, tags, n, at): the tokens of each sentence, and how many are before it in the text."""
     sentences = docs.select(F.col(key), F.posexplode(tagger.sentences(F.col(text))).alias("pos", "s"))
     tokens = sentences.select(key, "pos", tagger.tokens(F.col("s")).alias("t")).withColumn("tags", tagger.tags(F.col("t"))).withColumn("n", F.size("t"))
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("at", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("int")).filter("n > 0")
+    return tokens.withColumn("at", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("int")).filter("n > 0")
+
+
+def _spans(placed: DataFrame, key: str, max_window: int, form: Callable[[Column, Column], Column], name: str, keep: Callable[[Column], Column]) -> DataFrame:
+    """(key, start, end, ``name``): the spans that may be terms, in the form of a place and a length in the sentence, where ``keep`` of it holds."""
 
     def of(i: Column, length: Column) -> Column:
         first, last = F.col("tags")[i], F.col("tags")[i + length - 1]
         alone = (length == 1) & (first["stop"] | first["number"])
         valid = ~first["closed"] & ~last["closed"] & ~first["mark"] & ~alone
-        return F.when(valid, F.struct((F.col("at") + i).alias("start"), (F.col("at") + i + length).alias("end"), F.array_join(F.slice("t", i + 1, length), " ").alias("span")))
+        return F.when(valid, F.struct((F.col("at") + i).alias("start"), (F.col("at") + i + length).alias("end"), form(i, length).alias(name)))
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_window), F.col("n") - i)), lambda length: of(i, length))))
-    return placed.select(key, F.inline(F.filter(every, lambda x: x.isNotNull())))
+    return placed.select(key, F.inline(F.filter(every, lambda x: x.isNotNull() & keep(x[name]))))
 
 
-def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: float = THRESHOLD, measure: str = "jaccard", max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
+def candidate_spans(docs: DataFrame, key: str, text: str, max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
+    """(key, start, end, span): runs of up to ``max_window`` tokens within a sentence that may be terms.
+
+    Tokens come from the tagger and are counted through the text. A span doesn't begin or end with
+    a token of a closed class, begin with a mark, or be a single stop word or number. Keys are unique.
+    """
+    placed = _placed_tokens(docs, key, text, tagger or ClosedClassTagger())
+    return _spans(placed, key, max_window, lambda i, length: F.array_join(F.slice("t", i + 1, length), " "), "span", lambda _: F.lit(True))
+
+
+def normal_spans(docs: DataFrame, key: str, text: str, low: int, high: int, max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
+    """(key, start, end, normal): the spans of ``candidate_spans``, normalised, that have ``low`` to ``high`` characters then.
+
+    Each token is normalised once, whatever number of spans it is in.
+    """
+    placed = _placed_tokens(docs, key, text, tagger or ClosedClassTagger()).withColumn("_t", normalize_tokens("t")).drop("t")
+    joined = lambda i, length: F.array_join(F.filter(F.slice("_t", i + 1, length), lambda x: x != ""), " ")
+    return _spans(placed, key, max_window, joined, "normal", lambda x: F.length(x).between(max(low, 1), high))
+
+
+def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame | TermIndex, term: str, threshold: float = THRESHOLD, measure: str = "jaccard", max_window: int = MAX_WINDOW, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with ``keywords``: the terms found, in text order without repeats, joined by a comma and a space.
 
-    Only distinct normalised spans meet the index of terms. The spans are used twice, so they are
-    written to the shared folder once.
+    ``terms`` is a table with a column ``term``, or an index from ``open_term_index``. Only distinct
+    normalised spans of a length that a term's partner may have meet the index. The spans are used
+    twice, so they are written to the shared folder once.
     """
-    spans = cut_table(candidate_spans(docs, key, text, max_window, tagger).withColumn("_normal", normalize_text("span"))).filter("_normal <> ''")
-    found = fuzzy_match(spans, "_normal", term_index(terms, term), threshold, measure)
-    matches = spans.join(found.select(F.col("text").alias("_text"), "term", "n_term"), F.col("_normal") == F.col("_text"))
+    index = terms if isinstance(terms, TermIndex) else build_index(term_index(terms, term), threshold, measure)
+    low, high, _ = _bounds(index)
+    least, most = (0, 1 << 30) if measure == "overlap" else _lengths(low, high, threshold, measure)
+    spans = cut_table(normal_spans(docs, key, text, least, most, max_window, tagger))
+    found = fuzzy_match(spans, "normal", index, threshold, measure)
+    matches = spans.join(found.select("text", "term", "n_term"), F.col("normal") == F.col("text"))
     kept = resolve_overlaps(matches.select(key, "start", "end", "term", "n_term"), key)
     lists = kept.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "match"))).alias("_found"))
     joined = docs.join(lists, F.col(key) == F.col("_key"), "left")
@@ -140,6 +230,13 @@ def extract_keywords(docs: DataFrame, key: str, text: str, terms: DataFrame, ter
     return joined.withColumn("keywords", words).drop("_key", "_found")
 
 
+def _lengths(low: int, high: int, threshold: float, measure: str) -> tuple[int, int]:
+    """The least and greatest number of characters of a text that may be alike to terms of ``low`` to ``high`` grams; short texts are padded to one gram."""
+    bounds = {"jaccard": (threshold, 1 / threshold), "dice": (threshold / (2 - threshold), (2 - threshold) / threshold), "cosine": (threshold**2, 1 / threshold**2)}[measure]
+    least = ceil(low * bounds[0] - 1e-9)
+    return (1 if least <= 1 else least + GRAM - 1), (floor(high * bounds[1] + 1e-9) + GRAM - 1 if high else 0)
+
+
 def terms_from_lines(spark: SparkSession, path: str) -> DataFrame:
     """(term): the stripped lines of a text file that aren't blank."""
     return spark.read.text(path).select(F.trim("value").alias("term")).filter("term <> ''")
