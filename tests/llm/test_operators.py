@@ -118,6 +118,20 @@ def test_mixing(spark, tricky):
     assert mixing.mix_sources(tricky.limit(0)).count() == 0
 
 
+def test_small_sources_are_sampled_by_their_offset(spark):
+    """Every document crosses the integers that one offset of its source, of those drawn, says; the first near the target, or the nearest."""
+    rows = [(100 * s + i, "w " * (3 * i + s), f"s{s}", 0) for s in range(6) for i in range(1, 9)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), keep=["doc_id", "source"]).collect()
+    for source in {r["source"] for r in out}:
+        own = sorted((r for r in out if r["source"] == source), key=lambda r: r["size"])
+        rate, target = own[0]["target"] / own[0]["source_size"], own[0]["target"]
+        draws = [int(hashlib.md5(f"mix~{source}~{k}".encode()).hexdigest()[:13], 16) / 16**13 for k in range(mixing.OFFSETS)]
+        takes = [[int(u + (i + 1) * rate) - int(u + i * rate) for i in range(len(own))] for u in draws]
+        off = [abs(sum(c * r["size"] for c, r in zip(t, own, strict=True)) - target) for t in takes]
+        first = min(range(mixing.OFFSETS), key=lambda k: (0 if off[k] <= mixing.NEAR * target else off[k], k))
+        assert [r["copies"] for r in own] == takes[first]
+
+
 def test_targets_by_rounds(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 3, None: 40}
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), "source").collect()}

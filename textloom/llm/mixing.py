@@ -2,9 +2,9 @@
 
 Within a source, documents are put in an order, their expected copies are summed up along it, one
 random offset is added, and a document is emitted once for each integer that the sum crosses at
-it. As the order is by size, the words taken from a source differ from its target by about one
-document's size at most. So that this is no large one, the few largest have whole numbers as their
-expected copies, and the others' are set to make up the target.
+it. The order is by size, so the words taken from a source differ from its target by about one
+document's size at most; of a few offsets, drawn by hash, the first that comes near the target is
+the source's, or else the nearest.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from textloom.llm.common import cut, cut_table, free_name, ordinal_within, shelt
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-#: So many of a source's largest documents have whole numbers of expected copies.
-LARGEST = 16
+#: So many offsets are drawn for each source, and so near the target the first of them has to come.
+OFFSETS, NEAR = 16, 0.01
 
 
 def n_words(text: Column | str) -> Column:
@@ -64,24 +64,20 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", te
     if text not in columns:  # narrow rows are written, so that words are counted once
         sized = cut_table(sized)
     ranked = ordinal_within(sized, "source", [F.col("size"), F.col("hash"), F.col("key")], ["row", "key", "size", "hash"])
-    sizes = cut(ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    sizes = cut(ranked.groupBy("source").agg(F.sum("size").alias("source_size")))
     n_sources = sizes.count()
     targets = source_targets(sizes, "source", weights, share, most).withColumnRenamed("source", "of_source")
-    counted = targets.join(sizes.select(F.col("source").alias("counted"), "n"), F.col("of_source").eqNullSafe(F.col("counted"))).drop("counted")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    counted = cut(counted.withColumn("rate", rate))
-    # The largest: the place from the top, in steps of the rate, from a half on.
-    joined = spread_join(ranked, counted, "source", "of_source", n_sources, F.col("ordinal"))
-    top = F.col("n") - F.col("ordinal") + 1
-    step = lambda k: F.floor(F.lit(0.5) + (top - k) * F.col("rate"))
-    whole = (step(0) - step(1)).cast("int")
-    largest = joined.filter(top <= LARGEST).groupBy("source").agg(F.sum(whole * F.col("size")).alias("held"), F.sum("size").alias("held_size"))
-    largest = cut(largest).withColumnRenamed("source", "held_source")
-    left = F.col("source_size") - F.col("held_size")
-    rest = F.when(left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("held")) / left))).otherwise(0.0)
-    rates = cut(counted.join(largest, F.col("of_source").eqNullSafe(F.col("held_source"))).select("of_source", "source_size", "target", "n", "rate", rest.alias("rest")))
-    joined = spread_join(ranked, rates, "source", "of_source", n_sources, F.col("ordinal"))
-    offset = unit_interval(seed, F.col("source"))
-    crossed = lambda k: F.floor(offset + (F.col("ordinal") - k) * F.col("rest"))
-    copies = F.when(top <= LARGEST, whole).otherwise((crossed(0) - crossed(1)).cast("int"))
-    return joined.withColumn("copies", copies).select(*unsheltered(columns), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    counted = targets.withColumn("rate", rate)
+    crossed = lambda u, k: F.floor(u + (F.col("ordinal") - k) * F.col("rate"))
+    copies = lambda u: (crossed(u, 0) - crossed(u, 1)).cast("int")
+    drawn = [unit_interval(seed, F.col("of_source"), str(k)) for k in range(OFFSETS)]
+    offered = cut(counted.select("of_source", "source_size", "target", "rate", F.array(*drawn).alias("offsets")))
+    tried = spread_join(ranked, offered, "source", "of_source", n_sources, F.col("ordinal"))
+    words = tried.groupBy("of_source").agg(*[F.sum(copies(F.col("offsets")[k]) * F.col("size")).alias(f"words_{k}") for k in range(OFFSETS)])
+    off = lambda k: F.abs(F.col(f"words_{k}") - F.col("target"))
+    tries = F.array(*[F.struct(F.when(off(k) <= F.col("target") * NEAR, 0.0).otherwise(off(k)).alias("off"), F.lit(k).alias("k"), F.col("offsets")[k].alias("offset")) for k in range(OFFSETS)])
+    words = words.withColumnRenamed("of_source", "tried")
+    chosen = cut(offered.join(words, F.col("of_source").eqNullSafe(F.col("tried"))).select("of_source", "source_size", "target", "rate", F.array_min(tries)["offset"].alias("offset")))
+    joined = spread_join(ranked, chosen, "source", "of_source", n_sources, F.col("ordinal"))
+    return joined.withColumn("copies", copies(F.col("offset"))).select(*unsheltered(columns), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

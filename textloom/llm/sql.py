@@ -16,12 +16,11 @@ MIXING = r"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(c
  level AS (SELECT arg_min((goal - held) / (all_w - gone), ratio) AS level FROM steps, totals WHERE ratio >= (goal - held) / (all_w - gone)),
  targets AS (SELECT source, source_size, CASE WHEN w * level > ceiling THEN ceiling ELSE w * level END AS target FROM weighed, level),
  ranked AS (SELECT doc_id, size, s.source, t.source_size, target, CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY s.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS r, count(*) OVER (PARTITION BY s.source) AS n,
-  ('0x' || substr(md5(concat_ws('~', 'mix', s.source)), 1, 13))::BIGINT / 4503599627370496E0 AS u FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
- stepped AS (SELECT *, n - r < 16 AS large, CAST(floor(0.5E0 + (n - r + 1) * rate) - floor(0.5E0 + (n - r) * rate) AS INT) AS whole FROM ranked),
- held AS (SELECT source, sum(whole * size) AS held, sum(size) AS held_size FROM stepped WHERE large GROUP BY source),
- rated AS (SELECT s.*, CASE WHEN source_size > held_size THEN greatest(0, least(2E0, (target - held) / (source_size - held_size))) ELSE 0 END AS rest FROM stepped s JOIN held h ON s.source IS NOT DISTINCT FROM h.source),
- copied AS (SELECT *, CASE WHEN large THEN whole ELSE CAST(floor(u + r * rest) - floor(u + (r - 1) * rest) AS INT) END AS copies FROM rated)
+  row_number() OVER (PARTITION BY s.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS r FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+ drawn AS (SELECT source AS drawn_for, g.k, ('0x' || substr(md5(concat_ws('~', 'mix', source, g.k)), 1, 13))::BIGINT / 4503599627370496E0 AS u FROM sources, generate_series(0, 15) g(k)),
+ tried AS (SELECT source, k, u, any_value(target) AS target, sum((floor(u + r * rate) - floor(u + (r - 1) * rate)) * size) AS words FROM ranked JOIN drawn ON source IS NOT DISTINCT FROM drawn_for GROUP BY ALL),
+ offsets AS (SELECT source AS offset_of, arg_min(u, {'off': CASE WHEN abs(words - target) <= target * 0.01E0 THEN 0 ELSE abs(words - target) END, 'k': k}) AS u FROM tried GROUP BY source),
+ copied AS (SELECT *, CAST(floor(u + r * rate) - floor(u + (r - 1) * rate) AS INT) AS copies FROM ranked JOIN offsets ON source IS NOT DISTINCT FROM offset_of)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied"""
 
 
