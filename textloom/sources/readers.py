@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import base_name, newline_to_space, normalize_text, split_words
 from textloom.operators.ordering import with_ordinal
+from textloom.sources.split_csv import read_split_csv
 
 
 def read_table(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
@@ -35,14 +36,14 @@ def read_folder(spark: SparkSession, folder: str, row: str | None = None) -> Dat
 def read_csv(spark: SparkSession, path: str, columns: list[str], separator: str = ",", line_breaks: bool = True) -> DataFrame:
     """A CSV table with a header, all strings; a missing column is an error.
 
-    With ``line_breaks``, quoted fields may have them, and each file is one task; without, large
-    files are split.
+    With ``line_breaks``, quoted fields may have them; quotes then stand only around fields, or
+    doubled in them. Large files are split either way.
     """
     df = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', sep=separator, inferSchema=False)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
-    return df.select(*columns)
+    return (read_split_csv(spark, path, df.columns, separator) if line_breaks else df).select(*[f"`{c}`" for c in columns])
 
 
 def sample_lines(spark: SparkSession, path: str, n: int, columns: list[str], separator: str = ",", seed: int = 42) -> DataFrame:
