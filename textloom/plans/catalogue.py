@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import prompts, scores, text
 from textloom.operators import candidates as cand
-from textloom.operators import chunks, codes, keywords, labels, metrics, ordering, plugins, preferences, vocabulary
+from textloom.operators import chunks, codes, keywords, labels, metrics, ordering, plugins, preferences, sentences, vocabulary
 from textloom.operators.bleu import sentence_bleu
 from textloom.sources.writers import with_chunk
 
@@ -487,6 +487,12 @@ def keyword_extraction(spark, sf_dir):
     return keywords.extract_keywords(docs, "doc_id", "text", counts, "word").select("doc_id", "keywords")
 
 
+@query
+def sentence_model(spark, sf_dir):
+    model = sentences.train_sentences(table(spark, sf_dir, "documents"), "text")
+    return model.withColumn("score", six(F.col("score")))
+
+
 @query
 def ordered_dedup(spark, sf_dir):
     return coded_orders(spark, sf_dir, "p_brand").select("order_id", text.ordered_distinct(F.split("codes", " ")).alias("keywords"))

@@ -160,6 +160,40 @@ KEYWORDS = f"""WITH {COUNTS}, {BAND}, words_kept AS (SELECT word FROM counts, ba
 SELECT doc_id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN lists USING (doc_id)"""
 
 
+# What occurs next to what, and the likelihoods that make a sentence model of it.
+def kind_of(word: str) -> str:
+    bare = f"lower(regexp_replace({word}, '\\.+$', ''))"
+    return f"CASE WHEN regexp_matches({bare}, '^[0-9]+([.''’-][0-9]+)*$') THEN '##number##' ELSE {bare} END"
+
+
+def log_l(k: str, n: str, p: str) -> str:
+    held = f"greatest(1E-12, least(1 - 1E-12, {p}))"
+    return f"(({k}) * ln({held}) + (({n}) - ({k})) * ln(1 - {held}))"
+
+
+def dunning(both: str, a: str, b: str, n: str) -> str:
+    apart = log_l(both, a, f"{both} / ({a})::DOUBLE") + " + " + log_l(f"{b} - {both}", f"{n} - {a}", f"({b} - {both}) / greatest({n} - {a}, 1)::DOUBLE")
+    return f"2 * ({apart} - {log_l(both, a, f'{b} / ({n})::DOUBLE')} - {log_l(f'{b} - {both}', f'{n} - {a}', f'{b} / ({n})::DOUBLE')})"
+
+
+DOTS = "(length(type) - length(replace(type, '.', '')))"
+SENTENCES = f"""WITH w AS (SELECT regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}.''’-]*') AS w FROM documents),
+ each AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(generate_series(1, len(w))) AS i FROM w)),
+ pairs AS (SELECT {kind_of("a")} AS type, ends_with(a, '.') AS period, CASE WHEN b IS NOT NULL THEN {kind_of("b")} END AS next, regexp_matches(b, '^\\p{{Lu}}') AS upper, CAST(count(*) AS BIGINT) AS n FROM each GROUP BY ALL),
+ counts AS (SELECT type, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (period), 0)::BIGINT AS dotted FROM pairs GROUP BY type),
+ sums AS (SELECT sum(total)::BIGINT AS big_n, sum(dotted)::BIGINT AS dots FROM counts),
+ scored AS (SELECT type, 2 * ({log_l("dotted", "total", "0.99E0")} - {log_l("dotted", "total", "dots / big_n::DOUBLE")}) * exp(-(length(type) - {DOTS})) * ({DOTS} + 1) * pow((length(type) - {DOTS})::DOUBLE, -(total - dotted)) AS score FROM counts, sums WHERE dotted > 0 AND type <> '##number##'),
+ short AS (SELECT * FROM scored WHERE score >= 0.3),
+ dotted AS (SELECT type, next, type IN (SELECT type FROM short) OR regexp_matches(type, '^\\p{{L}}$') OR type = '##number##' AS bound, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (upper), 0) AS uppers FROM pairs WHERE period GROUP BY ALL),
+ ends AS (SELECT coalesce(sum(n), 0)::BIGINT AS breaks FROM dotted WHERE NOT bound),
+ after AS (SELECT next, sum(n)::BIGINT AS joint, any_value(total) AS total FROM dotted JOIN counts ON next = counts.type WHERE NOT bound GROUP BY next),
+ starters AS (SELECT next, {dunning("joint", "breaks", "total", "big_n")} AS score FROM after, ends, sums WHERE joint / breaks::DOUBLE > total / big_n::DOUBLE),
+ linked AS (SELECT d.type, next, {dunning("n", "a.total", "b.total", "big_n")} AS score FROM dotted d JOIN counts a ON d.type = a.type JOIN counts b ON next = b.type, sums WHERE bound AND n > 1 AND n / a.total::DOUBLE > b.total / big_n::DOUBLE),
+ inside AS (SELECT next, coalesce(sum(n) FILTER (upper), 0) AS up, sum(n) AS every FROM pairs WHERE NOT period GROUP BY next)
+SELECT 'abbreviation' AS kind, type AS first, NULL::VARCHAR AS second, round(score, 6) AS score FROM short UNION ALL SELECT 'starter', next, NULL, round(score, 6) FROM starters WHERE score >= 30
+ UNION ALL SELECT 'collocation', type, next, round(score, 6) FROM linked WHERE score >= 7.88 UNION ALL SELECT 'common', next, NULL, every::DOUBLE FROM inside WHERE up = 0 AND next IN (SELECT next FROM dotted WHERE bound AND uppers > 0)"""
+
+
 def drawn(n: str, *parts: str) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('~', {', '.join(parts)}, '42')), 1, 8))::BIGINT % ({n}) + 1 AS INT)"
 
@@ -305,6 +339,7 @@ ORACLES: dict[str, str] = {
     "fuzzy_match": FUZZY,
     "candidate_spans": f"WITH {SPANS} SELECT * FROM spans",
     "resolve_overlaps": OVERLAPS,
+    "sentence_model": SENTENCES,
     "keyword_extraction": KEYWORDS,
     "ordered_dedup": f"WITH {coded('p_brand')}, {firsts('coded', 'order_id', "string_split(codes, ' ')")} SELECT order_id, array_to_string(firsts, ', ') AS keywords FROM f",
     "train_test_split": f"SELECT doc_id, {SPLIT.format('doc_id')} FROM documents",
