@@ -20,6 +20,12 @@ def test_supervised_run_and_iterations(spark, seed, tmp_path):
     scored = spark.read.parquet(paths["scored"])
     assert scored.count() == 12 and {"cumulative_score_3", "bleu_score_1", "overlap_keys_2"} <= set(scored.columns)
     assert spark.read.parquet(paths["sft"]).count() == 20 and spark.read.parquet(paths["dpo"]).count() > 0
+    order = {r["rank"]: (r["example_id"], r["candidate_id"]) for r in spark.read.parquet(paths["sorted"]).collect()}
+    assert sorted(order) == list(range(1, 37))
+    assert {(r["example_id"], r["candidate_id"]) for r in spark.read.parquet(paths["sft"]).collect()} == {order[k] for k in range(1, 21)}
+    assert sorted((r["rank"], r["label"]) for r in spark.read.parquet(paths["kto"]).select("rank", "label").collect()) == sorted([(k, True) for k in range(1, 21)] + [(k, False) for k in range(17, 37)])
+    held = spark.read.parquet(paths["eval"]).orderBy("rank").collect()
+    assert [r["rank"] for r in held] == list(range(1, 21)) and [r["similarity_score"] for r in held] == sorted((r["similarity_score"] for r in held), reverse=True)
     seen = []
 
     def learn(pairs, k):

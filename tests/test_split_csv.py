@@ -65,3 +65,15 @@ def test_odd_files(spark, tmp_path, ranges):
     assert readers.read_csv(spark, str(tmp_path / "b"), ["t"]).count() == 0
     with pytest.raises(ValueError, match="missing"):
         readers.read_csv(spark, str(tmp_path / "b"), ["u"])
+
+
+def test_the_sample_of_lines_is_the_same_for_any_split(spark, tmp_path, ranges):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("k,t\n" + "".join(f"{name}{i},{'x' * (i % 9)}\n" for i in range(200)) + "\n")
+    found = set()
+    for size in (100, 999, 10**6):
+        ranges(size)
+        found.add(tuple(sorted(r["k"] for r in readers.sample_lines(spark, str(tmp_path), 15, ["k"]).collect())))
+        lines = split_csv.numbered_lines(spark, str(tmp_path)).filter("line LIKE 'b%'").collect()
+        assert {r["line"].split(",")[0]: r["number"] for r in lines} == {f"b{i}": i + 1 for i in range(200)}
+    assert len(found) == 1 and len(set(*found)) == 15

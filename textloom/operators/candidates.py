@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.scores import keyword_overlap, known, mean_of
 from textloom.functions.text import normalize_text
-from textloom.operators.ordering import ordinal_within
+from textloom.operators.ordering import ordinal_within, with_ordinal
 
 #: Columns of the wide table, by what they are called in the long one.
 LONG = {"response": "response", "similarity_score": "similarity_score", "educational_score": "educational_score", "bleu_score": "bleu_score", "cumulative_score": "cumulative_score"}
@@ -60,6 +60,11 @@ def score_order(sort: str = "avg", descending: bool = True) -> list[Column]:
     return [known(F.col(c)).asc_nulls_first() for c in SORTS[sort]] + [F.col("example_id").desc(), F.col("candidate_id").desc()]
 
 
+def ranked(candidates: DataFrame, sort: str = "avg") -> DataFrame:
+    """All candidates with ``rank``, their place in the order of ``best``, from 1 on; no task sees all of them."""
+    return with_ordinal(candidates, *score_order(sort), name="rank")
+
+
 def best(candidates: DataFrame, n: int, sort: str = "avg") -> DataFrame:
     """The ``n`` best candidates."""
     return candidates.orderBy(*score_order(sort)).limit(n)

@@ -29,6 +29,16 @@ def binary_set(candidates: DataFrame, top_n: int = TOP_N, sort: str = "avg", dis
     return both.select("instruction", "response", "label", F.col("response").alias("completion"), F.col("instruction").alias("prompt"))
 
 
+def sets_from_ranks(ranked: DataFrame, total: int, top_n: int = TOP_N) -> tuple[DataFrame, DataFrame]:
+    """The supervised and the binary set with their ranks, from a table of ``total`` candidates with ``rank``; nothing is sorted again.
+
+    The rows are those of ``supervised_set`` and ``binary_set``.
+    """
+    good, bad = ranked.filter(F.col("rank") <= top_n), ranked.filter(F.col("rank") > total - top_n)
+    both = good.withColumn("label", F.lit(True)).unionByName(bad.withColumn("label", F.lit(False)))
+    return good, both.select("rank", "instruction", "response", "label", F.col("response").alias("completion"), F.col("instruction").alias("prompt"))
+
+
 def preference_pairs(candidates: DataFrame, top_n: int = TOP_N, sort: str = "avg") -> DataFrame:
     """The best and the worst response of each example that has a candidate among the ``top_n`` best.
 

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.bleu import sentence_bleu
-from textloom.operators.candidates import add_cumulative, add_keyword_overlap, candidate_numbers, score_statistics, unpivot_candidates, zip_positional
+from textloom.operators.candidates import add_cumulative, add_keyword_overlap, best, candidate_numbers, ranked, score_statistics, unpivot_candidates, zip_positional
 from textloom.operators.plugins import EchoGenerator, Embedder, Generator, HashEmbedder, HeuristicJudge, Judge, Tokenizer, WordTokenizer, add_judge_score, add_similarity, generate_candidates
-from textloom.operators.preferences import binary_set, preference_pairs, supervised_set
+from textloom.operators.preferences import preference_pairs, sets_from_ranks
 from textloom.functions.prompts import instruction_prompt
 from textloom.operators.keywords import given_or_extracted, keywords_if_absent
 from textloom.operators.labels import keep_labels, label_counts, top_labels
@@ -55,20 +55,24 @@ def score_candidates(seed: DataFrame, generated: DataFrame, models: Models, ordi
 def supervised_run(spark: SparkSession, seed_path: str, out: str, models: Models | None = None, n_candidates: int = 4, n_prompts: int = -1, top_n: int = 5000, sort: str = "avg") -> dict[str, str]:
     """Generates, scores and filters; the paths of the tables written below ``out``.
 
-    The seed is one Parquet file with ``instruction``, ``keywords`` and ``response``.
+    Beside the training sets, ``sorted`` has all candidates and ``eval`` the ``top_n`` most similar
+    ones, each with its ``rank``; the supervised and binary sets keep the rank in ``sorted``. The seed is one Parquet file with ``instruction``, ``keywords`` and ``response``.
     """
     models = models or Models()
     seed = read_table(spark, seed_path, "row")
     seed = seed if n_prompts < 0 else seed.filter(F.col("row") < n_prompts)
-    paths = {name: f"{out}/{name}" for name in ("generated", "scored", "statistics", "sft", "kto", "dpo", "counts")}
+    paths = {name: f"{out}/{name}" for name in ("generated", "scored", "statistics", "sorted", "sft", "kto", "dpo", "eval", "counts")}
     rows = {"generated": write_counted(generate_candidates(seed.select("row", "instruction"), "instruction", models.generator, n_candidates), paths["generated"])}
     rows["scored"] = write_counted(score_candidates(seed, read_table(spark, paths["generated"]), models), paths["scored"])
     wide = read_table(spark, paths["scored"])
     write_table(score_statistics(wide), paths["statistics"])
     candidates = unpivot_candidates(wide)
-    rows["sft"] = write_counted(supervised_set(candidates, top_n, sort), paths["sft"])
-    rows["kto"] = write_counted(binary_set(candidates, top_n, sort), paths["kto"])
+    rows["sorted"] = write_counted(ranked(candidates, sort), paths["sorted"])
+    good, both = sets_from_ranks(read_table(spark, paths["sorted"]), rows["sorted"], top_n)
+    rows["sft"] = write_counted(good, paths["sft"])
+    rows["kto"] = write_counted(both, paths["kto"])
     rows["dpo"] = write_counted(preference_pairs(candidates, top_n, sort), paths["dpo"])
+    rows["eval"] = write_counted(ranked(best(candidates, top_n, "s"), "s"), paths["eval"])
     write_table(spark.createDataFrame(list(rows.items()), "stage string, n bigint"), paths["counts"])
     return paths
 

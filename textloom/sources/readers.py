@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import base_name, newline_to_space, normalize_text, split_words
 from textloom.operators.ordering import with_ordinal
-from textloom.sources.split_csv import read_split_csv
+from textloom.sources.split_csv import csv_fields, numbered_lines, read_split_csv
 
 
 def read_table(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
@@ -47,9 +47,17 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], separator: str
 
 
 def sample_lines(spark: SparkSession, path: str, n: int, columns: list[str], separator: str = ",", seed: int = 42) -> DataFrame:
-    """``n`` random rows of a CSV file without line breaks in fields, or all if there are fewer; the same for the same files."""
-    df = read_csv(spark, path, columns, separator, line_breaks=False)
-    return df.withColumn("_at", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).orderBy("_at").limit(n).drop("_at")
+    """``n`` random rows of CSV files without line breaks in fields, or all if there are fewer; the same for the same files, however they are split.
+
+    A line's draw is a hash of its file's name and its number in the file.
+    """
+    names = spark.read.csv(path, header=True, escape='"', sep=separator, inferSchema=False).columns
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+    lines = numbered_lines(spark, path).filter((F.col("number") > 0) & (F.trim("line") != ""))
+    drawn = lines.withColumn("draw", F.xxhash64(F.lit(seed), base_name(F.col("file")), F.col("number"))).orderBy("draw", "file", "number").limit(n)
+    return drawn.select(csv_fields(F.regexp_replace("line", "\r$", ""), names, separator).alias("f")).select(*[F.col("f")[c].alias(c) for c in columns])
 
 
 def read_code_dictionary(spark: SparkSession, path: str) -> DataFrame:

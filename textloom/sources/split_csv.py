@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.ordering import BROADCAST_ROWS, cut
+from textloom.operators.ordering import BROADCAST_ROWS, cut, small
 
 QUOTE = '"'
 
@@ -27,6 +27,17 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line): each line's number in its file, from 0 on, by the lines of the byte ranges before; the same for any ranges."""
+    lines = lines_of(spark, path)
+    counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    starts = small(starts.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "first", "before"), starts.count())
+    met = lines.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return met.select("file", (F.col("before") + F.col("at") - F.col("first")).alias("number"), "line")
+
+
 def block_states(lines: DataFrame) -> DataFrame:
     """(file, block, inside, owner, crossed): whether a range begins inside quotes, the range where that record began, and whether a record crosses either end."""
     quotes = F.length("line") - F.length(F.replace("line", F.lit(QUOTE), F.lit("")))
@@ -115,8 +126,13 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
 
 
+def csv_fields(record: Column, names: list[str], separator: str = ",") -> Column:
+    """A struct of the record's fields by position, all strings."""
+    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+    return F.from_csv(record, schema, {"sep": separator, "escape": QUOTE, "quote": QUOTE, "multiLine": "true"})
+
+
 def read_split_csv(spark: SparkSession, path: str, names: list[str], separator: str = ",") -> DataFrame:
     """The columns ``names``, all strings, of CSV files with a header each; rows of one large file come from many tasks."""
-    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
-    fields = F.from_csv("record", schema, {"sep": separator, "escape": QUOTE, "quote": QUOTE, "multiLine": "true"})
+    fields = csv_fields(F.col("record"), names, separator)
     return csv_records(spark, path).select(fields.alias("f")).select("f.*")
