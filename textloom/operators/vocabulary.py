@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import letter_words
 
-# Common function words of French and English, our own choice.
-STOPWORDS = ("a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "leur", "mais", "ne", "nous", "on", "ou", "par", "pas", "pour", "que", "qui", "sa", "se", "ses", "son", "sur", "un", "une", "vous")
+# Common function words of English and French, a choice of our own; others are an argument.
+STOPWORDS = ("a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "leur", "mais", "ne", "nous", "ou", "par", "pas", "pour", "que", "qui", "sa", "se", "ses", "son", "sur", "un", "une", "vous")
 LOW, HIGH = 85.0, 99.5
 
 
