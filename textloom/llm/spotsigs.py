@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, cut_table, discard, shuffle_partitions
 
-# Common words of English, German, French and Spanish that start a signature.
+# Common words of English, German, French and Spanish that start a signature, a choice of our own.
 ANCHORS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "als", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "für", "im", "ist", "mit", "nicht", "sich", "und", "von", "zu", "au", "avec", "dans", "des", "du", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une", "al", "con", "de", "del", "el", "en", "las", "los", "no", "para", "por", "se", "su", "una", "y")
 #: A chain has so many content words, or fewer where the next anchor follows.
 CHAIN = 2
