@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -280,23 +281,21 @@ def test_near_duplicates_odd_rows(spark, tricky):
 # Spot signatures
 
 
-def plain_signatures(text):
-    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
-    own, k, run = set(), 0, []
-    for w in [*words, None]:
-        if w is None or w in spotsigs.ANCHORS:
-            if len(run) > spotsigs.REACH:
-                own |= {("run", *run[i : i + 2]) for i in range(len(run) - 1)}
-            run = []
-        else:
-            run.append(w)
+def plain_words(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def plain_common(texts):
+    """The 256 words that most texts have, two or more, without function words."""
+    counts = Counter(w for t in texts for w in set(plain_words(t)) if w not in spotsigs.ANCHORS)
+    return {w for w, _ in sorted((x for x in counts.items() if x[1] > 1), key=lambda x: (-x[1], x[0]))[:256]}
+
+
+def plain_signatures(text, common):
+    words, own = plain_words(text), set()
     for k, w in enumerate(words):
-        if w in spotsigs.ANCHORS:
-            chain = []
-            for x in words[k + 1 : k + 3]:
-                if x in spotsigs.ANCHORS:
-                    break
-                chain.append(x)
+        if w in spotsigs.ANCHORS or w in common:
+            chain = list(itertools.takewhile(lambda x: x not in spotsigs.ANCHORS, words[k + 1 : k + 3]))
             if chain:
                 own.add(("spot", w, *chain))
     return own or ({("whole", *words)} if words else set())
@@ -307,18 +306,26 @@ def plain_jaccard(a, b):
     return like if like >= spotsigs.LEAST_LIKE else 0.0
 
 
+def likeness(a, b):
+    """Jaccard similarity of two fingerprints."""
+    one, two = ({x[i : i + 16] for i in range(0, len(x), 16)} for x in (a, b))
+    return plain_jaccard(one, two)
+
+
 def check_neighbours(rows, out, keys):
     down = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0), reverse=True)
-    prints = {}
+    prints, common = {}, plain_common([t for _, t in rows])
     for k, (i, t) in enumerate(down):
         following, third = down[(k + 1) % len(down)][1] or "", len(t or "") // 3
         edited = (t or "")[: len(t or "") - third] + following[:third]
-        own, r = plain_signatures(t), out[keys(i)]
+        own, r = plain_signatures(t, common), out[keys(i)]
         assert r["n_chars"] == len(t or "") and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["near_next"] == pytest.approx(plain_jaccard(own, plain_signatures(following))), (i, t, following)
-        assert r["near_edited"] == pytest.approx(plain_jaccard(own, plain_signatures(edited)))
-        for found, shown in ((own, r["fingerprint"]), (plain_signatures(edited), r["edited_fingerprint"])):
+        assert r["near_next"] == pytest.approx(plain_jaccard(own, plain_signatures(following, common))), (i, t, following)
+        assert r["near_edited"] == pytest.approx(plain_jaccard(own, plain_signatures(edited, common)))
+        for found, shown in ((own, r["fingerprint"]), (plain_signatures(edited, common), r["edited_fingerprint"])):
             assert prints.setdefault(frozenset(found), shown) == shown
+            assert len(shown) == 16 * len(found)
+        assert r["near_edited"] == pytest.approx(likeness(r["fingerprint"], r["edited_fingerprint"]))
     assert len(set(prints.values())) == len(prints)
 
 
@@ -361,7 +368,7 @@ def test_spot_near_duplicates(spark):
     base = " ".join(rnd.choice(["the", "a"]) + f" w{k} v{k}" for k in range(60))
     texts = [base + f" the tail{i} end{i}" for i in range(12)] + [" ".join(f"the z{rnd.randrange(999)} y{rnd.randrange(999)}" for _ in range(50)) for _ in range(8)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = {r["fingerprint"]: set(r["signatures"]) for r in spotsigs.fingerprints(df).collect()}
+    sets = {r["set_id"]: set(r["signatures"]) for r in spotsigs.fingerprints(df).collect()}
     parent = {f: f for f in sets}
 
     def root(x):

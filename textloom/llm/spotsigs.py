@@ -1,70 +1,79 @@
 """Document fingerprints from spot signatures, with DataFrame functions only.
 
 A spot signature is a common word (an anchor) and the content words after it, so it follows the
-running text and not what is around it. A document's fingerprint is the set of its signatures.
-Sets are partitioned by their length and compared by Jaccard similarity: sets of too different
+running text and not what is around it. Anchors are function words of four languages and the words
+that most documents have, so that texts of other languages and kinds have anchors too. A document's
+fingerprint is the set of its signatures. Sets are partitioned by their length and compared by Jaccard similarity: sets of too different
 sizes cannot be alike, and sets that are alike share a signature among the first few in any common
 order, which prunes the search for near duplicates.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from textloom.llm.common import cut, cut_table, discard, shuffle_partitions
 
-# Common words of English, German, French and Spanish that start a signature, a choice of our own.
+# Function words of English, German, French and Spanish, a choice of our own; they start a signature and are in no chain.
 ANCHORS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "als", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "für", "im", "ist", "mit", "nicht", "sich", "und", "von", "zu", "au", "avec", "dans", "des", "du", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une", "al", "con", "de", "del", "el", "en", "las", "los", "no", "para", "por", "se", "su", "una", "y")
 #: A chain has so many content words, or fewer where the next anchor follows.
 CHAIN = 2
-#: Runs of more content words than this also have a chain of their own at each word.
-REACH = 6
+#: So many of the words that most documents have are anchors too; they may be in the chain of an anchor before them.
+COMMON_WORDS = 256
 #: Likeness below this counts as none, so sets of too different lengths need no comparison.
 LEAST_LIKE = 0.05
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Stands in front of each anchor while chains are looked for.
-MARK = "\u0001"
+#: Stand in front of function words and of other common words while chains are looked for.
+MARK, COMMON_MARK = "\u0001", "\u0002"
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def marked_words(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    """The words between spaces, with a mark in front of anchors."""
-    return F.array_join(F.transform(words_of(text), lambda w: F.when(w.isin(*anchors), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
+def common_words(docs: DataFrame, text: str = "text", most: int = COMMON_WORDS) -> tuple[str, ...]:
+    """The ``most`` words that most documents have, each in two or more and none a function word; ties by the word.
 
+    Words are counted over all documents, summed up in each task before they are shuffled; what
+    comes to the driver is ``most`` words.
+    """
+    words = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & ~F.col("word").isin(*ANCHORS))
+    return tuple(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def marked_words(text: Column, common: tuple[str, ...] = (), anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """The words between spaces, with a mark in front of function words and another in front of common ones."""
+    mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit(MARK), w))
+    soft = lambda w: mark(w).when(w.isin(*common), F.concat(F.lit(COMMON_MARK), w)) if common else mark(w)
+    return F.array_join(F.transform(words_of(text), lambda w: soft(w).otherwise(w)), " ")
 
-def signatures_of(marked: str, chain: int = CHAIN, reach: int = REACH) -> Column:
+
+def signatures_of(marked: str, chain: int = CHAIN) -> Column:
     """The sorted set of hashes of the spot signatures in the column ``marked``, as ``marked_words`` gives it.
 
-    A signature is an anchor and the content words that follow it, up to ``chain`` and up to the
-    next anchor; of several anchors in a row the last one counts. In runs of more than ``reach``
-    content words (lists, tables, other languages) each word starts a chain itself. Where that
-    gives none, all words are one signature. So only a text without words has the empty set.
+    A signature is an anchor and the words that follow it, up to ``chain`` and up to the next
+    function word; of several function words in a row the last one counts. Each anchor has its own,
+    so chains may overlap. Where that gives none, all words are one signature. So only a text
+    without words has the empty set.
     """
     own = F.col(marked)
-    word = rf"[^ {MARK}]+"
-    spots = F.regexp_extract_all(own, F.lit(rf"{MARK}{word}(?: {word}){{1,{chain}}}"), F.lit(0))
-    runs = F.filter(F.split(own, rf" ?{MARK}[^ ]+ ?"), lambda r: r.rlike(rf"^(?:[^ ]+ ){{{reach}}}"))
-    chains = F.flatten(F.transform(runs, lambda r: in_run(F.split(r, " "), chain)))
-    hashed = F.transform(F.concat(spots, chains), lambda s: F.xxhash64(s))
+    # The chain is in a look-ahead, so that the next match may begin inside it.
+    spots = F.regexp_extract_all(own, F.lit(rf"[{MARK}{COMMON_MARK}](?=([^ ]+(?: [^ {MARK}]+){{1,{chain}}}))"), F.lit(1))
+    hashed = F.transform(spots, lambda s: F.xxhash64(s))
     some = F.aggregate(F.array(hashed), F.array().cast("array<bigint>"), lambda _, found: F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(F.lit("whole"), own))))
     return F.sort_array(F.array_distinct(F.when(own == "", F.array().cast("array<bigint>")).otherwise(some)))
 
 
-def in_run(words: Column, chain: int) -> Column:
-    """Each ``chain`` neighbours in an array of words, joined."""
-    return F.aggregate(F.array(words), F.array().cast("array<string>"), lambda _, w: F.transform(F.sequence(F.lit(1), F.size(w) - (chain - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(chain)), " ")))
-
-
-def with_signatures(docs: DataFrame, text: Column, into: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
+def with_signatures(docs: DataFrame, text: Column, into: str, common: tuple[str, ...] = (), chain: int = CHAIN) -> DataFrame:
     """Adds ``into``, the sorted set of signatures of ``text``."""
     words = f"_{into}_words"
-    return docs.withColumn(words, marked_words(text, anchors)).withColumn(into, signatures_of(words, chain, reach)).drop(words)
+    return docs.withColumn(words, marked_words(text, common)).withColumn(into, signatures_of(words, chain)).drop(words)
 
 
 def length_partition(signatures: str, least: float) -> Column:
@@ -89,14 +98,21 @@ def jaccard(a: str, b: str, least: float = LEAST_LIKE) -> Column:
 
 
 def fingerprint(signatures: str) -> Column:
-    """The set as a string: its size and a digest; equal sets, and so equal texts, have equal ones."""
-    return F.concat_ws("-", F.size(signatures).cast("string"), F.sha2(F.array_join(F.col(signatures).cast("array<string>"), ","), 256))
+    """The sorted set as a string, 16 hexadecimal digits a signature, so that likeness can be told from two of them."""
+    return F.array_join(F.transform(signatures, lambda s: F.lpad(F.hex(s), 16, "0")), "")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_signatures, signatures, fingerprint) of each whole text; null texts are empty."""
-    found = with_signatures(docs.select(key, text), F.col(text), "signatures")
-    return found.select(key, F.size("signatures").alias("n_signatures"), "signatures", fingerprint("signatures").alias("fingerprint"))
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", common: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, n_signatures, signatures, fingerprint, set_id) of each whole text; null texts are empty.
+
+    ``common`` are the anchors beside the function words, those of ``docs`` if not given; give the
+    same ones for fingerprints that are to be compared between tables. ``set_id`` is a digest of
+    the fingerprint.
+    """
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = with_signatures(own, F.col("text"), "signatures", common_words(own) if common is None else common)
+    named = found.withColumn("fingerprint", fingerprint("signatures"))
+    return named.select(F.col("key").alias(key), F.size("signatures").alias("n_signatures"), "signatures", "fingerprint", F.sha2("fingerprint", 256).alias("set_id"))
 
 
 def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", n_parts: int | None = None) -> DataFrame:
@@ -117,33 +133,40 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     place = F.struct(F.col("key").isNotNull().alias("there"), F.col("key").alias("key"), F.md5("text").alias("digest"))
     placed = rows.withColumn("place", place)
-    # The greatest place of each of n ranges, as Spark's own range partitioning finds them.
-    ends = placed.select("place").repartitionByRange(n, F.col("place").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max("place").alias("top")).collect()
-    tops = sorted((r["top"] for r in ends), key=lambda t: (t["there"], t["key"] if t["there"] else 0, t["digest"]), reverse=True)
-    kind = placed.schema["place"].dataType
-    tops = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(t, kind.fields, strict=True))) for t in tops]
-    dealt = placed.withColumn("part", place_among(F.col("place"), tops)).repartition(shuffle_partitions(spark), "part")
-    signed = with_signatures(dealt.withColumn("n_chars", F.length("text").cast("long")), F.col("text"), "signatures")
+    common = common_words(rows)
+    tops = range_tops(placed, n)
+    dealt = placed.withColumn("part", place_among(F.col("place"), tops, placed.schema["place"].dataType)).repartition(shuffle_partitions(spark), "part")
+    signed = with_signatures(dealt.withColumn("n_chars", F.length("text").cast("long")), F.col("text"), "signatures", common)
     led = signed.withColumn("next", F.lead(F.struct("text", "signatures")).over(Window.partitionBy("part").orderBy(F.col("place").desc())))
-    firsts = with_signatures(first_of_next(placed.withColumn("part", place_among(F.col("place"), tops))), F.col("_text"), "_signatures")
+    firsts = with_signatures(first_of_next(placed.withColumn("part", place_among(F.col("place"), tops, placed.schema["place"].dataType))), F.col("_text"), "_signatures", common)
     after = led.join(firsts, F.col("part") == F.col("_part"))
     merged = after.select("key", "text", "n_chars", "signatures", F.coalesce("next.text", "_text").alias("following"), F.coalesce("next.signatures", "_signatures").alias("next_signatures"))
     third = "cast(n_chars div 3 as int)"
     edited = F.concat(F.expr(f"substring(text, 1, cast(n_chars as int) - {third})"), F.expr(f"substring(following, 1, {third})"))
-    both = with_signatures(merged.withColumn("edited", edited).drop("text", "following"), F.col("edited"), "edited_signatures")
+    both = with_signatures(merged.withColumn("edited", edited).drop("text", "following"), F.col("edited"), "edited_signatures", common)
     return both.select(
         F.col("key").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("signatures").alias("fingerprint"), fingerprint("edited_signatures").alias("edited_fingerprint"),
         jaccard("signatures", "edited_signatures").alias("near_edited"), jaccard("signatures", "next_signatures").alias("near_next"),
     )
 
 
-def place_among(place: Column, tops: list[Column]) -> Column:
-    """How many of ``tops``, in falling order, are at least ``place``; 0 to 1 above the last. Found in two steps of about the root of their number."""
+def range_tops(placed: DataFrame, n: int) -> list[dict]:
+    """The greatest ``place`` of each of about ``n`` ranges, as Spark's own range partitioning finds them, in falling order."""
+    ends = placed.select("place").repartitionByRange(n, F.col("place").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max("place").alias("top"))
+    return json.loads(ends.agg(F.to_json(F.sort_array(F.collect_list("top"), asc=False))).first()[0])
+
+
+def place_among(place: Column, tops: list[dict], kind: DataType) -> Column:
+    """How many of ``tops``, in falling order, are at least ``place``; 0 to 1 above the last. Found in two steps of about the root of their number.
+
+    They are one literal in the plan, however many there are.
+    """
     if not tops:
         return F.lit(0)
     step = max(1, math.isqrt(len(tops)))
-    coarse = F.size(F.filter(F.array(*tops[::step]), lambda t: t >= place))
-    near = F.slice(F.array(*tops), F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
+    literal = lambda some: F.from_json(F.lit(json.dumps(some)), ArrayType(kind))
+    coarse = F.size(F.filter(literal(tops[::step]), lambda t: t >= place))
+    near = F.slice(literal(tops), F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(near, lambda t: t >= place)))
 
 
@@ -156,7 +179,7 @@ def first_of_next(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of fingerprints whose signature sets are at least ``threshold`` alike.
+    """(a, b, similarity): ``set_id`` of fingerprints whose signature sets are at least ``threshold`` alike.
 
     Texts with one fingerprint are one node; ``fingerprints`` has the members. Two sets can only
     be alike if the smaller has ``threshold`` of the larger's size, so sets are partitioned by the
@@ -169,22 +192,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     Null and empty texts and texts without words have no signatures and are in no pair. Repeated
     rows, ids and texts share a fingerprint; null ids, and columns of any name, don't matter.
     """
-    sets = cut(fingerprints(docs, key, text).filter("n_signatures > 0").groupBy("fingerprint").agg(F.any_value("signatures").alias("signatures")))
-    spread = sets.select("fingerprint", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
+    sets = cut(fingerprints(docs, key, text).filter("n_signatures > 0").groupBy("set_id").agg(F.any_value("signatures").alias("signatures")))
+    spread = sets.select("set_id", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
     counts = spread.groupBy("signature").agg(F.count(F.lit(1)).alias("df"))
-    ranked = spread.join(counts, "signature").groupBy("fingerprint").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "signature"))).alias("all"))
+    ranked = spread.join(counts, "signature").groupBy("set_id").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "signature"))).alias("all"))
     prefix = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1)
     length = F.floor(F.log("n") / F.lit(math.log(1 / threshold)))
-    meets = ranked.select("fingerprint", length.alias("length"), F.explode(F.transform(prefix, lambda x: x["signature"])).alias("signature"))
-    homes = meets.select("fingerprint", F.explode(F.array(F.struct(F.col("length").alias("at"), F.lit(True).alias("home")), F.struct((F.col("length") + 1).alias("at"), F.lit(False).alias("home")))).alias("place"), "signature")
-    members = cut(homes.select("fingerprint", "place.home", F.xxhash64("place.at", "signature").alias("bucket")))
-    leaders = members.groupBy("bucket").agg(F.min(F.when(F.col("home"), F.col("fingerprint"))).alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and leader is not null").drop("_n")
+    meets = ranked.select("set_id", length.alias("length"), F.explode(F.transform(prefix, lambda x: x["signature"])).alias("signature"))
+    homes = meets.select("set_id", F.explode(F.array(F.struct(F.col("length").alias("at"), F.lit(True).alias("home")), F.struct((F.col("length") + 1).alias("at"), F.lit(False).alias("home")))).alias("place"), "signature")
+    members = cut(homes.select("set_id", "place.home", F.xxhash64("place.at", "signature").alias("bucket")))
+    leaders = members.groupBy("bucket").agg(F.min(F.when(F.col("home"), F.col("set_id"))).alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and leader is not null").drop("_n")
     led = cut(members.join(leaders, "bucket"))
-    stars = compared(led.filter("fingerprint <> leader").select(F.col("fingerprint").alias("a"), F.col("leader").alias("b")).distinct(), sets, threshold)
+    stars = compared(led.filter("set_id <> leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, threshold)
     stars = cut(stars)
-    outside = led.filter("fingerprint <> leader").join(stars.select(F.col("a").alias("fingerprint"), F.col("b").alias("leader")), ["fingerprint", "leader"], "left_anti")
-    one = outside.select("bucket", F.col("fingerprint").alias("a"), F.col("home").alias("home_a"))
-    two = led.select("bucket", F.col("fingerprint").alias("b"), "home", "leader")
+    outside = led.filter("set_id <> leader").join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("leader")), ["set_id", "leader"], "left_anti")
+    one = outside.select("bucket", F.col("set_id").alias("a"), F.col("home").alias("home_a"))
+    two = led.select("bucket", F.col("set_id").alias("b"), "home", "leader")
     others = one.join(two, "bucket").filter((F.col("a") != F.col("b")) & (F.col("home") | F.col("home_a")) & (F.col("b") != F.col("leader")))
     rest = compared(others.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, threshold)
     found = stars.union(rest)
@@ -193,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are at least ``threshold`` alike."""
-    one = sets.select(F.col("fingerprint").alias("a"), F.col("signatures").alias("_sa"))
-    two = sets.select(F.col("fingerprint").alias("b"), F.col("signatures").alias("_sb"))
+    one = sets.select(F.col("set_id").alias("a"), F.col("signatures").alias("_sa"))
+    two = sets.select(F.col("set_id").alias("b"), F.col("signatures").alias("_sb"))
     scored = pairs.join(one, "a").join(two, "b").withColumn("similarity", jaccard("_sa", "_sb", threshold))
     return scored.filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
