@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, sheltered, spread_join, unsheltered
+from textloom.llm.common import cut, hub_bound, hub_join, sheltered, spread_join, unsheltered
 
 # Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -69,27 +69,39 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     seed is added anew. Hosts that are only linked to take part with no seed. Without ``rounds``,
     it goes on until no score moves by more than ``TOLERANCE`` for each of the host's ``pages``
     (one where seeds don't have them); damping makes moves smaller by each round.
+
+    A hub's edges are in parts of a bounded number, among which its scores are repeated, so no task
+    gets all edges of a host; what reaches a host is summed up before it is shuffled.
     """
-    out = edges.groupBy(F.col("src").alias("_h")).agg(F.sum("n").alias("_out"))
-    into = edges.groupBy(F.col("dst").alias("_i")).agg(F.sum("n").alias("_in"))
-    shared = edges.join(out, F.col("src") == F.col("_h")).join(into, F.col("dst") == F.col("_i"))
+    edges = cut(edges)
+    total = edges.count()
+    out = cut(edges.groupBy(F.col("src").alias("_h")).agg(F.sum("n").alias("_out"), F.count(F.lit(1)).alias("_rows")))
+    into = cut(edges.groupBy(F.col("dst").alias("_i")).agg(F.sum("n").alias("_in"), F.count(F.lit(1)).alias("_rows")))
+    shared = hub_join(cut(hub_join(edges, out, "src", "_h", "_rows", total)), into, "dst", "_i", "_rows", total)
     ahead = shared.select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("_out")).alias("t"), F.lit(0.0).alias("d"))
     back = shared.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("_in")).alias("d"))
     flows = cut(ahead.union(back).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
+    bound = hub_bound(2 * total)
+    hubs = flows.groupBy(F.col("from").alias("_hub")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= bound)
+    hubs = cut(hubs.select("_hub", F.ceil(F.col("_n") / bound).cast("int").alias("_parts")))  # at most BROADCAST_ROWS
+    part = F.pmod(F.xxhash64("to"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part")
+    flows = cut(flows.join(F.broadcast(hubs), F.col("from") == F.col("_hub"), "left").select("from", part, "to", "t", "d"))
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     start = hosts.join(seeds.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
     pages = F.coalesce("pages", F.lit(1)) if "pages" in seeds.columns else F.lit(1)
-    start = cut(start.select("host", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad")), F.greatest(pages, F.lit(1)).alias("_pages")))
-    scores = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    start = start.join(F.broadcast(hubs), F.col("host") == F.col("_hub"), "left")
+    start = cut(start.select("host", F.coalesce("_parts", F.lit(1)).alias("_parts"), *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad")), F.greatest(pages, F.lit(1)).alias("_pages")))
+    scores = start.select("host", "_parts", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     moved = lambda seed, flow: F.col(seed) + F.coalesce(flow, F.lit(0.0)) * damping
     for k in range(1, rounds + 1) if rounds is not None else itertools.count(1):
-        sent = flows.join(scores, F.col("from") == F.col("host")).groupBy("to").agg(F.sum(F.col("t") * F.col("trust")).alias("_t"), F.sum(F.col("d") * F.col("distrust")).alias("_d"))
-        before, scores = scores, start.join(sent, F.col("host") == F.col("to"), "left").select("host", moved("good", "_t").alias("trust"), moved("bad", "_d").alias("distrust"))
+        repeated = scores.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        sent = flows.join(repeated, (F.col("from") == F.col("host")) & (F.col("part") == F.col("_part"))).groupBy("to").agg(F.sum(F.col("t") * F.col("trust")).alias("_t"), F.sum(F.col("d") * F.col("distrust")).alias("_d"))
+        before, scores = scores, start.join(sent, F.col("host") == F.col("to"), "left").select("host", "_parts", moved("good", "_t").alias("trust"), moved("bad", "_d").alias("distrust"))
         if k % CUT_EVERY == 0 and k != rounds:
             scores = cut(scores)
             if rounds is None and settled(before, scores, start):
                 break
-    return scores
+    return scores.drop("_parts")
 
 
 def settled(before: DataFrame, after: DataFrame, start: DataFrame) -> bool:
@@ -113,7 +125,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     placed = placed.withColumn("ruled", matching_rule(F.col("host"), F.col("path"), rules))
     counted = placed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruled.verdict") == "allow").alias("good"), F.count_if(F.col("ruled.verdict") == "block").alias("bad"))
     seeds = cut(counted)
-    edges = cut(host_edges(placed, "host", "html"))
+    edges = host_edges(placed, "host", "html")
     scores = propagate(edges, seeds.select("host", "good", "bad", "pages")).withColumnRenamed("host", "scored")
     # Only hosts with pages need a verdict, and of those only the blocked ones need a row.
     scored = seeds.join(scores, F.col("host") == F.col("scored"))
