@@ -272,10 +272,11 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
         yield from block(full[0] + ids, full[1] + n)
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([every]), pa.array([0])], names)
 
-    # Small tasks are put together, up to a block of documents or of shingles, so that half the
-    # share of a block is more than a document or two.
+    # Many small tasks are put together, up to a block of documents or of shingles but not below the
+    # cores there are; blocks that are too small report all their shingles, a block's at most.
     texts = docs.select(name_of(key).alias("name"), digest_of(text).alias("digest"), text)
-    some = texts.coalesce(max(1, n_single // BLOCK_DOCS, size // BLOCK_SHINGLES))  # never more than there are
+    parallel = docs.sparkSession.sparkContext.defaultParallelism  # small tables too are read by all cores
+    some = texts.coalesce(max(parallel, n_single // BLOCK_DOCS, size // BLOCK_SHINGLES))  # never more than there are
     reports = cut(some.mapInArrow(report, pairs).groupBy("id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     # How many documents count; a leader may have been met in several tasks, if its row is repeated.
     n_counted = reports.filter("id = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
