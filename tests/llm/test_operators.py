@@ -389,6 +389,18 @@ def test_spot_near_duplicates(spark):
     assert Counter(root(f) for f in sets) == want
 
 
+def test_words_with_one_hash(spark):
+    """Two words of 1024 bytes that a polynomial hash modulo 2**64 can't tell apart (Thue-Morse) are two words."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    assert len(set(decontaminate.hash_words(raw, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, f"{two} {one}")], "doc_id long, text string")
+    items = spark.createDataFrame([("p", f"{one} y"), ("q", f"x {two}"), ("r", f"{one} {one}")], "item_id string, text string")
+    out = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_overlaps(docs, items).collect()}
+    assert out == {1: (2, ["p"]), 2: (2, ["q"]), 3: (0, [])}
+
+
 # Line dedup
 
 

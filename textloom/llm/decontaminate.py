@@ -4,7 +4,7 @@ Items and documents are cut into words. Each word of the items is one symbol; ea
 item's consecutive words is one pattern over symbols; all patterns share one automaton. Documents
 become a string of symbols (one stands for all other words and for the ends of texts), which is
 scanned once; places in it are words, and so map to offsets in the original text. Words are looked
-up by 64-bit hashes for many texts at once.
+up by 64-bit hashes for many texts at once; where the automaton hits, their bytes are compared.
 """
 
 from __future__ import annotations
@@ -58,41 +58,43 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, size: int, most: int)
     yield block
 
 
+def hash_words(low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return Hasher(low).of(start, stop)
+
+
 class Scanner:
     """The automaton of a block of items."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], size: int) -> None:
-        symbols: dict[bytes, str] = {}
-        for _, words in items:
-            for w in words:
-                if w not in symbols:
-                    at = len(symbols) + 1
-                    symbols[w] = chr(at if at < 0xD800 else at + 0x800)
-        owners: dict[str, list[int]] = {}
+        every = list({w: None for _, words in items for w in words})
+        ends = np.cumsum([0] + [len(w) for w in every])
+        hashes = hash_words(np.frombuffer(b"".join(every), np.uint8), ends[:-1], ends[1:]) if every else np.zeros(0, np.uint64)
+        # One symbol a hash, so that words with one hash are told apart by their bytes only.
+        self.hashes, at = np.unique(hashes, return_inverse=True)
+        codes = np.arange(1, len(self.hashes) + 1)
+        self.codes = np.where(codes < 0xD800, codes, codes + 0x800).astype("<u4")
+        symbols = {w: chr(c) for w, c in zip(every, self.codes[at].tolist(), strict=True)}
+        # By pattern: the items that have it, each with the place of its words; one for each different window.
+        owners: dict[str, list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(items):
-            for window in set(windows_of(words, size)):
-                owners.setdefault("".join(symbols[w] for w in window), []).append(k)
-        self.items = [i for i, _ in items]
+            for window, place in {w: i for i, w in enumerate(windows_of(words, size))}.items():
+                owners.setdefault("".join(symbols[w] for w in window), []).append((k, place))
+        self.items, self.words = [i for i, _ in items], [words for _, words in items]
         self.automaton = ahocorasick.Automaton()
         for pattern, own in owners.items():
             self.automaton.add_word(pattern, (len(pattern), own))
         self.automaton.make_automaton()
         self.empty = not owners
-        # Symbols by the hashes of their words.
-        every = list(symbols)
-        ends = np.cumsum([0] + [len(w) for w in every])
-        raw = np.frombuffer(b"".join(every), np.uint8)
-        hashes = Hasher(raw).of(ends[:-1], ends[1:]) if every else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.codes = hashes[order], np.array([ord(c) for c in symbols.values()], "<u4")[order]
 
-    def scan(self, text: np.ndarray, hashes: np.ndarray) -> dict[int, list[tuple[int, int, object]]]:
+    def scan(self, text: np.ndarray, low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> dict[int, list[tuple[int, int, object]]]:
         """By the text's number: (first word, last word, item) of each maximal run of an item's windows.
 
-        ``text`` and ``hashes`` are those of each word, in order; places count the words of all texts.
+        ``text``, ``start`` and ``stop`` are those of each word in ``low``, in order; places count
+        the words of all texts.
         """
-        if self.empty or not len(hashes):
+        if self.empty or not len(start):
             return {}
+        hashes = hash_words(low, start, stop)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         found = np.where(self.hashes[at] == hashes, self.codes[at], ord(UNKNOWN)).astype("<u4")
         # A mark between texts: the n-th word stands at n plus its text's number.
@@ -101,11 +103,18 @@ class Scanner:
         places = np.arange(len(text)) + text
         out: dict[int, list[tuple[list[int], int]]] = {}
         last: dict[tuple[int, int], list[int]] = {}
+        seen: dict[int, bytes] = {}
         for end, (n, own) in self.automaton.iter(string.tobytes().decode("utf-32-le")):
             final = int(np.searchsorted(places, end))
             first = final - n + 1
             t = int(text[first])
-            for k in own:
+            for i in range(first, final + 1):
+                if i not in seen:
+                    seen[i] = low[start[i] : stop[i]].tobytes()
+            here = [seen[i] for i in range(first, final + 1)]
+            for k, place in own:
+                if self.words[k][place : place + n] != here:
+                    continue
                 held = last.get((t, k))
                 if held and first <= held[1]:  # overlaps the run before
                     held[1] = final
@@ -162,7 +171,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 for lo, raw, offsets in groups(batch.column(at)):
                     low, start, stop = words_in(raw, offsets)
                     text_no = np.searchsorted(offsets, start, side="right") - 1
-                    found = scanner.scan(text_no, Hasher(low).of(start, stop))
+                    found = scanner.scan(text_no, low, start, stop)
                     first = np.searchsorted(text_no, np.arange(len(offsets)))
                     for t in range(len(offsets) - 1):
                         hits = [(h["first"], h["last"], h["item"]) for h in before[lo + t]] if before else []
