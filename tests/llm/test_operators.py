@@ -431,6 +431,19 @@ def test_line_dedup(spark, tricky):
     assert line_dedup.drop_boilerplate(tricky.limit(0)).count() == 0
 
 
+def test_lines_of_a_host(spark):
+    frame = "<html><title>T{0}</title><script>var p = '<p>';</script><style>p{{}}</style><!-- <p>x --><nav><ul><li><a href='/'>Home</a></li></ul></nav><P class=a>Body <b>of</b> {0}<br/>end</P><footer>&copy; us</footer>"
+    rows = [(i, f"http://Site.example/{i}", frame.format(i)) for i in range(12)] + [(20, "http://other.example/", frame.format(3)), (21, None, None), (22, "no host", ""), (23, None, "one<p>two")]
+    out = {r["page_id"]: r for r in line_dedup.clean_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows) and {out[i]["host"] for i in range(12)} == {"site.example"}
+    # Home, end and the footer stand on all twelve pages of the one site and on one of the other.
+    for i in range(12):
+        assert [x for x in out[i]["text"].split("\n") if x] == [f"T{i}", f"Body of {i}"] and out[i]["n_dropped"] == 3
+    assert [x for x in out[20]["text"].split("\n") if x] == ["T3", "Home", "Body of 3", "end", "&copy; us"] and out[20]["n_dropped"] == 0
+    assert (out[21]["text"], out[21]["host"], out[21]["n_lines"]) == ("", "", 1) and out[23]["text"] == "one\ntwo"
+    assert line_dedup.clean_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_line_dedup_stage_keeps_groups_of_copies(spark):
     import corpus_pipeline
 

@@ -21,7 +21,8 @@ COLUMNS = {
     "op7_near_dup": {"doc_id", "class_id", "class_size", "n_links"},
     "op8_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op9_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
-    "op10_line_dedup": {"doc_id", "n_lines", "n_dropped", "text_sha256"},
+    "op10_line_dedup": {"page_id", "host", "n_lines", "n_dropped", "text_sha256"},
+    "line_dedup_by_source": {"doc_id", "n_lines", "n_dropped", "text_sha256"},
     "op11_lexical_search": {"item_id", "rank", "doc_id", "score"},
     "op12_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
     "op13_bit_sliced": {"query_id", "rank", "vec_id", "score"},

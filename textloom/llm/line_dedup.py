@@ -11,16 +11,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, sheltered, spread_join, unsheltered
+from textloom.llm.url_filter import host_of
 
-#: Lines on more than this share of a site's pages are boilerplate. Set from measured frequencies:
-#: running text that is only there in copies (lines of over 50 words) stands on 0.72 % of a
-#: source's pages at most on ``check_s``.
+#: Lines on more than this share of a site's pages are boilerplate: on large sites, whose navigation
+#: and notices change between sections, one page in a hundred,
 RATIO = 0.01
 #: and on at least so many pages, or on half of them and two where a site has fewer than twice as many.
 LEAST_PAGES = 5
 #: A site's boilerplate lines are kept in so many lists by hash, of which a line is looked for in one.
 SLOTS = 64
 BLANKS = " \t\n\x0b\x0c\r"
+#: What isn't shown on a page, and where lines of a page end.
+HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+BREAKS = r"(?i)</?(?:p|div|br|hr|ul|ol|li|dl|dt|dd|h[1-6]|nav|header|footer|main|aside|article|section|title|table|tr|td|th|form|option|pre|blockquote)\b[^>]*>"
+TAG = "<[^>]*>"
+
+
+def page_text(html: Column) -> Column:
+    """The lines of a page's text: without comments, scripts and styles, broken at block elements, and without other tags.
+
+    Character references stay as they are. Null html is an empty text.
+    """
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
+    return F.regexp_replace(F.regexp_replace(shown, BREAKS, "\n"), TAG, "")
+
+
+def clean_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(key, host, text, n_lines, n_dropped): each page's text without the lines that are boilerplate of its host.
+
+    Null urls and urls without ``://`` have the empty host, which is a site like any other. Null and
+    empty html is a page of one empty line, which is never dropped. Repeated rows are pages of their own.
+    """
+    own = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), page_text(F.col(html)).alias("text"))
+    done = drop_boilerplate(own, "host", "text", "key", ratio, least_pages)
+    return done.select(F.col("key").alias(key), "host", "text", "n_lines", "n_dropped")
 
 
 def lines_of(text: Column) -> Column:

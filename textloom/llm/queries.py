@@ -84,6 +84,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.line_dedup import clean_pages
+
+    cleaned = clean_pages(table(spark, sf_dir, "pages"))
+    return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def line_dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline has it: documents, with their source as the site."""
     from textloom.llm.line_dedup import drop_boilerplate
 
     cleaned = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -122,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_secrets": op9_secrets,
         "op10_line_dedup": op10_line_dedup,
+        "line_dedup_by_source": line_dedup_by_source,
         "op11_lexical_search": op11_lexical_search,
         "op12_filter_audit": op12_filter_audit,
         "op13_bit_sliced": op13_bit_sliced,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from textloom.llm.line_dedup import BREAKS, HIDDEN, TAG
 from textloom.llm.url_filter import BLOCK_AT, DAMPING, LINK, ROUNDS, RULES
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -45,12 +46,19 @@ WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_byte
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
 TRIMMED = f"regexp_replace(l, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
-LINES = f"""WITH lines AS (SELECT doc_id, source, i, s[i] AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+
+
+def lines(key: str, site: str, rows: str) -> str:
+    """Line deduplication of ``rows``, a query for (key, site, text)."""
+    shown = site + ", " if site == "host" else ""
+    return f"""WITH rows AS ({rows}),
+ lines AS (SELECT {key}, {site}, i, s[i] AS l FROM (SELECT {key}, {site}, string_split(text, chr(10)) AS s, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM rows)),
  keyed AS (SELECT *, {TRIMMED} AS k FROM lines),
- sites AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
- bad AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING (source) WHERE pages >= least(5, greatest(2, ceil(n / 2))) AND pages > n * 0.01E0),
- marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.source = bad.source AND keyed.k = bad.k)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY doc_id"""
+ sites AS (SELECT {site}, count(*) AS n FROM rows GROUP BY {site}),
+ bad AS (SELECT {site}, k FROM (SELECT {site}, k, count(DISTINCT {key}) AS pages FROM keyed WHERE k <> '' GROUP BY ALL) JOIN sites USING ({site}) WHERE pages >= least(5, greatest(2, ceil(n / 2))) AND pages > n * 0.01E0),
+ marked AS (SELECT keyed.*, bad.k IS NOT NULL AS dropped FROM keyed LEFT JOIN bad ON keyed.{site} = bad.{site} AND keyed.k = bad.k)
+SELECT {key}, {shown}count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256 FROM marked GROUP BY ALL"""
+
 
 def lowered(text: str) -> str:
     return f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -60,6 +68,11 @@ def host(url: str) -> str:
     return lowered(f"regexp_extract(coalesce({url}, ''), '(?s)://([^/?#]*)', 1)")
 
 
+def page_text(html: str) -> str:
+    shown = f"regexp_replace(coalesce({html}, ''), '{HIDDEN}', '', 'g')"
+    return f"regexp_replace(regexp_replace({shown}, '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g')"
+
+
 def url_filter() -> str:
     """The rounds are spelled out, one common table expression each."""
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r))
@@ -128,7 +141,8 @@ ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
     "op5_decontamination": DECONTAMINATION,
     "op8_warc": WARC,
-    "op10_line_dedup": LINES,
+    "op10_line_dedup": lines("page_id", "host", f"SELECT page_id, {host('url')} AS host, {page_text('html')} AS text FROM pages"),
+    "line_dedup_by_source": lines("doc_id", "source", "SELECT doc_id, source, text FROM documents"),
     "op11_lexical_search": LEXICAL,
     "op12_filter_audit": AUDIT,
     "op13_bit_sliced": PRODUCTS,
