@@ -22,3 +22,21 @@ def test_spans_move_as_texts(spark):
     assert len(places) == 1
     assert max(i for i, line in enumerate(lines) if "Generate" in line) < places[0]
     assert {(r["start"], r["end"], r["span"]) for r in spans.collect()} == {(1, 2, "red"), (1, 3, "red kettle"), (1, 4, "red kettle ."), (2, 3, "kettle"), (2, 4, "kettle ."), (4, 5, "Two"), (4, 6, "Two lanterns"), (5, 6, "lanterns")}
+
+
+def test_spans_that_no_term_is_like_are_not_kept(spark):
+    """Long spans of several words have too many grams at their spaces, unless terms have such grams."""
+    docs = spark.createDataFrame([(1, "kettles lantern garden windows")], "k long, text string")
+    every = keywords.normal_spans(docs, "k", "text", 1, 40)
+    kept = lambda *crossing: {r["normal"] for r in keywords.normal_spans(docs, "k", "text", 1, 40, share=0.8, crossing=crossing).collect()}
+    assert {r["normal"] for r in every.collect()} > kept() == {"kettles", "lantern", "garden", "windows"}
+    assert "garden windows" not in kept() and "garden windows" in kept("en ", "n w", " wi")
+
+
+def test_repeated_texts_are_put_together_before_they_move(spark):
+    index = keywords.term_index(spark.createDataFrame([("kettle",)], "t string"), "t")
+    found = keywords.fuzzy_match(spark.createDataFrame([("kettles",)] * 50, "t string"), "t", keywords.build_index(index))
+    lines = plan(found)
+    lowest = [i for i, line in enumerate(lines) if re.search(r"\bExchange\b", line) and "text" in line][-1]
+    assert any("HashAggregate" in line for line in lines[lowest + 1 : lowest + 3])
+    assert [(r["text"], r["term"]) for r in found.collect()] == [("kettles", "kettle")]
