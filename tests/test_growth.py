@@ -40,3 +40,10 @@ def test_repeated_texts_are_put_together_before_they_move(spark):
     lowest = [i for i, line in enumerate(lines) if re.search(r"\bExchange\b", line) and "text" in line][-1]
     assert any("HashAggregate" in line for line in lines[lowest + 1 : lowest + 3])
     assert [(r["text"], r["term"]) for r in found.collect()] == [("kettles", "kettle")]
+
+
+def test_matches_of_spans_do_not_move_again(spark):
+    spans = keywords.candidate_spans(spark.createDataFrame([(1, "A red kettle")], "k long, text string"), "k", "text")
+    chosen = keywords.resolve_overlaps(spans.withColumn("n_term", spans["end"]).withColumnRenamed("span", "term"), "k")
+    assert len(exchanges(chosen)) == 1
+    assert [(r["start"], r["end"], r["match"]) for r in chosen.collect()] == [(1, 3, "red kettle")]

@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def free_of_overlaps(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of the spans are chosen: longer ones first, then earlier ones, each if no chosen one of its group shares a token.
 
@@ -82,9 +81,12 @@ def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
     Longer spans first, then earlier ones, then terms with fewer grams (``n_term``), then by ``term``.
     Of matches with the same ends only the best takes part. The matches of a key go through one task
     as a sorted stream, which holds those of one key and one batch at a time. A null key is a key.
+    Matches that are dealt out by key already, as those of ``candidate_spans`` are, don't move.
     """
-    spans = matches.filter("start < end").select(F.col(key).alias("_key"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.struct("n_term", "term").alias("best"))
-    spans = spans.repartition("_key").groupBy("_key", "start", "end").agg(F.min("best").alias("best"))
-    rows = spans.select("_key", "start", "end", F.col("best.term").alias("match")).sortWithinPartitions("_key", "start", "end")
+    spans = matches.filter("start < end").select(F.col(key).alias("_key"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "n_term", F.col("term").alias("match"))
+    order = Window.partitionBy("_key").orderBy("start", "end", "n_term", "match")
+    before = spans.withColumn("_start", F.lag("start").over(order)).withColumn("_end", F.lag("end").over(order))
+    best = before.filter("_start IS NULL OR _start <> start OR _end <> end")
+    rows = best.select("_key", "start", "end", "match")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_chosen, schema).withColumnRenamed("_key", key)
