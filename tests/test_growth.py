@@ -2,7 +2,7 @@
 
 import re
 
-from textloom.operators import keywords
+from textloom.operators import codes, keywords
 
 
 def plan(df):
@@ -47,3 +47,10 @@ def test_matches_of_spans_do_not_move_again(spark):
     chosen = keywords.resolve_overlaps(spans.withColumn("n_term", spans["end"]).withColumnRenamed("span", "term"), "k")
     assert len(exchanges(chosen)) == 1
     assert [(r["start"], r["end"], r["match"]) for r in chosen.collect()] == [(1, 3, "red kettle")]
+
+
+def test_samples_of_associated_codes_are_read_once(spark):
+    samples = spark.range(3).selectExpr("id AS k", "'a' AS p", "'b c' AS o")
+    out = codes.associated_code_sets(samples, "k", "p", "o", spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", ["z"])], "code string, terms array<string>"), 2, 2, 42)
+    assert sum(bool(re.search(r"\bRange\b", line)) for line in plan(out)) == 1 and not any("Window" in line for line in plan(out))
+    assert {(r["sample"], r["codes"].split()[0], len(r["codes"].split()) - r["n_codes"]) for r in out.collect()} == {(i, "a", 1) for i in range(3)}

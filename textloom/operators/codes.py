@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import normalize_text, parse_literal_list, split_words
-from textloom.operators.ordering import hash_order, with_ordinal
+from textloom.operators.keywords import bound
+from textloom.operators.ordering import hash_order, small, with_ordinal
 
 
 def code_terms(dictionary: DataFrame, code: str, term: str, ordinal: str) -> DataFrame:
@@ -93,19 +94,20 @@ def associated_code_sets(samples: DataFrame, sample: str, principal: str, associ
     own = samples.select(F.col(sample).alias("sample"), F.col(principal).alias("_principal"), split_words(associated).alias("_others"))
     most = F.least(F.lit(max_codes), F.size("_others"))
     own = own.withColumn("_codes", F.when(most > 0, draw(seed, F.greatest(most, F.lit(1)), "n", F.col("sample"))).otherwise(0)).withColumn("_terms", draw(seed, max_terms, "k", F.col("sample")))
-    each = own.select("sample", "_codes", "_terms", "_principal", F.posexplode_outer("_others").alias("_pos", "_other"))
-    order = Window.partitionBy("sample").orderBy(hash_order(F.concat_ws("~", F.col("sample").cast("string"), F.col("_pos").cast("string")), seed), "_pos")
-    others = each.filter("_other is not null").withColumn("_rank", F.row_number().over(order)).filter("_rank <= _codes").select("sample", "_terms", F.col("_rank").cast("int").alias("_rank"), F.col("_other").alias("code"))
-    first = own.select("sample", "_terms", F.lit(0).alias("_rank"), F.col("_principal").alias("code"))
-    counted = own.select("sample", F.col("_codes").alias("n_codes"))
-    return _assemble(first.unionByName(others).join(terms, "code"), seed).drop("n_codes").join(counted, "sample")
-
-
-def _assemble(chosen: DataFrame, seed: int) -> DataFrame:
-    """Puts codes and their drawn terms together, in the order of their ranks."""
-    picked = F.slice(F.transform(F.array_sort(F.transform("terms", lambda t: F.struct(F.md5(F.concat_ws("~", F.col("sample").cast("string"), F.col("code"), t, F.lit(str(seed)))).alias("h"), t.alias("t")))), lambda x: x["t"]), F.lit(1), F.col("_terms"))
-    rows = chosen.select("sample", "_rank", "code", picked.alias("_picked"))
-    grouped = rows.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("_rank", "code", "_picked"))).alias("rows"))
+    hashed = F.transform("_others", lambda x, pos: F.struct(hash_order(F.concat_ws("~", F.col("sample").cast("string"), pos.cast("string")), seed).alias("h"), pos.alias("pos"), x.alias("code")))
+    others = F.transform(F.slice(F.sort_array(hashed), F.lit(1), F.col("_codes")), lambda x: x["code"])
+    chosen = own.select("sample", "_codes", "_terms", F.posexplode_outer(F.concat(F.array("_principal"), others)).alias("_rank", "code"))
+    few = small(terms, terms.count())
+    return _assemble(chosen.filter("sample IS NOT NULL").join(few, "code"), seed, F.first("_codes"))
+
+
+def _assemble(chosen: DataFrame, seed: int, n_codes: Column | None = None) -> DataFrame:
+    """Puts codes and their drawn terms together, in the order of their ranks; ``n_codes`` is an aggregate to have in place of their number."""
+    before = F.concat_ws("~", F.col("sample").cast("string"), F.col("code"))
+    hashed = lambda x: F.transform("terms", lambda t: F.struct(F.md5(F.concat_ws("~", x, t, F.lit(str(seed)))).alias("h"), t.alias("t")))
+    picked = F.transform(F.slice(F.sort_array(bound(before, hashed, "struct<h:string,t:string>")), F.lit(1), F.col("_terms")), lambda x: x["t"])
+    rows = chosen.withColumn("_picked", picked)
+    grouped = rows.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("_rank", "code", "_picked"))).alias("rows"), (n_codes if n_codes is not None else F.count(F.lit(1)).cast("int")).alias("n_codes"))
     words = F.flatten(F.transform("rows", lambda x: x["_picked"]))
-    out = grouped.select("sample", F.array_join(F.transform("rows", lambda x: x["code"]), " ").alias("codes"), F.size("rows").alias("n_codes"), F.array_join(words, ", ").alias("keywords"), F.size(words).alias("n_kws"))
+    out = grouped.select("sample", F.array_join(F.transform("rows", lambda x: x["code"]), " ").alias("codes"), "n_codes", F.array_join(words, ", ").alias("keywords"), F.size(words).alias("n_kws"))
     return out.filter("n_kws > 0")
