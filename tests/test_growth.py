@@ -2,7 +2,7 @@
 
 import re
 
-from textloom.operators import codes, keywords
+from textloom.operators import codes, keywords, plugins
 
 
 def plan(df):
@@ -54,3 +54,11 @@ def test_samples_of_associated_codes_are_read_once(spark):
     out = codes.associated_code_sets(samples, "k", "p", "o", spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", ["z"])], "code string, terms array<string>"), 2, 2, 42)
     assert sum(bool(re.search(r"\bRange\b", line)) for line in plan(out)) == 1 and not any("Window" in line for line in plan(out))
     assert {(r["sample"], r["codes"].split()[0], len(r["codes"].split()) - r["n_codes"]) for r in out.collect()} == {(i, "a", 1) for i in range(3)}
+
+
+def test_windows_are_embedded_once(spark):
+    docs = spark.createDataFrame([("a b b c", "b c d")], "x string, y string")
+    out = plugins.add_similarity(docs, "x", "y", plugins.HashEmbedder(), plugins.WordTokenizer())
+    assert out._jdf.queryExecution().analyzed().toString().count("xxhash64") == 3  # both texts and the windows
+    vector = docs.select(plugins.HashEmbedder(8).embed(docs["x"]).alias("v")).first()["v"]
+    assert sum(vector) == 4 and max(vector) >= 2 and len(vector) == 8
