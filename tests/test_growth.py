@@ -2,7 +2,7 @@
 
 import re
 
-from textloom.operators import codes, keywords, plugins
+from textloom.operators import codes, keywords, plugins, sentences
 
 
 def plan(df):
@@ -62,3 +62,9 @@ def test_windows_are_embedded_once(spark):
     assert out._jdf.queryExecution().analyzed().toString().count("xxhash64") == 3  # both texts and the windows
     vector = docs.select(plugins.HashEmbedder(8).embed(docs["x"]).alias("v")).first()["v"]
     assert sum(vector) == 4 and max(vector) >= 2 and len(vector) == 8
+
+
+def test_only_words_after_periods_are_counted_in_pairs(spark):
+    docs = spark.createDataFrame([("Seen by Dr. Smith and Dr. Lee",), (None,)], "t string")
+    rows = [tuple(r) for r in sentences.neighbours(docs, "t").select("type", "before", "dotted").collect()]
+    assert rows == [("seen", "first", None), ("by", "word", None), ("dr", "word", None), ("smith", "period", "dr"), ("and", "word", None), ("dr", "word", None), ("lee", "period", "dr")]

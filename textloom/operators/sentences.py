@@ -28,15 +28,19 @@ MOST_ROWS = 200_000
 
 def word_type(word: Column) -> Column:
     """Lower case, without periods at the end; one type for all numbers."""
-    bare = F.lower(F.regexp_replace(word, r"\.+$", ""))
-    return F.when(bare.rlike(r"^[0-9]+([.'’-][0-9]+)*$"), NUMBER).otherwise(bare)
+    bare = F.lower(F.rtrim(word, F.lit(".")))
+    return F.when(word.between("0", ":") & bare.rlike(r"^[0-9]+([.'’-][0-9]+)*$"), NUMBER).otherwise(bare)
 
 
 def neighbours(docs: DataFrame, text: str) -> DataFrame:
-    """(type, period, next, upper): each word's type, whether a period ends it, the type of the next one, and whether that has a capital first letter."""
+    """(type, period, upper, before, dotted): each word's type, whether a period ends it, whether it has a capital first letter, whether it is ``first``, after a ``word`` or after a ``period``, and the type of that last one."""
     words = docs.select(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
-    pairs = words.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("a", "b"))
-    return pairs.select(word_type(F.col("a")).alias("type"), F.col("a").endswith(".").alias("period"), word_type(F.col("b")).alias("next"), F.col("b").rlike(r"^\p{Lu}").alias("upper"))
+    each = words.select(F.posexplode_outer("w").alias("i", "b"), "w").filter("i IS NOT NULL")  # outer, as the optimizer else takes the words apart twice, to leave out empty texts
+    pairs = each.select("b", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("a"))
+    after = F.col("a").endswith(".")
+    capital = F.when(F.col("b").between("a", "{"), False).otherwise(F.col("b").rlike(r"^\p{Lu}"))
+    before = F.when(F.col("a").isNull(), "first").when(after, "period").otherwise("word")
+    return pairs.select(word_type(F.col("b")).alias("type"), F.col("b").endswith(".").alias("period"), capital.alias("upper"), before.alias("before"), F.when(after, word_type(F.col("a"))).alias("dotted"))
 
 
 def likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -60,8 +64,9 @@ def train_sentences(docs: DataFrame, text: str) -> DataFrame:
     often than elsewhere. common: a type that follows an abbreviation with a capital, but within
     sentences is written without. Null and empty texts have no words. Counts run over all texts.
     """
-    pairs = cut_table(neighbours(docs, text).groupBy("type", "period", "next", "upper").agg(F.count(F.lit(1)).alias("n")))
-    counts = cut_table(pairs.groupBy("type").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("dotted")))
+    one = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0))
+    pairs = cut_table(neighbours(docs, text).groupBy("type", "before", "dotted").agg(F.count(F.lit(1)).alias("n"), one("period").alias("periods"), one("upper").alias("uppers")))
+    counts = cut_table(pairs.groupBy("type").agg(F.sum("n").alias("total"), F.sum("periods").alias("dotted")))
     n, n_dots = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("dotted"), F.lit(0))).first()
     periods = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
     letters = (F.length("type") - periods).cast("double")
@@ -71,10 +76,12 @@ def train_sentences(docs: DataFrame, text: str) -> DataFrame:
     known = counts.filter((F.col("dotted") > 0) & (F.col("type") != NUMBER)).select(F.col("type").alias("first"), score.alias("score")).filter(F.col("score") >= ABBREVIATION)
     known = cut_table(known)
     n_known = known.count()
-    marked = pairs.join(small(known.select(F.col("first").alias("_known"), F.lit(True).alias("short")), n_known), F.col("type") == F.col("_known"), "left").drop("_known")
+    few = small(known.select(F.col("first").alias("_known"), F.lit(True).alias("short")), n_known)
     bound = F.coalesce(F.col("short"), F.lit(False)) | F.col("type").rlike(r"^\p{L}$") | (F.col("type") == NUMBER)
-    dotted = cut_table(marked.filter("period").groupBy("type", "next", bound.alias("bound")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("upper"), F.col("n")).otherwise(0)).alias("uppers")))
-    ends = dotted.filter("NOT bound").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marked = lambda df: df.join(few, F.col("type") == F.col("_known"), "left").withColumn("bound", bound)
+    after_periods = pairs.filter("before = 'period'").select(F.col("dotted").alias("type"), F.col("type").alias("next"), "n", "uppers")
+    dotted = cut_table(marked(after_periods).select("type", "next", "bound", "n", "uppers"))
+    ends = marked(counts.filter("dotted > 0")).filter("NOT bound").agg(F.coalesce(F.sum("dotted"), F.lit(0))).first()[0]
     totals = counts.select(F.col("type").alias("_t"), F.col("total").alias("_total"))
     after = dotted.filter("NOT bound").groupBy("next").agg(F.sum("n").alias("both")).join(totals, F.col("next") == F.col("_t"))
     more = F.col("both") / max(ends, 1) > F.col("_total") / max(n, 1)
@@ -82,7 +89,7 @@ def train_sentences(docs: DataFrame, text: str) -> DataFrame:
     first = dotted.filter("bound").join(totals.withColumnsRenamed({"_t": "_a", "_total": "of_first"}), F.col("type") == F.col("_a")).join(totals, F.col("next") == F.col("_t"))
     often = (F.col("n") > 1) & (F.col("n") / F.col("of_first") > F.col("_total") / max(n, 1))
     linked = first.filter(often).select(F.col("type").alias("first"), F.col("next").alias("second"), dunning(F.col("n"), F.col("of_first"), F.col("_total"), F.lit(n)).alias("score")).filter(F.col("score") >= COLLOCATION)
-    inner = pairs.filter("NOT period").groupBy("next").agg(F.sum(F.when(F.col("upper"), F.col("n")).otherwise(0)).alias("_up"), F.sum("n").alias("_all"))
+    inner = pairs.filter("before = 'word'").select(F.col("type").alias("next"), F.col("uppers").alias("_up"), F.col("n").alias("_all"))
     capital = dotted.filter("bound AND uppers > 0").select("next").distinct()
     common = capital.join(inner.withColumnRenamed("next", "_n"), F.col("next") == F.col("_n")).filter("_up = 0").select(F.col("next").alias("first"), F.col("_all").cast("double").alias("score"))
     of = lambda df, kind: df.select(F.lit(kind).alias("kind"), "first", F.col("second") if "second" in df.columns else F.lit(None).cast("string").alias("second"), "score")
