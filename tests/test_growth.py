@@ -68,3 +68,10 @@ def test_only_words_after_periods_are_counted_in_pairs(spark):
     docs = spark.createDataFrame([("Seen by Dr. Smith and Dr. Lee",), (None,)], "t string")
     rows = [tuple(r) for r in sentences.neighbours(docs, "t").select("type", "before", "dotted").collect()]
     assert rows == [("seen", "first", None), ("by", "word", None), ("dr", "word", None), ("smith", "period", "dr"), ("and", "word", None), ("dr", "word", None), ("lee", "period", "dr")]
+
+
+def test_shared_grams_are_counted_once(spark):
+    index = keywords.build_index(keywords.term_index(spark.createDataFrame([("kettle",)], "t string"), "t"))
+    found = keywords.fuzzy_match(spark.createDataFrame([("kettles",)], "t string"), "t", index)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+    assert [(r["text"], r["term"], r["similarity"]) for r in found.collect()] == [("kettles", "kettle", 0.8)]
