@@ -75,3 +75,39 @@ def test_shared_grams_are_counted_once(spark):
     found = keywords.fuzzy_match(spark.createDataFrame([("kettles",)], "t string"), "t", index)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
     assert [(r["text"], r["term"], r["similarity"]) for r in found.collect()] == [("kettles", "kettle", 0.8)]
+
+
+def test_each_distinct_term_is_normalised_once(spark):
+    """Only what has been grouped is normalised; Spark takes two distincts in a row for one, on every row."""
+    terms = spark.createDataFrame([("Kettle",)] * 50 + [("kettle",), (None,), ("ab",)], "t string")
+    index = keywords.term_index(terms, "t")
+    lines = plan(index)
+    normalised = [i for i, line in enumerate(lines) if "translate(" in line]
+    assert normalised and all(sum("HashAggregate" in line for line in lines[i + 1 :]) >= 2 for i in normalised)
+    assert [(r["term"], r["n_term"]) for r in index.collect()] == [("kettle", 4)]
+
+
+def test_candidates_differ_in_few_bits(spark):
+    """What shares its rarest gram and no more isn't compared; what is like enough is found by every measure, whether or not the index has bits."""
+    index = keywords.build_index(keywords.term_index(spark.createDataFrame([("kettlezq",), ("marblezq",)], "t string"), "t"), 0.5)
+    texts = spark.createDataFrame([("kettlezq",), ("kettlesz",), ("gardenzq",)], "t string")
+    found = keywords.fuzzy_match(texts, "t", index, 0.5)
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+    plain = keywords.TermIndex(index.probes.withColumn("bits", keywords.F.lit(None).cast("long")), index.counts, index.measure, index.threshold)
+    want = {("kettlezq", "kettlezq"), ("kettlesz", "kettlezq")}
+    assert {(r["text"], r["term"]) for r in found.collect()} == {(r["text"], r["term"]) for r in keywords.fuzzy_match(texts, "t", plain, 0.5).collect()} == want
+
+
+def test_a_large_index_does_not_move_to_few_texts(spark, monkeypatch):
+    """Only where neither side is small does the index move, by gram and size."""
+    index = keywords.build_index(keywords.term_index(spark.createDataFrame([("kettle",)] * 3 + [("lantern",)], "t string"), "t"))
+    monkeypatch.setattr(keywords, "_bounds", lambda index, f=keywords._bounds: (*f(index)[:2], 1 << 40))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for least in (keywords.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(keywords, "BROADCAST_BYTES", least)
+            found = keywords.fuzzy_match(spark.createDataFrame([("kettles",), ("lanterns",)], "t string"), "t", index)
+            assert any("size#" in line for line in exchanges(found)) == (least == 0)
+            assert {(r["text"], r["term"]) for r in found.collect()} == {("kettles", "kettle"), ("lanterns", "lantern")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
