@@ -71,3 +71,13 @@ def test_spans_are_no_rows(spark):
     assert n_blocks <= 50 and said.count() == 3 * n_blocks  # one, two and three kettles
     plan = keywords.extract_keywords(docs, "k", "text", spark.createDataFrame([("kettle",)], "t string"), "t")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and not re.search(r"Exchange hashpartitioning\(normal", plan)
+
+
+def test_meanings_by_a_join(spark, monkeypatch):
+    """Where they are too large for a broadcast, a join brings each block its own, with the same keywords."""
+    docs, terms = spark.createDataFrame(texts(40), "k long, text string"), spark.createDataFrame([(t,) for t in TERMS], "t string")
+    sides = []
+    for most in (keywords.MEANT_BYTES, 0):
+        monkeypatch.setattr(keywords, "MEANT_BYTES", most)
+        sides.append({r["k"]: r["keywords"] for r in keywords.extract_keywords(docs, "k", "text", terms, "t").collect()})
+    assert sides[0] == sides[1] and any(sides[0].values())

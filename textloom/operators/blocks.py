@@ -302,22 +302,32 @@ def _chosen(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return alone
 
 
-def chosen_terms(blocks: DataFrame, rule: SpanRule) -> DataFrame:
+def chosen_terms(blocks: DataFrame, rule: SpanRule, meant: DataFrame | None = None) -> DataFrame:
     """(_key, doc, place, terms): the terms of each run in text order without repeats, of the greedy choice of spans that share no token.
 
-    ``blocks`` have ``found``, (text, term) of what their spans' texts mean. Spans lie within sentences, so
+    ``meant`` is (text, term) of what spans' texts mean, which goes to all workers; without it, ``blocks``
+    have ``found``, those of their own spans. Spans lie within sentences, so
     each block is resolved by itself, as in ``resolve_overlaps``.
     """
 
+    sent = None
+    if meant is not None:
+        table = meant.select("text", "term").toArrow().combine_chunks()
+        whole = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns]
+        sent = blocks.sparkSession.sparkContext.broadcast((whole[0], whole[1].dictionary_encode()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 of = lambda name, kind: _numbers(batch.column(name)[i], kind)  # noqa: E731, B023
                 start, end, text, texts = spans_of(rule, *_opened(batch, i))
-                found = batch.column("found")[i].values
-                terms = found.field("term").dictionary_encode()
-                place = pc.fill_null(pc.index_in(texts, found.field("text").cast(texts.type)), -1).to_numpy()
-                term = np.where(place >= 0, terms.indices.to_numpy()[place], -1)[text]
+                if sent:
+                    known, terms = sent.value
+                else:
+                    found = batch.column("found")[i].values
+                    known, terms = found.field("text"), found.field("term").dictionary_encode()
+                place = pc.fill_null(pc.index_in(texts, known.cast(texts.type)), -1).to_numpy()
+                term = np.where(place >= 0, np.append(terms.indices.to_numpy(), -1)[place], -1)[text]
                 start, end, term = start[term >= 0], end[term >= 0], term[term >= 0]
                 kept = _chosen(start, end)
                 totals = of("totals", np.int32).astype(np.int64)
